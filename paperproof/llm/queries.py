@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperproof.llm.common import documents
 
@@ -21,9 +22,25 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.mixing import mix_plan, n_words
+
+    sized = documents(spark, sf_dir).select("doc_id", "source", n_words("text").alias("words"))
+    plan = mix_plan(sized, size=F.col("words"))
+    return plan.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.lines import without_frequent_lines
+
+    return without_frequent_lines(documents(spark, sf_dir), digest=True, min_docs=10, min_chars=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from paperproof.llm import lines, mixing
+
+    return {"op3_source_mix": mixing.ORACLE, "op10_line_dedup": lines.ORACLE}
