@@ -30,6 +30,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.simhash import simhash_groups
+
+    return simhash_groups(documents(spark, sf_dir), k=3, bits=2)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperproof.llm.lines import without_frequent_lines
 
