@@ -22,6 +22,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.decontaminate import contaminated
+
+    return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), seed_words=5, threshold=0.5)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperproof.llm.mixing import mix_plan, n_words
 
