@@ -42,6 +42,12 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir), k=3, bits=2)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.minhash import edited_pairs
+
+    return edited_pairs(documents(spark, sf_dir), k=5, bins=256, bits=8)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperproof.llm.lines import without_frequent_lines
 
