@@ -48,6 +48,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(documents(spark, sf_dir), k=5, bins=256, bits=8)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperproof.llm.lines import without_frequent_lines
 
