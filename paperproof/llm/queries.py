@@ -54,6 +54,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.licenses import license_scan
+
+    return license_scan(documents(spark, sf_dir), threshold=0.9)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperproof.llm.lines import without_frequent_lines
 
