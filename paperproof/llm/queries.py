@@ -42,6 +42,12 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir), k=3, bits=2)
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.warc import derivative_table
+
+    return derivative_table(documents(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperproof.llm.minhash import edited_pairs
 
@@ -60,6 +66,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir), threshold=0.9)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperproof.llm.html import extract
+
+    return extract(documents(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperproof.llm.lines import without_frequent_lines
 
