@@ -7,6 +7,10 @@ several pivots and radii a node takes the one with the least overlap. Shards are
 a task of its own, which returns stars (a fingerprint and the least one of its group there), never all pairs. Groups of
 different shards are joined by connected components over the stars' centres. Equal fingerprints are one from the start, so
 copies of one text cost nothing.
+
+An overlap as wide as the spread of distances (4 bits, for unlike texts) would put nearly everything into every shard. For
+more than a few bits the fingerprint is therefore cut into bands: of two fingerprints within ``bits``, one band at least is
+within ``bits // bands``, so a tree of each band with that overlap still meets every pair, and pairs are compared whole.
 """
 
 from __future__ import annotations
@@ -108,10 +112,16 @@ def build(sample: np.ndarray, shards: int, bits: int, pivots: int = 24) -> list:
         nodes[at] = (best[0], best[1], grow(x[d <= best[1]], near), grow(x[d > best[1]], want - near))
         return at
 
-    grow(np.unique(sample), shards)
+    grow(np.sort(sample), shards)
     return nodes
 
 
+def band_masks(bands: int) -> list[np.uint64]:
+    """The bits of each band; bands are neighbours of nearly the same width."""
+    cuts = [64 * i // bands for i in range(bands + 1)]
+    return [np.uint64((1 << q) - (1 << p)) for p, q in zip(cuts, cuts[1:], strict=False)]
+
+
 def route(fps: np.ndarray, nodes: list, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, positions in fps) for each leaf that has any."""
     todo = [(0, np.arange(len(fps)))]
@@ -125,24 +135,33 @@ def route(fps: np.ndarray, nodes: list, bits: int) -> Iterator[tuple[int, np.nda
         todo += [(k, some) for k, some in ((inside, rows[d <= radius + bits]), (outside, rows[d > radius])) if len(some)]
 
 
-def _linked(x: np.ndarray, bits: int, block: int = 512) -> np.ndarray:
-    """For each of x the first position of its group, by passes over all pairs in blocks until nothing changes."""
-    label = np.arange(len(x))
+def _linked(x: np.ndarray, bits: int) -> np.ndarray:
+    """For each of x the first position of its group, by passes over all pairs in blocks until nothing changes. From the second pass
+    on, only those with a neighbour are looked at; a block holds no more than 2 million distances."""
+    label, rows = np.arange(len(x)), np.arange(len(x))
     while True:
-        new = label.copy()
-        for p in range(0, len(x), block):
-            near = np.bitwise_count(x[p : p + block, None] ^ x[None]) <= bits
-            if near.sum() > len(near):
-                new[p : p + block] = np.where(near, label[None], len(x)).min(axis=1)
+        new, some = label.copy(), x[rows]
+        step = max(1, CHUNK * 32 // max(1, len(rows)))
+        linked = []
+        for p in range(0, len(rows), step):
+            near = np.bitwise_count(some[p : p + step, None] ^ some[None]) <= bits
+            many = np.flatnonzero(near.sum(axis=1) > 1)
+            if len(many):
+                linked.append(rows[p + many])
+                new[linked[-1]] = np.where(near[many], label[rows][None], len(x)).min(axis=1)
+        rows = np.concatenate(linked) if linked else rows[:0]
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-def stars(fps: np.ndarray, bits: int, leaf: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, least fingerprint of its group) for those of the distinct fps that have a neighbour within bits."""
+def stars(fps: np.ndarray, bits: int, mask: np.uint64 | None = None, near: int | None = None, leaf: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, least fingerprint of its group) for those of the distinct fps that have a neighbour within bits.
+
+    With mask, of pairs that differ in more than ``near`` bits of it only some are looked at."""
     fps = np.unique(fps)
+    band, near = (fps, bits) if mask is None else (fps & mask, near)
     parent = np.arange(len(fps))
 
     def root(i: int) -> int:
@@ -151,8 +170,8 @@ def stars(fps: np.ndarray, bits: int, leaf: int = 512) -> tuple[np.ndarray, np.n
             i = parent[i]
         return i
 
-    tree = build(fps[:: max(1, len(fps) // 8192)], len(fps) // leaf + 1, bits)
-    for _, rows in route(fps, tree, bits):
+    tree = build(band[:: max(1, len(fps) // 8192)], len(fps) // leaf + 1, near)
+    for _, rows in route(band, tree, near):
         label = _linked(fps[rows], bits)
         for i in np.flatnonzero(label != np.arange(len(rows))).tolist():
             a, b = sorted((root(rows[i]), root(rows[label[i]])))
@@ -183,29 +202,32 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def groups(fps: DataFrame, *, bits: int = 2, shard_rows: int = 2048, sample_rows: int = 65_536) -> DataFrame:
+def groups(fps: DataFrame, *, bits: int = 2, bands: int = 1, shard_rows: int = 2048, sample_rows: int = 65_536) -> DataFrame:
     """(fp, root) for each distinct fp of fps(fp, ...) with a neighbour within bits: root is the same through a whole component.
 
-    The tree of shards is fitted on at most sample_rows fingerprints; every fingerprint then goes through it. With more
-    fingerprints than sample_rows / 16 shards of shard_rows hold, shards grow, and their own trees with them.
+    The trees of shards, one for each band, are fitted on at most sample_rows fingerprints; every fingerprint then goes through
+    them. With more fingerprints than sample_rows / 16 shards of shard_rows hold, shards grow, and their own trees with them.
     """
     spark = fps.sparkSession
     distinct = stored(fps.select("fp").distinct(), "fingerprints")
     n = distinct.count()
     sample = distinct.orderBy(F.xxhash64("fp", F.lit(1))).limit(min(sample_rows, n // 4 + 1024)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = build(sample, min(n // shard_rows + 1, max(1, len(sample) // 16)), bits)
+    masks, near = band_masks(bands), bits // bands
+    trees = [build(sample & m, min(n // shard_rows + 1, max(1, len(sample) // 16)), near) for m in masks]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b["fp"].to_numpy().view(np.uint64)
-            for shard, rows in route(x, nodes, bits):
-                yield pa.record_batch([pa.array(np.full(len(rows), shard, np.int32)), pa.array(x[rows].view(np.int64))], names=["shard", "fp"])
+            for k, (mask, nodes) in enumerate(zip(masks, trees, strict=True)):
+                for shard, rows in route(x & mask, nodes, near):
+                    yield pa.record_batch([pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), shard, np.int32)), pa.array(x[rows].view(np.int64))], names=["band", "shard", "fp"])
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        member, centre = stars(part["fp"].to_numpy(np.int64).view(np.uint64), bits)
+        mask = masks[int(part["band"].iloc[0])]
+        member, centre = stars(part["fp"].to_numpy(np.int64).view(np.uint64), bits, mask, near)
         return pd.DataFrame({"fp": member.view(np.int64), "centre": centre.view(np.int64)})
 
-    found = stored(distinct.mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInPandas(search, "fp long, centre long"), "stars")
+    found = stored(distinct.mapInArrow(deal, "band int, shard int, fp long").groupBy("band", "shard").applyInPandas(search, "fp long, centre long"), "stars")
     first = stored(found.groupBy("fp").agg(F.min("centre").alias("first"), F.count("*").alias("n")), "stars")
     joins = found.join(first.where("n > 1"), "fp").select(F.col("centre").alias("u"), F.col("first").alias("v"))
     roots = stored(connected(joins), "roots")

@@ -44,9 +44,10 @@ def test_odd_documents(spark, rows):
     check(spark, rows)
 
 
-def test_whole_table(spark):
+@pytest.mark.parametrize(("bits", "bands"), [(6, 1), (9, 5), (11, 3)])
+def test_whole_table(spark, bits, bands):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    check(spark, [(r.doc_id, r.text) for r in d.collect()], bits=6, shard_rows=16)
+    check(spark, [(r.doc_id, r.text) for r in d.collect()], bits=bits, bands=bands, shard_rows=16)
 
 
 @pytest.mark.parametrize("bits", [0, 2, 6])
@@ -68,6 +69,22 @@ def test_every_close_pair_meets(bits):
     assert {v: got.get(v, v) for v in want} == want
 
 
+@pytest.mark.parametrize(("bits", "bands"), [(7, 4), (9, 5), (3, 4)])
+def test_bands_lose_no_close_pair(bits, bands):
+    rng = np.random.default_rng(bits)
+    x = rng.integers(0, 2**63, 600, dtype=np.uint64)[rng.integers(0, 600, 3000)]
+    for _ in range(bits // 2 + 1):
+        x ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+    x = np.unique(x)
+    whole = {v: c for v, c in zip(*(a.tolist() for a in S.stars(x, bits, leaf=10_000)), strict=True)}
+    best = {v: v for v in x.tolist()}
+    for mask in S.band_masks(bands):
+        for v, c in zip(*(a.tolist() for a in S.stars(x, bits, mask, bits // bands, leaf=32)), strict=True):
+            a, b = sorted((best[v], best[c]))
+            best = {k: a if r == b else r for k, r in best.items()} if a != b else best
+    assert {v: whole.get(v, v) for v in best} == best
+
+
 def test_connected_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5), (3, 4)]
     got = dict(map(tuple, S.connected(spark.createDataFrame(edges, "u long, v long")).collect()))
