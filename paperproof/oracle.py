@@ -83,3 +83,48 @@ ORACLE["field_accuracy"] = f"WITH RECURSIVE {EVALUATION} " + " UNION ALL ".join(
 _RATES = ", ".join(f"round(avg(CAST(c_{n} AS INT)), 9) AS {n}_{s}" for s in ("accuracy", "exact") for n in ("subtotal", "tax", "total", "currency"))
 ORACLE["evaluation_report"] = f"""WITH RECURSIVE {EVALUATION} SELECT count(*) AS documents, {_RATES}, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f1), 9) AS f1,
   round(avg(CAST(NOT arithmetic AS INT)), 9) AS arithmetic_consistency_rate, round(avg(CAST(NOT requires_review AS INT)), 9) AS coverage, round(avg(CAST(NOT fully_correct AS INT)) FILTER (WHERE NOT requires_review), 9) AS false_accept_rate FROM ef"""
+
+_DUE = "CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2))"
+ADAPT = BASE + """,
+ai AS (SELECT k, count(*) AS n_items, string_agg(descr, '|' ORDER BY i) AS names, sum(CAST(lt * 100 AS DOUBLE)) AS summed, sum(CAST(q AS DOUBLE)) AS quantities FROM gi GROUP BY k),
+ad AS (SELECT gd.*, ai.n_items, names, summed, quantities, 'cord-' || CASE k % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END || '-' || k AS document_id,
+  CASE k % 29 WHEN 3 THEN 'not_annotated' WHEN 5 THEN 'not_annotated' WHEN 6 THEN 'not_present' ELSE 'extracted' END AS subtotal_status,
+  CASE WHEN k % 29 = 3 THEN 'not_annotated' WHEN tax IS NULL THEN 'not_present' ELSE 'extracted' END AS tax_status, CASE k % 29 WHEN 8 THEN 'not_annotated' ELSE 'extracted' END AS total_status,
+  CASE k % 29 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'gt_parse not an object' WHEN 2 THEN 'menu[0].price not text' WHEN 7 THEN 'no document id' END AS error FROM gd JOIN ai USING (k))"""
+ORACLE["annotation_adapt"] = f"""WITH {ADAPT} SELECT k, document_id, n_items, names, summed, quantities, subtotal_status, CASE WHEN subtotal_status = 'extracted' THEN CAST(subtotal * 100 AS DOUBLE) END AS subtotal,
+  tax_status, CASE WHEN tax_status = 'extracted' THEN CAST(tax * 100 AS DOUBLE) END AS tax, total_status, CASE WHEN total_status = 'extracted' THEN CAST({_DUE} * 100 AS DOUBLE) END AS total FROM ad WHERE error IS NULL"""
+ORACLE["annotation_errors"] = f"WITH {ADAPT} SELECT k, error FROM ad WHERE error IS NOT NULL"
+ORACLE["profile_presence"] = f"""WITH {ADAPT}, v AS (SELECT * FROM ad WHERE k % 29 NOT IN (0, 1)), n AS (SELECT (SELECT count(*) FROM ad WHERE k % 29 <> 0) AS docs, (SELECT sum(n_items) FROM v) AS items),
+p AS (SELECT 'document_field_presence' AS section, 'line_items' AS key, count(*) AS n FROM v UNION ALL SELECT 'document_field_presence', 'subtotal', count(*) FROM v WHERE k % 29 <> 3
+  UNION ALL SELECT 'document_field_presence', 'tax', count(*) FROM v WHERE k % 29 <> 3 AND tax IS NOT NULL UNION ALL SELECT 'document_field_presence', 'total', count(*) FROM v
+  UNION ALL SELECT 'line_item_field_presence', unnest(['description', 'quantity', 'unit_price', 'line_total']), items FROM n)
+SELECT section, key, CAST(p.n AS BIGINT) AS n, round_even(p.n / CASE section WHEN 'document_field_presence' THEN docs ELSE items END, 4) AS rate FROM p, n"""
+ORACLE["profile_status"] = f"""WITH {ADAPT}, g AS (SELECT * FROM ad WHERE error IS NULL) SELECT key, subkey, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'subtotal' AS key, subtotal_status AS subkey, 1 AS n FROM g UNION ALL SELECT 'tax', tax_status, 1 FROM g
+  UNION ALL SELECT 'total', total_status, 1 FROM g UNION ALL SELECT 'currency', 'not_annotated', 1 FROM g UNION ALL SELECT unnest(['description', 'quantity', 'unit_price', 'line_total']), 'extracted', n_items FROM g) GROUP BY ALL"""
+ORACLE["profile_distribution"] = f"""WITH {ADAPT} SELECT min(n_items) AS min_items, max(n_items) AS max_items, CAST(quantile_disc(n_items, 0.95) AS BIGINT) AS p95_items, round_even(avg(n_items), 3) AS mean_items, median(n_items) AS median_items
+  FROM ad WHERE k % 29 NOT IN (0, 1)"""
+ORACLE["error_examples_top50"] = f"""WITH {ADAPT} SELECT k, CASE WHEN k % 29 = 7 THEN regexp_replace(document_id, '[0-9]+$', 'unknown') ELSE document_id END AS document_id, error FROM ad WHERE k % 29 IN (2, 7) ORDER BY k LIMIT 50"""
+
+LINES = BASE + """,
+tl AS (SELECT k, i AS idx, CASE WHEN i % 2 = 0 THEN descr || ' ' || CAST(q AS INT) || ' x ' || replace(CAST(u AS VARCHAR), '.', ',') || ' ' || replace(CAST(lt AS VARCHAR), '.', ',') ELSE descr || ' ' || replace(CAST(lt AS VARCHAR), '.', ',') END AS text FROM gi
+  UNION ALL SELECT k, 1000, 'Zwischensumme ' || replace(CAST(subtotal AS VARCHAR), '.', ',') FROM gd UNION ALL SELECT k, 1001, 'MwSt 19% ' || replace(CAST(tax AS VARCHAR), '.', ',') FROM gd WHERE tax IS NOT NULL
+  UNION ALL SELECT k, 1002, 'Gesamt ' || replace(CAST(CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) AS VARCHAR), '.', ',') FROM gd UNION ALL SELECT k, 1003, 'Gesamt 99,99' FROM gd WHERE k % 7 = 0
+  UNION ALL SELECT k, 1004, CASE k % 3 WHEN 0 THEN 'in EUR bezahlt' ELSE 'in € bezahlt' END FROM gd WHERE k % 3 < 2),
+ta AS (SELECT *, TRY_CAST(replace(regexp_extract(text, '(-?[0-9][0-9.,]*)$', 1), ',', '.') AS DOUBLE) AS amount FROM tl),
+tf AS (SELECT *, amount IS NOT NULL AND regexp_matches(lower(text), 'zwischensumme|subtotal|netto') AS s, amount IS NOT NULL AND regexp_matches(lower(text), 'mwst|ust|steuer|tax|vat') AS t,
+  amount IS NOT NULL AND regexp_matches(lower(text), 'gesamtbetrag|endbetrag|gesamt|total|zu zahlen') AS g FROM ta),
+f1 AS (SELECT k, min(idx) FILTER (WHERE s) AS si FROM tf GROUP BY k), f2 AS (SELECT tf.k, any_value(si) AS si, min(idx) FILTER (WHERE t AND idx IS DISTINCT FROM si) AS ti FROM tf JOIN f1 USING (k) GROUP BY tf.k),
+f3 AS (SELECT tf.k, any_value(si) AS si, any_value(ti) AS ti, min(idx) FILTER (WHERE g AND idx IS DISTINCT FROM si AND idx IS DISTINCT FROM ti) AS gi FROM tf JOIN f2 USING (k) GROUP BY tf.k),
+it AS (SELECT tf.k, row_number() OVER (PARTITION BY tf.k ORDER BY idx) - 1 AS idx, text, amount, regexp_extract(text, '^(.+?) ([0-9]+) x ([0-9,]+) ([0-9,]+)$', ['d', 'q', 'u', 't']) AS x FROM tf JOIN f3 USING (k)
+  WHERE amount IS NOT NULL AND idx IS DISTINCT FROM si AND idx IS DISTINCT FROM ti AND idx IS DISTINCT FROM gi)"""
+ORACLE["baseline_slots"] = f"""WITH {LINES} SELECT CAST(f3.k AS VARCHAR) AS document_id, a.amount AS subtotal, b.amount AS tax, c.amount AS total, (SELECT count(*) FROM it WHERE it.k = f3.k) AS n_items
+  FROM f3 LEFT JOIN tf a ON a.k = f3.k AND a.idx = si LEFT JOIN tf b ON b.k = f3.k AND b.idx = ti LEFT JOIN tf c ON c.k = f3.k AND c.idx = gi"""
+ORACLE["baseline_items"] = f"""WITH {LINES} SELECT CAST(k AS VARCHAR) AS document_id, idx, CASE WHEN x.q <> '' THEN x.d ELSE regexp_extract(text, '^(.+?) +[0-9,]+$', 1) END AS description,
+  TRY_CAST(x.q AS DOUBLE) AS quantity, TRY_CAST(replace(x.u, ',', '.') AS DOUBLE) AS unit_price, amount AS line_total FROM it"""
+ORACLE["currency_detect"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 3 < 2 THEN 'EUR' END AS currency, CASE k % 3 WHEN 0 THEN 'in EUR bezahlt' WHEN 1 THEN 'in € bezahlt' END AS raw_text FROM gd"
+ORACLE["ocr_lines"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, i AS line_idx, descr || ' ' || replace(CAST(lt AS VARCHAR), '.', ',') AS text, (90 + 80 + k % 10) / 2 AS confidence FROM gi"
+ORACLE["model_json_adapt"] = f"""WITH {ADAPT}, m AS (SELECT *, CASE k % 19 WHEN 0 THEN 'total.status unknown' WHEN 1 THEN 'invalid_json' WHEN 6 THEN 'line_items not a list' END AS e, k % 19 AS h FROM ad)
+SELECT CAST(k AS VARCHAR) AS document_id, e AS error, CASE WHEN e IS NULL THEN n_items END AS n_items, CASE WHEN e IS NULL THEN CASE WHEN tax IS NULL THEN 'not_present' ELSE 'extracted' END END AS tax_status, CASE WHEN e IS NULL THEN CAST(tax AS DOUBLE) END AS tax,
+  CASE WHEN e IS NULL THEN CASE h WHEN 4 THEN 'uncertain' WHEN 5 THEN 'unreadable' ELSE 'extracted' END END AS total_status, CASE WHEN e IS NULL AND h NOT IN (4, 5) THEN CAST({_DUE} AS DOUBLE) END AS total,
+  CASE WHEN e IS NULL THEN CASE h WHEN 3 THEN 'uncertain' ELSE 'extracted' END END AS currency_status, CASE WHEN e IS NULL AND h <> 3 THEN 'EUR' END AS currency FROM m"""
+ORACLE["receipt_faults"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency: not a code' AS fault FROM pd WHERE k % 5 = 0 AND currency IS NOT NULL"

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from paperproof.functions import numbers as N
 from paperproof.functions import text as X
+from paperproof.operators import annotation as A
 from paperproof.operators import evaluate as E
+from paperproof.operators import model_json as M
+from paperproof.operators import ocr_lines as L
+from paperproof.operators import profile as P
 from paperproof.operators import validate as V
 from paperproof.plans import receipts as R
+from paperproof.plans import schema as S
+from paperproof.plans import texts as T
 
 ALLOWED = ("EUR",)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +155,93 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = E.report(evaluations(spark, sf_dir))
     maps = [F.round(F.element_at(m, n), 9).alias(f"{n}_{short}") for m, short in (("field_accuracy", "accuracy"), ("field_exact_match_rate", "exact")) for n in E.DOCUMENT_FIELDS]
     return r.select("documents", *maps, *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "arithmetic_consistency_rate", "coverage", "false_accept_rate")])
+
+
+# --- adapters, profile, lines of text ---
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.annotations(R.order_documents(spark, sf_dir))
+
+
+def _flat(field: str) -> list:
+    return [F.col(f"{field}.status").alias(f"{field}_status"), F.col(f"{field}.value").cast("double").alias(field)]
+
+
+@query
+def annotation_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = A.adapt_annotations(annotated(spark, sf_dir)).where("error IS NULL")
+    summed = F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["line_total"]["value"].cast("double"))
+    names = F.array_join(F.transform("line_items", lambda x: x["description"]["value"]), "|")
+    quantities = F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["quantity"]["value"].cast("double"))
+    return a.select("k", "document_id", F.size("line_items").cast("bigint").alias("n_items"), names.alias("names"), summed.alias("summed"), quantities.alias("quantities"), *_flat("subtotal"), *_flat("tax"), *_flat("total"))
+
+
+@query
+def annotation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.adapt_annotations(annotated(spark, sf_dir)).where("error IS NOT NULL").select("k", "error")
+
+
+@query
+def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile_rows(annotated(spark, sf_dir))
+
+
+@query
+def profile_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile_rows(annotated(spark, sf_dir)).where(F.col("section").isin("document_field_presence", "line_item_field_presence")).select("section", "key", "n", "rate")
+
+
+@query
+def profile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile_rows(annotated(spark, sf_dir)).where(F.col("section").isin("document_field_statuses", "line_item_field_statuses")).select("key", "subkey", "n")
+
+
+@query
+def profile_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = P.items_per_document(annotated(spark, sf_dir))
+    return d.select(*[F.col(c).cast("bigint").alias(f"{c}_items") for c in ("min", "max", "p95")], F.col("mean").alias("mean_items"), F.col("median").alias("median_items"))
+
+
+@query
+def error_examples_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.error_examples(annotated(spark, sf_dir), "k").select("k", "document_id", "error")
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.extract_baseline(T.text_lines(R.order_documents(spark, sf_dir)))
+
+
+@query
+def baseline_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline(spark, sf_dir).select("document_id", *[F.col(f"{n}.value").cast("double").alias(n) for n in ("subtotal", "tax", "total")], F.size("line_items").cast("bigint").alias("n_items"))
+
+
+@query
+def baseline_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = baseline(spark, sf_dir).select("document_id", F.posexplode("line_items").alias("idx", "x"))
+    return i.select("document_id", F.col("idx").cast("bigint").alias("idx"), F.col("x.description.value").alias("description"), *[F.col(f"x.{n}.value").cast("double").alias(n) for n in ("quantity", "unit_price", "line_total")])
+
+
+@query
+def currency_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline(spark, sf_dir).select("document_id", F.col("currency.value").alias("currency"), F.col("currency.raw_text").alias("raw_text"))
+
+
+@query
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.lines_from_words(T.page_words(R.order_documents(spark, sf_dir)))
+    return found.select("document_id", F.col("line_idx").cast("bigint").alias("line_idx"), "text", "confidence")
+
+
+@query
+def model_json_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.adapt_model_json(T.model_answers(R.order_documents(spark, sf_dir)))
+    return m.select("document_id", "error", F.size("line_items").cast("bigint").alias("n_items"), *_flat("tax"), *_flat("total"), F.col("currency.status").alias("currency_status"), F.col("currency.value").alias("currency"))
+
+
+@query
+def receipt_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constraints of the format hold for whatever the operators make; predictions with a lower-case currency break one."""
+    broken = predicted(spark, sf_dir).withColumn("currency", F.col("currency").withField("value", F.when(F.col("document_id").cast("bigint") % 5 == 0, F.lower("currency.value")).otherwise(F.col("currency.value"))))
+    return broken.select("document_id", F.explode(S.faults()).alias("fault"))
