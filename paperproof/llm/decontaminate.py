@@ -114,7 +114,10 @@ class Block:
         w = plain_words(text)
         h = _gram_hashes(w, self.k)
         some = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        some = some[np.isin(h[some], self.seeds)]
+        if not len(some):
+            return []
+        at = np.searchsorted(self.seeds, h[some])
+        some = some[self.seeds[np.minimum(at, len(self.seeds) - 1)] == h[some]]
         if not len(some):
             return []
         in_item, in_text = defaultdict(set), defaultdict(set)
