@@ -6,6 +6,8 @@ Digits are ASCII ones. value_text is the number as a plain decimal with the digi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ PARSED = f"struct<value:{DECIMAL},value_text:string,error:string>"
 _PLAIN = r"^[-+]?0*[0-9]{1,12}(?:\.[0-9]{0,6}0*)?\z"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, with x computed once; within lambdas the optimizer doesn't see that a long expression is used again and again."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def _parsed(token: Column, plain: Column, absent: str, invalid: str, positive: bool = False) -> Column:
     """token is empty where there is no number; plain is it with a point and without grouping."""
     text = F.regexp_replace(F.regexp_replace(plain, r"^\+|\.\z", ""), r"^(-?)0+(?=[0-9])", "$1")
@@ -27,23 +34,26 @@ def _parsed(token: Column, plain: Column, absent: str, invalid: str, positive: b
 def parse_grouped_amount(raw: Column) -> Column:
     """The first number, all dots and commas of which are grouping: 12,500.00 is 1250000."""
     token = F.regexp_extract(raw, r"[-+]?[0-9][0-9.,]*", 0)
-    return _parsed(token, F.translate(token, ".,", ""), "no_numeric_amount", "invalid_amount")
+    return let(token, lambda t: let(F.translate(t, ".,", ""), lambda plain: _parsed(t, plain, "no_numeric_amount", "invalid_amount")))
 
 
 def parse_quantity(raw: Column) -> Column:
     """The first number with a decimal comma or point; zero and less are errors."""
     token = F.regexp_extract(raw, r"[-+]?[0-9]+(?:[.,][0-9]+)?", 0)
-    return _parsed(token, F.replace(token, F.lit(","), F.lit(".")), "no_numeric_quantity", "invalid_quantity", positive=True)
+    return let(token, lambda t: let(F.replace(t, F.lit(","), F.lit(".")), lambda plain: _parsed(t, plain, "no_numeric_quantity", "invalid_quantity", positive=True)))
 
 
 def parse_amount(raw: Column) -> Column:
     """The first number by European rules: with both separators the last is the decimal one; a lone comma is decimal; a dot groups
     if just three digits follow the last one, and is decimal otherwise."""
-    token = F.regexp_extract(raw, r"[-+]?[0-9][0-9.,]*", 0)
+    return let(F.regexp_extract(raw, r"[-+]?[0-9][0-9.,]*", 0), _european)
+
+
+def _european(token: Column) -> Column:
     comma, dot = F.locate(",", F.reverse(token)), F.locate(".", F.reverse(token))
     no_dots, no_commas = F.replace(token, F.lit("."), F.lit("")), F.replace(token, F.lit(","), F.lit(""))
     plain = F.when((comma > 0) & (dot > 0), F.when(comma < dot, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas)).when(comma > 0, F.replace(token, F.lit(","), F.lit("."))).when(dot == 4, no_dots).otherwise(token)
-    return _parsed(token, plain, "no_numeric_amount", "invalid_amount")
+    return let(plain, lambda p: _parsed(token, p, "no_numeric_amount", "invalid_amount"))
 
 
 def trailing_amount(line: Column) -> Column:

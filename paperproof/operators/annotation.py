@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperproof.functions import variant as J
-from paperproof.functions.numbers import parse_grouped_amount, parse_quantity
+from paperproof.functions.numbers import let, parse_grouped_amount, parse_quantity
 from paperproof.functions.text import document_id, is_missing, joined_raw, normalize_text
 from paperproof.plans.schema import EXTRACTED, LINE_ITEM, NOT_ANNOTATED, NOT_PRESENT, SCHEMA_VERSION, dec_field, text_field
 
@@ -23,13 +23,15 @@ def _text(v: Column) -> Column:
 
 def _number(v: Column, parse, skip_percent: bool) -> Column:
     """The one value that all readable pieces agree on; none, or several, is not_annotated."""
-    values = J.texts(v)
-    said = F.filter(values, lambda x: ~is_missing(x))
-    read = F.filter(F.transform(F.filter(said, lambda x: ~x.contains("%")) if skip_percent else said, parse), lambda p: p["error"].isNull())
-    one = F.size(F.array_distinct(F.transform(read, lambda p: p["value"]))) == 1
-    first = F.get(read, F.lit(0))
-    raw = joined_raw(values)
-    return F.when(J.absent(v), dec_field(NOT_PRESENT)).when(F.size(said) == 0, dec_field(NOT_PRESENT, raw=raw)).when(one, dec_field(EXTRACTED, first["value"], first["value_text"], raw)).otherwise(dec_field(NOT_ANNOTATED, raw=raw))
+
+    def field(x: Column) -> Column:
+        read, raw = x["read"], joined_raw(x["values"])
+        one, first = F.size(F.array_distinct(F.transform(read, lambda p: p["value"]))) == 1, F.get(read, F.lit(0))
+        return F.when(F.size(x["said"]) == 0, dec_field(NOT_PRESENT, raw=raw)).when(one, dec_field(EXTRACTED, first["value"], first["value_text"], raw)).otherwise(dec_field(NOT_ANNOTATED, raw=raw))
+
+    readable = lambda said: F.filter(F.transform(F.filter(said, lambda x: ~x.contains("%")) if skip_percent else said, parse), lambda p: p["error"].isNull())
+    told = lambda values: let(F.filter(values, lambda x: ~is_missing(x)), lambda said: let(F.struct(values.alias("values"), said.alias("said"), readable(said).alias("read")), field))
+    return F.when(J.absent(v), dec_field(NOT_PRESENT)).otherwise(let(J.texts(v), told))
 
 
 def money(v: Column) -> Column:

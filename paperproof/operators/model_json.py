@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperproof.functions import variant as J
-from paperproof.functions.numbers import parse_amount, parse_quantity
+from paperproof.functions.numbers import let, parse_amount, parse_quantity
 from paperproof.functions.text import WS, is_currency, normalize_text
 from paperproof.plans.schema import DOCUMENT_FIELDS, EXTRACTED, ITEM_FIELDS, LINE_ITEM, NOT_PRESENT, SCHEMA_VERSION, UNCERTAIN, UNREADABLE, dec_field, text_field
 
@@ -20,9 +20,13 @@ def _said(v: Column) -> tuple[Column, Column, Column]:
 
 
 def _number(v: Column, parse) -> Column:
-    status, raw, none = _said(v)
-    p = parse(raw)
-    return F.when(none, dec_field(status)).when(raw.isNull(), dec_field(UNCERTAIN)).when(p["error"].isNotNull(), dec_field(UNCERTAIN, raw=raw)).otherwise(dec_field(status, p["value"], p["value_text"], raw))
+    status, said, none = _said(v)
+
+    def field(x: Column) -> Column:
+        status, raw, p = x["status"], x["raw"], x["p"]
+        return F.when(x["none"], dec_field(status)).when(raw.isNull(), dec_field(UNCERTAIN)).when(p["error"].isNotNull(), dec_field(UNCERTAIN, raw=raw)).otherwise(dec_field(status, p["value"], p["value_text"], raw))
+
+    return let(said, lambda raw: let(F.struct(status.alias("status"), none.alias("none"), raw.alias("raw"), parse(raw).alias("p")), field))
 
 
 def _text(v: Column) -> Column:
