@@ -24,14 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from paperproof.llm.common import slices, stored, words
 
 CHUNK = 1 << 16
 
 
-def _digests(w: list[bytes], k: int) -> Iterator[bytes]:
+def digests(w: list[bytes], k: int) -> Iterator[bytes]:
     grams = map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else [b" ".join(w)] if w else []
     return map(xxhash.xxh64_digest, grams, repeat(42))
 
@@ -56,7 +55,7 @@ def simhash(texts: list[str], k: int = 3, whole_below: int = 0) -> np.ndarray:
 
     for i, text in enumerate(texts):
         w = words(text)
-        each = _digests(w, max(k, len(w)) if len(w) < whole_below else k)
+        each = digests(w, max(k, len(w)) if len(w) < whole_below else k)
         while part := list(islice(each, CHUNK)):
             n[i] += len(part)
             rows.append(i)
@@ -253,13 +252,3 @@ def simhash_groups(docs: DataFrame, *, k: int = 3, whole_below: int = 0, **setti
     fps = stored(fingerprints(docs, k=k, whole_below=whole_below), "simhash")
     each = components(fps, **settings)
     return fps.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("keeper.doc_id").alias("component_id"))
-
-
-def without_near_copies(docs: DataFrame, *, k: int = 5, whole_below: int = 24, **settings) -> DataFrame:
-    """docs with one row of each group: the one with the least doc_id (then text hash). Null ids come last."""
-    fps = stored(fingerprints(docs, k=k, whole_below=whole_below), "simhash")
-    keepers = components(fps, **settings).select(F.col("keeper.doc_id").alias("kept_id"), F.col("keeper.text_hash").alias("kept_hash")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    kept = rows.join(keepers, rows["id"].eqNullSafe(keepers["kept_id"]) & (rows["hash"] == keepers["kept_hash"]), "left_semi")
-    first = F.row_number().over(W.partitionBy("id", "hash").orderBy(F.lit(0)))
-    return kept.withColumn("nth", first).where("nth = 1").select("doc.*")

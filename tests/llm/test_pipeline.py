@@ -1,8 +1,8 @@
 import __spark_entry__
 import corpus_pipeline as C
-from paperproof.llm import decontaminate, quality, simhash
+from paperproof.llm import decontaminate, quality
 
-from .test_simhash import brute_fp, brute_groups
+from .test_near import brute_kept
 from .test_tokens import brute as brute_tokens
 from .cases import ODD, docs
 
@@ -23,10 +23,7 @@ def test_every_stage_against_a_plain_version(spark):
             score = {r.doc_id: r.predicted for r in quality.quality_scores(d, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
             want = [k for k in before if score[k]]
         elif name == "near_dedup":
-            n = {k: len(simhash.words(rows[k].text)) for k in before}
-            fps = [brute_fp(rows[k].text, max(5, n[k]) if n[k] < 24 else 5) for k in before]
-            comp = brute_groups(before, fps, C.NEAR_BITS)
-            want = sorted(set(comp.values()))
+            want = brute_kept([(k, rows[k].text) for k in before], C.NEAR_BITS)
         elif name == "decontaminate":
             bad = {r.doc_id for r in decontaminate.contaminated(d, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
             want = [k for k in before if k not in bad]

@@ -89,11 +89,3 @@ def test_connected_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5), (3, 4)]
     got = dict(map(tuple, S.connected(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {i: 0 for i in range(61)} | {k: 1000 for k in range(1000, 1200)}
-
-
-def test_one_row_of_each_group_stays(spark):
-    rows = [*ODD, (20, "One two three four five six seven."), (21, "  one TWO three four five six seven.")]
-    left = S.without_near_copies(docs(spark, rows))
-    assert left.columns == docs(spark, []).columns
-    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([1, 4, 5, 6, 7, None], key=str)
-    assert S.without_near_copies(docs(spark, [])).count() == 0
