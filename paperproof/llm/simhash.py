@@ -21,6 +21,7 @@ from itertools import islice, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +74,7 @@ def fingerprints(docs: DataFrame, *, k: int = 3, whole_below: int = 0) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].to_pylist()
-            parts = [simhash(texts[p:q], k, whole_below) for p, q in slices([len(t) for t in texts], 4 << 20)]
+            parts = [simhash(b["text"][p:q].to_pylist(), k, whole_below) for p, q in slices(pc.binary_length(b["text"]).to_pylist(), 4 << 20)]
             yield pa.record_batch([b["doc_id"], b["text_hash"], pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     text = F.coalesce("text", F.lit(""))

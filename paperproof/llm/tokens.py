@@ -179,9 +179,8 @@ def write_tokens(
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for b in batches:
-            texts = b["text"].to_pylist()
-            for p, q in slices([len(t) for t in texts], 4 << 20):
-                ids, n = encoder(tokenizer)(texts[p:q])
+            for p, q in slices(pc.binary_length(b["text"]).to_pylist(), 4 << 20):
+                ids, n = encoder(tokenizer)(b["text"][p:q].to_pylist())
                 at = 0
                 for doc_id, k in zip(b["doc_id"].slice(p, q - p).to_pylist(), n.tolist(), strict=True):
                     frame = pack.compress(np.append(ids[at : at + k], end_id).astype(f"<u{width}").tobytes())
