@@ -48,6 +48,11 @@ TEMPLATES = (
     ("proprietary", "Copyright. All rights reserved. No part of this publication may be reproduced or distributed without the prior written permission of the publisher"),
 )
 
+# Words that tell templates of one wording apart; a template asks for its own in full. Of a family's templates that one
+# block meets, one with more of them covers one with fewer.
+DISTINCT = ("lesser", "affero", "sharealike", "noncommercial", "noderivatives", "nc", "nd", "sa", "2", "3")
+FAMILIES = {"gpl-2": "gnu", "gpl-3": "gnu", "lgpl-3": "gnu", "agpl-3": "gnu", "cc-by": "cc", "cc-by-sa": "cc", "cc-by-nc": "cc", "cc-by-nd": "cc"}
+
 
 def phrase_places(w: list[bytes], phrases: list[list[bytes]]) -> list[list[int]]:
     """For each phrase the word positions where it starts; every place counts."""
@@ -131,19 +136,33 @@ def template_matches(held: DataFrame, order: DataFrame) -> DataFrame:
     return counted.where(overlap >= F.col("need")).select("row", "block", "template", "label", (overlap / F.col("size")).alias("containment"))
 
 
-def license_scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
+def told_apart(met: DataFrame, held: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """Those of met that hold their template's distinguishing words in full and that no other of their family in the block covers."""
+    own = [(n, FAMILIES.get(label, label), [x for x in DISTINCT if x.encode() in plain_words(text)]) for n, (label, text) in enumerate(templates)]
+    marks = F.broadcast(met.sparkSession.createDataFrame(own, "template int, family string, own array<string>"))  # a row per fixed template
+    whole = met.join(marks, "template").join(held, ["row", "block"]).where(F.size(F.array_except("own", "words")) == 0).drop("words")
+    others = whole.groupBy("row", "block").agg(F.collect_set(F.struct("family", "own")).alias("others"))
+    covers = lambda x: (x["family"] == F.col("family")) & (F.size(x["own"]) > F.size("own")) & (F.size(F.array_except("own", x["own"])) == 0)
+    return whole.join(others, ["row", "block"]).where(~F.exists("others", covers)).select("row", "block", "template", "label", "containment")
+
+
+def license_scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.9, apart: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs(doc_id, text, ...).
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased; a null text has none. n_base counts
     the places of all phrases, first_word and last_word are the least and greatest of their starts (null without any).
     labels are those of the phrases and of the templates that a line of the text contains; '' if there are none. score is
     1 with a phrase, otherwise the largest containment at the threshold or above, otherwise 0. Repeated rows are scanned each.
+    With apart, templates of nearly the same words are told apart (see told_apart); without, each one that meets the threshold counts.
     """
     spark = docs.sparkSession
     scan = stored(blocks(docs, phrases, templates, threshold), "licenses")
     counts = scan.where("kind = 'w'").groupBy(F.element_at("words", 1).alias("word")).agg(F.sum("n").alias("n"))
     order = stored(template_words(spark, counts, templates, threshold), "templates")
-    met = template_matches(scan.where("kind = 'b'").select("row", "block", "words"), order)
+    held = scan.where("kind = 'b'").select("row", "block", "words")
+    met = template_matches(held, order)
+    if apart:
+        met = told_apart(met, held, templates)
     met = stored(met.groupBy("row").agg(F.collect_set("label").alias("met"), F.max("containment").alias("containment")), "license-matches")
     starts = F.flatten("starts")
     base = F.filter(F.array(*[F.when(F.size(F.get("starts", k)) > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]), lambda x: x.isNotNull()) if phrases else F.array().cast("array<string>")

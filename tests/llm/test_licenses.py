@@ -61,3 +61,9 @@ def test_join_is_exact(spark, threshold):
     got = {(r.doc_id, r.label) for r in L.license_spans(docs(spark, rows), templates=templates, threshold=threshold).collect()}
     want = {(i, label) for i, t in rows for label, x in templates if len(set(x.split()) & set(t.split())) >= threshold * len(set(x.split())) - 1e-9}
     assert got == want
+
+
+def test_each_template_has_its_own_label_alone(spark):
+    said = [(200 + i, label, text) for i, (label, text) in enumerate([*L.TEMPLATES, ("agpl-3", "This work is licensed under the GNU Affero General Public License, version 3."), ("gpl-3,lgpl-3", L.TEMPLATES[4][1] + "\n" + L.TEMPLATES[7][1])])]
+    got = {r.doc_id: r.labels for r in L.license_scan(docs(spark, [(i, text) for i, _, text in said]), apart=True).collect()}
+    assert got == {i: label for i, label, _ in said}
