@@ -1,6 +1,6 @@
 """License scans: an exact set-similarity join of text blocks with license templates, beside fixed phrases.
 
-A block (a line of a text) meets a template if it holds at least the share ``threshold`` of the template's distinct words.
+A block (a line of a text, or a run of lines that may hold a wrapped notice) meets a template if it holds at least the share ``threshold`` of the template's distinct words.
 Template words are ordered by their frequency over all documents, rarest first. A block that misses more than the
 allowed words of a template still holds one of its prefix, the rarest few, so only blocks that share a prefix word are
 candidates; then the length filter (too few template words in the block) and the positional filter (too few words left
@@ -46,6 +46,7 @@ TEMPLATES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal public domain dedication"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "Copyright. All rights reserved. No part of this publication may be reproduced or distributed without the prior written permission of the publisher"),
+    ("proprietary", "All rights reserved"),
 )
 
 # Words that tell templates of one wording apart; a template asks for its own in full. Of a family's templates that one
@@ -71,12 +72,41 @@ def phrase_places(w: list[bytes], phrases: list[list[bytes]]) -> list[list[int]]
     return out
 
 
-def blocks(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
-    """One pass over the texts. Rows of three kinds: of each document (kind 'd': key and phrase findings), of each block that
+def line_runs(lines: list[list[bytes]], sets: list[tuple[frozenset, int, int]]) -> Iterator[frozenset]:
+    """Template and distinguishing words of the shortest run of two lines or more with enough of them, for each of the templates' (words, need,
+    length) and each first line that has such a run. A template's distinguishing words are all asked for.
+
+    A run may hold any words in its first and last line, and fewer than length words between them: a notice of that length that is
+    wrapped over lines is in one whole."""
+    marks = frozenset(x.encode() for x in DISTINCT)
+    whole = frozenset().union(*lines)
+    for all_words, need, length in sets:
+        if len(all_words & whole) < need:
+            continue
+        own = all_words & marks
+        for i, line in enumerate(lines):
+            got = all_words.intersection(line)
+            if not got or (len(got) >= need and own <= got):
+                continue
+            between = 0
+            for j in range(i + 1, len(lines)):
+                later = lines[j]
+                got |= all_words.intersection(later)
+                if len(got) >= need and own <= got:
+                    yield got | marks & frozenset().union(*lines[i : j + 1])
+                    break
+                between += len(later)
+                if between >= length:
+                    break
+
+
+def blocks(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.9, wrapped: bool = False) -> DataFrame:
+    """One pass over the texts. With wrapped, runs of lines are blocks too, numbered after the lines. Rows of three kinds: of each document (kind 'd': key and phrase findings), of each block that
     holds enough template words for the easiest template (kind 'b': the words), and of word counts (kind 'w')."""
     split = [p.encode().split() for p, _ in phrases]
     vocabulary = frozenset(x for _, t in templates for x in plain_words(t))
     least = min((ceil(threshold * len(set(plain_words(t))) - 1e-9) for _, t in templates), default=1 << 30)
+    sets = [(frozenset(x), max(1, ceil(threshold * len(set(x)) - 1e-9)), len(x)) for _, t in templates if (x := plain_words(t))]
     schema = pa.schema([("kind", pa.string()), ("row", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.list_(pa.int64()))), ("block", pa.int32()), ("words", pa.list_(pa.string())), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +125,12 @@ def blocks(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: flo
                         starts[k] = found
                     n = len(w)
                     rows.append(("d", row, doc_id, n, starts, None, None, None))
-                    for i, line in enumerate((text or "").split("\n")):
-                        held = vocabulary.intersection(plain_words(line))
+                    lines = [plain_words(line) for line in (text or "").split("\n")]
+                    if wrapped:
+                        for i, held in enumerate(line_runs(lines, sets), len(lines)):
+                            rows.append(("b", row, doc_id, None, None, i, sorted(x.decode() for x in held), None))
+                    for i, line in enumerate(lines):
+                        held = vocabulary.intersection(line)
                         counts.update(held)
                         if len(held) >= least:
                             rows.append(("b", row, doc_id, None, None, i, sorted(x.decode() for x in held), None))
@@ -146,7 +180,7 @@ def told_apart(met: DataFrame, held: DataFrame, templates=TEMPLATES) -> DataFram
     return whole.join(others, ["row", "block"]).where(~F.exists("others", covers)).select("row", "block", "template", "label", "containment")
 
 
-def license_scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.9, apart: bool = False) -> DataFrame:
+def license_scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.9, apart: bool = False, wrapped: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs(doc_id, text, ...).
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased; a null text has none. n_base counts
@@ -154,9 +188,10 @@ def license_scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, thres
     labels are those of the phrases and of the templates that a line of the text contains; '' if there are none. score is
     1 with a phrase, otherwise the largest containment at the threshold or above, otherwise 0. Repeated rows are scanned each.
     With apart, templates of nearly the same words are told apart (see told_apart); without, each one that meets the threshold counts.
+    With wrapped, notices over several lines are found too.
     """
     spark = docs.sparkSession
-    scan = stored(blocks(docs, phrases, templates, threshold), "licenses")
+    scan = stored(blocks(docs, phrases, templates, threshold, wrapped), "licenses")
     counts = scan.where("kind = 'w'").groupBy(F.element_at("words", 1).alias("word")).agg(F.sum("n").alias("n"))
     order = stored(template_words(spark, counts, templates, threshold), "templates")
     held = scan.where("kind = 'b'").select("row", "block", "words")

@@ -63,7 +63,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperproof.llm.licenses import license_scan
 
-    return license_scan(documents(spark, sf_dir), threshold=0.9, apart=True)
+    return license_scan(documents(spark, sf_dir), threshold=0.9, apart=True, wrapped=True)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

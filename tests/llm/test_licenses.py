@@ -67,3 +67,14 @@ def test_each_template_has_its_own_label_alone(spark):
     said = [(200 + i, label, text) for i, (label, text) in enumerate([*L.TEMPLATES, ("agpl-3", "This work is licensed under the GNU Affero General Public License, version 3."), ("gpl-3,lgpl-3", L.TEMPLATES[4][1] + "\n" + L.TEMPLATES[7][1])])]
     got = {r.doc_id: r.labels for r in L.license_scan(docs(spark, [(i, text) for i, _, text in said]), apart=True).collect()}
     assert got == {i: label for i, label, _ in said}
+
+
+def test_wrapped_notices(spark):
+    rows = []
+    for n, (label, text) in enumerate(L.TEMPLATES):
+        w = text.split()
+        for width in (3, 7, 12):
+            rows.append((1000 * n + width, "some prose before\n" + "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width)) + "\nand after it", label))
+    rows.append((99_000, "Some book. All rights reserved.\nMore prose.", "proprietary"))
+    got = {r.doc_id: r.labels for r in L.license_scan(docs(spark, [r[:2] for r in rows]), apart=True, wrapped=True).collect()}
+    assert got == {i: label for i, _, label in rows}
