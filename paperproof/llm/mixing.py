@@ -3,8 +3,8 @@
 Within a source, documents stand in order of size, and each has the same expected number of copies: the source's target
 over its size. A random offset is added once to the running sum of these, and a document is emitted once for each
 integer that the sum crosses in it. As the order is by size, the words taken differ from the target by about one
-document's. The running sum is a rank times a rate; ranks come from one range shuffle, in which a source that holds a
-third of all rows spans a third of the partitions, and from the row counts of the partitions.
+document's. The running sum is a rank times a rate; ranks come from one range shuffle of ids and sizes, in which a source that
+holds a third of all rows spans a third of the partitions, and from the row counts of the partitions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paperproof.llm.common import stored
+from paperproof.llm.common import dropped, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,35 +43,48 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.col("level")).alias("target"), u.alias("u"))
 
 
-def mix_plan(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
-    """For each row of docs(doc_id, text, source, ...): doc (the whole row), size, source_size, target, copies.
-
-    size is the number of words [^\\x20\\x09-\\x0D]+, 0 for a null text. A null source is a source. Rows that tie in size
-    stand by doc_id and text; equal rows are interchangeable. A source of size 0 has target 0 and copies 0. No document
-    has more than most copies. Further columns of docs are only carried along. Reruns give the same copies.
-    """
-    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("source"), (n_words("text") if size is None else size).alias("size"), F.col("doc_id").alias("id"), tie.alias("tie"))
+def copies_of(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of sized(source, size, id, tie, ...) with source_size, target and copies. Rows stand in the order of these four columns."""
     by = ["source", "size", "id", "tie"]
-    ordered = keyed.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()).drop("id", "tie")
-    ordered = stored(ordered, "mix-order").withColumn("part", F.shiftright("at", 33))
-    runs = ordered.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.sum("size").alias("words"))
-    runs = stored(runs, "mix-runs")
+    ordered = stored(sized.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), "mix-order").withColumn("part", F.shiftright("at", 33))
+    runs = stored(ordered.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.sum("size").alias("words")), "mix-runs")
     start = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     aims = targets(runs.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most, seed)
     runs = runs.withColumn("start", start)
     aims = stored(runs.join(aims, runs["source"].eqNullSafe(aims["source"])).select(runs["source"], "part", "first_at", "start", "source_size", "target", "u"), "mix-aims")
-    both = ordered.join(aims, ordered["source"].eqNullSafe(aims["source"]) & (ordered["part"] == aims["part"]))
+    both = ordered.join(aims, ordered["source"].eqNullSafe(aims["source"]) & (ordered["part"] == aims["part"])).drop(aims["source"])
     rank = (F.col("start") + F.col("at") - F.col("first_at")).cast("double")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor((rank + 1) * rate + F.col("u")) - F.floor(rank * rate + F.col("u"))
-    return both.select("doc", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return both.withColumn("copies", copies.cast("long"))
+
+
+def mix_plan(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for each row of docs(doc_id, text, source, ...).
+
+    size is the number of words [^\\x20\\x09-\\x0D]+, 0 for a null text. A null source is a source. Rows that tie in size
+    stand by doc_id and text; equal rows are interchangeable. A source of size 0 has target 0 and copies 0. No document
+    has more than most copies. Further columns of docs aren't read. Reruns give the same copies. Texts are read once and never moved.
+    """
+    sized = stored(docs.select("source", n_words("text").alias("size"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie")), "mix-sizes")
+    return copies_of(sized, **settings).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """docs with each row as often as mix_plan says."""
-    plan = mix_plan(docs, **settings).where(F.col("copies") > 0)
-    return plan.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc.*")
+    """docs with each row as often as mix_plan says, columns as they are. The plan is made of ids and sizes; texts meet it by one join.
+
+    Equal rows (by doc_id, source and text) share their copies evenly, a remainder going to any of them."""
+    key = F.struct(F.col("source"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))  # a struct equals another with the same nulls
+    docs = docs.select(F.struct("*").alias("doc"), key.alias("key"))
+    sized = stored(docs.select("key.*", n_words("doc.text").alias("size")), "mix-sizes")
+    plan = copies_of(sized, **settings).groupBy(F.struct("source", "id", "tie").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    plan = stored(plan.where("copies > 0"), "mix-plan")
+    dropped(sized)
+    met = docs.join(plan, "key")
+    nth = F.row_number().over(W.partitionBy("key").orderBy(F.lit(0)))
+    share = lambda k: F.floor(k * F.col("copies") / F.col("rows"))
+    met = met.withColumn("nth", nth).withColumn("own", (share(F.col("nth")) - share(F.col("nth") - 1)).cast("int")).where("own > 0")
+    return met.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("own")))).select("doc.*")
 
 
 ORACLE = r"""

@@ -29,11 +29,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from paperproof.llm.mixing import mix_plan, n_words
+    from paperproof.llm.mixing import mix_plan
 
-    sized = documents(spark, sf_dir).select("doc_id", "source", n_words("text").alias("words"))
-    plan = mix_plan(sized, size=F.col("words"))
-    return plan.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    plan = mix_plan(documents(spark, sf_dir))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperproof.llm.common import slices, stored, words
+from paperproof.llm.common import dropped, slices, stored, words
 
 CHUNK = 1 << 16
 
@@ -180,56 +180,94 @@ def stars(fps: np.ndarray, bits: int, mask: np.uint64 | None = None, near: int |
     return fps[many], fps[roots[many]]
 
 
+def neighbours(fps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, positions after i of those within bits of it) for each of fps, in order of distance from a vantage point: by the
+    triangle bound only those whose distances from it differ by at most bits are looked at. Positions are those of fps."""
+    away = np.bitwise_count(fps ^ fps[0]).astype(np.int16) if len(fps) else np.zeros(0, np.int16)
+    order = np.argsort(away, kind="stable")
+    x, away = fps[order], away[order]
+    stop = np.searchsorted(away, away + bits, side="right")
+    for i in range(len(x)):
+        later = np.arange(i + 1, stop[i])
+        yield int(order[i]), order[later[np.bitwise_count(x[later] ^ x[i]) <= bits]]
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(u, v): root is the least node of its component. Alternates large and small stars.
 
-    Self-loops and repeated edges may occur. Each round is written to the shared folder; the driver sees two sums of it.
+    Self-loops and repeated edges may occur. Each half round is written to the shared folder; the driver sees a count and a sum of it.
     """
+    size = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
     e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(), "edges")
-    seen = None
+    seen = size(e)
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")), "stars").select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
-        least = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "stars")
-        small = large.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = stored(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
+        dropped(e)
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").select(F.when(F.col("lo") > F.col("m"), F.col("lo")).otherwise(F.col("hi")).alias("hi"), F.col("m").alias("lo"))
+        e = stored(small.distinct(), "edges")
+        dropped(large)
+        now = size(e)
         if now == seen:
             roots = e.select(F.col("lo").alias("node")).distinct()
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
         seen = now
 
 
-def groups(fps: DataFrame, *, bits: int = 2, bands: int = 1, shard_rows: int = 2048, sample_rows: int = 65_536) -> DataFrame:
+def groups(fps: DataFrame, *, bits: int = 2, bands: int = 1, shard_rows: int = 2048, sample_rows: int = 65_536, block_rows: int = 131_072) -> DataFrame:
     """(fp, root) for each distinct fp of fps(fp, ...) with a neighbour within bits: root is the same through a whole component.
 
     The trees of shards, one for each band, are fitted on at most sample_rows fingerprints; every fingerprint then goes through
-    them. With more fingerprints than sample_rows / 16 shards of shard_rows hold, shards grow, and their own trees with them.
+    them. A shard of more than block_rows fingerprints is cut into blocks of about that many, and each pair of its blocks is a
+    task, so no task holds more than two blocks however many fingerprints crowd into a shard.
     """
-    spark = fps.sparkSession
     distinct = stored(fps.select("fp").distinct(), "fingerprints")
     n = distinct.count()
     sample = distinct.orderBy(F.xxhash64("fp", F.lit(1))).limit(min(sample_rows, n // 4 + 1024)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     masks, near = band_masks(bands), bits // bands
     trees = [build(sample & m, min(n // shard_rows + 1, max(1, len(sample) // 16)), near) for m in masks]
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b["fp"].to_numpy().view(np.uint64)
+            rows = [(k, shard, len(at)) for k, (mask, nodes) in enumerate(zip(masks, trees, strict=True)) for shard, at in route(x & mask, nodes, near)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["band", "shard", "n"]) if rows else pa.record_batch({"band": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+
+    cut: dict[tuple[int, int], int] = {}
+    if n > block_rows:  # a row per leaf of the trees at most, whose number sample_rows bounds
+        large = distinct.mapInArrow(counted, "band int, shard int, n long").groupBy("band", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > block_rows).collect()
+        cut = {(r.band, r.shard): -(-r["n"] // block_rows) for r in large}
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some(k: int, shard: int, first: int, second: int, x: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([*(pa.array(np.full(len(x), v, np.int32)) for v in (k, shard, first, second)), pa.array(x.view(np.int64))], names=["band", "shard", "first", "second", "fp"])
+
         for b in batches:
             x = b["fp"].to_numpy().view(np.uint64)
             for k, (mask, nodes) in enumerate(zip(masks, trees, strict=True)):
                 for shard, rows in route(x & mask, nodes, near):
-                    yield pa.record_batch([pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), shard, np.int32)), pa.array(x[rows].view(np.int64))], names=["band", "shard", "fp"])
+                    n_blocks = cut.get((k, shard), 1)
+                    if n_blocks == 1:
+                        yield some(k, shard, 0, 0, x[rows])
+                        continue
+                    block = ((x[rows] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n_blocks)
+                    for i in range(n_blocks):
+                        for j in (*range(i), *range(i + 1, n_blocks)):
+                            yield some(k, shard, min(i, j), max(i, j), x[rows][block == i])
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         mask = masks[int(part["band"].iloc[0])]
         member, centre = stars(part["fp"].to_numpy(np.int64).view(np.uint64), bits, mask, near)
         return pd.DataFrame({"fp": member.view(np.int64), "centre": centre.view(np.int64)})
 
-    found = stored(distinct.mapInArrow(deal, "band int, shard int, fp long").groupBy("band", "shard").applyInPandas(search, "fp long, centre long"), "stars")
+    dealt = distinct.mapInArrow(deal, "band int, shard int, first int, second int, fp long")
+    found = stored(dealt.groupBy("band", "shard", "first", "second").applyInPandas(search, "fp long, centre long"), "stars")
     first = stored(found.groupBy("fp").agg(F.min("centre").alias("first"), F.count("*").alias("n")), "stars")
     joins = found.join(first.where("n > 1"), "fp").select(F.col("centre").alias("u"), F.col("first").alias("v"))
     roots = stored(connected(joins), "roots")
+    dropped(distinct, found)
     return first.join(roots, first["first"] == roots["node"], "left").select("fp", F.coalesce("root", "first").alias("root"))
 
 
@@ -239,7 +277,9 @@ def components(fps: DataFrame, **settings) -> DataFrame:
     linked = stored(groups(fps, **settings), "groups")
     each = stored(least.join(linked, "fp", "left").select("fp", "least", F.col("root").isNotNull().alias("many"), F.coalesce("root", "fp").alias("root")), "least")
     tops = stored(each.where("many").groupBy("root").agg(F.min("least").alias("top")), "tops")
-    return stored(each.join(tops, "root", "left").select("fp", F.coalesce("top", "least").alias("keeper")), "components")
+    out = stored(each.join(tops, "root", "left").select("fp", F.coalesce("top", "least").alias("keeper")), "components")
+    dropped(linked, each, tops)
+    return out
 
 
 def simhash_groups(docs: DataFrame, *, k: int = 3, whole_below: int = 0, **settings) -> DataFrame:
