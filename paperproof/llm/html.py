@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperproof.llm.common import slices
+from paperproof.llm.common import parts
 
 # Names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,44 +26,59 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 OUT = frozenset("head nav aside footer form script style noscript iframe template textarea title button select input svg canvas object audio video dialog menu map label datalist".split())
 KNOWN = VOID | RAW | BLOCK | OUT | frozenset("a abbr b cite code em i mark q s small span strong sub sup td th time u".split())
-# Words of class, id and role values that name what isn't the text.
+# Classes, ids and roles that name adverts, share bars and reader comments wherever they stand.
+_NEVER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments comment-list comments-area comment-respond disqus disqus_thread respond replies share sharing share-bar social-share".split())
+# Words of class, id and role values that name what isn't the text, where no article holds it.
 _OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted sidebar side rail widget menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login share sharing social related recommended pagination pager skip toolbar search contentinfo complementary".split())
-_NEVER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus respond replies reply related recommended".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+# An attribute's quotes follow its =; a tag that isn't closed ends before the next one. No part of a page is tried twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|(?=<)|\Z)|<(?:[!?]|/(?![A-Za-z]))[^>]*+(?:>|\Z)|[^<]++|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.IGNORECASE)
 
 
-def _outside(name: str, attributes: str, in_text: bool) -> int:
+def classes(attributes: str) -> set[str]:
+    """The words of class, id and role, lower-cased."""
+    return {x for _, v in _ATTRIBUTE.findall(attributes) for x in v.strip("\"'").lower().split()}
+
+
+def _outside(name: str, attributes: str, in_text: bool, learned: frozenset[str]) -> int:
     """2 if an element holds what isn't the text, 1 if so unless the article begins in it, 0 if not.
 
-    A page's header isn't text; an article's own is. Comments and adverts stay out even if each is marked as an article.
-    """
+    A page's header isn't text; an article's own is. Comments and adverts stay out even if each is marked as an article. Within
+    an article only tags, names of adverts, share bars and comments, and what labelled pages have outside their articles alone count."""
     if name in OUT and name != "form":
         return 2
     if attributes and name not in ("html", "body", "main", "article"):
         if _HIDDEN.search(attributes):
             return 2
-        found = {x for _, v in _ATTRIBUTE.findall(attributes) for x in _SPLIT.split(v.strip("\"'").lower())}
-        if found & _OUT_WORDS:
-            return 2 if found & _NEVER else 1
-        if "header" in found and not in_text:
+        found = classes(attributes)
+        if found & _NEVER:
+            return 2
+        if found & learned:
+            return 1
+        if not in_text and ({x for c in found for x in _SPLIT.split(c)} & _OUT_WORDS or "header" in found):
             return 1
     return int(name == "form" or name == "header" and not in_text)
 
 
-def tokens(page: str | None) -> Iterator[tuple[str, str, bool, bool]]:
+def tokens(page: str | None, learned: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, value, outside, labelled) of a page's pieces in order. kind is 'word' for text, otherwise a tag's name with / if
-    it closes; outside: it stands in an element that isn't text; labelled: in an article element. Unclosed elements end with their parents."""
+    it closes; value is a word's text or a tag's attributes; outside: it stands in an element that isn't text; labelled: in an
+    article element. Unclosed elements end with their parents, an end tag without a beginning ends nothing. Time is linear."""
     page = page or ""
     stack: list[list] = []
+    soft: list[list] = []  # those of the stack that are outside unless an article begins in them
+    open_names: Counter = Counter()
     outside = articles = at = 0
 
     def pop(to: int) -> None:
         nonlocal outside, articles
         while len(stack) > to:
-            name, out = stack.pop()
+            name, out = last = stack.pop()
+            if soft and soft[-1] is last:
+                soft.pop()
+            open_names[name] -= 1
             outside -= out > 0
             articles -= name in ("article", "main")
 
@@ -71,15 +86,16 @@ def tokens(page: str | None) -> Iterator[tuple[str, str, bool, bool]]:
         at = m.end()
         piece, close, name = m[0], m[1], m[2]
         if name is None:
-            if not piece.startswith(("<!", "<?")):
+            if not piece.startswith(("<!", "<?", "</")):
                 yield "word", piece, outside > 0, articles > 0
             continue
         name = name.lower()
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            if open_names[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                pop(k)
             yield "/" + name, "", outside > 0, articles > 0
             continue
         if name == "body":
@@ -89,15 +105,18 @@ def tokens(page: str | None) -> Iterator[tuple[str, str, bool, bool]]:
         elif name == "li" and stack and stack[-1][0] == "li":
             pop(len(stack) - 1)
         if name not in VOID and not m[3].rstrip().endswith("/"):
-            out = _outside(name, m[3], articles > 0)
+            out = _outside(name, m[3], articles > 0, learned)
             if name in ("article", "main") and not articles:
-                for x in stack:
-                    if x[1] == 1:
-                        x[1], outside = 0, outside - 1
+                for x in soft:
+                    x[1], outside = 0, outside - 1
+                soft.clear()
             stack.append([name, out])
+            open_names[name] += 1
+            if out == 1:
+                soft.append(stack[-1])
             outside += out > 0
             articles += name in ("article", "main")
-        yield name, "", outside > 0, articles > 0
+        yield name, m[3], outside > 0, articles > 0
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.IGNORECASE).search(page, at)
             at = end.start() if end else len(page)
@@ -105,11 +124,12 @@ def tokens(page: str | None) -> Iterator[tuple[str, str, bool, bool]]:
 
 @dataclass
 class Weights:
-    """Scores: word for each word, tag for a tag by its name, other for names not seen."""
+    """Scores: word for each word, tag for a tag by its name, other for names not seen. outside: classes that aren't text."""
 
     word: float = 1.0
     other: float = -1.0
     tag: dict[str, float] = field(default_factory=dict)
+    outside: frozenset[str] = frozenset()
 
 
 #: Article and main elements' own tags part text from the rest, so they cost this many words.
@@ -153,7 +173,7 @@ def blocks(pieces: list[tuple[str, str, bool, bool]], everything: bool = False)
 def main_text(page: str | None, w: Weights) -> str:
     """The main text, blocks joined by newlines; '' if there is none. A region is widened to whole blocks,
     and to the whole of an article element in which it begins or ends."""
-    pieces = list(tokens(page))
+    pieces = list(tokens(page, w.outside))
     p, q = region(pieces, w)
     if p == q:
         return ""
@@ -176,45 +196,50 @@ def plain_text(page: str | None) -> str:
     return "\n".join(blocks(body[start:], everything=True))
 
 
-def learn(pages: DataFrame, *, most: int = 2000) -> Weights:
+def learn(pages: DataFrame, *, most: int = 2000, seen: int = 20) -> Weights:
     """Weights from labelled pages: at most ``most`` of those with an article element, chosen by hash of their id.
 
     A kind's weight is the log-odds of standing in the article against standing elsewhere; words keep above zero and tags
-    below it. Without labelled pages, a word scores 1 and a tag -1.
+    below it. A class, id or role that stands outside articles on at least ``seen`` pages and inside on none isn't text.
+    Without labelled pages, a word scores 1 and a tag -1.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
-        for b in batches:
+        for b in parts(batches, "html"):
             for page in b["html"].to_pylist():
+                named = set()
                 for kind, value, _, labelled in tokens(page):
                     name = kind.strip("/")
+                    if kind != "word" and value:
+                        named |= {("." + c, labelled) for c in classes(value)}
                     if name not in ("article", "main"):
                         n[name if name in KNOWN or kind == "word" else "other", labelled] += len(value.split()) if kind == "word" else 1
+                n.update(named)
         yield pa.record_batch([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.bool_()), pa.array(list(n.values()), pa.int64())], names=["kind", "labelled", "n"])
 
     some = pages.where(F.contains(F.lower("html"), F.lit("<article"))).select("page_id", F.xxhash64("page_id", F.lit(9)).alias("h")).orderBy("h").limit(most)
     labelled = pages.select("page_id", "html").join(some.select("page_id").distinct(), "page_id", "left_semi")
     n = {(r.kind, r.labelled): r.n for r in labelled.select("html").mapInArrow(count, "kind string, labelled boolean, n long").groupBy("kind", "labelled").agg(F.sum("n").alias("n")).collect()}
+    named = {k: n.pop(k) for k in [k for k in n if k[0].startswith(".")]}
+    never = frozenset(c[1:] for (c, labelled), v in named.items() if not labelled and v >= seen and (c, True) not in named)
     inside, outside = (sum(v for k, v in n.items() if k[1] == side) for side in (True, False))
     if not inside or not outside:
         return Weights()
     odds = lambda k: log((n.get((k, True), 0) + 0.5) / (inside + 1)) - log((n.get((k, False), 0) + 0.5) / (outside + 1))
     word = max(0.1, odds("word"))
     tag = {k: min(-0.01 * word, odds(k)) for k in {k for k, _ in n} - {"word", "other"}}
-    return Weights(word, min(-word, odds("other") if ("other", False) in n else -word), tag)
+    return Weights(word, min(-word, odds("other") if ("other", False) in n else -word), tag, never)
 
 
 def extract(pages: DataFrame, *, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html, ...). A null html is an empty page, with text ''.
-    Repeated rows are extracted each. n_chars counts code points."""
+    Repeated rows are extracted each, further columns aren't read, an empty table gives no rows. n_chars counts code points."""
     weights = weights or learn(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b["html"].to_pylist()
-            for p, q in slices([len(x or "") for x in at], 4 << 20):
-                text = [main_text(x, weights) for x in at[p:q]]
-                yield pa.record_batch([b["page_id"].slice(p, q - p), b["url"].slice(p, q - p), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for b in parts(batches, "html"):
+            text = [main_text(x, weights) for x in b["html"].to_pylist()]
+            yield pa.record_batch([b["page_id"], b["url"], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

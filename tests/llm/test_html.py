@@ -27,6 +27,32 @@ def test_pages_without_text(page):
     assert H.main_text(page, H.Weights()) in ("", "<", "<p")
 
 
+def test_an_article_keeps_its_sections():
+    body = "<h1>Title of it</h1>" + "".join(f"<{t} {a}>{' '.join(['word'] * 30)} {i}</{t}>" for i, (t, a) in enumerate([("section", "id='related-work'"), ("p", "class=notice"), ("div", 'class="search results"'), ("p", "title=it's class=cookie-recipe")]))
+    want = "\n".join(["Title of it", *(" ".join(["word"] * 30) + f" {i}" for i in range(4))])
+    assert H.main_text(f"<body><nav>menu</nav><article>{body}<div class='ad'>buy</div></article><div class=comments>{'no ' * 40}</div></body>", H.Weights()) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x=\"", "<a x='<b y=\"", "</p>", "<div>", "<div></p>", "<!", "</ ", "<article></article><div class=menu>", "<", "<li>", "<a x=", "&#", "<script>"])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    took = []
+    for n in (100_000, 800_000):
+        page = piece * (n // len(piece))
+        began = time.process_time()
+        H.main_text(page, H.Weights())
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.2
+
+
+def test_classes_are_learnt(spark):
+    pages = [(i, "u", f"<body><div class='zzpromo wide'>buy it now {i}</div><article><p class=wide>{'some text here ' * 20}</p></article></body>") for i in range(40)]
+    w = H.learn(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert w.outside == {"zzpromo"}
+    assert "buy" not in H.main_text("<body><article><p>a b c d e f g</p><div class=zzpromo>buy it</div><p>more of it here</p></article></body>", w)
+
+
 def test_best_run_is_brute_force():
     import random
 
