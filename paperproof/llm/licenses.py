@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paperproof.llm.common import slices, stored
+from paperproof.llm.common import parts, stored
 from paperproof.llm.decontaminate import plain_words
 
 # Phrases that are licenses where their words stand consecutively.
@@ -113,27 +113,22 @@ def blocks(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: flo
         from pyspark import TaskContext
 
         task, number, counts = TaskContext.get().partitionId(), 0, Counter()
-        for b in batches:
-            texts = b["text"].to_pylist()
-            for p, q in slices([len(t or "") for t in texts], 4 << 20):
-                rows = []
-                for doc_id, text in zip(b["doc_id"].slice(p, q - p).to_pylist(), texts[p:q], strict=True):
-                    row, n, starts = f"{task}.{number}", 0, [[] for _ in split]
-                    number += 1
-                    w = plain_words(text)
-                    for k, found in enumerate(phrase_places(w, split)):
-                        starts[k] = found
-                    n = len(w)
-                    rows.append(("d", row, doc_id, n, starts, None, None, None))
-                    lines = [plain_words(line) for line in (text or "").split("\n")]
-                    if wrapped:
-                        for i, held in enumerate(line_runs(lines, sets), len(lines)):
-                            rows.append(("b", row, doc_id, None, None, i, sorted(x.decode() for x in held), None))
-                    for i, line in enumerate(lines):
-                        held = vocabulary.intersection(line)
-                        counts.update(held)
-                        if len(held) >= least:
-                            rows.append(("b", row, doc_id, None, None, i, sorted(x.decode() for x in held), None))
+        for b in parts(batches, "text"):
+            rows = []
+            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                row, w = f"{task}.{number}", plain_words(text)
+                number += 1
+                rows.append(("d", row, doc_id, len(w), phrase_places(w, split), None, None, None))
+                lines = [plain_words(line) for line in (text or "").split("\n")]
+                if wrapped:
+                    for i, held in enumerate(line_runs(lines, sets), len(lines)):
+                        rows.append(("b", row, doc_id, None, None, i, sorted(x.decode() for x in held), None))
+                for i, line in enumerate(lines):
+                    held = vocabulary.intersection(line)
+                    counts.update(held)
+                    if len(held) >= least:
+                        rows.append(("b", row, doc_id, None, None, i, sorted(x.decode() for x in held), None))
+            if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         rows = [("w", None, None, None, None, None, [x.decode()], n) for x, n in counts.items()]
         if rows:
@@ -143,14 +138,16 @@ def blocks(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: flo
 
 
 def template_words(spark, counts: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
-    """(template, label, size, need, word, place) for the words of each template in the order of their frequency, rarest first.
+    """(template, label, size, need, word, place, rank) for the words of each template in the order of their frequency, rarest first.
 
-    need is the number of words a block must hold; the prefix is the words with place < size - need."""
+    need is the number of words a block must hold; the prefix is the words with place <= size - need. rank is a word's place in
+    the same order of all templates' words."""
     rows = [(n, label, len(w), max(1, ceil(threshold * len(w) - 1e-9)), x.decode()) for n, (label, text) in enumerate(templates) if (w := set(plain_words(text))) for x in sorted(w)]
     words = spark.createDataFrame(rows, "template int, label string, size int, need int, word string").coalesce(1)
     known = words.join(F.broadcast(counts), "word", "left").fillna(0, ["n"])  # counts: a row per word of the fixed templates
     place = F.row_number().over(W.partitionBy("template").orderBy("n", "word")) - 1
-    return known.select("template", "label", "size", "need", "word", place.alias("place"))
+    rank = F.dense_rank().over(W.orderBy("n", "word"))  # of the fixed templates' words
+    return known.select("template", "label", "size", "need", "word", place.alias("place"), rank.alias("rank"))
 
 
 def template_matches(held: DataFrame, order: DataFrame) -> DataFrame:
@@ -158,13 +155,15 @@ def template_matches(held: DataFrame, order: DataFrame) -> DataFrame:
 
     held(row, block, words), order as of template_words. Exact: the filters drop no pair that meets it.
     """
-    tokens = held.select("row", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
+    ranks = F.create_map(*[x for r in order.select("word", "rank").distinct().collect() for x in (F.lit(r["word"]), F.lit(r["rank"]))] or [F.lit(""), F.lit(0)])  # of the fixed templates' words
+    sort = F.array_sort(F.transform("words", lambda w: F.struct(F.try_element_at(ranks, w).alias("rank"), w.alias("word"))))
+    tokens = held.select("row", "block", F.size("words").alias("n"), F.posexplode(sort).alias("pos", "token")).select("row", "block", "n", "pos", "token.word")
     prefix = order.where("place <= size - need")
     # prefix and length filter: the block holds a rare word of the template, and words enough
     shared = tokens.join(F.broadcast(prefix), "word").where("n >= need")
-    first = shared.groupBy("row", "block", "template").agg(F.min("place").alias("first"), F.any_value("size").alias("size"), F.any_value("need").alias("need"))
-    # positional filter: what stands in the order from the first shared word on must be enough
-    pairs = first.where("size - first >= need").select("row", "block", "template")
+    first = shared.groupBy("row", "block", "template").agg(F.min(F.struct("place", "pos")).alias("first"), F.any_value("n").alias("n"), F.any_value("size").alias("size"), F.any_value("need").alias("need"))
+    # positional filter: of either side, what stands in the order from the first shared word on must be enough
+    pairs = first.where("least(size - first.place, n - first.pos) >= need").select("row", "block", "template")
     counted = held.join(pairs, ["row", "block"]).join(F.broadcast(order.groupBy("template", "label", "size", "need").agg(F.collect_list("word").alias("all"))), "template")
     overlap = F.size(F.array_intersect("words", "all"))
     return counted.where(overlap >= F.col("need")).select("row", "block", "template", "label", (overlap / F.col("size")).alias("containment"))
@@ -186,7 +185,8 @@ def license_scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, thres
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased; a null text has none. n_base counts
     the places of all phrases, first_word and last_word are the least and greatest of their starts (null without any).
     labels are those of the phrases and of the templates that a line of the text contains; '' if there are none. score is
-    1 with a phrase, otherwise the largest containment at the threshold or above, otherwise 0. Repeated rows are scanned each.
+    1 with a phrase, otherwise the largest containment at the threshold or above, otherwise 0. Repeated rows are scanned each;
+    further columns aren't read; an empty table gives no rows.
     With apart, templates of nearly the same words are told apart (see told_apart); without, each one that meets the threshold counts.
     With wrapped, notices over several lines are found too.
     """

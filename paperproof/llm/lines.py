@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperproof.llm.common import LOWER, slices, stored
+from paperproof.llm.common import LOWER, dropped, parts, stored
 
 _LINE = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("n_lines", pa.int32())])
 _RUN = "h1 long, h2 long, doc_id long, text_hash long, pos int, n_lines int, state int"
@@ -28,11 +28,10 @@ def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """(h1, h2) of the key of each line with at least min_chars code points, with document and position."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b["text"].to_pylist()
-            for p, q in slices([len(t) for t in texts], 4 << 20):
+        for b in parts(batches, "text"):
+            if len(b):
                 digests, ids, hashes, pos, sizes = [], [], [], [], []
-                for doc_id, th, text in zip(b["doc_id"].slice(p, q - p).to_pylist(), b["text_hash"].slice(p, q - p).to_pylist(), texts[p:q], strict=True):
+                for doc_id, th, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
                     rows = text.encode().translate(LOWER).split(b"\n")
                     for i, line in enumerate(rows):
                         key = line.strip()
@@ -102,6 +101,7 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     by = ["h1", "h2", "doc_id", "text_hash"]
     runs = lines.repartitionByRange(*by).sortWithinPartitions(*by, "pos").mapInArrow(_runs(min_docs), _RUN)
     runs = stored(runs, "line-runs")
+    dropped(lines)
     cut = runs.where(F.col("state") != DROP).groupBy("h1", "h2").agg(F.max("state").alias("top"), F.countDistinct(F.struct("doc_id", "text_hash")).alias("n"))
     frequent = cut.where((F.col("top") == MARK) | (F.col("n") >= min_docs)).select("h1", "h2")
     late = runs.where(F.col("state") == OPEN).join(frequent, ["h1", "h2"], "left_semi")
@@ -146,17 +146,16 @@ def without_frequent_lines(docs: DataFrame, *, digest: bool = False, **settings)
     both = keyed.join(bitmaps, same, "left").select(keyed["doc_id"], "text", "keep")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b["text"].to_pylist()
-            for p, q in slices([len(t) for t in texts], 4 << 20):
+        for b in parts(batches, "text"):
+            if len(b):
                 n, gone, left = [], [], []
-                for text, keep in zip(texts[p:q], b["keep"].slice(p, q - p).to_pylist(), strict=True):
+                for text, keep in zip(b["text"].to_pylist(), b["keep"].to_pylist(), strict=True):
                     lines = text.encode().split(b"\n")
                     stay = kept_lines(lines, keep)
                     n.append(len(lines))
                     gone.append(len(lines) - len(stay))
                     left.append(hashlib.sha256(b"\n".join(stay)).hexdigest() if digest else b"\n".join(stay).decode())
-                yield pa.record_batch([b["doc_id"].slice(p, q - p), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_lines", "n_dropped", "left"])
+                yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_lines", "n_dropped", "left"])
 
     out = both.mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, left string")
     return out.withColumnRenamed("left", "kept_sha256" if digest else "text")

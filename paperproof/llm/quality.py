@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperproof.llm.common import slices
+from paperproof.llm.common import dropped, parts, stored
 
 # The byte classes that are counted.
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b"!?", b"|", b"#$%&*@^~_<>\\{}[]`", b".,;:")
@@ -51,7 +51,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, x for each row of docs(doc_id, text, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text"):
             x = [statistics(t) for t in b["text"].to_pylist()]
             yield pa.record_batch([b["doc_id"], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -132,10 +132,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs(doc_id, text, ...); labels(doc_id, quality, ...) may be empty.
 
     A null text is an empty one; both are scored like others. Only the text is an input of a score. Repeated rows are scored
-    each; in learning they count each. Without two rows of each label all scores are the share of label 1 (0.5 without labels).
+    each; in learning they count each. Further columns of either table aren't read, and an empty table gives no rows. Without two rows of each label all scores are the share of label 1 (0.5 without labels).
     """
-    from paperproof.llm.common import stored
-
     x = stored(features(docs), "quality")
     model = train(x, labels, **settings)
 
@@ -149,17 +147,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **settings) -> DataFrame:
-    """The rows of docs with a score of at least ``least``, columns as they are. Rows are filtered where they are read."""
-    from paperproof.llm.common import stored
-
-    model = train(stored(features(docs), "quality"), labels, **settings)
+    """The rows of docs with a score of at least ``least``, columns as they are. Rows are filtered where they are read; nulls, empty
+    texts, repeated rows and missing labels as for quality_scores."""
+    x = stored(features(docs), "quality")
+    model = train(x, labels, **settings)
+    dropped(x)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index("text")
-            texts = b.column(at).to_pylist()
-            for p, q in slices([len(t or "") for t in texts], 8 << 20):
-                score = model.scores(np.array([statistics(t) for t in texts[p:q]]))
-                yield b.slice(p, q - p).filter(pa.array(score >= least))
+        for b in parts(batches, "text"):
+            score = model.scores(np.array([statistics(t) for t in b["text"].to_pylist()]))
+            yield b.filter(pa.array(score >= least))
 
     return docs.mapInArrow(keep, docs.schema)

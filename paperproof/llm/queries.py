@@ -17,18 +17,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as token ids, read back from its file set. A null text is empty: the end id alone; repeated rows are all written; further columns aren't read. An empty table gives no rows."""
     from paperproof.llm.tokens import token_digest
 
     return token_digest(documents(spark, sf_dir), tokenizer_path())
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold at least half of. Nulls and empty texts hold none; repeated rows are reported each. An empty table gives no rows."""
     from paperproof.llm.decontaminate import contaminated
 
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), seed_words=5, threshold=0.5)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. A null text has size 0, a null source is one; equal rows are interchangeable. An empty table gives no rows."""
     from paperproof.llm.mixing import mix_plan
 
     plan = mix_plan(documents(spark, sf_dir))
@@ -36,42 +39,49 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have fingerprint zero; repeated rows are returned each. An empty table gives no rows."""
     from paperproof.llm.simhash import simhash_groups
 
     return simhash_groups(documents(spark, sf_dir), k=3, bits=2)
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversion and a metadata record for every page. A null html is an empty page; repeated rows give equal records. An empty table gives no rows."""
     from paperproof.llm.warc import derivative_table
 
     return derivative_table(documents(spark, sf_dir, "pages"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text. A null text is empty; null ids come first, ties stand in order of text. An empty table gives no rows."""
     from paperproof.llm.minhash import edited_pairs
 
     return edited_pairs(documents(spark, sf_dir), k=5, bins=256, bits=8)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document. A null text is empty and scored like any other; repeated rows are scored each. An empty table gives no rows."""
     from paperproof.llm.quality import quality_scores
 
     return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document. A null text has no words; repeated rows are scanned each. An empty table gives no rows."""
     from paperproof.llm.licenses import license_scan
 
     return license_scan(documents(spark, sf_dir), threshold=0.9, apart=True, wrapped=True)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. A null html is an empty page with text ''; repeated rows are extracted each. An empty table gives no rows."""
     from paperproof.llm.html import extract
 
     return extract(documents(spark, sf_dir, "pages"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without frequent lines. A null text is one empty line; rows with equal id and text count as one document. An empty table gives no rows."""
     from paperproof.llm.lines import without_frequent_lines
 
     return without_frequent_lines(documents(spark, sf_dir), digest=True, min_docs=10, min_chars=1)

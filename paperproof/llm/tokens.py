@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from paperproof.llm.common import new_path, slices
+from paperproof.llm.common import new_path, parts
 
 FORMAT = 1
 BLOCKS = T.StructType([
@@ -58,11 +58,12 @@ class Encoder:
         self.exact = self.tokenizer.encode("a B\nc", add_special_tokens=False).ids == sum((self._whole(x) for x in ("a", "b", "c")), [])
         # where each plain word is one model call; tried on this tokenizer, never assumed
         self.plain = self.exact and all(self._whole(w + m) == self._piece(w, m) for w in ("window", "été", "größe", "qqzzxxjw") for m in ("", ".", ",", "!?"))
+        self.top_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
+        self.ids, self.ends = array("I", [0]), array("q", [1])
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -97,7 +98,7 @@ class Encoder:
                 self.ends.append(len(self.ids))
                 at = self.slots[piece] = len(self.ends) - 2
             slot[i] = at
-        ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
+        ids, ends = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.int64)  # views; what is taken from them is copied
         at = slot[coded.indices.to_numpy(zero_copy_only=False)] if len(slot) else np.empty(0, np.int64)
         n = ends[at + 1] - ends[at]
         upto = np.concatenate(([0], np.cumsum(n)))
@@ -125,34 +126,45 @@ def encoder(path: str) -> Encoder:
 
 
 def _dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, n_docs: int, most_chars: int, size: int) -> bytes:
-    """A dictionary trained on the id arrays of at most n_docs short documents, chosen by hash of their id; empty if there are too few."""
+    """A dictionary trained on the id arrays of at most n_docs short documents, chosen by hash of their id. Where they are too few
+    to train on, the arrays themselves are the dictionary; without any it is empty."""
     some = docs.where(F.length("text").between(1, most_chars)).orderBy(F.xxhash64("doc_id", F.lit(7)), "text").select("text").limit(n_docs)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, n = encoder(tokenizer)(b["text"].to_pylist())
             cut = np.concatenate(([0], np.cumsum(n)))
-            yield pa.record_batch({"ids": [ids[p:q].astype(f"<u{width}").tobytes() for p, q in zip(cut, cut[1:], strict=False)]})
+            yield pa.record_batch({"ids": [_checked(ids[p:q], width).tobytes() for p, q in zip(cut, cut[1:], strict=False)]})
 
     samples = [bytes(r[0]) for r in some.mapInArrow(encoded, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(size, [s for s in samples if len(s) >= 8], level=3).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[-size:] if sum(map(len, samples)) >= 8 else b""
+
+
+def _checked(ids: np.ndarray, width: int) -> np.ndarray:
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise ValueError(f"id {int(ids.max())} doesn't fit {width} bytes")
+    return ids.astype(f"<u{width}")
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, width: int = 2, block_docs: int = 1024, block_bytes: int = 4 << 20,
+    docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, width: int | None = None, block_docs: int = 1024, block_bytes: int = 4 << 20,
     train_docs: int = 512, train_chars: int = 65_536, dict_bytes: int = 65_536, level: int = 3,
 ) -> None:
     """Write the token file set of docs(doc_id, text, ...) under path, in ascending doc_id order.
 
-    Each document's ids end with end_id. A null text is an empty one: it has the end id alone. A null doc_id comes first.
+    Each document's ids end with end_id. width is the bytes of an id, taken from the tokenizer's largest id where it isn't given; an
+    id that doesn't fit is an error. A null text is an empty one: it has the end id alone. A null doc_id comes first.
     Repeated rows are all written, ordered by text where ids tie. No documents: no blocks. Further columns aren't read.
     One range shuffle by doc_id; ids are made after it, in order, so nothing but the text is ever moved. The dictionary is
     fitted on at most train_docs documents of at most train_chars characters.
     """
     spark = docs.sparkSession
+    width = width or (2 if max(encoder(tokenizer).top_id, end_id) < 1 << 16 else 4)
+    if end_id >> (8 * width):
+        raise ValueError(f"id {end_id} doesn't fit {width} bytes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     trained = _dictionary(docs, tokenizer, end_id, width, train_docs, train_chars, dict_bytes)
     name = hashlib.sha256(trained).hexdigest()
@@ -178,12 +190,12 @@ def write_tokens(
                 x.clear()
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for b in batches:
-            for p, q in slices(pc.binary_length(b["text"]).to_pylist(), 4 << 20):
-                ids, n = encoder(tokenizer)(b["text"][p:q].to_pylist())
+        for b in parts(batches, "text"):
+            if len(b):
+                ids, n = encoder(tokenizer)(b["text"].to_pylist())
                 at = 0
-                for doc_id, k in zip(b["doc_id"].slice(p, q - p).to_pylist(), n.tolist(), strict=True):
-                    frame = pack.compress(np.append(ids[at : at + k], end_id).astype(f"<u{width}").tobytes())
+                for doc_id, k in zip(b["doc_id"].to_pylist(), n.tolist(), strict=True):
+                    frame = pack.compress(_checked(np.append(ids[at : at + k], end_id), width).tobytes())
                     at += k
                     if frames and (len(frames) >= block_docs or ends[-1] + len(frame) > block_bytes):
                         yield block()
@@ -259,7 +271,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
 
 
 def token_digest(docs: DataFrame, tokenizer: str, path: str | None = None, **settings) -> DataFrame:
-    """Write docs as a token file set and read it back: doc_id, start, n_tokens, ids_crc32."""
+    """Write docs as a token file set and read it back: doc_id, start, n_tokens, ids_crc32. Rows as for write_tokens."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, **settings)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperproof.llm.common import slices
+from paperproof.llm.common import parts
 from paperproof.llm.html import plain_text
 
 RECORD = "warc_type string, headers map<string,string>, block binary"
@@ -42,11 +42,10 @@ def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFr
     date, so all get this one. A null html is an empty body, a null url an empty target. Equal rows give equal records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bodies = b["html"].to_pylist()
-            for p, q in slices([len(x or "") for x in bodies], 4 << 20):
+        for b in parts(batches, "html"):
+            if len(b):
                 rows = []
-                for page_id, url, html in zip(b["page_id"].slice(p, q - p).to_pylist(), b["url"].slice(p, q - p).to_pylist(), bodies[p:q], strict=True):
+                for page_id, url, html in zip(b["page_id"].to_pylist(), b["url"].to_pylist(), b["html"].to_pylist(), strict=True):
                     body = (html or "").encode()
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
                     rows.append(("response", {
@@ -104,10 +103,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sources = b["block"].to_pylist()
-            for p, q in slices([len(x or b"") for x in sources], 4 << 20):
-                yield _rows([r for h, x in zip(b["headers"].slice(p, q - p).to_pylist(), sources[p:q], strict=True) for r in derived(dict(h or ()), x or b"")])
+        for b in parts(batches, "block"):
+            yield _rows([r for h, x in zip(b["headers"].to_pylist(), b["block"].to_pylist(), strict=True) for r in derived(dict(h or ()), x or b"")])
 
     return records.where("warc_type = 'response'").select("headers", "block").mapInArrow(run, RECORD)
 
@@ -119,54 +116,61 @@ def serialized(warc_type: str, headers: dict[str, str], block: bytes) -> bytes:
 
 
 def write_warc(records: DataFrame, path: str, *, compression: str = "gzip") -> None:
-    """Write text records (blocks of UTF-8, as derivatives are) as WARC files, one per partition, by Spark's text writer:
-    what closes a record is the writer's line separator. Files appear once their task is done."""
+    """Write records of any bytes as WARC files, one per partition, by Spark's text writer, which passes bytes on as they are:
+    what closes a record is the writer's line separator. Files appear once their task is done. Null headers or blocks are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, q in slices([len(x or b"") for x in b["block"].to_pylist()], 4 << 20):
-                rows = zip(*(c.slice(p, q - p).to_pylist() for c in b.columns), strict=True)
-                yield pa.record_batch([pa.array([serialized(t, dict(h or ()), x or b"").decode() for t, h, x in rows], pa.string())], names=["value"])
+        for b in parts(batches, "block"):
+            yield pa.record_batch([pa.array([serialized(t or "", dict(h or ()), x or b"") for t, h, x in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.binary())], names=["value"])
 
-    records.select("warc_type", "headers", "block").mapInArrow(run, "value string").write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    lines = records.select("warc_type", "headers", "block").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    lines.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
-    """The records of a WARC file, by their lengths."""
+    """The records of a WARC file, by their lengths. A record that the file's end cuts off is left out, one without a length is empty."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        _, *lines = data[at:end].decode().split("\r\n")
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        _, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(headers.pop("Content-Length"))
-        yield headers.pop("WARC-Type", ""), headers, data[end + 4 : end + 4 + n]
+        named = {k.lower(): k for k in headers}
+        n = int(headers.pop(named.get("content-length", ""), 0))
+        if end + 4 + n > len(data):
+            return
+        yield headers.pop(named.get("warc-type", ""), ""), headers, data[end + 4 : end + 4 + n]
         at = end + 4 + n
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files in path, gzip or plain. A file is read by one task and must fit its memory, as WARC
-    files do (about 1 GB by custom); records go on as they are parsed."""
+    """The records of the WARC files in path (*.warc, *.warc.gz, and what write_warc names part-*), gzip or plain. A file is read by
+    one task and must fit its memory, as WARC files do (about 1 GB by custom); records go on as they are parsed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
         for b in batches:
-            for data in b["content"].to_pylist():
-                held: list = []
+            for i in range(len(b)):
+                data = b["content"][i].as_py()
+                held, size = [], 0
                 for record in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     held.append(record)
-                    if sum(len(r[2]) for r in held) > 4 << 20 or len(held) >= 1000:
+                    size += len(record[2])
+                    if size > 4 << 20 or len(held) >= 1000:
                         yield _rows(held)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield _rows(held)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{part-*,*.warc,*.warc.gz}").load(path)
     return files.select("content").mapInArrow(run, RECORD)
 
 
 def derivative_table(pages: DataFrame) -> DataFrame:
     """The derivatives of pages' responses as flat columns: warc_type, record_id, refers_to, target_uri, warc_date,
-    content_type, block_digest, source_digests, content_length, text (the block)."""
+    content_type, block_digest, source_digests, content_length, text (the block). Two rows for each row of pages; a null html
+    is an empty page, a null url an empty target, repeated rows give equal records, and further columns aren't read."""
     h = lambda k: F.element_at("headers", k)
     return derivatives(responses(pages)).select("warc_type", h("WARC-Record-ID").alias("record_id"), h("WARC-Refers-To").alias("refers_to"), h("WARC-Target-URI").alias("target_uri"), h("WARC-Date").alias("warc_date"), h("Content-Type").alias("content_type"), h("WARC-Block-Digest").alias("block_digest"), h("WARC-Source-Digests").alias("source_digests"), F.length("block").cast("long").alias("content_length"), F.decode("block", "UTF-8").alias("text"))

@@ -55,3 +55,21 @@ def test_wrong_dictionary_is_found(spark, tmp_path):
     spark.createDataFrame(m, "format int, width int, end_id int, tokenizer string, dict_sha256 string, dict binary").write.mode("overwrite").parquet(f"{tmp_path}/meta")
     with pytest.raises(ValueError, match="hash"):
         tokens.read_tokens(spark, str(tmp_path))
+
+
+def test_width_follows_the_vocabulary_and_ids_never_wrap(spark, tmp_path):
+    d = docs(spark, [(1, "a b c")])
+    with pytest.raises(ValueError, match="fit"):
+        tokens.write_tokens(d, str(tmp_path / "end"), tokenizer_path(), end_id=70_000, width=2)
+    tokens.write_tokens(d, str(tmp_path / "wide"), tokenizer_path(), end_id=70_000)
+    assert tokens._meta(spark, str(tmp_path / "wide"))[0] == 4
+    assert tokens.read_tokens(spark, str(tmp_path / "wide")).first().ids[-1] == 70_000
+    with pytest.raises(ValueError, match="fit"):
+        tokens._checked(tokens.np.array([1, 70_000], tokens.np.uint32), 2)
+
+
+def test_few_documents_have_a_dictionary_too(spark, tmp_path):
+    d = docs(spark, [(i, "some words of a short text") for i in range(3)])
+    tokens.write_tokens(d, str(tmp_path), tokenizer_path())
+    assert tokens._meta(spark, str(tmp_path))[1]
+    assert len(tokens.read_document(spark, str(tmp_path), 1)) == 1
