@@ -1,29 +1,38 @@
 """spark-submit entry: the profile of annotation files as a JSON report.
 
     spark-submit paperproof/cli.py --output report.json data/*.parquet
+    spark-submit paperproof/cli.py --output report.json --manifest manifest.json
 """
 
 from __future__ import annotations
 
 import argparse
+import json
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from paperproof.operators.profile import profile_report, write_report
-from paperproof.sources.annotations import read_annotations
+from paperproof.sources.annotations import manifest_paths, read_annotations, source_block
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description="Profile receipt annotations.")
-    p.add_argument("paths", nargs="+", help="Parquet files or folders with the annotation column")
+    p.add_argument("paths", nargs="*", help="Parquet files or folders with the annotation column")
+    p.add_argument("--manifest", help="a JSON manifest, on the driver, whose entries name the files and their sizes")
+    p.add_argument("--dataset", help="the data set's name in the report")
+    p.add_argument("--order", help="a column by which examples and ties are in order")
     p.add_argument("--output", required=True, help="the JSON report to write, on the driver")
     p.add_argument("--column", default="ground_truth")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("paperproof-profile").getOrCreate()
-    report = profile_report(read_annotations(spark, args.paths, args.column), text=args.column)
-    report["source"] = {"files": len(args.paths), "columns": [args.column]}
+    manifest = json.loads(Path(args.manifest).read_text(encoding="utf-8")) if args.manifest else [{"url": x} for x in args.paths]
+    columns = [args.column, *([args.order] if args.order else [])]
+    report = profile_report(read_annotations(spark, manifest_paths(manifest), *columns), order=args.order, text=args.column)
+    report["source"] = source_block(manifest, columns, args.dataset)
     write_report(report, args.output)
-    print(f"{report.get('documents', {}).get('total', 0)} documents profiled, report in {args.output}")
+    counts = report.get("documents", {})
+    print(f"{counts.get('total', 0)} documents profiled, {counts.get('adapter_successes', 0)} adapted, {report.get('line_items', {}).get('total', 0)} line items; report in {args.output}")
     return 0
 
 

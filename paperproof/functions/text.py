@@ -20,6 +20,11 @@ def normalize_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, WS, " "))
 
 
+def stripped(x: Column) -> Column:
+    """Without white space at its ends; what is inside stays."""
+    return F.regexp_replace(x, rf"^{WS}|{WS}\z", "")
+
+
 def is_missing(x: Column) -> Column:
     """Blank, or a dash that stands for nothing."""
     return normalize_text(x).isin("", "-")

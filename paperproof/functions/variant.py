@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperproof.functions.numbers import let
+
 
 def parse_json(text: Column) -> Column:
     """The text as a variant; null unless it is one whole JSON value. The parser itself would pass over what follows a value."""
-    one = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")) == 1
     alone = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    return F.when(F.coalesce(one & alone, F.lit(False)), F.try_parse_json(text))
+    one = lambda listed: F.when(F.coalesce((F.size(elements(listed)) == 1) & alone, F.lit(False)), F.try_variant_get(listed, "$[0]", "variant"))
+    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), one)
 
 
 def get(v: Column, key: str) -> Column:
@@ -48,9 +50,27 @@ def is_objects(v: Column) -> Column:
 
 def texts(v: Column) -> Column:
     """A text as an array of one, an array of texts as it is; null for anything else. Casts alone would turn numbers to text."""
-    return F.when(is_text(v), F.array(text_at(v, "$"))).when(F.coalesce(F.forall(elements(v), is_text), F.lit(False)), F.try_variant_get(v, "$", "array<string>"))
+    listed = lambda x: F.when(F.coalesce(F.forall(elements(x), is_text), F.lit(False)), F.try_variant_get(x, "$", "array<string>"))
+    return let(v, lambda x: let(kind(x), lambda k: F.when(k == "STRING", F.array(text_at(x, "$"))).when(k.startswith("ARRAY<"), listed(x))))
+
+
+def cell(v: Column) -> Column:
+    """What the rules ask of one value, read once: struct<absent, present, is_text, text, texts>."""
+    said = lambda x, k: F.struct(F.coalesce(k == "VOID", F.lit(True)).alias("absent"), is_present(x).alias("present"), F.coalesce(k == "STRING", F.lit(False)).alias("is_text"), F.when(k == "STRING", text_at(x, "$")).alias("text"), texts(x).alias("texts"))
+    return let(v, lambda x: let(kind(x), lambda k: said(x, k)))
+
+
+def keys(v: Column) -> Column:
+    """The keys of an object; null for anything else."""
+    return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
 def is_present(v: Column) -> Column:
     """Neither absent nor an empty text, array or object; 0 and false are there."""
     return ~absent(v) & ~F.coalesce(F.to_json(v).isin('""', "[]", "{}"), F.lit(False))
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, computed once a row. They are generated, so the optimizer can't copy their expressions into each filter and
+    projection that uses them, as it would a plain column's."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

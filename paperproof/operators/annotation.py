@@ -8,43 +8,55 @@ from pyspark.sql import functions as F
 from paperproof.functions import variant as J
 from paperproof.functions.numbers import let, parse_grouped_amount, parse_quantity
 from paperproof.functions.text import document_id, is_missing, joined_raw, normalize_text
-from paperproof.plans.schema import EXTRACTED, LINE_ITEM, NOT_ANNOTATED, NOT_PRESENT, SCHEMA_VERSION, dec_field, text_field
+from paperproof.plans.schema import EXTRACTED, LINE_ITEM, NOT_ANNOTATED, NOT_PRESENT, RECEIPT_COLUMNS, SCHEMA_VERSION, dec_field, text_field
 
 # The keys of the annotation format by canonical field.
 ITEM_KEYS = (("description", "nm"), ("quantity", "cnt"), ("unit_price", "unitprice"), ("line_total", "price"))
 AMOUNT_KEYS = ("subtotal_price", "tax_price", "discount_price", "service_price", "othersvc_price")
 
 
-def _text(v: Column) -> Column:
-    values = J.texts(v)
-    said = F.transform(F.filter(values, lambda x: ~is_missing(x)), normalize_text)
-    return F.when(J.absent(v), text_field(NOT_PRESENT)).when(F.size(said) == 0, text_field(NOT_PRESENT, raw=joined_raw(values))).otherwise(text_field(EXTRACTED, F.array_join(said, " "), joined_raw(values)))
+# A cell is a value as variant.cell reads it.
 
 
-def _number(v: Column, parse, skip_percent: bool) -> Column:
+def _text(c: Column) -> Column:
+    raw = joined_raw(c["texts"])
+    field = lambda said: F.when(F.size(said) == 0, text_field(NOT_PRESENT, raw=raw)).otherwise(text_field(EXTRACTED, F.array_join(said, " "), raw))
+    return F.when(c["absent"], text_field(NOT_PRESENT)).otherwise(let(F.filter(F.transform(c["texts"], normalize_text), lambda x: ~x.isin("", "-")), field))
+
+
+def _number(c: Column, parse, skip_percent: bool) -> Column:
     """The one value that all readable pieces agree on; none, or several, is not_annotated."""
 
     def field(x: Column) -> Column:
-        read, raw = x["read"], joined_raw(x["values"])
+        read, raw = x["read"], joined_raw(c["texts"])
         one, first = F.size(F.array_distinct(F.transform(read, lambda p: p["value"]))) == 1, F.get(read, F.lit(0))
         return F.when(F.size(x["said"]) == 0, dec_field(NOT_PRESENT, raw=raw)).when(one, dec_field(EXTRACTED, first["value"], first["value_text"], raw)).otherwise(dec_field(NOT_ANNOTATED, raw=raw))
 
     readable = lambda said: F.filter(F.transform(F.filter(said, lambda x: ~x.contains("%")) if skip_percent else said, parse), lambda p: p["error"].isNull())
-    told = lambda values: let(F.filter(values, lambda x: ~is_missing(x)), lambda said: let(F.struct(values.alias("values"), said.alias("said"), readable(said).alias("read")), field))
-    return F.when(J.absent(v), dec_field(NOT_PRESENT)).otherwise(let(J.texts(v), told))
+    told = let(F.filter(c["texts"], lambda x: ~is_missing(x)), lambda said: let(F.struct(said.alias("said"), readable(said).alias("read")), field))
+    return F.when(c["absent"], dec_field(NOT_PRESENT)).otherwise(told)
 
 
-def money(v: Column) -> Column:
-    return _number(v, parse_grouped_amount, skip_percent=True)
+def money(c: Column) -> Column:
+    return _number(c, parse_grouped_amount, skip_percent=True)
 
 
-def quantity(v: Column) -> Column:
-    return _number(v, parse_quantity, skip_percent=False)
+def quantity(c: Column) -> Column:
+    return _number(c, parse_quantity, skip_percent=False)
 
 
-def line_item(x: Column) -> Column:
+def line_item(cells: Column) -> Column:
     fields = {"description": _text, "quantity": quantity, "unit_price": money, "line_total": money}
-    return F.struct(*[fields[name](J.get(x, key)).alias(name) for name, key in ITEM_KEYS])
+    return F.struct(*[fields[name](cells[key]).alias(name) for name, key in ITEM_KEYS])
+
+
+def _cells(v: Column, names) -> Column:
+    return F.struct(*[J.cell(J.get(v, n)).alias(n) for n in names])
+
+
+def _shape(v: Column) -> Column:
+    """struct<absent, object, objects>: which shape a section has."""
+    return let(v, lambda x: let(J.kind(x), lambda k: F.struct(F.coalesce(k == "VOID", F.lit(True)).alias("absent"), F.coalesce(k.startswith("OBJECT<"), F.lit(False)).alias("object"), (F.coalesce(k.startswith("ARRAY<"), F.lit(False)) & J.is_objects(x)).alias("objects"))))
 
 
 def menu_items(menu: Column) -> Column:
@@ -57,11 +69,14 @@ def menu_shape(menu: Column) -> Column:
 
 
 def opened(df: DataFrame, text: str = "ground_truth") -> DataFrame:
-    """df with the parts that the adapter and the profile read: _root, _gt, _meta, _menu, _sub, _tot, _items."""
-    df = df.withColumn("_root", J.parse_json(F.col(text)))
+    """df with the parts that the adapter and the profile read, each value once: _root, _gt, _meta, _menu, _sub, _tot (variants),
+    _ok (which are objects), _items (the menu's objects), _listed (their cells), _subs, _tots (cells by key), _sub_is, _tot_is (shapes)."""
+    df = J.bound(df, _root=J.parse_json(F.col(text)))
     df = df.withColumn("_gt", J.get(F.col("_root"), "gt_parse")).withColumn("_meta", J.get(F.col("_root"), "meta"))
-    df = df.withColumn("_menu", J.get(F.col("_gt"), "menu")).withColumn("_sub", J.get(F.col("_gt"), "sub_total")).withColumn("_tot", J.get(F.col("_gt"), "total"))
-    return df.withColumn("_items", menu_items(F.col("_menu")))
+    df = J.bound(df, _menu=J.get(F.col("_gt"), "menu"), _sub=J.get(F.col("_gt"), "sub_total"), _tot=J.get(F.col("_gt"), "total"))
+    items, shapes = menu_items(F.col("_menu")), {f"{c}_is": _shape(F.col(c)) for c in ("_root", "_gt", "_meta", "_sub", "_tot")}
+    listed = F.transform("_items", lambda x: _cells(x, [k for _, k in ITEM_KEYS]))
+    return J.bound(J.bound(df, _items=items, **shapes), _listed=listed, _subs=_cells(F.col("_sub"), (*AMOUNT_KEYS, "etc")), _tots=_cells(F.col("_tot"), ("total_price",)))
 
 
 def split_name(meta: Column) -> Column:
@@ -72,27 +87,27 @@ def split_name(meta: Column) -> Column:
 
 def adapted(df: DataFrame, *, explicit_id: str | None = None) -> DataFrame:
     """Of opened rows: the columns of a receipt and error. Just one of error and the receipt is null."""
-    root, gt, meta, menu, sub, tot = (F.col(f"_{n}") for n in ("root", "gt", "meta", "menu", "sub", "tot"))
+    meta, is_ = F.col("_meta"), lambda c: F.col(f"{c}_is")
     own = document_id(F.col(explicit_id) if explicit_id else None, split_name(meta), J.text_at(meta, "$.image_id"))
-    not_text = lambda v: ~J.absent(v) & J.texts(v).isNull()
+    not_text = lambda c: ~c["absent"] & c["texts"].isNull()
     path = lambda i, key: F.lit("text field not text") if key == "nm" else F.concat(F.lit("menu["), i.cast("string"), F.lit(f"].{key} not text"))
-    items = F.flatten(F.transform("_items", lambda x, i: F.array(*[F.when(not_text(J.get(x, key)), path(i, key)) for _, key in ITEM_KEYS])))
-    ambiguous = lambda v: J.is_objects(v)
-    bad_section = lambda v: ~J.absent(v) & ~J.is_object(v) & ~ambiguous(v)
-    fields = (("subtotal", sub, "sub_total", "subtotal_price"), ("tax", sub, "sub_total", "tax_price"), ("total", tot, "total", "total_price"))
+    items = F.flatten(F.transform("_listed", lambda x, i: F.array(*[F.when(not_text(x[key]), path(i, key)) for _, key in ITEM_KEYS])))
+    bad_section = lambda c: ~is_(c)["absent"] & ~is_(c)["object"] & ~is_(c)["objects"]
+    fields = (("subtotal", "_sub", "sub_total", "subtotal_price"), ("tax", "_sub", "sub_total", "tax_price"), ("total", "_tot", "total", "total_price"))
+    cell = lambda c, key: F.col(f"{c}s.{key}")
     error = F.coalesce(
-        F.when(root.isNull(), "invalid_json"), F.when(~J.is_object(root), "root not an object"), F.when(~J.is_object(gt), "gt_parse not an object"),
-        F.when(~J.absent(meta) & ~J.is_object(meta), "meta not an object"), F.when(own.isNull(), "no document id"), F.when(F.col("_items").isNull(), "menu not objects"),
-        F.get(F.filter(items, lambda x: x.isNotNull()), F.lit(0)), F.when(bad_section(sub), "sub_total not an object"), F.when(bad_section(tot), "total not an object"),
-        *[F.when(~ambiguous(section) & not_text(J.get(section, key)), f"{where}.{key} not text") for _, section, where, key in fields],
+        F.when(F.col("_root").isNull(), "invalid_json"), F.when(~is_("_root")["object"], "root not an object"), F.when(~is_("_gt")["object"], "gt_parse not an object"),
+        F.when(~is_("_meta")["absent"] & ~is_("_meta")["object"], "meta not an object"), F.when(own.isNull(), "no document id"), F.when(F.col("_items").isNull(), "menu not objects"),
+        F.get(F.filter(items, lambda x: x.isNotNull()), F.lit(0)), F.when(bad_section("_sub"), "sub_total not an object"), F.when(bad_section("_tot"), "total not an object"),
+        *[F.when(~is_(c)["objects"] & not_text(cell(c, key)), f"{where}.{key} not text") for _, c, where, key in fields],
     )
-    df = df.withColumn("error", error)
+    df = J.bound(df, error=error)
     good = lambda x: F.when(F.col("error").isNull(), x)
-    amounts = [good(F.when(ambiguous(section), dec_field(NOT_ANNOTATED, raw=F.to_json(section))).otherwise(money(J.get(section, key)))).alias(name) for name, section, _, key in fields]
-    return df.select("*", good(F.lit(SCHEMA_VERSION)).alias("schema_version"), good(own).alias("document_id"), good(F.transform("_items", line_item)).cast(f"array<{LINE_ITEM}>").alias("line_items"), *amounts, good(text_field(NOT_ANNOTATED)).alias("currency"))
+    amounts = [good(F.when(is_(c)["objects"], dec_field(NOT_ANNOTATED, raw=F.to_json(F.col(c)))).otherwise(money(cell(c, key)))).alias(name) for name, c, _, key in fields]
+    return df.select("*", good(F.lit(SCHEMA_VERSION)).alias("schema_version"), good(own).alias("document_id"), good(F.transform("_listed", line_item)).cast(f"array<{LINE_ITEM}>").alias("line_items"), *amounts, good(text_field(NOT_ANNOTATED)).alias("currency"))
 
 
 def adapt_annotations(df: DataFrame, *, text: str = "ground_truth", explicit_id: str | None = None) -> DataFrame:
     """df with the columns of a receipt and error. Null or malformed text is invalid_json. Row-local."""
     out = adapted(opened(df, text), explicit_id=explicit_id)
-    return out.drop("_root", "_gt", "_meta", "_menu", "_sub", "_tot", "_items")
+    return out.select(*df.columns, *RECEIPT_COLUMNS, "error")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperproof.functions import variant as J
 from paperproof.functions.text import same_text
 from paperproof.operators.validate import ARITHMETIC, decision, issues
 from paperproof.plans.schema import DOCUMENT_FIELDS, ITEM_FIELDS, NOT_ANNOTATED, is_extracted
@@ -56,10 +57,17 @@ def evaluate_documents(predicted: DataFrame, truth: DataFrame, *, money_toleranc
 
     precision is null without predicted items, recall without true ones, f1 if either is. Validation runs on the prediction.
     """
-    both = predicted.alias("p").join(truth.alias("g"), "document_id")
-    checked = both.select("document_id", *[F.col(f"p.{n}") for n in ("line_items", *DOCUMENT_FIELDS)], F.struct(*[F.col(f"g.{n}") for n in ("line_items", *DOCUMENT_FIELDS)]).alias("g"))
-    found = checked.withColumn("validation_issues", issues(money_tolerance=money_tolerance, allowed_currencies=allowed_currencies, low_confidence_threshold=low_confidence_threshold))
-    found = found.withColumn("matches", greedy_matches(pair_scores(F.col("line_items"), F.col("g.line_items"))))
+    names = ("line_items", *DOCUMENT_FIELDS)
+    side = lambda df, alias: df.select("document_id", F.struct(*names).alias(alias))
+    pairs = side(predicted, "p").join(side(truth, "g"), "document_id")
+    return evaluate_pairs(pairs, money_tolerance=money_tolerance, allowed_currencies=allowed_currencies, low_confidence_threshold=low_confidence_threshold)
+
+
+def evaluate_pairs(pairs: DataFrame, *, money_tolerance: str = "0.01", allowed_currencies=None, low_confidence_threshold: float = 0.5) -> DataFrame:
+    """As evaluate_documents, of pairs(document_id, p, g) that have both receipts as structs already. Row-local."""
+    checked = pairs.select("document_id", *[F.col(f"p.{n}") for n in ("line_items", *DOCUMENT_FIELDS)], "g")
+    found = issues(money_tolerance=money_tolerance, allowed_currencies=allowed_currencies, low_confidence_threshold=low_confidence_threshold)
+    found = J.bound(checked, validation_issues=found, matches=greedy_matches(pair_scores(F.col("line_items"), F.col("g.line_items"))))
     item = lambda m: F.array(*[compare_field(F.get("line_items", m["p"])[n], F.get("g.line_items", m["g"])[n], f"line_items.{n}", n in TEXT_FIELDS) for n in WEIGHTS])
     out = found.select(
         "document_id", F.size("line_items").alias("predicted_items"), F.size("g.line_items").alias("truth_items"), F.size("matches").alias("matched"), "matches",

@@ -51,15 +51,16 @@ def _field_error(v: Column, path: Column) -> Column:
 def adapt_model_json(df: DataFrame, *, raw: str = "raw") -> DataFrame:
     """df with the columns of a receipt but its id, and error. raw is JSON text; null or malformed text is an error. Row-local."""
     root = J.parse_json(F.col(raw))
-    df = df.withColumn("_root", root).withColumn("_items", J.elements(J.get(F.col("_root"), "line_items")))
+    own = df.columns
+    df = J.bound(df, _root=root)
+    df = J.bound(df, _items=J.elements(J.get(F.col("_root"), "line_items")))
     at = lambda i, n="": F.concat(F.lit("line_items["), i.cast("string"), F.lit(f"]{n}"))
     items = F.flatten(F.transform("_items", lambda x, i: F.array(F.when(~J.is_object(x), F.concat(at(i), F.lit(" not an object"))), *[_field_error(J.get(x, n), at(i, f".{n}")) for n in ITEM_FIELDS])))
     error = F.coalesce(
         F.when(F.col("_root").isNull(), "invalid_json"), F.when(~J.is_object(F.col("_root")), "root not an object"), F.when(F.col("_items").isNull(), "line_items not a list"),
         F.get(F.filter(items, lambda e: e.isNotNull()), F.lit(0)), *[_field_error(J.get(F.col("_root"), n), F.lit(n)) for n in DOCUMENT_FIELDS],
     )
-    df = df.withColumn("error", error)
+    df = J.bound(df, error=error)
     good = lambda x: F.when(F.col("error").isNull(), x)
     item = lambda x: F.struct(*[READERS[n](J.get(x, n)).alias(n) for n in ITEM_FIELDS])
-    out = df.select("*", good(F.lit(SCHEMA_VERSION)).alias("schema_version"), good(F.transform("_items", item)).cast(f"array<{LINE_ITEM}>").alias("line_items"), *[good(READERS[n](J.get(F.col("_root"), n))).alias(n) for n in DOCUMENT_FIELDS])
-    return out.drop("_root", "_items")
+    return df.select(*own, "error", good(F.lit(SCHEMA_VERSION)).alias("schema_version"), good(F.transform("_items", item)).cast(f"array<{LINE_ITEM}>").alias("line_items"), *[good(READERS[n](J.get(F.col("_root"), n))).alias(n) for n in DOCUMENT_FIELDS])

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperproof.functions.numbers import parse_amount, parse_quantity, trailing_amount
-from paperproof.functions.text import currency_code, currency_symbol, has_any, normalize_text
+from paperproof.functions import variant as J
+from paperproof.functions.numbers import let, parse_amount, parse_quantity, trailing_amount
+from paperproof.functions.text import currency_code, currency_symbol, has_any, normalize_text, stripped
 from paperproof.plans.schema import EXTRACTED, LINE_ITEM, NOT_PRESENT, SCHEMA_VERSION, dec_field, text_field
 
 # Words that mark a total, a subtotal and a tax, and the patterns of item lines.
@@ -26,8 +27,8 @@ def lines_from_words(words: DataFrame, *, line_tolerance_px: int = 10) -> DataFr
     In order of top and left, a word joins the line whose first word is within the tolerance of it, otherwise begins one. Blank words
     and those of negative or null confidence don't count. Words stand by left, ties as they came; confidence is their mean.
     """
-    word = F.struct("top", "left", "word_idx", normalize_text(F.col("text")).alias("text"), F.col("conf").cast("double").alias("conf"))
-    docs = words.where((normalize_text(F.col("text")) != "") & (F.col("conf") >= 0)).groupBy("document_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    word = F.struct("top", "left", "word_idx", stripped(F.col("text")).alias("text"), F.col("conf").cast("double").alias("conf"))
+    docs = words.where((stripped(F.col("text")) != "") & (F.col("conf") >= 0)).groupBy("document_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
     # the line a word joins is always the last one begun, so the fold carries just that one's anchor and the list of anchors
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("all"))
 
@@ -45,27 +46,35 @@ def lines_from_words(words: DataFrame, *, line_tolerance_px: int = 10) -> DataFr
     return rows.withColumn("own", own).select("document_id", "line_idx", F.array_join(F.transform("own", lambda x: x["text"]), " ").alias("text"), mean.alias("confidence"))
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that fits the whole text, by one match; null if it doesn't fit."""
+    cut = F.split(F.regexp_replace(text, pattern, "\u0001".join(f"${k}" for k in range(1, n + 1))), "\u0001")
+    return let(cut, lambda g: F.when(F.size(g) == n, g))
+
+
 def _items(x: Column) -> Column:
     """A line as an item: with quantity, then without; null if neither pattern fits."""
-    part = lambda k: F.regexp_extract(x["text"], WITH_QUANTITY, k)
-    q, u, t = parse_quantity(part(2)), parse_amount(part(3)), parse_amount(part(4))
     dec = lambda p, raw: dec_field(EXTRACTED, p["value"], p["value_text"], raw)
-    full = F.struct(text_field(EXTRACTED, F.trim(part(1)), x["text"]).alias("description"), dec(q, part(2)).alias("quantity"), dec(u, part(3)).alias("unit_price"), dec(t, part(4)).alias("line_total"))
-    amount = parse_amount(F.regexp_extract(x["text"], SIMPLE, 2))
-    plain = F.struct(text_field(EXTRACTED, F.trim(F.regexp_extract(x["text"], SIMPLE, 1)), x["text"]).alias("description"), dec_field(NOT_PRESENT).alias("quantity"), dec_field(NOT_PRESENT).alias("unit_price"), dec(amount, x["text"]).alias("line_total"))
-    return F.when((part(1) != "") & q["error"].isNull() & u["error"].isNull() & t["error"].isNull(), full).when(amount["error"].isNull(), plain)
+    item = lambda name, q, u, t: F.struct(text_field(EXTRACTED, F.trim(name), x["text"]).alias("description"), q.alias("quantity"), u.alias("unit_price"), t.alias("line_total"))
+    read = lambda g: F.when(g.isNotNull(), F.struct(parse_quantity(g[1]).alias("q"), parse_amount(g[2]).alias("u"), parse_amount(g[3]).alias("t")))
+    good = lambda p: p["q"]["error"].isNull() & p["u"]["error"].isNull() & p["t"]["error"].isNull()
+    full = let(_groups(x["text"], WITH_QUANTITY, 4), lambda g: let(read(g), lambda p: F.when(g.isNotNull() & good(p), item(g[0], dec(p["q"], g[1]), dec(p["u"], g[2]), dec(p["t"], g[3])))))
+    plain = let(_groups(x["text"], SIMPLE, 2), lambda g: let(parse_amount(g[1]), lambda a: F.when(g.isNotNull() & a["error"].isNull(), item(g[0], dec_field(NOT_PRESENT), dec_field(NOT_PRESENT), dec(a, x["text"])))))
+    return F.coalesce(full, plain)
 
 
 def extract_baseline(lines: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """lines(document_id, line_idx, text, confidence) to receipts. documents(document_id) adds those without a line.
 
     Subtotal, tax and total each take the first line with one of their words and an amount at its end that no earlier of the three
-    has taken; such lines beyond the first, like all others, may be items. A currency symbol on any line comes before a code.
+    has taken; such lines beyond the first, like all others, may be items. A currency symbol on any line comes before a code; its raw
+    text is the line as it came.
     """
-    text = normalize_text(F.col("text"))
-    amount = trailing_amount(text)
+    lines = J.bound(lines, _text=normalize_text(F.col("text")))
+    lines = J.bound(lines, _amount=trailing_amount(F.col("_text")))
+    text, amount = F.col("_text"), F.col("_amount")
     hit = lambda words: has_any(text, words) & amount.isNotNull()
-    line = F.struct(F.col("line_idx").alias("i"), text.alias("text"), amount.alias("amount"), hit(SUBTOTAL).alias("s"), hit(TAX).alias("t"), hit(TOTAL).alias("g"), currency_symbol(F.col("text")).alias("symbol"), currency_code(F.col("text")).alias("code"))
+    line = F.struct(F.col("line_idx").alias("i"), text.alias("text"), F.col("text").alias("own"), amount.alias("amount"), hit(SUBTOTAL).alias("s"), hit(TAX).alias("t"), hit(TOTAL).alias("g"), currency_symbol(F.col("text")).alias("symbol"), currency_code(F.col("text")).alias("code"))
     docs = lines.select("document_id", line.alias("x")).groupBy("document_id").agg(F.collect_list("x").alias("x"))
     if documents is not None:
         docs = documents.select("document_id").distinct().join(docs, "document_id", "left")
@@ -78,5 +87,5 @@ def extract_baseline(lines: DataFrame, documents: DataFrame | None = None) -> Da
     items = F.filter(F.transform(F.filter("x", lambda z: ~used(z)), _items), lambda y: y.isNotNull())
     symbol = F.get(F.filter("x", lambda z: z["symbol"].isNotNull()), F.lit(0))
     code = F.get(F.filter("x", lambda z: z["code"].isNotNull()), F.lit(0))
-    currency = F.when(symbol.isNotNull(), text_field(EXTRACTED, symbol["symbol"], symbol["text"])).when(code.isNotNull(), text_field(EXTRACTED, code["code"], code["text"])).otherwise(text_field(NOT_PRESENT))
+    currency = F.when(symbol.isNotNull(), text_field(EXTRACTED, symbol["symbol"], symbol["own"])).when(code.isNotNull(), text_field(EXTRACTED, code["code"], code["own"])).otherwise(text_field(NOT_PRESENT))
     return docs.select(F.lit(SCHEMA_VERSION).alias("schema_version"), "document_id", items.cast(f"array<{LINE_ITEM}>").alias("line_items"), *[slot(n).alias(n) for n in ("subtotal", "tax", "total")], currency.alias("currency"))

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperproof.functions import variant as J
-from paperproof.functions.numbers import parse_grouped_amount, parse_quantity, rate
-from paperproof.functions.text import amount_format, quantity_format
+from paperproof.functions.numbers import let, parse_grouped_amount, parse_quantity, rate
+from paperproof.functions.text import amount_format, normalize_text, quantity_format
 from paperproof.operators.annotation import AMOUNT_KEYS, ITEM_KEYS, adapted, menu_shape, opened, split_name
 from paperproof.plans.schema import DOCUMENT_FIELDS, ITEM_FIELDS
 
@@ -28,81 +28,105 @@ def _entry(section: str, key, subkey=None, n=1) -> Column:
     return F.struct(F.lit(section).alias("section"), as_col(key).alias("key"), as_col(subkey).alias("subkey"), (n if isinstance(n, Column) else F.lit(n)).cast("bigint").alias("n"))
 
 
-def _formats(v: Column, what: str, form, parse) -> list[Column]:
-    """The entries of one raw value: its format, or that it isn't text, and whether it can't be read."""
-    text = J.text_at(v, "$")
-    there, is_text = J.is_present(v), J.is_text(v)
+def _formats(c: Column, what: str, form, parse) -> list[Column]:
+    """The entries of one raw value (a cell): its format, or that it isn't text, and whether it can't be read."""
+    there = c["present"] & c["is_text"]
     return [
-        F.when(there & is_text, _entry(f"{what}_formats", form(text))),
-        F.when(there & ~is_text, _entry("normalization_errors", f"{what}_not_string")),
-        F.when(there & is_text & parse(text)["error"].isNotNull(), _entry("normalization_errors", f"{what}_unparseable")),
+        F.when(there, _entry(f"{what}_formats", form(c["text"]))),
+        F.when(c["present"] & ~c["is_text"], _entry("normalization_errors", f"{what}_not_string")),
+        F.when(there & parse(c["text"])["error"].isNotNull(), _entry("normalization_errors", f"{what}_unparseable")),
     ]
 
 
-def profile_rows(annotations: DataFrame, text: str = "ground_truth") -> DataFrame:
-    """section, key, subkey, n, rate. rate is set for presence: of valid documents, or of all line items."""
-    df = adapted(opened(annotations.select(text), text))
-    valid, parsed = J.is_object(F.col("_root")), J.is_object(F.col("_gt"))
-    items = F.when(parsed, F.coalesce("_items", F.array().cast("array<variant>"))).otherwise(F.array().cast("array<variant>"))
-    df = df.withColumn("_listed", items).withColumn("_split", F.when(J.is_object(F.col("_meta")), split_name(F.col("_meta"))).otherwise("unknown"))
-    section = lambda c: F.when(J.is_object(F.col(c)), F.col(c))
+# The profile's own codes of what comes before the adapter's errors.
+CODES = {"root not an object": "json_root_not_object", "gt_parse not an object": "missing_or_invalid_gt_parse"}
+
+
+def profile_rows(annotations: DataFrame, text: str = "ground_truth", order: str | None = None) -> DataFrame:
+    """section, key, subkey, n, rate. rate is set for presence: of valid documents, or of all line items. With order, first is its
+    least value among the documents that an entry was counted in."""
+    df = adapted(opened(annotations.select(text, *([F.col(order).alias("_order")] if order else [])), text))
+    valid, parsed = F.col("_root_is.object"), F.col("_gt_is.object")
+    cells = F.when(parsed, F.col("_listed"))
+    df = df.withColumn("_cells", F.coalesce(cells, F.array().cast(df.schema["_listed"].dataType))).withColumn("_split", F.when(F.col("_meta_is.object"), split_name(F.col("_meta"))).otherwise("unknown"))
+    code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), F.col("error")), F.col("error"))
+    cell = lambda c, key: F.col(f"{c}s.{key}")
     entries = [
         _entry("documents", "total"), F.when(valid, _entry("documents", "valid_json")), _entry("documents", F.when(F.col("error").isNull(), "adapter_successes").otherwise("adapter_errors")),
         F.when(valid, _entry("documents", "by_split", F.col("_split"))),
-        F.when(parsed, _entry("line_items", "total", n=F.size("_listed"))), F.when(parsed, _entry("line_items", "by_split", F.col("_split"), F.size("_listed"))),
+        F.when(parsed, _entry("line_items", "total", n=F.size("_cells"))), F.when(parsed, _entry("line_items", "by_split", F.col("_split"), F.size("_cells"))),
         F.when(parsed, _entry("menu_shape", menu_shape(F.col("_menu")))),
-        F.when(F.size("_listed") > 0, _entry("document_field_presence", "line_items")),
-        *[F.when(parsed & J.is_present(J.get(section(c), key)), _entry("document_field_presence", name)) for name, c, key in PRESENCE],
-        F.when(F.col("error").isNotNull(), _entry("adapter_error_details", F.col("error"))),
+        F.when(F.size("_cells") > 0, _entry("document_field_presence", "line_items")),
+        *[F.when(parsed & F.col(f"{c}_is.object") & cell(c, key)["present"], _entry("document_field_presence", name)) for name, c, key in PRESENCE],
+        F.when(F.col("error").isNotNull(), _entry("adapter_error_details", code)),
         *[F.when(F.col("error").isNull(), _entry("document_field_statuses", name, F.col(f"{name}.status"))) for name in DOCUMENT_FIELDS],
     ]
     for c, key in [*[("_sub", k) for k in AMOUNT_KEYS], ("_tot", "total_price")]:
-        entries += [F.when(parsed, e) for e in _formats(J.get(section(c), key), "amount", amount_format, parse_grouped_amount)]
-    per_item = F.flatten(F.transform("_listed", lambda x: F.array(
-        *[F.when(J.is_present(J.get(x, key)), _entry("line_item_field_presence", name)) for name, key in ITEM_KEYS],
-        *_formats(J.get(x, "cnt"), "quantity", quantity_format, parse_quantity), *_formats(J.get(x, "unitprice"), "amount", amount_format, parse_grouped_amount), *_formats(J.get(x, "price"), "amount", amount_format, parse_grouped_amount),
+        entries += [F.when(parsed & F.col(f"{c}_is.object"), e) for e in _formats(cell(c, key), "amount", amount_format, parse_grouped_amount)]
+    per_item = F.flatten(F.transform("_cells", lambda x: F.array(
+        *[F.when(x[key]["present"], _entry("line_item_field_presence", name)) for name, key in ITEM_KEYS],
+        *_formats(x["cnt"], "quantity", quantity_format, parse_quantity), *_formats(x["unitprice"], "amount", amount_format, parse_grouped_amount), *_formats(x["price"], "amount", amount_format, parse_grouped_amount),
     )))
     statuses = F.when(F.col("error").isNull(), F.flatten(F.transform("line_items", lambda x: F.array(*[_entry("line_item_field_statuses", name, x[name]["status"]) for name in ITEM_FIELDS]))))
     every = F.filter(F.concat(F.array(*entries), per_item, F.coalesce(statuses, F.array().cast("array<struct<section:string,key:string,subkey:string,n:bigint>>"))), lambda e: e.isNotNull())
-    counted = df.select(F.explode(every).alias("e")).select("e.*").groupBy("section", "key", "subkey").agg(F.sum("n").alias("n"))
+    first = [F.min("_order").alias("first")] if order else []
+    counted = df.select(F.explode(every).alias("e"), *(["_order"] if order else [])).select("e.*", *(["_order"] if order else [])).groupBy("section", "key", "subkey").agg(F.sum("n").alias("n"), *first)
     # a few hundred rows: the denominators come from among them
     of = lambda s, k: F.max(F.when((F.col("section") == s) & (F.col("key") == k) & F.col("subkey").isNull(), F.col("n"))).over(W.partitionBy())
     counted = counted.withColumn("_docs", of("documents", "valid_json")).withColumn("_items", of("line_items", "total"))
     share = F.when(F.col("section") == "document_field_presence", rate(F.col("n"), F.col("_docs"))).when(F.col("section") == "line_item_field_presence", rate(F.col("n"), F.col("_items")))
-    return counted.select("section", "key", "subkey", "n", share.alias("rate"))
+    return counted.select("section", "key", "subkey", "n", share.alias("rate"), *(["first"] if order else []))
 
 
 def items_per_document(annotations: DataFrame, text: str = "ground_truth") -> DataFrame:
     """One row: min, max, mean (3 digits), median, p95 (nearest rank) of line items over documents with a gt_parse object; nulls if there are none."""
-    df = opened(annotations.select(text), text).where(J.is_object(F.col("_gt"))).select(F.size(F.coalesce("_items", F.array().cast("array<variant>"))).alias("n"))
+    df = opened(annotations.select(text), text).where("_gt_is.object").select(F.size(F.coalesce("_items", F.array().cast("array<variant>"))).alias("n"))
     return df.agg(F.min("n").alias("min"), F.max("n").alias("max"), F.bround(F.avg("n"), 3).alias("mean"), F.median("n").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n)").cast("bigint").alias("p95"))
 
 
 def error_examples(annotations: DataFrame, order: str, text: str = "ground_truth", most: int = 50) -> DataFrame:
-    """The first ``most`` documents, by ``order``, that the adapter rejects past gt_parse: document_id, error, context (JSON)."""
-    df = adapted(opened(annotations.select(order, text), text)).where(F.col("error").isNotNull() & J.is_object(F.col("_gt")))
-    meta = F.col("_meta")
-    odd = F.flatten(F.transform(F.coalesce("_items", F.array().cast("array<variant>")), lambda x, i: F.array(*[F.when(~J.absent(J.get(x, key)) & ~J.is_text(J.get(x, key)), F.struct(i.alias("index"), F.lit(key).alias("field"), F.to_json(J.get(x, key)).alias("value"))) for _, key in ITEM_KEYS])))
-    shown = lambda c, keys: F.when(~J.absent(F.col(c)) & ~J.is_object(F.col(c)), F.to_json(F.col(c))).otherwise(F.to_json(F.map_from_entries(F.filter(F.array(*[F.when(J.get(F.col(c), k).isNotNull() & (~J.is_text(J.get(F.col(c), k)) | (F.trim(J.text_at(F.col(c), f"$.{k}")) == "-")), F.struct(F.lit(k), F.to_json(J.get(F.col(c), k)))) for k in keys]), lambda e: e.isNotNull()))))
-    context = F.to_json(F.struct(F.filter(odd, lambda e: e.isNotNull()).alias("non_string_item_fields"), shown("_sub", AMOUNT_KEYS).alias("sub_total"), shown("_tot", ("total_price",)).alias("total")))
-    own = F.concat(F.lit("cord-"), F.when(J.is_object(meta), split_name(meta)).otherwise("unknown"), F.lit("-"), F.coalesce(J.text_at(meta, "$.image_id"), F.lit("unknown")))
-    return df.select(order, own.alias("document_id"), "error", context.alias("context")).orderBy(order).limit(most)
+    """The first ``most`` documents, by ``order``, that the adapter rejects past gt_parse: document_id, error, context: JSON of the
+    values that may be why, as they are; a key without any is left out."""
+    df = adapted(opened(annotations.select(order, text), text)).where(F.col("error").isNotNull() & F.col("_gt_is.object"))
+    df = df.select(order, "error", "_meta", "_meta_is", "_items", "_sub", "_tot", "_sub_is", "_tot_is").orderBy(order).limit(most)
+    some = lambda x: F.when(F.size(x) > 0, x)
+
+    def odd_value(x: Column, i: Column, key: str) -> Column:
+        return let(J.get(x, key), lambda v: F.when(~J.absent(v) & ~J.is_text(v), F.struct(i.alias("index"), F.lit(key).alias("field"), v.alias("value"))))
+
+    odd_item = lambda x, i: F.array(*[odd_value(x, i, key) for _, key in ITEM_KEYS])
+    odd = F.filter(F.flatten(F.transform(F.coalesce("_items", F.array().cast("array<variant>")), odd_item)), lambda e: e.isNotNull())
+
+    def unusual_value(c: str, k: str) -> Column:
+        return let(J.get(F.col(c), k), lambda v: F.when(v.isNotNull() & (~J.is_text(v) | (normalize_text(J.text_at(v, "$")) == "-")), F.struct(F.lit(k).alias("k"), v.alias("v"))))
+
+    def shown(c: str, keys: tuple[str, ...]) -> Column:
+        unusual = F.to_json(F.map_from_entries(F.filter(F.array(*[unusual_value(c, k) for k in keys]), lambda e: e.isNotNull())))
+        return F.when(F.col(f"{c}_is.object"), F.when(unusual != "{}", F.try_parse_json(unusual))).when(~F.col(f"{c}_is.absent"), F.col(c))
+
+    context = F.to_json(F.struct(some(odd).alias("non_string_item_fields"), shown("_sub", AMOUNT_KEYS).alias("sub_total"), shown("_tot", ("total_price",)).alias("total")))
+    own = F.concat(F.lit("cord-"), F.when(F.col("_meta_is.object"), split_name(F.col("_meta"))).otherwise("unknown"), F.lit("-"), F.coalesce(J.text_at(F.col("_meta"), "$.image_id"), F.lit("unknown")))
+    return df.select(order, own.alias("document_id"), "error", context.alias("context"))
 
 
 def profile_report(annotations: DataFrame, order: str | None = None, text: str = "ground_truth") -> dict:
-    """The whole profile as nested dicts; only counts and at most 50 examples reach the driver."""
+    """The whole profile as nested dicts; only counts and at most 50 examples reach the driver. Errors stand by number, ties in the order in
+    which they are first met by ``order``, by name without it."""
     out: dict = {}
-    for r in profile_rows(annotations, text).collect():
+    first: dict = {}
+    for r in profile_rows(annotations, text, order).collect():
+        first[r.section, r.key] = r["first"] if order else r.key
         at = out.setdefault(r.section, {})
         if r.subkey is None:
             at[r.key] = r.n if r.rate is None else {"count": r.n, "rate": r.rate}
         else:
             at.setdefault(r.key, {})[r.subkey] = r.n
     for name in ("normalization_errors", "adapter_error_details"):
-        out[name] = dict(sorted(out.get(name, {}).items(), key=lambda kv: (-kv[1], kv[0])))
+        out[name] = dict(sorted(out.get(name, {}).items(), key=lambda kv, name=name: (-kv[1], first[name, kv[0]], kv[0])))
     out.setdefault("line_items", {})["per_document"] = items_per_document(annotations, text).first().asDict()
     if order:
-        out["adapter_error_examples"] = [r.asDict() for r in error_examples(annotations, order, text).drop(order).collect()]
+        rows = error_examples(annotations, order, text).drop(order).collect()
+        out["adapter_error_examples"] = [r.asDict() | {"context": json.loads(r.context)} for r in rows]
     return out
 
 

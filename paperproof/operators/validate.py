@@ -7,7 +7,8 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperproof.functions.numbers import beyond
+from paperproof.functions import variant as J
+from paperproof.functions.numbers import beyond, let
 from paperproof.plans.schema import DOCUMENT_FIELDS, ERROR, INFO, ITEM_FIELDS, POLICY_VERSION, UNCERTAIN, UNREADABLE, WARNING, is_extracted
 
 ISSUE = "struct<code:string,severity:string,field_paths:array<string>,message:string>"
@@ -89,13 +90,13 @@ def decision(found: Column) -> Column:
     """struct<requires_review, reasons, policy_version>: any warning or error asks for review; reasons are distinct and sorted."""
     reason = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in REASON_OF for v in pair]), x["code"]), F.lit("validation_error"))
     reasons = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x["severity"] != INFO), reason)))
-    return F.struct((F.size(reasons) > 0).alias("requires_review"), reasons.alias("reasons"), F.lit(POLICY_VERSION).alias("policy_version"))
+    return let(reasons, lambda x: F.struct((F.size(x) > 0).alias("requires_review"), x.alias("reasons"), F.lit(POLICY_VERSION).alias("policy_version")))
 
 
 def validate(receipts: DataFrame, **settings) -> DataFrame:
     """receipts with validation_issues and decision. A row without line_items counts as one with none."""
     whole = receipts.withColumn("line_items", F.coalesce("line_items", F.array().cast(receipts.schema["line_items"].dataType)))
-    return whole.withColumn("validation_issues", issues(**settings)).withColumn("decision", decision(F.col("validation_issues")))
+    return J.bound(whole, validation_issues=issues(**settings)).withColumn("decision", decision(F.col("validation_issues")))
 
 
 def issue_rows(validated: DataFrame) -> DataFrame:

@@ -121,10 +121,52 @@ ORACLE["baseline_slots"] = f"""WITH {LINES} SELECT CAST(f3.k AS VARCHAR) AS docu
   FROM f3 LEFT JOIN tf a ON a.k = f3.k AND a.idx = si LEFT JOIN tf b ON b.k = f3.k AND b.idx = ti LEFT JOIN tf c ON c.k = f3.k AND c.idx = gi"""
 ORACLE["baseline_items"] = f"""WITH {LINES} SELECT CAST(k AS VARCHAR) AS document_id, idx, CASE WHEN x.q <> '' THEN x.d ELSE regexp_extract(text, '^(.+?) +[0-9,]+$', 1) END AS description,
   TRY_CAST(x.q AS DOUBLE) AS quantity, TRY_CAST(replace(x.u, ',', '.') AS DOUBLE) AS unit_price, amount AS line_total FROM it"""
-ORACLE["currency_detect"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 3 < 2 THEN 'EUR' END AS currency, CASE k % 3 WHEN 0 THEN 'in EUR bezahlt' WHEN 1 THEN 'in € bezahlt' END AS raw_text FROM gd"
+ORACLE["currency_detect"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 3 < 2 THEN 'EUR' END AS currency, CASE k % 3 WHEN 0 THEN '  in  EUR bezahlt ' WHEN 1 THEN 'in   € bezahlt' END AS raw_text FROM gd"
 ORACLE["ocr_lines"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, i AS line_idx, descr || ' ' || replace(CAST(lt AS VARCHAR), '.', ',') AS text, (90 + 80 + k % 10) / 2 AS confidence FROM gi"
 ORACLE["model_json_adapt"] = f"""WITH {ADAPT}, m AS (SELECT *, CASE k % 19 WHEN 0 THEN 'total.status unknown' WHEN 1 THEN 'invalid_json' WHEN 6 THEN 'line_items not a list' END AS e, k % 19 AS h FROM ad)
 SELECT CAST(k AS VARCHAR) AS document_id, e AS error, CASE WHEN e IS NULL THEN n_items END AS n_items, CASE WHEN e IS NULL THEN CASE WHEN tax IS NULL THEN 'not_present' ELSE 'extracted' END END AS tax_status, CASE WHEN e IS NULL THEN CAST(tax AS DOUBLE) END AS tax,
   CASE WHEN e IS NULL THEN CASE h WHEN 4 THEN 'uncertain' WHEN 5 THEN 'unreadable' ELSE 'extracted' END END AS total_status, CASE WHEN e IS NULL AND h NOT IN (4, 5) THEN CAST({_DUE} AS DOUBLE) END AS total,
   CASE WHEN e IS NULL THEN CASE h WHEN 3 THEN 'uncertain' ELSE 'extracted' END END AS currency_status, CASE WHEN e IS NULL AND h <> 3 THEN 'EUR' END AS currency FROM m"""
 ORACLE["receipt_faults"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency: not a code' AS fault FROM pd WHERE k % 5 = 0 AND currency IS NOT NULL"
+
+CANONICAL = BASE + """,
+cr AS (SELECT k, k % 23 NOT IN (0, 1, 2, 3, 4, 6, 7) AS ok, n, CASE WHEN total_status IN ('extracted', 'uncertain') THEN CAST(total AS DOUBLE) END AS total FROM pt)"""
+ORACLE["schema_valid"] = f"WITH {CANONICAL} SELECT CAST(k AS VARCHAR) AS id, ok AS schema_valid, CASE WHEN ok THEN CAST(k AS VARCHAR) END AS document_id, CASE WHEN ok THEN n END AS n_items, CASE WHEN ok THEN total END AS total FROM cr"
+ORACLE["schema_valid_rate"] = f"WITH {CANONICAL} SELECT count(*) AS documents, count(*) FILTER (WHERE ok) AS valid, round(avg(CAST(ok AS INT)), 9) AS rate FROM cr"
+
+# The annotation texts are made as the fixture makes them; from there on, JSON is parsed and nothing of how it was made is used.
+PROFILE = BASE + r""",
+an AS (SELECT k, CASE k % 29 WHEN 0 THEN '{invalid' WHEN 1 THEN '{"gt_parse":5}' ELSE '{"gt_parse":{"menu":' || CASE WHEN n = 1 THEN listed ELSE '[' || listed || ']' END || ',"sub_total":'
+    || CASE WHEN k % 29 = 3 THEN '[{"subtotal_price":"1"}]' ELSE '{"subtotal_price":' || CASE k % 29 WHEN 4 THEN '["' || subtotal || '","' || subtotal || '"]' WHEN 5 THEN '["' || subtotal || '","7"]' WHEN 6 THEN '"-"' ELSE '"' || subtotal || '"' END
+      || coalesce(',"tax_price":"' || tax || '"', '') || '}' END
+    || ',"total":{"total_price":' || CASE WHEN k % 29 = 8 THEN '"10%"' ELSE '"' || CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) || '"' END || '}},"meta":{"split":"' || CASE k % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END || '"'
+    || CASE WHEN k % 29 = 7 THEN '' ELSE ',"image_id":' || k END || '}}' END AS t
+  FROM gd JOIN (SELECT k, count(*) AS n, string_agg('{"nm":"  ' || descr || '","cnt":"' || CAST(q AS INT) || ' x","unitprice":"Rp ' || u || '","price":' || CASE WHEN k % 29 = 2 AND i = 0 THEN '5' ELSE '"' || replace(CAST(lt AS VARCHAR), '.', ',') || '"' END || '}', ',' ORDER BY i) AS listed FROM gi GROUP BY k) USING (k)),
+js AS (SELECT k, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM an),
+jd AS (SELECT k, j, coalesce(json_type(j) = 'OBJECT', false) AS valid, coalesce(json_type(j, '$.gt_parse') = 'OBJECT', false) AS parsed, CASE WHEN json_type(j, '$.meta') = 'OBJECT' THEN coalesce(j ->> '$.meta.split', 'unknown') ELSE 'unknown' END AS split,
+    j -> '$.gt_parse.menu' AS menu, j -> '$.gt_parse.sub_total' AS sub, j -> '$.gt_parse.total' AS tot, j ->> '$.meta.image_id' AS image FROM js),
+jl AS (SELECT *, CASE json_type(menu) WHEN 'OBJECT' THEN [menu] WHEN 'ARRAY' THEN CAST(menu AS JSON[]) ELSE [] END AS items FROM jd),
+ji AS (SELECT k, unnest(items) AS x, unnest(range(len(items))) AS i FROM jl WHERE parsed),
+cells AS (SELECT k, -1 AS i, name, key, sub -> key AS v FROM jl, (VALUES ('subtotal', 'subtotal_price'), ('tax', 'tax_price'), ('discount', 'discount_price'), ('service_charge', 'service_price'), ('other_service_charge', 'othersvc_price'), ('subtotal_other', 'etc')) AS f(name, key) WHERE parsed AND json_type(sub) = 'OBJECT'
+  UNION ALL SELECT k, -1, 'total', 'total_price', tot -> 'total_price' FROM jl WHERE parsed AND json_type(tot) = 'OBJECT'
+  UNION ALL SELECT k, i, name, key, x -> key FROM ji, (VALUES ('description', 'nm'), ('quantity', 'cnt'), ('unit_price', 'unitprice'), ('line_total', 'price')) AS f(name, key)),
+cs AS (SELECT *, v IS NOT NULL AND json_type(v) <> 'NULL' AND CAST(v AS VARCHAR) NOT IN ('""', '[]', '{}') AS present, coalesce(json_type(v) = 'VARCHAR', false) AS is_text, v ->> '$' AS txt,
+    CASE json_type(v) WHEN 'VARCHAR' THEN [v ->> '$'] WHEN 'ARRAY' THEN CAST(v AS VARCHAR[]) END AS pieces FROM cells),
+er AS (SELECT jl.k, CASE WHEN NOT valid THEN CASE WHEN j IS NULL THEN 'invalid_json' ELSE 'json_root_not_object' END WHEN NOT parsed THEN 'missing_or_invalid_gt_parse' WHEN image IS NULL THEN 'no document id' ELSE 'menu[' || bad.i || '].' || bad.key || ' not text' END AS error
+  FROM jl LEFT JOIN (SELECT k, arg_min(i, i) AS i, arg_min(key, i) AS key FROM cs WHERE i >= 0 AND v IS NOT NULL AND pieces IS NULL GROUP BY k) AS bad USING (k)),
+st AS (SELECT cs.*, list_filter(pieces, lambda x: trim(x) NOT IN ('', '-')) AS said, list_distinct(list_transform(list_filter(pieces, lambda x: trim(x) NOT IN ('', '-') AND NOT contains(x, '%') AND regexp_matches(x, '[0-9]')), lambda x: CAST(translate(regexp_extract(x, '[-+]?[0-9][0-9.,]*'), '.,', '') AS BIGINT))) AS vals FROM cs JOIN er USING (k) WHERE error IS NULL),
+status AS (SELECT i, name, CASE WHEN v IS NULL OR len(said) = 0 THEN 'not_present' WHEN name = 'description' OR len(vals) = 1 THEN 'extracted' ELSE 'not_annotated' END AS status FROM st WHERE name IN ('subtotal', 'tax', 'total') OR i >= 0
+  UNION ALL SELECT -1, unnest(['subtotal', 'tax']), 'not_annotated' FROM jl JOIN er USING (k) WHERE error IS NULL AND json_type(sub) = 'ARRAY' UNION ALL SELECT -1, 'currency', 'not_annotated' FROM er WHERE error IS NULL),
+forms AS (SELECT CASE WHEN name = 'quantity' THEN 'quantity' ELSE 'amount' END AS what, present, is_text, txt, lower(regexp_replace(txt, '\s', '', 'g')) AS tight FROM cs WHERE name NOT IN ('description', 'subtotal_other')),
+en AS (SELECT 'documents' AS section, unnest(['total', CASE WHEN valid THEN 'valid_json' END, CASE WHEN error IS NULL THEN 'adapter_successes' ELSE 'adapter_errors' END]) AS key, NULL AS subkey, 1 AS n FROM jl JOIN er USING (k)
+  UNION ALL SELECT 'documents', 'by_split', split, 1 FROM jl WHERE valid UNION ALL SELECT 'line_items', 'total', NULL, len(items) FROM jl WHERE parsed UNION ALL SELECT 'line_items', 'by_split', split, len(items) FROM jl WHERE parsed
+  UNION ALL SELECT 'menu_shape', CASE json_type(menu) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' ELSE 'missing' END, NULL, 1 FROM jl WHERE parsed
+  UNION ALL SELECT 'document_field_presence', 'line_items', NULL, 1 FROM jl WHERE parsed AND len(items) > 0 UNION ALL SELECT CASE WHEN i < 0 THEN 'document' ELSE 'line_item' END || '_field_presence', name, NULL, 1 FROM cs WHERE present
+  UNION ALL SELECT 'adapter_error_details', error, NULL, 1 FROM er WHERE error IS NOT NULL UNION ALL SELECT CASE WHEN i < 0 THEN 'document' ELSE 'line_item' END || '_field_statuses', name, status, 1 FROM status
+  UNION ALL SELECT 'normalization_errors', what || '_not_string', NULL, 1 FROM forms WHERE present AND NOT is_text UNION ALL SELECT 'normalization_errors', what || '_unparseable', NULL, 1 FROM forms WHERE present AND is_text AND NOT regexp_matches(txt, '[0-9]')
+  UNION ALL SELECT 'amount_formats', CASE WHEN contains(txt, ',') AND contains(txt, '.') THEN 'mixed_separators' WHEN contains(txt, ',') THEN 'comma' WHEN contains(txt, '.') THEN 'dot' ELSE 'digits_only' END || CASE WHEN regexp_matches(txt, '[^0-9\s.,+-]') THEN '_with_affix' ELSE '_plain' END, NULL, 1 FROM forms WHERE what = 'amount' AND present AND is_text
+  UNION ALL SELECT 'quantity_formats', CASE WHEN regexp_matches(tight, '^[0-9]+$') THEN 'integer' WHEN regexp_matches(tight, '^[0-9]+[.,][0-9]+$') THEN 'decimal' WHEN regexp_matches(tight, 'x[0-9]') THEN 'x_before_number' WHEN regexp_matches(tight, '[0-9]([.,][0-9]+)?x') THEN 'x_after_number' ELSE 'other' END, NULL, 1 FROM forms WHERE what = 'quantity' AND present AND is_text),
+counted AS (SELECT section, key, subkey, CAST(sum(n) AS BIGINT) AS n FROM en WHERE key IS NOT NULL GROUP BY ALL)"""
+ORACLE["profile_counts"] = f"""WITH {PROFILE} SELECT section, key, subkey, n, CASE section WHEN 'document_field_presence' THEN round_even(n / (SELECT n FROM counted WHERE section = 'documents' AND key = 'valid_json'), 4)
+  WHEN 'line_item_field_presence' THEN round_even(n / (SELECT n FROM counted WHERE section = 'line_items' AND key = 'total'), 4) END AS rate FROM counted"""
+ORACLE["annotation_errors"] = f"""WITH {PROFILE} SELECT k, CASE error WHEN 'missing_or_invalid_gt_parse' THEN 'gt_parse not an object' WHEN 'json_root_not_object' THEN 'root not an object' ELSE error END AS error FROM er WHERE error IS NOT NULL"""

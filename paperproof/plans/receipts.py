@@ -32,7 +32,8 @@ def _money(value: Column, status="extracted", **more) -> Column:
 
 
 def _receipt(docs: DataFrame, items: Column, subtotal: Column, tax: Column, total: Column, currency: Column) -> DataFrame:
-    return docs.select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("k").cast("string").alias("document_id"), items.alias("line_items"), subtotal.alias("subtotal"), tax.alias("tax"), total.alias("total"), currency.alias("currency"))
+    more = [c for c in docs.columns if c in ("g", "source")]
+    return docs.select(*more, F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("k").cast("string").alias("document_id"), items.alias("line_items"), subtotal.alias("subtotal"), tax.alias("tax"), total.alias("total"), currency.alias("currency"))
 
 
 def truth(docs: DataFrame) -> DataFrame:
@@ -65,3 +66,10 @@ def predictions(docs: DataFrame) -> DataFrame:
     total = _money(F.when(~k17.isin(0, 1), due).otherwise(none), F.when(k17 == 0, NOT_PRESENT).when(k17 == 1, UNREADABLE).when(k17 == 3, UNCERTAIN).otherwise(EXTRACTED), confidence=F.when(F.col("k") % 13 == 0, 0.3))
     currency = F.when(F.col("customer") % 5 == 1, text_field(NOT_PRESENT)).otherwise(text_field(EXTRACTED, F.when(F.col("customer") % 5 == 0, "USD").otherwise("EUR")))
     return _receipt(docs, items, _money(subtotal), tax, total, currency)
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """document_id, p, g: prediction and truth of each document, made of one row, so that orders are read and gathered once."""
+    both = truth(docs.withColumn("source", F.struct("*")))
+    both = both.select(F.struct("line_items", "subtotal", "tax", "total", "currency").alias("g"), "source.*")
+    return predictions(both).select("document_id", F.struct("line_items", "subtotal", "tax", "total", "currency").alias("p"), "g")

@@ -81,7 +81,8 @@ def faults() -> Column:
 
 
 def as_json() -> Column:
-    """A receipt as JSON text; decimals are their texts, with the digits they were read with."""
-    dec = lambda f: F.struct(f["value_text"].alias("value"), *[f[n].alias(n) for n in ("raw_text", "status", "confidence", "evidence")])
-    item = lambda x: F.struct(x["description"].alias("description"), *[dec(x[n]).alias(n) for n in ITEM_FIELDS[1:]])
-    return F.to_json(F.struct("schema_version", "document_id", F.transform("line_items", item).alias("line_items"), *[dec(F.col(n)).alias(n) for n in DOCUMENT_FIELDS[:3]], "currency"), {"ignoreNullFields": "false"})
+    """A receipt as JSON text; decimals are their texts, with the digits they were read with; without evidence its list is empty."""
+    evidence = lambda f: F.coalesce(f["evidence"], F.array().cast(f"array<{EVIDENCE}>")).alias("evidence")
+    field = lambda f, value: F.struct(f[value].alias("value"), *[f[n].alias(n) for n in ("raw_text", "status", "confidence")], evidence(f))
+    item = lambda x: F.struct(*[field(x[n], "value" if n == "description" else "value_text").alias(n) for n in ITEM_FIELDS])
+    return F.to_json(F.struct("schema_version", "document_id", F.transform("line_items", item).alias("line_items"), *[field(F.col(n), "value" if n == "currency" else "value_text").alias(n) for n in DOCUMENT_FIELDS]), {"ignoreNullFields": "false"})

@@ -37,7 +37,7 @@ def text_lines(docs: DataFrame) -> DataFrame:
     total; by k mod 3 a line with a currency code (0), a symbol (1) or none."""
     item = lambda x, i: F.when(i % 2 == 0, F.concat(x["descr"], F.lit(" "), x["q"].cast("int").cast("string"), F.lit(" x "), comma(x["u"]), F.lit(" "), comma(x["lt"]))).otherwise(F.concat(x["descr"], F.lit("  "), comma(x["lt"])))
     due = (F.col("subtotal") + F.coalesce("tax", F.lit(0).cast("decimal(18,2)"))).cast("decimal(18,2)")
-    tail = F.array(F.concat(F.lit("Zwischensumme "), comma(F.col("subtotal"))), F.concat(F.lit("MwSt 19% "), comma(F.col("tax"))), F.concat(F.lit("Gesamt "), comma(due)), F.when(F.col("k") % 7 == 0, "Gesamt 99,99"), F.when(F.col("k") % 3 == 0, "in EUR bezahlt").when(F.col("k") % 3 == 1, "in € bezahlt"), F.lit("   "))
+    tail = F.array(F.concat(F.lit("Zwischensumme "), comma(F.col("subtotal"))), F.concat(F.lit("MwSt 19% "), comma(F.col("tax"))), F.concat(F.lit("Gesamt "), comma(due)), F.when(F.col("k") % 7 == 0, "Gesamt 99,99"), F.when(F.col("k") % 3 == 0, "  in  EUR bezahlt ").when(F.col("k") % 3 == 1, "in   € bezahlt"), F.lit("   "))
     every = F.concat(F.transform("lines", item), F.filter(tail, lambda x: x.isNotNull()))
     return docs.select(F.col("k").cast("string").alias("document_id"), F.posexplode(every).alias("line_idx", "text"), F.lit(90.0).alias("confidence"))
 

@@ -7,15 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def manifest_paths(manifest: list[dict], key: str = "url") -> list[str]:
-    """The paths that a manifest, a list of objects, names. One that isn't a list, or is empty, is an error."""
-    if not isinstance(manifest, list) or not manifest:
-        raise ValueError("a manifest must be a list with an entry at least")
-    return [entry[key] for entry in manifest]
+def manifest_entries(manifest: list[dict] | dict, files: str = "parquet_files") -> list[dict]:
+    """The entries of a manifest: a list of objects, or an object that holds one. One without entries is an error."""
+    entries = manifest.get(files) if isinstance(manifest, dict) else manifest
+    if not isinstance(entries, list) or not entries or not all(isinstance(e, dict) for e in entries):
+        raise ValueError("a manifest must list an entry at least, each an object")
+    return entries
 
 
-def read_annotations(spark: SparkSession, paths: Sequence[str], column: str = "ground_truth") -> DataFrame:
-    """The annotation column alone of Parquet files that may hold images beside it; the scan reads nothing else."""
+def manifest_paths(manifest: list[dict] | dict, key: str = "url") -> list[str]:
+    """The paths that a manifest names, in order; an entry without one is an error that says which."""
+    entries = manifest_entries(manifest)
+    if missing := [i for i, e in enumerate(entries) if not isinstance(e.get(key), str) or not e[key]]:
+        raise ValueError(f"manifest entry {missing[0]} has no {key}")
+    return [e[key] for e in entries]
+
+
+def source_block(manifest: list[dict] | dict, columns: Sequence[str], dataset: str | None = None) -> dict:
+    """What a report says of its source: data set, number of files, summed advertised bytes (entries without a size count as 0), columns."""
+    entries = manifest_entries(manifest)
+    return {"dataset": dataset or (manifest.get("dataset") if isinstance(manifest, dict) else None), "files": len(entries), "advertised_bytes": sum(int(e.get("size") or 0) for e in entries), "columns": list(columns)}
+
+
+def read_annotations(spark: SparkSession, paths: Sequence[str], *columns: str) -> DataFrame:
+    """The annotation column (ground_truth, if none is named) of Parquet files that may hold images beside it; the scan reads nothing else."""
     if not paths:
         raise ValueError("no annotation files")
-    return spark.read.parquet(*paths).select(column)
+    return spark.read.parquet(*paths).select(*columns or ("ground_truth",))

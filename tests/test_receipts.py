@@ -1,5 +1,6 @@
 """Operators on small cases: numbers, text, validation, evaluation, lines, model answers, profile, stream."""
 
+import json
 from decimal import Decimal
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from paperproof.functions import numbers as N
 from paperproof.functions import text as X
 from paperproof.operators import annotation as A
+from paperproof.operators import canonical as C
 from paperproof.operators import evaluate as E
 from paperproof.operators import ocr_lines as L
 from paperproof.operators import profile as P
@@ -126,6 +128,13 @@ def test_annotation_errors_and_profile(spark, tmp_path):
     report = P.profile_report(df, order="ord")
     assert report["documents"]["total"] == 7 and report["documents"]["valid_json"] == 3 and report["adapter_error_details"]["invalid_json"] == 3
     assert report["line_items"]["per_document"]["max"] == 1 and len(report["adapter_error_examples"]) == 2
+    assert list(report["adapter_error_details"]) == ["invalid_json", "json_root_not_object", "menu not objects", "menu[0].price not text"]
+    assert [e["context"] for e in report["adapter_error_examples"]] == [{}, {"non_string_item_fields": [{"index": 0, "field": "price", "value": 5}]}]
+    odd = '{"gt_parse":{"menu":[{"nm":["a"],"price":5}],"sub_total":{"tax_price":" - ","etc":"-","service_price":["1",2]},"total":[3]},"meta":{"image_id":2,"split":"test"}}'
+    odd = spark.createDataFrame([(2, '{"gt_parse":{"menu":4},"meta":{"image_id":1}}'), (1, '{"gt_parse":7}'), (3, odd)], "ord int, ground_truth string")
+    report = P.profile_report(odd, order="ord")
+    assert list(report["adapter_error_details"]) == ["missing_or_invalid_gt_parse", "menu not objects", "menu[0].price not text"]
+    assert report["adapter_error_examples"][1] == {"document_id": "cord-test-2", "error": "menu[0].price not text", "context": {"non_string_item_fields": [{"index": 0, "field": "nm", "value": ["a"]}, {"index": 0, "field": "price", "value": 5}], "sub_total": {"tax_price": " - ", "service_price": ["1", 2]}, "total": [3]}}
     P.write_report(report, str(tmp_path / "a" / "r.json"))
     assert (tmp_path / "a" / "r.json").read_text().endswith("}\n")
 
@@ -148,12 +157,104 @@ def test_model_client(spark):
 
 
 def test_manifest():
-    assert SA.manifest_paths([{"url": "a"}]) == ["a"]
-    for bad in ([], {}):
+    assert SA.manifest_paths([{"url": "a"}]) == SA.manifest_paths({"parquet_files": [{"url": "a"}]}) == ["a"]
+    assert SA.source_block({"dataset": "d", "parquet_files": [{"url": "a", "size": 3}, {"url": "b", "size": 4}]}, ["x"]) == {"dataset": "d", "files": 2, "advertised_bytes": 7, "columns": ["x"]}
+    with pytest.raises(ValueError, match="entry 1 has no url"):
+        SA.manifest_paths([{"url": "a"}, {"size": 1}])
+    for bad in ([], {}, {"parquet_files": []}, "x"):
         with pytest.raises(ValueError, match="manifest"):
             SA.manifest_paths(bad)
 
 
+def test_report_command(spark, tmp_path, capsys):
+    from paperproof import cli
+
+    rows = [('{"gt_parse":{"menu":[{"nm":"a","price":"5"}],"total":{"total_price":"5"}},"meta":{"image_id":1}}', 1), ("x", 2)]
+    spark.createDataFrame(rows, "ground_truth string, n int").write.parquet(str(tmp_path / "in"))
+    (tmp_path / "m.json").write_text(json.dumps({"dataset": "receipts", "parquet_files": [{"url": str(tmp_path / "in"), "size": 12}]}))
+    stop, spark.__class__.stop = spark.__class__.stop, lambda self: None
+    try:
+        assert cli.main(["--manifest", str(tmp_path / "m.json"), "--output", str(tmp_path / "r.json"), "--order", "n"]) == 0
+    finally:
+        spark.__class__.stop = stop
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert report["source"] == {"dataset": "receipts", "files": 1, "advertised_bytes": 12, "columns": ["ground_truth", "n"]} and report["documents"]["total"] == 2
+    assert "2 documents" in capsys.readouterr().out
+
+
+ANSWERS = [
+    (200, {"candidates": []}, "no candidates"), (200, {}, "no candidates"), (200, {"candidates": [{"content": {"parts": [{"text": "  "}]}}]}, "empty answer"), (200, {"candidates": [{"content": {"parts": [{"text": "{no"}]}}]}, "answer not JSON"),
+    (200, {"candidates": [{"content": {"parts": [{"text": "[1]"}]}}]}, "answer not an object"), (500, "down", 'http 500: "down"'), (0, "no answer: lost", 'http 0: "no answer: lost"'), (400, {"error": {"message": "bad key"}}, "http 400: bad key"),
+]
+
+
+def test_faulty_answers(spark):
+    df = spark.createDataFrame([(str(i), code, json.dumps(body)) for i, (code, body, _) in enumerate(ANSWERS)], "document_id string, status_code int, body string")
+    assert [r.call_error for r in MC.unwrapped(df).orderBy("document_id").collect()] == [e for *_, e in ANSWERS]
+    assert MC.unwrapped(df).where("raw IS NOT NULL").count() == 0
+
+
+def test_calls_are_tried_again():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    codes = [503, 429, 200, 404]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(codes.pop(0))
+            self.end_headers()
+            self.wfile.write(b'{"ok": 1}' if len(codes) == 1 else b"plain")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert MC.post_json(url, {}, {"a": 1}, pause=0.01) == MC.HttpResponse(200, {"ok": 1})
+    assert MC.post_json(url, {}, {"a": 1}, pause=0.01) == MC.HttpResponse(404, "plain")
+    server.shutdown()
+    server.server_close()
+    assert MC.post_json(url, {}, {}, pause=0.01).status_code == 0
+
+
+def test_words_and_currency_keep_their_inner_spaces(spark):
+    words = spark.createDataFrame([("d", 0, 0, 0, "\t a  b \u3000", 90.0)], "document_id string, word_idx int, top long, left long, text string, conf double")
+    assert L.lines_from_words(words).first().text == "a  b"
+    lines = spark.createDataFrame([("a", 0, "  paid   in  EUR ", 1.0)], "document_id string, line_idx int, text string, confidence double")
+    assert L.extract_baseline(lines).first().currency.raw_text == "  paid   in  EUR "
+    data = spark.createDataFrame([("p", [1, 1], [2, 1], ["b", "a"], ["95", "85"])], "document_id string, top array<int>, left array<int>, text array<string>, conf array<string>")
+    assert [r.text for r in L.lines_from_words(SI.words_from_columns(data)).collect()] == ["a b"]
+
+
+def test_same_and_exact_differ(spark):
+    ev = E.evaluate_documents(receipt(spark, {"currency": txt(" eur")}), receipt(spark, {}, {"document_id": "alone"}))
+    r = E.report(ev).first()
+    assert (r.field_accuracy["currency"], r.field_exact_match_rate["currency"]) == (1.0, 0.0)
+    assert [tuple(x) for x in E.unmatched(receipt(spark, {}), receipt(spark, {}, {"document_id": "alone"})).collect()] == [("alone", "truth")]
+
+
+def test_canonical_json_is_read_back_whole_or_not_at_all(spark):
+    whole = receipt(spark, {"total": dec("8.12", confidence=0.5), "tax": NONE}).select("*", S.as_json().alias("raw"))
+    text = whole.first().raw
+    ev = [{"page": 1, "text": "t", "bounding_box": {"left": 0, "top": 0, "right": 1, "bottom": 2}}]
+    change = lambda f: json.dumps(f(json.loads(text)))
+    cases = [(text, True), ("{", False), ("[]", False), (None, False), ('{"document_id":"x","currency":{"status":"not_a_real_status"}}', False)]
+    cases += [(change(lambda r: r | {"more": 1}), False), (change(lambda r: {k: v for k, v in r.items() if k != "tax"}), False), (change(lambda r: {k: v for k, v in r.items() if k not in ("schema_version", "line_items")}), True)]
+    cases += [(change(lambda r: r | {"total": {"status": "extracted", "value": v}}), ok) for v, ok in (("8.1", True), (8.1, True), ("x", False), (None, False), ([], False))]
+    cases += [(change(lambda r: r | {"total": r["total"] | {"evidence": e}}), ok) for e, ok in ((ev, True), ([], True), (None, False), ([{"text": ""}], False), ([{"page": 1}], False), ([ev[0] | {"x": 1}], False), ([ev[0] | {"bounding_box": {"left": 0}}], False))]
+    cases += [(change(lambda r: r | {"line_items": v}), ok) for v, ok in (([], True), (None, False), ([1], False), ([{}], False), ({}, False))]
+    cases += [(change(lambda r: r | {"document_id": 5}), False), (change(lambda r: r | {"schema_version": "2"}), False), (change(lambda r: r | {"total": r["total"] | {"confidence": "high"}}), False), (change(lambda r: r | {"total": r["total"] | {"confidence": 2}}), False)]
+    got = C.read_receipts(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, raw string"))
+    rows = got.orderBy("i").collect()
+    assert [r.schema_valid for r in rows] == [ok for _, ok in cases]
+    assert all((r.document_id is not None) == r.schema_valid == (r.total is not None) for r in rows)
+    assert got.where("i = 0").select(S.as_json()).first()[0] == text
+    assert tuple(C.schema_valid_rate(got).first()) == (len(cases), sum(ok for _, ok in cases), pytest.approx(sum(ok for _, ok in cases) / len(cases)))
+
+
 def test_stream(spark, tmp_path):
     from paperproof.streaming import receipts as ST
 
