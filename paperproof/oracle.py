@@ -32,10 +32,10 @@ BASE = """li AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_order
 gi AS (SELECT *, CAST(CAST(q AS DECIMAL(38,2)) * u AS DECIMAL(18,2)) AS lt, (31 * k + 7 * i) % 23 AS h FROM li),
 gd AS (SELECT k, o_custkey AS customer, subtotal, CASE WHEN k % 4 <> 0 THEN CAST(round(subtotal * CAST(0.19 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) END AS tax
     FROM (SELECT k, CAST(sum(lt) AS DECIMAL(18,2)) AS subtotal FROM gi GROUP BY k) JOIN orders ON o_orderkey = k),
-pi AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS i, descr, q, u, lt + CASE WHEN h = 0 THEN 1 ELSE 0 END AS lt, h <> 3 AS has_d, h <> 1 AS has_q, h <> 2 AS has_t, h = 3 AS doubt FROM gi WHERE h <> 4),
-pd AS (SELECT k, subtotal + CASE k % 17 WHEN 4 THEN 0.01 WHEN 5 THEN 0.02 ELSE 0 END AS subtotal, tax, CASE WHEN k % 17 NOT IN (0, 1) THEN subtotal + coalesce(tax, 0) + CASE WHEN k % 17 = 2 THEN 5 ELSE 0 END END AS total,
+pi AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS i, CASE WHEN h = 5 THEN upper(descr) ELSE descr END AS descr, q, u, lt + CASE WHEN h = 0 THEN 1 ELSE 0 END AS lt, h <> 3 AS has_d, h <> 1 AS has_q, h <> 2 AS has_t, h = 3 AS doubt FROM gi WHERE h <> 4),
+pd AS (SELECT k, gd.subtotal + CASE k % 17 WHEN 4 THEN 0.01 WHEN 5 THEN 0.02 ELSE 0 END AS subtotal, CASE WHEN k % 19 <> 7 THEN gd.tax END AS tax, CASE WHEN k % 17 NOT IN (0, 1) THEN gd.subtotal + coalesce(gd.tax, 0) + CASE WHEN k % 17 = 2 THEN 5 ELSE 0 END END AS total,
     CASE k % 17 WHEN 0 THEN 'not_present' WHEN 1 THEN 'unreadable' WHEN 3 THEN 'uncertain' ELSE 'extracted' END AS total_status, k % 13 = 0 AS low,
-    CASE customer % 5 WHEN 0 THEN 'USD' WHEN 1 THEN NULL ELSE 'EUR' END AS currency FROM gd),
+    CASE customer % 5 WHEN 0 THEN 'USD' WHEN 1 THEN NULL ELSE CASE WHEN k % 19 = 8 THEN 'eur' ELSE 'EUR' END END AS currency FROM gd),
 ps AS (SELECT k, count(*) AS n, CASE WHEN bool_and(has_t) THEN sum(lt) END AS summed FROM pi GROUP BY k),
 pt AS (SELECT pd.*, coalesce(n, 0) AS n, summed FROM pd LEFT JOIN ps USING (k)),
 v1 AS (SELECT k, CASE WHEN total_status = 'unreadable' THEN 'UNREADABLE_CRITICAL_FIELD' ELSE 'MISSING_CRITICAL_FIELD' END AS code, 'total' AS field_path FROM pd WHERE total_status <> 'extracted'
@@ -67,9 +67,9 @@ ma AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ps, CAST([] AS
     UNION ALL SELECT so.k, so.n, CASE WHEN f THEN list_append(ps, so.p) ELSE ps END, CASE WHEN f THEN list_append(gs, so.g) ELSE gs END, CASE WHEN f THEN so.p END, CASE WHEN f THEN so.g END
       FROM ma JOIN so ON so.k = ma.k AND so.n = ma.n + 1, LATERAL (SELECT NOT list_contains(ps, so.p) AND NOT list_contains(gs, so.g) AS f) AS t),
 mm AS (SELECT k, p, g FROM ma WHERE p IS NOT NULL),
-mc AS (SELECT k, count(*) AS matched, bool_and(has_d AND has_t AND has_q AND pi.descr = gi.descr AND pi.lt = gi.lt AND pi.q = gi.q AND pi.u = gi.u) AS alike FROM mm JOIN pi ON pi.k = mm.k AND pi.i = mm.p JOIN gi ON gi.k = mm.k AND gi.i = mm.g GROUP BY ALL),
-ev AS (SELECT pt.k, pt.n AS np, (SELECT count(*) FROM gi WHERE gi.k = pt.k) AS ng, coalesce(matched, 0) AS m, coalesce(alike, true) AS alike, pt.subtotal = gd.subtotal AS c_subtotal, true AS c_tax,
-      coalesce(total_status = 'extracted' AND total = gd.subtotal + coalesce(gd.tax, 0), false) AS c_total, coalesce(currency = 'EUR', false) AS c_currency, requires_review,
+mc AS (SELECT k, count(*) AS matched, bool_and(has_d AND has_t AND has_q AND lower(pi.descr) = lower(gi.descr) AND pi.lt = gi.lt AND pi.q = gi.q AND pi.u = gi.u) AS alike FROM mm JOIN pi ON pi.k = mm.k AND pi.i = mm.p JOIN gi ON gi.k = mm.k AND gi.i = mm.g GROUP BY ALL),
+ev AS (SELECT pt.k, pt.n AS np, (SELECT count(*) FROM gi WHERE gi.k = pt.k) AS ng, coalesce(matched, 0) AS m, coalesce(alike, true) AS alike, pt.subtotal = gd.subtotal AS c_subtotal, pt.tax IS NOT DISTINCT FROM gd.tax AS c_tax,
+      coalesce(total_status = 'extracted' AND total = gd.subtotal + coalesce(gd.tax, 0), false) AS c_total, coalesce(lower(currency) = 'eur', false) AS c_currency, coalesce(currency = 'EUR', false) AS e_currency, requires_review,
       EXISTS (SELECT 1 FROM v3 WHERE v3.k = pt.k) OR EXISTS (SELECT 1 FROM v4 WHERE v4.k = pt.k) AS arithmetic
     FROM pt JOIN gd USING (k) JOIN dec USING (k) LEFT JOIN mc USING (k)),
 es AS (SELECT *, CASE WHEN np > 0 THEN m / np END AS precision, CASE WHEN ng > 0 THEN m / ng END AS recall FROM ev),
@@ -79,37 +79,17 @@ EVALUATION = EVALUATION.replace("mc AS (SELECT k,", "mc AS (SELECT mm.k,").repla
 ORACLE["item_pair_scores"] = f"WITH RECURSIVE {EVALUATION} SELECT CAST(k AS VARCHAR) AS document_id, p, g, CAST(score AS BIGINT) AS score FROM sc WHERE score > 0"
 ORACLE["item_matching"] = f"WITH RECURSIVE {EVALUATION} SELECT CAST(k AS VARCHAR) AS document_id, p, g FROM mm"
 ORACLE["pr_f1"] = f"WITH RECURSIVE {EVALUATION} SELECT CAST(k AS VARCHAR) AS document_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, fully_correct FROM ef"
-ORACLE["field_accuracy"] = f"WITH RECURSIVE {EVALUATION} " + " UNION ALL ".join(f"SELECT '{n}' AS field_path, count(*) AS evaluable, round(avg(CAST(c_{n} AS INT)), 9) AS accuracy, round(avg(CAST(c_{n} AS INT)), 9) AS exact_match_rate FROM ef" for n in ("subtotal", "tax", "total", "currency"))
-_RATES = ", ".join(f"round(avg(CAST(c_{n} AS INT)), 9) AS {n}_{s}" for s in ("accuracy", "exact") for n in ("subtotal", "tax", "total", "currency"))
+ORACLE["field_accuracy"] = f"WITH RECURSIVE {EVALUATION} " + " UNION ALL ".join(f"SELECT '{n}' AS field_path, count(*) AS evaluable, round(avg(CAST(c_{n} AS INT)), 9) AS accuracy, round(avg(CAST({'e' if n == 'currency' else 'c'}_{n} AS INT)), 9) AS exact_match_rate FROM ef" for n in ("subtotal", "tax", "total", "currency"))
+_RATES = ", ".join(f"round(avg(CAST({'e' if n == 'currency' and s == 'exact' else 'c'}_{n} AS INT)), 9) AS {n}_{s}" for s in ("accuracy", "exact") for n in ("subtotal", "tax", "total", "currency"))
 ORACLE["evaluation_report"] = f"""WITH RECURSIVE {EVALUATION} SELECT count(*) AS documents, {_RATES}, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f1), 9) AS f1,
   round(avg(CAST(NOT arithmetic AS INT)), 9) AS arithmetic_consistency_rate, round(avg(CAST(NOT requires_review AS INT)), 9) AS coverage, round(avg(CAST(NOT fully_correct AS INT)) FILTER (WHERE NOT requires_review), 9) AS false_accept_rate FROM ef"""
 
-_DUE = "CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2))"
-ADAPT = BASE + """,
-ai AS (SELECT k, count(*) AS n_items, string_agg(descr, '|' ORDER BY i) AS names, sum(CAST(lt * 100 AS DOUBLE)) AS summed, sum(CAST(q AS DOUBLE)) AS quantities FROM gi GROUP BY k),
-ad AS (SELECT gd.*, ai.n_items, names, summed, quantities, 'cord-' || CASE k % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END || '-' || k AS document_id,
-  CASE k % 29 WHEN 3 THEN 'not_annotated' WHEN 5 THEN 'not_annotated' WHEN 6 THEN 'not_present' ELSE 'extracted' END AS subtotal_status,
-  CASE WHEN k % 29 = 3 THEN 'not_annotated' WHEN tax IS NULL THEN 'not_present' ELSE 'extracted' END AS tax_status, CASE k % 29 WHEN 8 THEN 'not_annotated' ELSE 'extracted' END AS total_status,
-  CASE k % 29 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'gt_parse not an object' WHEN 2 THEN 'menu[0].price not text' WHEN 7 THEN 'no document id' END AS error FROM gd JOIN ai USING (k))"""
-ORACLE["annotation_adapt"] = f"""WITH {ADAPT} SELECT k, document_id, n_items, names, summed, quantities, subtotal_status, CASE WHEN subtotal_status = 'extracted' THEN CAST(subtotal * 100 AS DOUBLE) END AS subtotal,
-  tax_status, CASE WHEN tax_status = 'extracted' THEN CAST(tax * 100 AS DOUBLE) END AS tax, total_status, CASE WHEN total_status = 'extracted' THEN CAST({_DUE} * 100 AS DOUBLE) END AS total FROM ad WHERE error IS NULL"""
-ORACLE["annotation_errors"] = f"WITH {ADAPT} SELECT k, error FROM ad WHERE error IS NOT NULL"
-ORACLE["profile_presence"] = f"""WITH {ADAPT}, v AS (SELECT * FROM ad WHERE k % 29 NOT IN (0, 1)), n AS (SELECT (SELECT count(*) FROM ad WHERE k % 29 <> 0) AS docs, (SELECT sum(n_items) FROM v) AS items),
-p AS (SELECT 'document_field_presence' AS section, 'line_items' AS key, count(*) AS n FROM v UNION ALL SELECT 'document_field_presence', 'subtotal', count(*) FROM v WHERE k % 29 <> 3
-  UNION ALL SELECT 'document_field_presence', 'tax', count(*) FROM v WHERE k % 29 <> 3 AND tax IS NOT NULL UNION ALL SELECT 'document_field_presence', 'total', count(*) FROM v
-  UNION ALL SELECT 'line_item_field_presence', unnest(['description', 'quantity', 'unit_price', 'line_total']), items FROM n)
-SELECT section, key, CAST(p.n AS BIGINT) AS n, round_even(p.n / CASE section WHEN 'document_field_presence' THEN docs ELSE items END, 4) AS rate FROM p, n"""
-ORACLE["profile_status"] = f"""WITH {ADAPT}, g AS (SELECT * FROM ad WHERE error IS NULL) SELECT key, subkey, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'subtotal' AS key, subtotal_status AS subkey, 1 AS n FROM g UNION ALL SELECT 'tax', tax_status, 1 FROM g
-  UNION ALL SELECT 'total', total_status, 1 FROM g UNION ALL SELECT 'currency', 'not_annotated', 1 FROM g UNION ALL SELECT unnest(['description', 'quantity', 'unit_price', 'line_total']), 'extracted', n_items FROM g) GROUP BY ALL"""
-ORACLE["profile_distribution"] = f"""WITH {ADAPT} SELECT min(n_items) AS min_items, max(n_items) AS max_items, CAST(quantile_disc(n_items, 0.95) AS BIGINT) AS p95_items, round_even(avg(n_items), 3) AS mean_items, median(n_items) AS median_items
-  FROM ad WHERE k % 29 NOT IN (0, 1)"""
-ORACLE["error_examples_top50"] = f"""WITH {ADAPT} SELECT k, CASE WHEN k % 29 = 7 THEN regexp_replace(document_id, '[0-9]+$', 'unknown') ELSE document_id END AS document_id, error FROM ad WHERE k % 29 IN (2, 7) ORDER BY k LIMIT 50"""
-
 LINES = BASE + """,
-tl AS (SELECT k, i AS idx, CASE WHEN i % 2 = 0 THEN descr || ' ' || CAST(q AS INT) || ' x ' || replace(CAST(u AS VARCHAR), '.', ',') || ' ' || replace(CAST(lt AS VARCHAR), '.', ',') ELSE descr || ' ' || replace(CAST(lt AS VARCHAR), '.', ',') END AS text FROM gi
+rl AS (SELECT k, i AS idx, CASE WHEN i % 2 = 0 THEN descr || ' ' || CAST(q AS INT) || ' x ' || replace(CAST(u AS VARCHAR), '.', ',') || ' ' || replace(CAST(lt AS VARCHAR), '.', ',') ELSE descr || '  ' || replace(CAST(lt AS VARCHAR), '.', ',') END AS line FROM gi
   UNION ALL SELECT k, 1000, 'Zwischensumme ' || replace(CAST(subtotal AS VARCHAR), '.', ',') FROM gd UNION ALL SELECT k, 1001, 'MwSt 19% ' || replace(CAST(tax AS VARCHAR), '.', ',') FROM gd WHERE tax IS NOT NULL
   UNION ALL SELECT k, 1002, 'Gesamt ' || replace(CAST(CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) AS VARCHAR), '.', ',') FROM gd UNION ALL SELECT k, 1003, 'Gesamt 99,99' FROM gd WHERE k % 7 = 0
-  UNION ALL SELECT k, 1004, CASE k % 3 WHEN 0 THEN 'in EUR bezahlt' ELSE 'in € bezahlt' END FROM gd WHERE k % 3 < 2),
+  UNION ALL SELECT k, 1004, 'Karte  usd  angenommen' FROM gd WHERE k % 5 = 0 UNION ALL SELECT k, 1005, CASE k % 3 WHEN 0 THEN '  in  EUR bezahlt ' ELSE 'in   € bezahlt' END FROM gd WHERE k % 3 < 2 UNION ALL SELECT k, 1006, '   ' FROM gd),
+tl AS (SELECT k, idx, line, trim(regexp_replace(line, ' +', ' ', 'g')) AS text FROM rl WHERE trim(line) <> ''),
 ta AS (SELECT *, TRY_CAST(replace(regexp_extract(text, '(-?[0-9][0-9.,]*)$', 1), ',', '.') AS DOUBLE) AS amount FROM tl),
 tf AS (SELECT *, amount IS NOT NULL AND regexp_matches(lower(text), 'zwischensumme|subtotal|netto') AS s, amount IS NOT NULL AND regexp_matches(lower(text), 'mwst|ust|steuer|tax|vat') AS t,
   amount IS NOT NULL AND regexp_matches(lower(text), 'gesamtbetrag|endbetrag|gesamt|total|zu zahlen') AS g FROM ta),
@@ -121,16 +101,45 @@ ORACLE["baseline_slots"] = f"""WITH {LINES} SELECT CAST(f3.k AS VARCHAR) AS docu
   FROM f3 LEFT JOIN tf a ON a.k = f3.k AND a.idx = si LEFT JOIN tf b ON b.k = f3.k AND b.idx = ti LEFT JOIN tf c ON c.k = f3.k AND c.idx = gi"""
 ORACLE["baseline_items"] = f"""WITH {LINES} SELECT CAST(k AS VARCHAR) AS document_id, idx, CASE WHEN x.q <> '' THEN x.d ELSE regexp_extract(text, '^(.+?) +[0-9,]+$', 1) END AS description,
   TRY_CAST(x.q AS DOUBLE) AS quantity, TRY_CAST(replace(x.u, ',', '.') AS DOUBLE) AS unit_price, amount AS line_total FROM it"""
-ORACLE["currency_detect"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 3 < 2 THEN 'EUR' END AS currency, CASE k % 3 WHEN 0 THEN '  in  EUR bezahlt ' WHEN 1 THEN 'in   € bezahlt' END AS raw_text FROM gd"
-ORACLE["ocr_lines"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, i AS line_idx, descr || ' ' || replace(CAST(lt AS VARCHAR), '.', ',') AS text, (90 + 80 + k % 10) / 2 AS confidence FROM gi"
-ORACLE["model_json_adapt"] = f"""WITH {ADAPT}, m AS (SELECT *, CASE k % 19 WHEN 0 THEN 'total.status unknown' WHEN 1 THEN 'invalid_json' WHEN 6 THEN 'line_items not a list' END AS e, k % 19 AS h FROM ad)
-SELECT CAST(k AS VARCHAR) AS document_id, e AS error, CASE WHEN e IS NULL THEN n_items END AS n_items, CASE WHEN e IS NULL THEN CASE WHEN tax IS NULL THEN 'not_present' ELSE 'extracted' END END AS tax_status, CASE WHEN e IS NULL THEN CAST(tax AS DOUBLE) END AS tax,
-  CASE WHEN e IS NULL THEN CASE h WHEN 4 THEN 'uncertain' WHEN 5 THEN 'unreadable' ELSE 'extracted' END END AS total_status, CASE WHEN e IS NULL AND h NOT IN (4, 5) THEN CAST({_DUE} AS DOUBLE) END AS total,
-  CASE WHEN e IS NULL THEN CASE h WHEN 3 THEN 'uncertain' ELSE 'extracted' END END AS currency_status, CASE WHEN e IS NULL AND h <> 3 THEN 'EUR' END AS currency FROM m"""
-ORACLE["receipt_faults"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency: not a code' AS fault FROM pd WHERE k % 5 = 0 AND currency IS NOT NULL"
+ORACLE["currency_detect"] = rf"""WITH {LINES}, sy AS (SELECT k, idx, line, CASE WHEN contains(line, '€') THEN 'EUR' WHEN contains(line, '$') THEN 'USD' WHEN contains(line, '£') THEN 'GBP' END AS symbol, nullif(regexp_extract(upper(line), '\b(EUR|USD|GBP|CHF)\b'), '') AS code FROM tl),
+fi AS (SELECT k, min(idx) FILTER (WHERE symbol IS NOT NULL) AS si, min(idx) FILTER (WHERE code IS NOT NULL) AS ci FROM sy GROUP BY k)
+SELECT CAST(fi.k AS VARCHAR) AS document_id, CASE WHEN si IS NULL THEN code ELSE symbol END AS currency, line AS raw_text FROM fi LEFT JOIN sy ON sy.k = fi.k AND sy.idx = coalesce(si, ci)"""
+# Words run into the line of the first word within 10 pixels above; each step of the recursion places one more word of every page.
+ORACLE["ocr_lines"] = f"""WITH RECURSIVE {BASE}, pw AS (SELECT k, CASE WHEN k % 4 = 1 THEN 6 ELSE 20 END * i AS y, i, descr, lt FROM gi),
+w AS (SELECT k, y + k % 7 AS top, 200 AS lft, 4 * i AS word_idx, replace(CAST(lt AS VARCHAR), '.', ',') AS text, 80 + k % 10 AS conf FROM pw UNION ALL SELECT k, y + i % 5, 10, 4 * i + 1, ' ' || replace(descr, ' ', '  ') || chr(9), 90 FROM pw
+  UNION ALL SELECT k, y, 5, 4 * i + 2, '  ', 99 FROM pw UNION ALL SELECT k, y, 400, 4 * i + 3, '?', -1 FROM pw),
+o AS (SELECT k, top, lft, trim(text, ' ' || chr(9)) AS text, conf, row_number() OVER (PARTITION BY k ORDER BY top, lft, word_idx) AS n FROM w WHERE trim(text, ' ' || chr(9)) <> '' AND conf >= 0),
+pl AS (SELECT k, n, top AS anchor FROM o WHERE n = 1 UNION ALL SELECT o.k, o.n, CASE WHEN abs(o.top - anchor) <= 10 THEN anchor ELSE o.top END FROM pl JOIN o ON o.k = pl.k AND o.n = pl.n + 1)
+SELECT CAST(k AS VARCHAR) AS document_id, dense_rank() OVER (PARTITION BY k ORDER BY anchor) - 1 AS line_idx, string_agg(text, ' ' ORDER BY lft, n) AS text, avg(CAST(conf AS DOUBLE)) AS confidence FROM pl JOIN o USING (k, n) GROUP BY k, anchor"""
+# The answers are made as the fixture makes them; from there on, their JSON is parsed.
+_ANSWER = """'{"status":"' || {status} || '","value":' || coalesce('"' || {value} || '"', 'null') || '}'"""
+_SAY = lambda status, value: _ANSWER.replace("{status}", status).replace("{value}", value)
+_COMMA = lambda x: f"replace(CAST({x} AS VARCHAR), '.', ',')"
+MODEL = BASE + rf""",
+mt AS (SELECT k, CASE WHEN k % 19 = 1 THEN 'sorry' ELSE '{{"line_items":' || CASE WHEN k % 19 = 6 THEN '7' ELSE '[' || listed || ']' END || ',"subtotal":' || {_SAY("'extracted'", _COMMA("subtotal"))} || ',"tax":' || {_SAY("CASE WHEN tax IS NULL THEN 'not_present' ELSE 'extracted' END", _COMMA("tax"))}
+    || ',"total":' || {_SAY("CASE k % 19 WHEN 0 THEN 'guessed' WHEN 5 THEN 'unreadable' ELSE 'extracted' END", "CASE k % 19 WHEN 4 THEN 'n/a' WHEN 5 THEN NULL ELSE " + _COMMA("CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2))") + " END")}
+    || ',"currency":' || {_SAY("'extracted'", "CASE k % 19 WHEN 2 THEN ' eur ' WHEN 3 THEN '€' ELSE 'EUR' END")} || '}}' END AS t
+  FROM gd JOIN (SELECT k, string_agg('{{"description":' || {_SAY("'extracted'", "descr")} || ',"quantity":{{"status":"not_present","value":null}},"unit_price":' || {_SAY("'uncertain'", _COMMA("u"))} || ',"line_total":' || {_SAY("'extracted'", _COMMA("lt"))} || '}}', ',' ORDER BY i) AS listed FROM gi GROUP BY k) USING (k)),
+mj AS (SELECT k, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM mt),
+ml AS (SELECT k, j, CASE WHEN json_type(j, '$.line_items') = 'ARRAY' THEN CAST(j -> '$.line_items' AS JSON[]) END AS items FROM mj),
+mi AS (SELECT k, unnest(items) AS x, unnest(range(len(items))) AS i FROM ml),
+mf AS (SELECT k, i, ord, 'line_items[' || i || '].' || name AS path, x -> name AS f FROM mi, (VALUES (0, 'description'), (1, 'quantity'), (2, 'unit_price'), (3, 'line_total')) AS n(ord, name)
+  UNION ALL SELECT k, 1000000, ord, name, j -> name FROM ml, (VALUES (0, 'subtotal'), (1, 'tax'), (2, 'total'), (3, 'currency')) AS n(ord, name)),
+ms AS (SELECT *, f ->> '$.status' AS status, CASE WHEN json_type(f, '$.value') = 'VARCHAR' AND trim(f ->> '$.value') <> '' THEN f ->> '$.value' END AS raw FROM mf),
+mw AS (SELECT k, arg_min(path || CASE WHEN json_type(f) = 'OBJECT' THEN '.status unknown' ELSE ' not an object' END, i * 10 + ord) AS bad FROM ms WHERE json_type(f) IS DISTINCT FROM 'OBJECT' OR status IS NULL OR status NOT IN ('extracted', 'not_present', 'uncertain', 'unreadable') GROUP BY k),
+me AS (SELECT k, items, CASE WHEN j IS NULL THEN 'invalid_json' WHEN json_type(j) <> 'OBJECT' THEN 'root not an object' WHEN items IS NULL THEN 'line_items not a list' ELSE bad END AS error FROM ml LEFT JOIN mw USING (k)),
+mp AS (SELECT *, regexp_extract(raw, '[-+]?[0-9][0-9.,]*') AS token, upper(trim(raw)) AS code FROM ms JOIN me USING (k) WHERE error IS NULL AND i = 1000000),
+mn AS (SELECT *, TRY_CAST(CASE WHEN contains(token, ',') AND contains(token, '.') THEN CASE WHEN instr(reverse(token), ',') < instr(reverse(token), '.') THEN replace(replace(token, '.', ''), ',', '.') ELSE replace(token, ',', '') END
+    WHEN contains(token, ',') THEN replace(token, ',', '.') WHEN instr(reverse(token), '.') = 4 THEN replace(token, '.', '') ELSE token END AS DOUBLE) AS number FROM mp),
+mr AS (SELECT k, path, CASE WHEN status IN ('not_present', 'unreadable') THEN status WHEN raw IS NULL OR path <> 'currency' AND number IS NULL OR path = 'currency' AND status = 'extracted' AND NOT regexp_matches(code, '^\p{{L}}{{3}}$') THEN 'uncertain' ELSE status END AS state,
+    CASE WHEN status NOT IN ('not_present', 'unreadable') THEN raw END AS raw, number, CASE WHEN status <> 'extracted' THEN trim(raw) WHEN regexp_matches(code, '^\p{{L}}{{3}}$') THEN code END AS code FROM mn)"""
+_PICK = lambda what, name: f"any_value({what}) FILTER (WHERE path = '{name}')"
+ORACLE["model_json_adapt"] = f"""WITH {MODEL} SELECT CAST(me.k AS VARCHAR) AS document_id, any_value(error) AS error, CASE WHEN any_value(error) IS NULL THEN any_value(len(items)) END AS n_items, {_PICK("state", "tax")} AS tax_status, {_PICK("number", "tax")} AS tax,
+  {_PICK("state", "total")} AS total_status, {_PICK("number", "total")} AS total, {_PICK("raw", "total")} AS total_raw, {_PICK("state", "currency")} AS currency_status, {_PICK("code", "currency")} AS currency, {_PICK("raw", "currency")} AS currency_raw FROM me LEFT JOIN mr USING (k) GROUP BY me.k"""
+ORACLE["receipt_faults"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency: not a code' AS fault FROM pd WHERE k % 5 = 0 AND currency IS NOT NULL OR currency <> upper(currency)"
 
 CANONICAL = BASE + """,
-cr AS (SELECT k, k % 23 NOT IN (0, 1, 2, 3, 4, 6, 7) AS ok, n, CASE WHEN total_status IN ('extracted', 'uncertain') THEN CAST(total AS DOUBLE) END AS total FROM pt)"""
+cr AS (SELECT k, k % 23 NOT IN (0, 1, 2, 3, 4, 6, 7) AND coalesce(currency = upper(currency), true) AS ok, n, CASE WHEN total_status IN ('extracted', 'uncertain') THEN CAST(total AS DOUBLE) END AS total FROM pt)"""
 ORACLE["schema_valid"] = f"WITH {CANONICAL} SELECT CAST(k AS VARCHAR) AS id, ok AS schema_valid, CASE WHEN ok THEN CAST(k AS VARCHAR) END AS document_id, CASE WHEN ok THEN n END AS n_items, CASE WHEN ok THEN total END AS total FROM cr"
 ORACLE["schema_valid_rate"] = f"WITH {CANONICAL} SELECT count(*) AS documents, count(*) FILTER (WHERE ok) AS valid, round(avg(CAST(ok AS INT)), 9) AS rate FROM cr"
 
@@ -139,7 +148,7 @@ PROFILE = BASE + r""",
 an AS (SELECT k, CASE k % 29 WHEN 0 THEN '{invalid' WHEN 1 THEN '{"gt_parse":5}' ELSE '{"gt_parse":{"menu":' || CASE WHEN n = 1 THEN listed ELSE '[' || listed || ']' END || ',"sub_total":'
     || CASE WHEN k % 29 = 3 THEN '[{"subtotal_price":"1"}]' ELSE '{"subtotal_price":' || CASE k % 29 WHEN 4 THEN '["' || subtotal || '","' || subtotal || '"]' WHEN 5 THEN '["' || subtotal || '","7"]' WHEN 6 THEN '"-"' ELSE '"' || subtotal || '"' END
       || coalesce(',"tax_price":"' || tax || '"', '') || '}' END
-    || ',"total":{"total_price":' || CASE WHEN k % 29 = 8 THEN '"10%"' ELSE '"' || CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) || '"' END || '}},"meta":{"split":"' || CASE k % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END || '"'
+    || ',"total":{"total_price":' || CASE WHEN k % 29 = 8 THEN '"10%"' WHEN k % 29 = 9 THEN '7' ELSE '"' || CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) || '"' END || '}},"meta":{"split":"' || CASE k % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END || '"'
     || CASE WHEN k % 29 = 7 THEN '' ELSE ',"image_id":' || k END || '}}' END AS t
   FROM gd JOIN (SELECT k, count(*) AS n, string_agg('{"nm":"  ' || descr || '","cnt":"' || CAST(q AS INT) || ' x","unitprice":"Rp ' || u || '","price":' || CASE WHEN k % 29 = 2 AND i = 0 THEN '5' ELSE '"' || replace(CAST(lt AS VARCHAR), '.', ',') || '"' END || '}', ',' ORDER BY i) AS listed FROM gi GROUP BY k) USING (k)),
 js AS (SELECT k, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM an),
@@ -151,12 +160,15 @@ cells AS (SELECT k, -1 AS i, name, key, sub -> key AS v FROM jl, (VALUES ('subto
   UNION ALL SELECT k, -1, 'total', 'total_price', tot -> 'total_price' FROM jl WHERE parsed AND json_type(tot) = 'OBJECT'
   UNION ALL SELECT k, i, name, key, x -> key FROM ji, (VALUES ('description', 'nm'), ('quantity', 'cnt'), ('unit_price', 'unitprice'), ('line_total', 'price')) AS f(name, key)),
 cs AS (SELECT *, v IS NOT NULL AND json_type(v) <> 'NULL' AND CAST(v AS VARCHAR) NOT IN ('""', '[]', '{}') AS present, coalesce(json_type(v) = 'VARCHAR', false) AS is_text, v ->> '$' AS txt,
-    CASE json_type(v) WHEN 'VARCHAR' THEN [v ->> '$'] WHEN 'ARRAY' THEN CAST(v AS VARCHAR[]) END AS pieces FROM cells),
-er AS (SELECT jl.k, CASE WHEN NOT valid THEN CASE WHEN j IS NULL THEN 'invalid_json' ELSE 'json_root_not_object' END WHEN NOT parsed THEN 'missing_or_invalid_gt_parse' WHEN image IS NULL THEN 'no document id' ELSE 'menu[' || bad.i || '].' || bad.key || ' not text' END AS error
-  FROM jl LEFT JOIN (SELECT k, arg_min(i, i) AS i, arg_min(key, i) AS key FROM cs WHERE i >= 0 AND v IS NOT NULL AND pieces IS NULL GROUP BY k) AS bad USING (k)),
-st AS (SELECT cs.*, list_filter(pieces, lambda x: trim(x) NOT IN ('', '-')) AS said, list_distinct(list_transform(list_filter(pieces, lambda x: trim(x) NOT IN ('', '-') AND NOT contains(x, '%') AND regexp_matches(x, '[0-9]')), lambda x: CAST(translate(regexp_extract(x, '[-+]?[0-9][0-9.,]*'), '.,', '') AS BIGINT))) AS vals FROM cs JOIN er USING (k) WHERE error IS NULL),
-status AS (SELECT i, name, CASE WHEN v IS NULL OR len(said) = 0 THEN 'not_present' WHEN name = 'description' OR len(vals) = 1 THEN 'extracted' ELSE 'not_annotated' END AS status FROM st WHERE name IN ('subtotal', 'tax', 'total') OR i >= 0
-  UNION ALL SELECT -1, unnest(['subtotal', 'tax']), 'not_annotated' FROM jl JOIN er USING (k) WHERE error IS NULL AND json_type(sub) = 'ARRAY' UNION ALL SELECT -1, 'currency', 'not_annotated' FROM er WHERE error IS NULL),
+    CASE json_type(v) WHEN 'VARCHAR' THEN [v ->> '$'] WHEN 'ARRAY' THEN CAST(v AS VARCHAR[]) END AS pieces,
+    CASE WHEN i >= 0 THEN i * 4 + list_position(['nm', 'cnt', 'unitprice', 'price'], key) WHEN name IN ('subtotal', 'tax', 'total') THEN 1000000 + list_position(['subtotal', 'tax', 'total'], name) END AS ord FROM cells),
+er AS (SELECT jl.k, CASE WHEN NOT valid THEN CASE WHEN j IS NULL THEN 'invalid_json' ELSE 'json_root_not_object' END WHEN NOT parsed THEN 'missing_or_invalid_gt_parse' WHEN image IS NULL THEN 'no document id' ELSE bad.error END AS error
+  FROM jl LEFT JOIN (SELECT k, arg_min(CASE WHEN name = 'total' THEN 'total.' || key || ' not text' WHEN i < 0 THEN 'sub_total.' || key || ' not text' WHEN key = 'nm' THEN 'text field not text' ELSE 'menu[' || i || '].' || key || ' not text' END, ord) AS error FROM cs WHERE ord IS NOT NULL AND v IS NOT NULL AND pieces IS NULL GROUP BY k) AS bad USING (k)),
+st AS (SELECT cs.*, list_filter(pieces, lambda x: trim(x) NOT IN ('', '-')) AS said, list_distinct(list_filter(list_transform(list_filter(pieces, lambda x: trim(x) NOT IN ('', '-') AND (name = 'quantity' OR NOT contains(x, '%')) AND regexp_matches(x, '[0-9]')),
+    lambda x: CASE WHEN name = 'quantity' THEN CAST(replace(regexp_extract(x, '[-+]?[0-9]+([.,][0-9]+)?'), ',', '.') AS DOUBLE) ELSE CAST(translate(regexp_extract(x, '[-+]?[0-9][0-9.,]*'), '.,', '') AS DOUBLE) END), lambda y: name <> 'quantity' OR y > 0)) AS vals FROM cs JOIN er USING (k) WHERE error IS NULL),
+status AS (SELECT k, i, name, CASE WHEN v IS NULL OR len(said) = 0 THEN 'not_present' WHEN name = 'description' OR len(vals) = 1 THEN 'extracted' ELSE 'not_annotated' END AS status, vals[1] AS value, array_to_string(pieces, ' | ') AS raw_text, array_to_string(list_transform(said, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), ' ') AS words FROM st WHERE name IN ('subtotal', 'tax', 'total') OR i >= 0
+  UNION ALL SELECT k, -1, name, CASE json_type(sec) WHEN 'ARRAY' THEN 'not_annotated' ELSE 'not_present' END, NULL, CASE json_type(sec) WHEN 'ARRAY' THEN CAST(sec AS VARCHAR) END, NULL FROM (SELECT k, unnest(['subtotal', 'tax', 'total']) AS name, unnest([sub, sub, tot]) AS sec FROM jl JOIN er USING (k) WHERE error IS NULL) WHERE json_type(sec) IS DISTINCT FROM 'OBJECT'
+  UNION ALL SELECT k, -1, 'currency', 'not_annotated', NULL, NULL, NULL FROM er WHERE error IS NULL),
 forms AS (SELECT CASE WHEN name = 'quantity' THEN 'quantity' ELSE 'amount' END AS what, present, is_text, txt, lower(regexp_replace(txt, '\s', '', 'g')) AS tight FROM cs WHERE name NOT IN ('description', 'subtotal_other')),
 en AS (SELECT 'documents' AS section, unnest(['total', CASE WHEN valid THEN 'valid_json' END, CASE WHEN error IS NULL THEN 'adapter_successes' ELSE 'adapter_errors' END]) AS key, NULL AS subkey, 1 AS n FROM jl JOIN er USING (k)
   UNION ALL SELECT 'documents', 'by_split', split, 1 FROM jl WHERE valid UNION ALL SELECT 'line_items', 'total', NULL, len(items) FROM jl WHERE parsed UNION ALL SELECT 'line_items', 'by_split', split, len(items) FROM jl WHERE parsed
@@ -170,3 +182,16 @@ counted AS (SELECT section, key, subkey, CAST(sum(n) AS BIGINT) AS n FROM en WHE
 ORACLE["profile_counts"] = f"""WITH {PROFILE} SELECT section, key, subkey, n, CASE section WHEN 'document_field_presence' THEN round_even(n / (SELECT n FROM counted WHERE section = 'documents' AND key = 'valid_json'), 4)
   WHEN 'line_item_field_presence' THEN round_even(n / (SELECT n FROM counted WHERE section = 'line_items' AND key = 'total'), 4) END AS rate FROM counted"""
 ORACLE["annotation_errors"] = f"""WITH {PROFILE} SELECT k, CASE error WHEN 'missing_or_invalid_gt_parse' THEN 'gt_parse not an object' WHEN 'json_root_not_object' THEN 'root not an object' ELSE error END AS error FROM er WHERE error IS NOT NULL"""
+ORACLE["annotation_adapt"] = f"""WITH {PROFILE}, it AS (SELECT k, count(*) AS n_items, string_agg(words, '|' ORDER BY i) FILTER (WHERE name = 'description' AND status = 'extracted') AS names, CASE WHEN bool_and(value IS NOT NULL) FILTER (WHERE name = 'line_total') THEN sum(value) FILTER (WHERE name = 'line_total') END AS summed,
+  CASE WHEN bool_and(value IS NOT NULL) FILTER (WHERE name = 'quantity') THEN sum(value) FILTER (WHERE name = 'quantity') END AS quantities FROM status WHERE i >= 0 GROUP BY k),
+dc AS (SELECT k, {", ".join(f"any_value({w}) FILTER (WHERE name = '{n}') AS {n}{s}" for n in ("subtotal", "tax", "total") for w, s in (("status", "_status"), ("CASE WHEN status = 'extracted' THEN value END", ""), ("raw_text", "_raw")))} FROM status WHERE i < 0 GROUP BY k)
+SELECT k, 'cord-' || split || '-' || image AS document_id, len(items) AS n_items, coalesce(names, '') AS names, coalesce(summed, CASE WHEN len(items) = 0 THEN 0 END) AS summed, coalesce(quantities, CASE WHEN len(items) = 0 THEN 0 END) AS quantities, dc.* EXCLUDE (k)
+  FROM jl JOIN er USING (k) JOIN dc USING (k) LEFT JOIN it USING (k) WHERE error IS NULL"""
+ORACLE["profile_presence"] = f"SELECT section, key, n, rate FROM ({ORACLE['profile_counts']}) WHERE section IN ('document_field_presence', 'line_item_field_presence')"
+ORACLE["profile_status"] = f"SELECT key, subkey, n FROM ({ORACLE['profile_counts']}) WHERE section IN ('document_field_statuses', 'line_item_field_statuses')"
+ORACLE["profile_distribution"] = f"""WITH {PROFILE}, n AS (SELECT len(items) AS n FROM jl WHERE parsed)
+SELECT min(n) AS min_items, max(n) AS max_items, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95_items, round_even(avg(n), 3) AS mean_items, median(n) AS median_items FROM n"""
+ORACLE["error_examples_top50"] = f"""WITH {PROFILE}, odd AS (SELECT k, '"non_string_item_fields":[' || string_agg('{{"index":' || i || ',"field":"' || key || '","value":' || CAST(v AS VARCHAR) || '}}', ',' ORDER BY ord) || ']' AS part FROM cs WHERE i >= 0 AND v IS NOT NULL AND json_type(v) NOT IN ('NULL', 'VARCHAR') GROUP BY k),
+un AS (SELECT k, '"' || CASE name WHEN 'total' THEN 'total' ELSE 'sub_total' END || '":{{' || string_agg('"' || key || '":' || CAST(v AS VARCHAR), ',' ORDER BY key) || '}}' AS part, name = 'total' AS last FROM cs WHERE i < 0 AND v IS NOT NULL AND key <> 'etc' AND (NOT is_text OR trim(txt) = '-') GROUP BY k, name = 'total', CASE name WHEN 'total' THEN 'total' ELSE 'sub_total' END)
+SELECT er.k, 'cord-' || split || '-' || coalesce(image, 'unknown') AS document_id, error, '{{' || concat_ws(',', odd.part, s.part, t.part) || '}}' AS context
+  FROM er JOIN jl USING (k) LEFT JOIN odd USING (k) LEFT JOIN un s ON s.k = er.k AND NOT s.last LEFT JOIN un t ON t.k = er.k AND t.last WHERE error IS NOT NULL AND parsed ORDER BY er.k LIMIT 50"""

@@ -45,14 +45,15 @@ def truth(docs: DataFrame) -> DataFrame:
 
 def predictions(docs: DataFrame) -> DataFrame:
     """By h = (31 k + 7 i) mod 23 of line i: 0 a line total 1.00 too large, 1 no quantity, 2 no line total, 3 a doubtful description,
-    4 the line is missing. By k mod 17: 0 no total, 1 unreadable, 2 it is 5 too large, 3 doubtful; 4 and 5 the subtotal is 0.01 or 0.02
-    too large. By customer mod 5: 0 USD, 1 no currency, else EUR. With k mod 13 = 0 the total has confidence 0.3."""
-    k17, none = F.col("k") % 17, F.lit(None).cast(MONEY)
+    4 the line is missing, 5 the description in capitals. By k mod 17: 0 no total, 1 unreadable, 2 it is 5 too large, 3 doubtful; 4 and 5 the subtotal is 0.01 or 0.02
+    too large. By k mod 19: 7 no tax, 8 EUR in small letters. By customer mod 5: 0 USD, 1 no currency, else EUR. With k mod 13 = 0 the total
+    has confidence 0.3."""
+    k17, k19, none = F.col("k") % 17, F.col("k") % 19, F.lit(None).cast(MONEY)
 
     def item(x: Column) -> Column:
         h = x["h"]
         return F.struct(
-            text_field(F.when(h == 3, UNCERTAIN).otherwise(EXTRACTED), x["descr"]).alias("description"),
+            text_field(F.when(h == 3, UNCERTAIN).otherwise(EXTRACTED), F.when(h == 5, F.upper(x["descr"])).otherwise(x["descr"])).alias("description"),
             F.when(h == 1, dec_field(NOT_PRESENT)).otherwise(_money(x["q"])).alias("quantity"),
             _money(x["u"]).alias("unit_price"),
             F.when(h == 2, dec_field(NOT_PRESENT)).otherwise(_money((x["lt"] + F.when(h == 0, F.lit(1)).otherwise(F.lit(0))).cast(MONEY))).alias("line_total"),
@@ -61,10 +62,10 @@ def predictions(docs: DataFrame) -> DataFrame:
     lines = F.transform("lines", lambda x, i: F.struct(x["descr"].alias("descr"), x["q"].alias("q"), x["u"].alias("u"), x["lt"].alias("lt"), ((31 * F.col("k") + 7 * i) % 23).alias("h")))
     items = F.transform(F.filter(lines, lambda x: x["h"] != 4), item)
     subtotal = (F.col("subtotal") + F.when(k17 == 4, F.lit("0.01").cast(MONEY)).when(k17 == 5, F.lit("0.02").cast(MONEY)).otherwise(F.lit("0").cast(MONEY))).cast(MONEY)
-    tax = F.when(F.col("tax").isNull(), dec_field(NOT_PRESENT)).otherwise(_money(F.col("tax")))
+    tax = F.when(F.col("tax").isNull() | (k19 == 7), dec_field(NOT_PRESENT)).otherwise(_money(F.col("tax")))
     due = (F.col("subtotal") + F.coalesce("tax", F.lit(0).cast(MONEY)) + F.when(k17 == 2, F.lit(5)).otherwise(F.lit(0))).cast(MONEY)
     total = _money(F.when(~k17.isin(0, 1), due).otherwise(none), F.when(k17 == 0, NOT_PRESENT).when(k17 == 1, UNREADABLE).when(k17 == 3, UNCERTAIN).otherwise(EXTRACTED), confidence=F.when(F.col("k") % 13 == 0, 0.3))
-    currency = F.when(F.col("customer") % 5 == 1, text_field(NOT_PRESENT)).otherwise(text_field(EXTRACTED, F.when(F.col("customer") % 5 == 0, "USD").otherwise("EUR")))
+    currency = F.when(F.col("customer") % 5 == 1, text_field(NOT_PRESENT)).otherwise(text_field(EXTRACTED, F.when(F.col("customer") % 5 == 0, "USD").when(k19 == 8, "eur").otherwise("EUR")))
     return _receipt(docs, items, _money(subtotal), tax, total, currency)
 
 

@@ -16,7 +16,7 @@ def _quoted(x: Column) -> Column:
 
 def annotations(docs: DataFrame) -> DataFrame:
     """k, ground_truth. By k mod 29: 0 not JSON, 1 a number as gt_parse, 2 a number as the first price, 3 a listed sub_total, 4 the subtotal
-    twice, 5 two subtotals, 6 a dash, 7 no image id, 8 a percentage as total. One line item is an object, more are a list."""
+    twice, 5 two subtotals, 6 a dash, 7 no image id, 8 a percentage as total, 9 a number as total. One line item is an object, more are a list."""
     k = F.col("k") % 29
     item = lambda x, i: F.concat(F.lit('{"nm":'), _quoted(F.concat(F.lit("  "), x["descr"])), F.lit(',"cnt":'), _quoted(F.concat(x["q"].cast("int").cast("string"), F.lit(" x"))), F.lit(',"unitprice":'), _quoted(F.concat(F.lit("Rp "), x["u"].cast("string"))), F.lit(',"price":'), F.when((k == 2) & (i == 0), F.lit("5")).otherwise(_quoted(comma(x["lt"]))), F.lit("}"))
     listed = F.array_join(F.transform("lines", item), ",")
@@ -25,7 +25,7 @@ def annotations(docs: DataFrame) -> DataFrame:
     said = F.when(k == 4, F.concat(F.lit("["), value, F.lit(","), value, F.lit("]"))).when(k == 5, F.concat(F.lit("["), value, F.lit(',"7"]'))).when(k == 6, '"-"').otherwise(value)
     tax = F.coalesce(F.concat(F.lit(',"tax_price":'), _quoted(F.col("tax").cast("string"))), F.lit(""))
     sub = F.when(k == 3, '[{"subtotal_price":"1"}]').otherwise(F.concat(F.lit('{"subtotal_price":'), said, tax, F.lit("}")))
-    total = F.when(k == 8, '"10%"').otherwise(_quoted((F.col("subtotal") + F.coalesce("tax", F.lit(0).cast("decimal(18,2)"))).cast("decimal(18,2)").cast("string")))
+    total = F.when(k == 8, '"10%"').when(k == 9, "7").otherwise(_quoted((F.col("subtotal") + F.coalesce("tax", F.lit(0).cast("decimal(18,2)"))).cast("decimal(18,2)").cast("string")))
     split = F.when(F.col("k") % 10 == 8, "valid").when(F.col("k") % 10 == 9, "test").otherwise("train")
     meta = F.concat(F.lit('{"split":'), _quoted(split), F.when(k == 7, "").otherwise(F.concat(F.lit(',"image_id":'), F.col("k").cast("string"))), F.lit("}"))
     whole = F.concat(F.lit('{"gt_parse":{"menu":'), menu, F.lit(',"sub_total":'), sub, F.lit(',"total":{"total_price":'), total, F.lit('}},"meta":'), meta, F.lit("}"))
@@ -34,18 +34,21 @@ def annotations(docs: DataFrame) -> DataFrame:
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """document_id, line_idx, text, confidence: items, every other one with a quantity, then subtotal, tax, total; by k mod 7 = 0 a second
-    total; by k mod 3 a line with a currency code (0), a symbol (1) or none."""
+    total; with k mod 5 = 0 a code; by k mod 3 a line with a currency code (0), a symbol (1) or none."""
     item = lambda x, i: F.when(i % 2 == 0, F.concat(x["descr"], F.lit(" "), x["q"].cast("int").cast("string"), F.lit(" x "), comma(x["u"]), F.lit(" "), comma(x["lt"]))).otherwise(F.concat(x["descr"], F.lit("  "), comma(x["lt"])))
     due = (F.col("subtotal") + F.coalesce("tax", F.lit(0).cast("decimal(18,2)"))).cast("decimal(18,2)")
-    tail = F.array(F.concat(F.lit("Zwischensumme "), comma(F.col("subtotal"))), F.concat(F.lit("MwSt 19% "), comma(F.col("tax"))), F.concat(F.lit("Gesamt "), comma(due)), F.when(F.col("k") % 7 == 0, "Gesamt 99,99"), F.when(F.col("k") % 3 == 0, "  in  EUR bezahlt ").when(F.col("k") % 3 == 1, "in   € bezahlt"), F.lit("   "))
+    tail = F.array(F.concat(F.lit("Zwischensumme "), comma(F.col("subtotal"))), F.concat(F.lit("MwSt 19% "), comma(F.col("tax"))), F.concat(F.lit("Gesamt "), comma(due)), F.when(F.col("k") % 7 == 0, "Gesamt 99,99"), F.when(F.col("k") % 5 == 0, "Karte  usd  angenommen"), F.when(F.col("k") % 3 == 0, "  in  EUR bezahlt ").when(F.col("k") % 3 == 1, "in   € bezahlt"), F.lit("   "))
     every = F.concat(F.transform("lines", item), F.filter(tail, lambda x: x.isNotNull()))
     return docs.select(F.col("k").cast("string").alias("document_id"), F.posexplode(every).alias("line_idx", "text"), F.lit(90.0).alias("confidence"))
 
 
 def page_words(docs: DataFrame) -> DataFrame:
-    """Words of a page: line i at tops 20 i + 0 to 6, name left and amount right, with a blank and an unreadable word beside them."""
+    """Words of a page: line i at tops 20 i + 0 to 6, name left and amount right, with a blank and an unreadable word beside them. With
+    k mod 4 = 1 lines are just 6 apart, so that words run into the line before; names have two spaces between their words."""
     w = lambda top, left, text, conf: F.struct(top.cast("long").alias("top"), F.lit(left).cast("long").alias("left"), text.alias("text"), conf.cast("double").alias("conf"))
-    line = lambda x, i: F.array(w(20 * i + F.col("k") % 7, 200, comma(x["lt"]), 80 + F.col("k") % 10), w(20 * i + i % 5, 10, x["descr"], F.lit(90)), w(20 * i, 5, F.lit("  "), F.lit(99)), w(20 * i, 400, F.lit("?"), F.lit(-1)))
+    apart = F.when(F.col("k") % 4 == 1, 6).otherwise(20)
+    name = lambda x: F.concat(F.lit(" "), F.replace(x["descr"], F.lit(" "), F.lit("  ")), F.lit("\t"))
+    line = lambda x, i: F.array(w(apart * i + F.col("k") % 7, 200, comma(x["lt"]), 80 + F.col("k") % 10), w(apart * i + i % 5, 10, name(x), F.lit(90)), w(apart * i, 5, F.lit("  "), F.lit(99)), w(apart * i, 400, F.lit("?"), F.lit(-1)))
     return docs.select(F.col("k").cast("string").alias("document_id"), F.posexplode(F.flatten(F.transform("lines", line))).alias("word_idx", "w")).select("document_id", "word_idx", "w.*")
 
 

@@ -173,7 +173,7 @@ def annotation_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
     summed = F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["line_total"]["value"].cast("double"))
     names = F.array_join(F.transform("line_items", lambda x: x["description"]["value"]), "|")
     quantities = F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x["quantity"]["value"].cast("double"))
-    return a.select("k", "document_id", F.size("line_items").cast("bigint").alias("n_items"), names.alias("names"), summed.alias("summed"), quantities.alias("quantities"), *_flat("subtotal"), *_flat("tax"), *_flat("total"))
+    return a.select("k", "document_id", F.size("line_items").cast("bigint").alias("n_items"), names.alias("names"), summed.alias("summed"), quantities.alias("quantities"), *_flat("subtotal"), *_flat("tax"), *_flat("total"), *[F.col(f"{n}.raw_text").alias(f"{n}_raw") for n in ("subtotal", "tax", "total")])
 
 
 @query
@@ -204,7 +204,7 @@ def profile_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def error_examples_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.error_examples(annotated(spark, sf_dir), "k").select("k", "document_id", "error")
+    return P.error_examples(annotated(spark, sf_dir), "k").select("k", "document_id", "error", "context")
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +236,7 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_json_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = M.adapt_model_json(T.model_answers(R.order_documents(spark, sf_dir)))
-    return m.select("document_id", "error", F.size("line_items").cast("bigint").alias("n_items"), *_flat("tax"), *_flat("total"), F.col("currency.status").alias("currency_status"), F.col("currency.value").alias("currency"))
+    return m.select("document_id", "error", F.size("line_items").cast("bigint").alias("n_items"), *_flat("tax"), *_flat("total"), F.col("currency.status").alias("currency_status"), F.col("currency.value").alias("currency"), F.col("total.raw_text").alias("total_raw"), F.col("currency.raw_text").alias("currency_raw"))
 
 
 @query
