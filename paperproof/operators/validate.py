@@ -24,7 +24,7 @@ def issue(code: str, severity: str, paths: Column, *message) -> Column:
 
 def _plain(x: Column) -> Column:
     """A decimal without zeros at the end of its fraction."""
-    return F.regexp_replace(x.cast("string"), r"(\.[0-9]*?)0+\z", "$1")
+    return F.regexp_replace(x.cast("string"), r"(\.[0-9]*[1-9])0+\z|\.0+\z", "$1")
 
 
 def _path(i: Column, name: str) -> Column:

@@ -44,17 +44,20 @@ v1 AS (SELECT k, CASE WHEN total_status = 'unreadable' THEN 'UNREADABLE_CRITICAL
     UNION ALL SELECT k, 'MISSING_CRITICAL_FIELD', 'line_items[' || i || '].line_total' FROM pi WHERE NOT has_t),
 v2 AS (SELECT k, 'total' AS field_path FROM pd WHERE total_status = 'uncertain' OR (total_status = 'extracted' AND low) UNION ALL SELECT k, 'line_items[' || i || '].description' FROM pi WHERE doubt),
 v3 AS (SELECT k, i FROM pi WHERE has_q AND has_t AND abs(CAST(q AS DECIMAL(38,2)) * u - lt) > 0.01),
-v4 AS (SELECT k, 'subtotal' AS first_path, 1 + n AS n_paths FROM pt WHERE n > 0 AND abs(summed - subtotal) > 0.01
-    UNION ALL SELECT k, 'subtotal', 3 FROM pt WHERE tax IS NOT NULL AND total_status = 'extracted' AND abs(subtotal + tax - total) > 0.01
-    UNION ALL SELECT k, 'total', 1 + n FROM pt WHERE tax IS NULL AND n > 0 AND total_status = 'extracted' AND abs(summed - total) > 0.01),
+v4 AS (SELECT k, 'subtotal' AS first_path, 1 + n AS n_paths, 1 AS rule FROM pt WHERE n > 0 AND abs(summed - subtotal) > 0.01
+    UNION ALL SELECT k, 'subtotal', 3, 2 FROM pt WHERE tax IS NOT NULL AND total_status = 'extracted' AND abs(subtotal + tax - total) > 0.01
+    UNION ALL SELECT k, 'total', 1 + n, 3 FROM pt WHERE tax IS NULL AND n > 0 AND total_status = 'extracted' AND abs(summed - total) > 0.01),
 v5 AS (SELECT k FROM pd WHERE currency <> 'EUR'),
 va AS (SELECT k, CASE code WHEN 'UNREADABLE_CRITICAL_FIELD' THEN 'unreadable_content' ELSE 'missing_critical_field' END AS reason FROM v1 UNION ALL SELECT k, 'low_confidence' FROM v2
     UNION ALL SELECT k, 'validation_error' FROM v3 UNION ALL SELECT k, 'validation_error' FROM v4 UNION ALL SELECT k, 'validation_error' FROM v5),
 dec AS (SELECT pd.k, count(reason) > 0 AS requires_review, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons, count(reason) AS n_issues FROM pd LEFT JOIN va USING (k) GROUP BY pd.k)"""
 ORACLE["critical_fields"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, code, field_path FROM v1"
 ORACLE["low_confidence"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, field_path FROM v2"
-ORACLE["line_total_check"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'line_items[' || i || '].quantity,line_items[' || i || '].unit_price,line_items[' || i || '].line_total' AS field_paths FROM v3"
-ORACLE["doc_total_check"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, first_path, CAST(n_paths AS BIGINT) AS n_paths FROM v4"
+_PLAIN = lambda x: rf"regexp_replace(CAST({x} AS VARCHAR), '\.?0+$', '')"
+ORACLE["line_total_check"] = f"""WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'line_items[' || i || '].quantity,line_items[' || i || '].unit_price,line_items[' || i || '].line_total' AS field_paths,
+  q || ' times ' || u || ' is ' || {_PLAIN("CAST(q AS DECIMAL(18,2)) * CAST(u AS DECIMAL(18,2))")} || ', not ' || CAST(lt AS DECIMAL(18,2)) AS message FROM v3 JOIN pi USING (k, i)"""
+ORACLE["doc_total_check"] = f"""WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, first_path, CAST(n_paths AS BIGINT) AS n_paths, CASE WHEN rule = 2 THEN 'subtotal and tax add up to ' || {_PLAIN("CAST(subtotal + tax AS DECIMAL(18,2))")} || ', not to the total ' || CAST(total AS DECIMAL(18,2))
+  ELSE 'the line totals add up to ' || {_PLAIN("CAST(summed AS DECIMAL(18,2))")} || ', not to the ' || CASE rule WHEN 1 THEN 'subtotal ' || CAST(subtotal AS DECIMAL(18,2)) ELSE 'total ' || CAST(total AS DECIMAL(18,2)) || ', and subtotal and tax don''t explain it' END END AS message FROM v4 JOIN pt USING (k)"""
 ORACLE["currency_check"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id FROM v5"
 ORACLE["decisions"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, requires_review, reasons, n_issues FROM dec"
 ORACLE["review_reasons"] = f"WITH {BASE} SELECT reason, count(DISTINCT k) AS documents FROM va GROUP BY reason"
@@ -136,6 +139,18 @@ mr AS (SELECT k, path, CASE WHEN status IN ('not_present', 'unreadable') THEN st
 _PICK = lambda what, name: f"any_value({what}) FILTER (WHERE path = '{name}')"
 ORACLE["model_json_adapt"] = f"""WITH {MODEL} SELECT CAST(me.k AS VARCHAR) AS document_id, any_value(error) AS error, CASE WHEN any_value(error) IS NULL THEN any_value(len(items)) END AS n_items, {_PICK("state", "tax")} AS tax_status, {_PICK("number", "tax")} AS tax,
   {_PICK("state", "total")} AS total_status, {_PICK("number", "total")} AS total, {_PICK("raw", "total")} AS total_raw, {_PICK("state", "currency")} AS currency_status, {_PICK("code", "currency")} AS currency, {_PICK("raw", "currency")} AS currency_raw FROM me LEFT JOIN mr USING (k) GROUP BY me.k"""
+ORACLE["ocr_columns"] = ORACLE["ocr_lines"]
+ORACLE["unmatched_documents"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 7 = 0 THEN 'predicted' ELSE 'truth' END AS side FROM gd WHERE (k % 7 = 0) <> (k % 11 = 0)"
+_BARE = lambda value, status, confidence="'null'": f"""'{{"value":' || coalesce('"' || {value} || '"', 'null') || ',"raw_text":null,"status":"' || {status} || '","confidence":' || {confidence} || ',"evidence":[]}}'"""
+_CENTS = lambda x: f"CAST({x} AS DECIMAL(18,2))"
+_HAS = lambda x: f"CASE WHEN {x} THEN 'extracted' ELSE 'not_present' END"
+ORACLE["receipt_json"] = f"""WITH {BASE}, ji AS (SELECT k, string_agg('{{"description":' || {_BARE("descr", "CASE WHEN doubt THEN 'uncertain' ELSE 'extracted' END")} || ',"quantity":' || {_BARE(f"CASE WHEN has_q THEN {_CENTS('q')} END", _HAS("has_q"))} || ',"unit_price":' || {_BARE(_CENTS("u"), "'extracted'")}
+    || ',"line_total":' || {_BARE(f"CASE WHEN has_t THEN {_CENTS('lt')} END", _HAS("has_t"))} || '}}', ',' ORDER BY i) AS listed FROM pi GROUP BY k)
+SELECT CAST(k AS VARCHAR) AS document_id, '{{"schema_version":"0.1.0","document_id":"' || k || '","line_items":[' || coalesce(listed, '') || '],"subtotal":' || {_BARE(_CENTS("subtotal"), "'extracted'")} || ',"tax":' || {_BARE(_CENTS("tax"), _HAS("tax IS NOT NULL"))}
+  || ',"total":' || {_BARE(_CENTS("total"), "total_status", "CASE WHEN low THEN '0.3' ELSE 'null' END")} || ',"currency":' || {_BARE("currency", _HAS("currency IS NOT NULL"))} || '}}' AS json FROM pd LEFT JOIN ji USING (k)"""
+ORACLE["model_calls"] = f"""WITH {BASE}, t AS (SELECT k, CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) AS total FROM gd), d AS (SELECT *, CAST(total * 100 AS BIGINT) % 11 AS d FROM t),
+e AS (SELECT *, CASE d WHEN 0 THEN 'http 429: quota used up' WHEN 1 THEN 'http 502: "bad gateway"' WHEN 2 THEN 'no candidates' WHEN 3 THEN 'empty answer' WHEN 4 THEN 'answer not JSON' WHEN 5 THEN 'answer not an object' WHEN 6 THEN 'total.status unknown' END AS error FROM d)
+SELECT CAST(k AS VARCHAR) AS document_id, error, CASE WHEN error IS NULL THEN 0 END AS n_items, CASE WHEN error IS NULL THEN 'extracted' END AS total_status, CASE WHEN error IS NULL THEN CAST(total AS DOUBLE) END AS total, CASE WHEN error IS NULL THEN 'EUR' END AS currency FROM e"""
 ORACLE["receipt_faults"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency: not a code' AS fault FROM pd WHERE k % 5 = 0 AND currency IS NOT NULL OR currency <> upper(currency)"
 
 CANONICAL = BASE + """,

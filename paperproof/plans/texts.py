@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperproof.sources.model_client import HttpResponse
+
 
 def comma(x: Column) -> Column:
     return F.replace(x.cast("string"), F.lit("."), F.lit(","))
@@ -65,3 +70,16 @@ def model_answers(docs: DataFrame) -> DataFrame:
     code = field("extracted", F.when(k == 2, " eur ").when(k == 3, "€").otherwise("EUR"))
     whole = F.concat(F.lit('{"line_items":'), items, F.lit(',"subtotal":'), field("extracted", comma(F.col("subtotal"))), F.lit(',"tax":'), tax, F.lit(',"total":'), total, F.lit(',"currency":'), code, F.lit("}"))
     return docs.select(F.col("k").cast("string").alias("document_id"), F.when(k == 1, "sorry").otherwise(whole).alias("raw"))
+
+
+def stand_in_model(url: str, headers: dict[str, str], body: dict) -> HttpResponse:
+    """A model's answer without a model: it finds the first total among the lines of the prompt. By the digits d of that total, mod 11:
+    0 a quota error, 1 a page instead of JSON, 2 no candidates, 3 a blank text, 4 no JSON, 5 a list, 6 an unknown status, else a receipt in two parts."""
+    said = re.search(r"^Gesamt ([0-9]+,[0-9]+)$", body["contents"][0]["parts"][0]["text"], re.M)[1]
+    kind = int(said.replace(",", "")) % 11
+    if kind < 2:
+        return HttpResponse(429, {"error": {"message": "quota used up"}}) if kind == 0 else HttpResponse(502, "bad gateway")
+    field = lambda status, value=None: {"status": status, "value": value}
+    receipt = {"line_items": [], "subtotal": field("not_present"), "tax": field("unreadable"), "total": field("guessed" if kind == 6 else "extracted", said), "currency": field("extracted", "eur")}
+    text = {3: " ", 4: "I can't", 5: "[1]"}.get(kind, json.dumps(receipt))
+    return HttpResponse(200, {"candidates": [] if kind == 2 else [{"content": {"parts": [{"text": text[:9]}, {"text": text[9:]}]}}]})

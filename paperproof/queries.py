@@ -19,6 +19,8 @@ from paperproof.operators import validate as V
 from paperproof.plans import receipts as R
 from paperproof.plans import schema as S
 from paperproof.plans import texts as T
+from paperproof.sources import images as I
+from paperproof.sources import model_client as MC
 
 ALLOWED = ("EUR",)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,12 +98,12 @@ def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def line_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_issues(spark, sf_dir).where("code = 'LINE_TOTAL_MISMATCH'").select("document_id", F.array_join("field_paths", ",").alias("field_paths"))
+    return found_issues(spark, sf_dir).where("code = 'LINE_TOTAL_MISMATCH'").select("document_id", F.array_join("field_paths", ",").alias("field_paths"), "message")
 
 
 @query
 def doc_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_issues(spark, sf_dir).where("code = 'DOCUMENT_TOTAL_MISMATCH'").select("document_id", F.get("field_paths", F.lit(0)).alias("first_path"), F.size("field_paths").cast("bigint").alias("n_paths"))
+    return found_issues(spark, sf_dir).where("code = 'DOCUMENT_TOTAL_MISMATCH'").select("document_id", F.get("field_paths", F.lit(0)).alias("first_path"), F.size("field_paths").cast("bigint").alias("n_paths"), "message")
 
 
 @query
@@ -128,6 +130,18 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.evaluate_pairs(R.pairs(R.order_documents(spark, sf_dir)), allowed_currencies=ALLOWED)
 
 
+@query
+def unmatched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of all documents but every eleventh against the truth of all but every seventh."""
+    docs = R.order_documents(spark, sf_dir)
+    return E.unmatched(R.predictions(docs.where("k % 11 <> 0")), R.truth(docs.where("k % 7 <> 0")))
+
+
+@query
+def receipt_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(spark, sf_dir).select("document_id", S.as_json().alias("json"))
+
+
 @query
 def item_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = R.pairs(R.order_documents(spark, sf_dir))
@@ -233,6 +247,23 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", F.col("line_idx").cast("bigint").alias("line_idx"), "text", "confidence")
 
 
+@query
+def ocr_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ocr_lines, of pages whose words come as parallel arrays."""
+    words = T.page_words(R.order_documents(spark, sf_dir)).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "top", "left", "text", "conf"))).alias("w"))
+    pages = words.select("document_id", *[F.col(f"w.{c}").alias(c) for c in ("top", "left", "text", "conf")])
+    found = L.lines_from_words(I.words_from_columns(pages))
+    return found.select("document_id", F.col("line_idx").cast("bigint").alias("line_idx"), "text", "confidence")
+
+
+@query
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts by prompt, call and adapter, of a stand-in model that fails in every known way."""
+    lines = T.text_lines(R.order_documents(spark, sf_dir))
+    m = MC.extract_with_model(lines, url="https://model.invalid/", api_key="none", http_post=T.stand_in_model)
+    return m.select("document_id", "error", F.size("line_items").cast("bigint").alias("n_items"), *_flat("total"), F.col("currency.value").alias("currency"))
+
+
 @query
 def model_json_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = M.adapt_model_json(T.model_answers(R.order_documents(spark, sf_dir)))
