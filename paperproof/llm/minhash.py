@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperproof.llm.common import words
@@ -41,9 +43,9 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return h
 
 
-def _attempts(bins: int, tries: int = 64) -> np.ndarray:
-    """The bins that each empty bin asks, in order: row t holds attempt t of all bins."""
-    at = np.arange(bins, dtype=np.uint64)[None] | (np.arange(tries, dtype=np.uint64)[:, None] << np.uint64(32))
+def _asked(bins: int, empty: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The bins that the empty ones ask: row t holds attempt first + t of each."""
+    at = empty.astype(np.uint64)[None] | (np.arange(first, last, dtype=np.uint64)[:, None] << np.uint64(32))
     return (_mixed(_mixed(at)) % np.uint64(bins)).astype(np.int64)
 
 
@@ -53,7 +55,7 @@ class MinHash:
     def __init__(self, k: int = 5, bins: int = 256, bits: int = 8):
         self.k, self.bins, self.bits = k, bins, bits
         self.shift = np.uint64(64 - bins.bit_length() + 1)
-        self.attempts = _attempts(bins)
+        self.attempts = _asked(bins, np.arange(bins), 0, 64)
 
     def codes(self, text: str | None) -> np.ndarray:
         h = np.sort(shingle_hashes(text, self.k))
@@ -70,8 +72,16 @@ class MinHash:
             ok = full[asked]
             value[lent[ok]] = value[asked[ok]]
             lent = lent[~ok]
-        for i in lent.tolist():  # as good as never: all attempts met empty bins
-            value[i] = value[np.flatnonzero(full)[i % int(full.sum())]]
+        t, n = len(self.attempts), 512
+        while len(lent) and len(full_bins := np.flatnonzero(full)) > 1:  # few full bins: the attempts go on in blocks
+            asked = _asked(self.bins, lent, t, t + n)
+            ok = full[asked]
+            hit, col = ok.argmax(0), np.arange(len(lent))
+            found = ok[hit, col]
+            value[lent[found]] = value[asked[hit, col][found]]
+            lent, t = lent[~found], t + n
+        if len(lent):
+            value[lent] = value[full_bins[0]]  # the only full bin ends all attempts
         return (value & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
 
     def pack(self, codes: np.ndarray) -> str:
@@ -87,26 +97,30 @@ def edited_pairs(docs: DataFrame, *, k: int = 5, bins: int = 256, bits: int = 8,
     quarter of code points replaced by the next document's first as many, or all), and how alike they and the next one are.
 
     A null text is an empty one; a document without words has the fingerprint of the empty shingle, so empty texts are alike.
-    Null ids come first, ties stand in order of text; after the last document comes the first, so a lone one is its own next.
+    Null ids come first; equal ids, and null ones, stand in order of a hash of their texts, then of text. After the last document comes
+    the first, so a lone one is its own next.
 
     The text moves once: bounds taken from doc_id's quantiles cut the order into parts, and the first document of each part also
-    goes to the end of the part before. The parts are sorted by Spark, and a task holds two documents at a time.
+    goes to the end of the part before. An id that several quantiles fall on, and the null ids, are cut by that hash into as many parts
+    as their share asks for. The parts are sorted by Spark, and a task holds two documents at a time.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    parts = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    bounds = sorted({*(found["q"] or ())} - {found["least"]})
-    if found["n"] > found["ids"] > 0:
-        bounds = [found["least"], *bounds]  # null ids are part 0
-    part = F.coalesce(_part_of(F.col("doc_id"), bounds), F.lit(0))
-    placed = docs.select("doc_id", "text", part.alias("part"))
-    # the first row of a part also ends the part before; which of equal ids is first, its text says
-    starts = [*bounds, found["least"]] if found["n"] == found["ids"] else [*bounds, None]
-    heads = placed.where(F.col("doc_id").isin([x for x in starts if x is not None]) | (F.col("doc_id").isNull() if None in starts else F.lit(False)))
-    heads = heads.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")).alias("h"))
-    heads = heads.select("h.doc_id", "h.text", F.when(F.col("part") == 0, len(bounds)).otherwise(F.col("part") - 1).alias("part"), F.lit(1).alias("tail"))
+    times = Counter(found["q"] or ())
+    bounds = sorted({*times, *([found["least"]] if found["ids"] else [])})
+    nulls = found["n"] - found["ids"]
+    placed = docs.withColumn("part", _part_of_row(bounds, [max(1, times[v]) for v in bounds], max(1, round(parts * nulls / found["n"])) if nulls else 0))
+    # the first row of a part also ends the part before; there are as many of these rows as parts
+    first = {r["part"]: r["least"] for r in placed.groupBy("part").agg(F.min("doc_id").alias("least")).collect()}
+    order = sorted(first)
+    ends = spark.createDataFrame([(p, first[p], order[k - 1]) for k, p in enumerate(order)], "part int, first long, before int")
+    heads = placed.where(F.col("doc_id").isNull() | F.col("doc_id").isin([v for v in first.values() if v is not None])).join(F.broadcast(ends), "part").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    heads = heads.groupBy("part", "before", "first").agg(F.min(F.struct("tie", "text")).alias("h"))
+    heads = heads.select(F.col("first").alias("doc_id"), "h.text", "h.tie", F.col("before").alias("part"), F.lit(1).alias("tail"))
     rows = placed.withColumn("tail", F.lit(0)).unionByName(heads)
-    sort = ["part", "tail", "doc_id", "text"]
+    sort = ["part", "tail", "doc_id", "tie", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = MinHash(k, bins, bits)
@@ -136,7 +150,21 @@ def edited_pairs(docs: DataFrame, *, k: int = 5, bins: int = 256, bits: int = 8,
                     yield batch()
         yield batch()
 
-    return rows.repartition("part").sortWithinPartitions(*sort).select(*sort).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.repartition("part").sortWithinPartitions(*sort).select("part", "tail", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _part_of_row(bounds: list[int], widths: list[int], nulls: int) -> Column:
+    """The part of a row(doc_id, tie): null ids share the first ``nulls`` parts, and each of the sorted bounds begins as many as its width says.
+    Rows whose id is the bound are spread over these by their hash, in its order; greater ids are in the last of them."""
+    spread = lambda n: F.least(F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * n), n - F.lit(1)).cast("int")
+    if not bounds:
+        return spread(F.lit(max(1, nulls)))
+    last = F.element_at(F.array(*[F.lit(nulls + n - 1) for n in accumulate(widths)]), _part_of(F.col("doc_id"), bounds[1:]) + 1)
+    hot = [(v, n) for v, n in zip(bounds, widths, strict=True) if n > 1]
+    if hot:
+        width = F.try_element_at(F.create_map(*[F.lit(x).cast(t) for v, n in hot for x, t in ((v, "long"), (n, "int"))]), F.col("doc_id"))
+        last = F.when(width.isNull(), last).otherwise(last - width + 1 + spread(width))
+    return F.when(F.col("doc_id").isNull(), spread(F.lit(nulls))).otherwise(last).cast("int") if nulls else last
 
 
 def _part_of(x, bounds: list[int]):

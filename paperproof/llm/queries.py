@@ -53,7 +53,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and its edited text. A null text is empty; null ids come first, ties stand in order of text. An empty table gives no rows."""
+    """Fingerprints of every text and its edited text. A null text is empty; null ids come first, equal ids stand in order of a hash of their texts. An empty table gives no rows."""
     from paperproof.llm.minhash import edited_pairs
 
     return edited_pairs(documents(spark, sf_dir), k=5, bins=256, bits=8)
