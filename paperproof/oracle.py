@@ -150,7 +150,7 @@ SELECT CAST(k AS VARCHAR) AS document_id, '{{"schema_version":"0.1.0","document_
   || ',"total":' || {_BARE(_CENTS("total"), "total_status", "CASE WHEN low THEN '0.3' ELSE 'null' END")} || ',"currency":' || {_BARE("currency", _HAS("currency IS NOT NULL"))} || '}}' AS json FROM pd LEFT JOIN ji USING (k)"""
 ORACLE["model_calls"] = f"""WITH {BASE}, t AS (SELECT k, CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) AS total FROM gd), d AS (SELECT *, CAST(total * 100 AS BIGINT) % 11 AS d FROM t),
 e AS (SELECT *, CASE d WHEN 0 THEN 'http 429: quota used up' WHEN 1 THEN 'http 502: "bad gateway"' WHEN 2 THEN 'no candidates' WHEN 3 THEN 'empty answer' WHEN 4 THEN 'answer not JSON' WHEN 5 THEN 'answer not an object' WHEN 6 THEN 'total.status unknown' END AS error FROM d)
-SELECT CAST(k AS VARCHAR) AS document_id, error, CASE WHEN error IS NULL THEN 0 END AS n_items, CASE WHEN error IS NULL THEN 'extracted' END AS total_status, CASE WHEN error IS NULL THEN CAST(total AS DOUBLE) END AS total, CASE WHEN error IS NULL THEN 'EUR' END AS currency FROM e"""
+SELECT CAST(k AS VARCHAR) AS document_id, error, CASE WHEN error IS NULL THEN CAST(0 AS BIGINT) END AS n_items, CASE WHEN error IS NULL THEN 'extracted' END AS total_status, CASE WHEN error IS NULL THEN CAST(total AS DOUBLE) END AS total, CASE WHEN error IS NULL THEN 'EUR' END AS currency FROM e"""
 ORACLE["receipt_faults"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency: not a code' AS fault FROM pd WHERE k % 5 = 0 AND currency IS NOT NULL OR currency <> upper(currency)"
 
 CANONICAL = BASE + """,
