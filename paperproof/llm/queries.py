@@ -87,11 +87,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_frequent_lines(documents(spark, sf_dir), digest=True, min_docs=10, min_chars=1)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as SentencePiece ids and back. A null text is empty: no ids; repeated rows are encoded each. An empty table gives no rows."""
+    from paperproof.llm.pieces import piece_digest
+
+    return piece_digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source's words differ from other sources' and from its language's. Nulls are ''; repeated rows count each. An empty table gives no rows."""
+    from paperproof.llm.divergence import source_divergence
+
+    return source_divergence(documents(spark, sf_dir), min_docs=3, top=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from paperproof.llm import lines, mixing
+    from paperproof.llm import divergence, lines, mixing
 
-    return {"op3_source_mix": mixing.ORACLE, "op10_line_dedup": lines.ORACLE}
+    return {"op3_source_mix": mixing.ORACLE, "op10_line_dedup": lines.ORACLE, "op13_source_divergence": divergence.ORACLE}
