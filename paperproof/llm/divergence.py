@@ -108,7 +108,7 @@ class Language:
     """The sources of one language with their whole counts, and the sums of divergences seen so far."""
 
     def __init__(self, sources: list[str], sizes: list[int], n_terms: int, block: int = 1 << 20):
-        self.block, self.sources, self.at = sources, {s: i for i, s in enumerate(sources)}
+        self.block, self.sources, self.at = block, sources, {s: i for i, s in enumerate(sources)}
         self.n_terms, self.size = n_terms, int(sum(sizes)) + n_terms
         self.sizes = np.array(sizes, np.int64) + n_terms
         self.none = probability(np.zeros(len(sources), np.int64), self.sizes)
