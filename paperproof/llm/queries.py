@@ -94,6 +94,13 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the rebuilt conversations' prefix trie. Null roles and texts are '', null turns come first, equal turns stand in order of role and digest; rows without a conv_id are in no conversation. An empty table gives no rows."""
+    from paperproof.llm.prefixes import prefix_trie, rebuilt
+
+    return prefix_trie(rebuilt(documents(spark, sf_dir, "conversations")))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each source's words differ from other sources' and from its language's. Nulls are ''; repeated rows count each. An empty table gives no rows."""
     from paperproof.llm.divergence import source_divergence
@@ -106,6 +113,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from paperproof.llm import divergence, lines, mixing
+    from paperproof.llm import divergence, lines, mixing, prefixes
 
-    return {"op3_source_mix": mixing.ORACLE, "op10_line_dedup": lines.ORACLE, "op13_source_divergence": divergence.ORACLE}
+    return {"op3_source_mix": mixing.ORACLE, "op10_line_dedup": lines.ORACLE, "op12_prefix_trie": prefixes.ORACLE, "op13_source_divergence": divergence.ORACLE}
