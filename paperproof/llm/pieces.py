@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperproof.llm.common import parts
+from paperproof.llm.common import parts, slices
 
 # The mark that stands for a space, and what an unknown piece reads as.
 SPACE = "▁"
@@ -31,7 +31,7 @@ UNKNOWN = " ⁇ "
 class Pieces:
     """One model's pieces. ``keep`` bounds the remembered segments and pairs, which only save time."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -253,39 +253,45 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _with(df: DataFrame, run, column: str, kind: T.DataType) -> DataFrame:
-    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name != column), T.StructField(column, kind)]))
+def _lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
 
 
-def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of token ids, without begin or end id. A null text is empty; all other columns stay as they are, but one named like ``ids`` is replaced."""
-    keep = [f.name for f in docs.schema.fields if f.name != ids]
+def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", back: str | None = None) -> DataFrame:
+    """docs with a column of token ids, without begin or end id, and with ``back`` one of the texts that the ids decode to.
+
+    A null text is empty; all other columns stay as they are, but those named like a new one are replaced."""
+    keep = [f for f in docs.schema.fields if f.name not in (ids, back)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
         for b in parts(batches, text):
             got, n = coder.encode([x or b"" for x in b[text].cast(pa.large_binary()).to_pylist()])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(got, pa.int32()))
-            yield pa.record_batch([*(b[c] for c in keep), lists], names=[*keep, ids])
+            new = {ids: _lists(got, n)}
+            if back:
+                new[back] = pa.array(coder.decode(got, np.concatenate(([0], np.cumsum(n)))), pa.string())
+            yield pa.record_batch([*(b[f.name] for f in keep), *new.values()], names=[*(f.name for f in keep), *new])
 
-    return _with(docs, run, ids, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(back, T.StringType())] if back else [])]))
 
 
 def decoded(tokens: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """tokens with a column of the texts of their ids. Null ids read as none; all other columns stay as they are, but one named like ``text`` is replaced."""
-    keep = [f.name for f in tokens.schema.fields if f.name != text]
+    keep = [f for f in tokens.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
-        for b in batches:
-            flat, offsets = b[ids].flatten(), np.concatenate(([0], np.cumsum(b[ids].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            said = coder.decode(flat.to_numpy(zero_copy_only=False), offsets)
-            yield pa.record_batch([*(b[c] for c in keep), pa.array(said, pa.string())], names=[*keep, text])
+        for batch in batches:
+            for p, q in slices(batch[ids].value_lengths().to_pylist(), 1 << 20):
+                b = batch.slice(p, q - p)
+                offsets = np.concatenate(([0], np.cumsum(b[ids].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+                said = coder.decode(b[ids].flatten().to_numpy(zero_copy_only=False), offsets)
+                yield pa.record_batch([*(b[f.name] for f in keep), pa.array(said, pa.string())], names=[*(f.name for f in keep), text])
 
-    return _with(tokens, run, text, T.StringType())
+    return tokens.mapInArrow(run, T.StructType([*keep, T.StructField(text, T.StringType())]))
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text's encoding and of what it decodes to."""
-    told = decoded(encoded(docs.select("doc_id", "text"), model).drop("text"), model)
+    told = encoded(docs.select("doc_id", "text"), model, back="decoded")
     return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
