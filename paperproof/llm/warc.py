@@ -66,14 +66,13 @@ def http_parts(block: bytes) -> tuple[str, list[list[str]], bytes]:
     return status, [[k.strip(), v.strip()] for k, _, v in (x.partition(":") for x in lines)], body
 
 
-def _charset(headers: list[list[str]]) -> str:
+def decoded(body: bytes, headers: list[list[str]]) -> str:
+    """The body as text by its Content-Type's charset; UTF-8 where that is none that can be read. Broken bytes read U+FFFD."""
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
-    name = kind.lower().partition("charset=")[2].split(";")[0].strip("\"' ") or "utf-8"
     try:
-        "".encode(name)
-    except LookupError:
-        return "utf-8"
-    return name
+        return body.decode(kind.lower().partition("charset=")[2].split(";")[0].strip("\"' ") or "utf-8", "replace")
+    except (LookupError, ValueError):  # no such charset, or one for host names and the like
+        return body.decode("utf-8", "replace")
 
 
 def derived(headers: dict[str, str], block: bytes) -> list[tuple[str, dict[str, str], bytes]]:
@@ -81,7 +80,7 @@ def derived(headers: dict[str, str], block: bytes) -> list[tuple[str, dict[str,
     source = headers.get("WARC-Record-ID") or _id(b"response", block)
     status, http, body = http_parts(block)
     payload, whole = digest(body), digest(block)
-    text = plain_text(body.decode(_charset(http), "replace")).encode()
+    text = plain_text(decoded(body, http)).encode("utf-8", "replace")
     same = {"WARC-Date": headers.get("WARC-Date") or "", "WARC-Target-URI": headers.get("WARC-Target-URI") or "", "WARC-Refers-To": source}
     made = "; ".join(f"{k}={v}" for k, v in (("source-payload", payload), ("source-block", whole)))
     conversion = {"WARC-Record-ID": _id(b"conversion", source.encode(), text), **same, "Content-Type": "text/plain; charset=utf-8", "WARC-Block-Digest": digest(text), "WARC-Source-Digests": made}
@@ -110,9 +109,10 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def serialized(warc_type: str, headers: dict[str, str], block: bytes) -> bytes:
-    """A record without the two line ends that close it."""
+    """A record without the two line ends that close it. Line breaks in a field are percent-coded, as a field is one line; null values are empty."""
     named = {"WARC-Type": warc_type, **headers, "Content-Length": str(len(block))}
-    return f"{VERSION}\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in named.items()) + b"\r\n" + block
+    line = lambda x: (x or "").replace("\r", "%0D").replace("\n", "%0A")
+    return f"{VERSION}\r\n".encode() + b"".join(f"{line(k)}: {line(v)}\r\n".encode() for k, v in named.items()) + b"\r\n" + block
 
 
 def write_warc(records: DataFrame, path: str, *, compression: str = "gzip") -> None:
@@ -128,7 +128,7 @@ def write_warc(records: DataFrame, path: str, *, compression: str = "gzip") -> N
 
 
 def parsed(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
-    """The records of a WARC file, by their lengths. A record that the file's end cuts off is left out, one without a length is empty."""
+    """The records of a WARC file, by their lengths. A record that the file's end cuts off is left out, one whose length is missing or no number is empty."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -137,7 +137,8 @@ def parsed(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
         _, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         named = {k.lower(): k for k in headers}
-        n = int(headers.pop(named.get("content-length", ""), 0))
+        said = headers.pop(named.get("content-length", ""), "")
+        n = int(said) if said.isascii() and said.isdigit() else 0
         if end + 4 + n > len(data):
             return
         yield headers.pop(named.get("warc-type", ""), ""), headers, data[end + 4 : end + 4 + n]

@@ -85,3 +85,16 @@ def test_conversions_against_another_parser(spark):
         parser = Words()
         parser.feed(p.html or "")
         assert "".join(texts[p.url].split()) == "".join("".join(parser.out).split())
+
+
+def test_odd_charsets_lengths_and_line_breaks():
+    for charset in (b"undefined", b"idna", b"punycode", b"a\x00b", b"hex", b"utf-16", b"\xff", b"", b"x" * 999):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=" + charset + b"\r\n\r\n<p>caf\xc3\xa9 \xff x"
+        (_, headers, text), _ = X.derived({"WARC-Record-ID": "<i>"}, block)
+        assert X.digest(text) == headers["WARC-Block-Digest"]
+        if charset not in (b"utf-16", b"punycode"):
+            assert text.decode() == "café \ufffd x"
+    for length in ("x", "-5", "1e3", "", "٣", "9" * 400):
+        assert [r[2] for r in X.parsed(f"WARC/1.1\r\nWARC-Type: a\r\nContent-Length: {length}\r\n\r\nabc\r\n\r\n".encode() + X.serialized("b", {}, b"whole"))] in ([b"", b"whole"], [])
+    kind, headers, block = next(X.parsed(X.serialized("response", {"WARC-Target-URI": "http://a/\r\nWARC-Type: x\n\n", "none": None}, b"body\r\n\r\n")))
+    assert (kind, headers, block) == ("response", {"WARC-Target-URI": "http://a/%0D%0AWARC-Type: x%0A%0A", "none": ""}, b"body\r\n\r\n")
