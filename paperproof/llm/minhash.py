@@ -12,11 +12,10 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperproof.llm.common import words
@@ -100,7 +99,7 @@ def edited_pairs(docs: DataFrame, *, k: int = 5, bins: int = 256, bits: int = 8,
     Null ids come first; equal ids, and null ones, stand in order of a hash of their texts, then of text. After the last document comes
     the first, so a lone one is its own next.
 
-    The text moves once: bounds taken from doc_id's quantiles cut the order into parts, and the first document of each part also
+    The text moves once: bounds, which tasks look ids up in, taken from doc_id's quantiles cut the order into parts, and the first document of each part also
     goes to the end of the part before. An id that several quantiles fall on, and the null ids, are cut by that hash into as many parts
     as their share asks for. The parts are sorted by Spark, and a task holds two documents at a time.
     """
@@ -111,12 +110,12 @@ def edited_pairs(docs: DataFrame, *, k: int = 5, bins: int = 256, bits: int = 8,
     times = Counter(found["q"] or ())
     bounds = sorted({*times, *([found["least"]] if found["ids"] else [])})
     nulls = found["n"] - found["ids"]
-    placed = docs.withColumn("part", _part_of_row(bounds, [max(1, times[v]) for v in bounds], max(1, round(parts * nulls / found["n"])) if nulls else 0))
+    placed = docs.withColumn("part", part_of(bounds, [max(1, times[v]) for v in bounds], max(1, round(parts * nulls / found["n"])) if nulls else 0)("doc_id", "tie"))
     # the first row of a part also ends the part before; there are as many of these rows as parts
     first = {r["part"]: r["least"] for r in placed.groupBy("part").agg(F.min("doc_id").alias("least")).collect()}
     order = sorted(first)
     ends = spark.createDataFrame([(p, first[p], order[k - 1]) for k, p in enumerate(order)], "part int, first long, before int")
-    heads = placed.where(F.col("doc_id").isNull() | F.col("doc_id").isin([v for v in first.values() if v is not None])).join(F.broadcast(ends), "part").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    heads = placed.join(F.broadcast(ends), "part").where(F.col("doc_id").eqNullSafe(F.col("first")))
     heads = heads.groupBy("part", "before", "first").agg(F.min(F.struct("tie", "text")).alias("h"))
     heads = heads.select(F.col("first").alias("doc_id"), "h.text", "h.tie", F.col("before").alias("part"), F.lit(1).alias("tail"))
     rows = placed.withColumn("tail", F.lit(0)).unionByName(heads)
@@ -153,24 +152,28 @@ def edited_pairs(docs: DataFrame, *, k: int = 5, bins: int = 256, bits: int = 8,
     return rows.repartition("part").sortWithinPartitions(*sort).select("part", "tail", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _part_of_row(bounds: list[int], widths: list[int], nulls: int) -> Column:
-    """The part of a row(doc_id, tie): null ids share the first ``nulls`` parts, and each of the sorted bounds begins as many as its width says.
-    Rows whose id is the bound are spread over these by their hash, in its order; greater ids are in the last of them."""
-    spread = lambda n: F.least(F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * n), n - F.lit(1)).cast("int")
-    if not bounds:
-        return spread(F.lit(max(1, nulls)))
-    last = F.element_at(F.array(*[F.lit(nulls + n - 1) for n in accumulate(widths)]), _part_of(F.col("doc_id"), bounds[1:]) + 1)
-    hot = [(v, n) for v, n in zip(bounds, widths, strict=True) if n > 1]
-    if hot:
-        width = F.try_element_at(F.create_map(*[F.lit(x).cast(t) for v, n in hot for x, t in ((v, "long"), (n, "int"))]), F.col("doc_id"))
-        last = F.when(width.isNull(), last).otherwise(last - width + 1 + spread(width))
-    return F.when(F.col("doc_id").isNull(), spread(F.lit(nulls))).otherwise(last).cast("int") if nulls else last
-
-
-def _part_of(x, bounds: list[int]):
-    """How many of the sorted bounds are at most x, by halving."""
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    lower = lambda lo, hi: F.lit(lo) if lo == hi else F.when(x >= bounds[(lo + hi) // 2], lower((lo + hi) // 2 + 1, hi)).otherwise(lower(lo, (lo + hi) // 2))
-    return F.when(x >= bounds[mid], lower(mid + 1, len(bounds))).otherwise(lower(0, mid))
+def part_of(bounds: list[int], widths: list[int], nulls: int):
+    """The part of a row(doc_id, tie) as a function of Arrow columns, so that a plan is as long for many parts as for few.
+
+    Null ids share the first ``nulls`` parts, and each of the sorted bounds begins as many as its width says. Rows whose id is the
+    bound are spread over these by their hash, in its order; greater ids are in the last of them."""
+    edges, wide = np.array(bounds, np.int64), np.array(widths, np.int64)
+    ends = nulls + np.cumsum(wide)
+
+    def spread(tie: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return np.minimum(np.floor((tie / 2.0**64 + 0.5) * n).astype(np.int64), n - 1)
+
+    @F.arrow_udf("int")
+    def part(doc_id: pa.Array, tie: pa.Array) -> pa.Array:
+        ids, hashes = doc_id.fill_null(0).to_numpy(zero_copy_only=False), tie.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(ids), np.int64)
+        if len(edges):
+            at = np.maximum(np.searchsorted(edges, ids, "right") - 1, 0)
+            out = ends[at] - 1
+            hot = (edges[at] == ids) & (wide[at] > 1)
+            out[hot] += spread(hashes[hot], wide[at][hot]) - wide[at][hot] + 1
+        none = doc_id.is_null().to_numpy(zero_copy_only=False)
+        out[none] = spread(hashes[none], max(1, nulls))
+        return pa.array(out, pa.int32())
+
+    return part

@@ -37,10 +37,20 @@ def test_frequent_ids_are_cut_into_parts(spark, ids):
     got = edited_pairs(docs(spark, rows), per_partition=2)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(rows), key=str)
     d = docs(spark, [(5, str(k)) for k in range(800)]).withColumn("tie", minhash.F.xxhash64("text"))
-    sizes = [r["count"] for r in d.groupBy(minhash._part_of_row([2, 5, 9], [1, 8, 1], 0)).count().collect()]
+    sizes = [r["count"] for r in d.groupBy(minhash.part_of([2, 5, 9], [1, 8, 1], 0)("doc_id", "tie").alias("part")).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 150
 
 
+def test_plan_is_as_long_for_many_parts(spark, capsys):
+    rows, sizes = [(i, f"text {i}") for i in range(3000)], []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (4, 1000):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        sizes.append(len(edited_pairs(docs(spark, rows))._jdf.queryExecution().optimizedPlan().toString()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sizes[1] < sizes[0] + 3000
+
+
 def test_whole_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert sorted(map(tuple, edited_pairs(d).collect())) == sorted(brute([(r.doc_id, r.text) for r in d.collect()]))
