@@ -1,8 +1,10 @@
 """HTML extraction: the maximum-scoring run of a page's words and tags is its main text.
 
 A word scores above zero and a tag below, by log-odds counted over labelled pages (those that mark their text with an article
-element). One linear scan finds the run with the greatest sum. Within it, what stands in menus, forms, notices and the like is
-left out, and the blocks that remain are the text.
+element). A word in an element whose class, id or role labelled pages have outside their articles alone scores below zero, by that
+class's log-odds; so does one whose class plainly names adverts, comments or a part of the page around the text. One linear scan
+finds the run with the greatest sum. Its words above zero are the text. Elements that the HTML standard itself has for something
+else (menus, forms, scripts and so on) and hidden ones count as no words.
 """
 
 from __future__ import annotations
@@ -26,14 +28,13 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 OUT = frozenset("head nav aside footer form script style noscript iframe template textarea title button select input svg canvas object audio video dialog menu map label datalist".split())
 KNOWN = VOID | RAW | BLOCK | OUT | frozenset("a abbr b cite code em i mark q s small span strong sub sup td th time u".split())
-# Classes, ids and roles that name adverts, share bars and reader comments wherever they stand.
-_NEVER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments comment-list comments-area comment-respond disqus disqus_thread respond replies share sharing share-bar social-share".split())
-# Words of class, id and role values that name what isn't the text, where no article holds it.
-_OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted sidebar side rail widget menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login share sharing social related recommended pagination pager skip toolbar search contentinfo complementary".split())
+# Classes, ids and roles that name adverts and reader comments, and parts of a page around its text. Whole names, not
+# words in them; they and what is learnt only score.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments comment-list comments-area disqus disqus_thread".split())
+AROUND = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar masthead header footer cookie-notice cookie-banner cookies consent gdpr popup modal widget banner newsletter pagination pager toolbar contentinfo complementary".split())
 # An attribute's quotes follow its =; a tag that isn't closed ends before the next one. No part of a page is tried twice.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|(?=<)|\Z)|<(?:[!?]|/(?![A-Za-z]))[^>]*+(?:>|\Z)|[^<]++|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
-_SPLIT = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.IGNORECASE)
 
 
@@ -42,52 +43,53 @@ def classes(attributes: str) -> set[str]:
     return {x for _, v in _ATTRIBUTE.findall(attributes) for x in v.strip("\"'").lower().split()}
 
 
-def _outside(name: str, attributes: str, in_text: bool, learned: frozenset[str]) -> int:
-    """2 if an element holds what isn't the text, 1 if so unless the article begins in it, 0 if not.
+def _outside(name: str, attributes: str, in_text: bool, learned: dict[str, float]) -> tuple[float, bool]:
+    """(score of a word in an element, whether that holds even if the article begins in it); 1 is that of plain text, 0 of none.
 
-    A page's header isn't text; an article's own is. Comments and adverts stay out even if each is marked as an article. Within
-    an article only tags, names of adverts, share bars and comments, and what labelled pages have outside their articles alone count."""
+    A page's header isn't text; an article's own is."""
     if name in OUT and name != "form":
-        return 2
+        return 0.0, True
     if attributes and name not in ("html", "body", "main", "article"):
         if _HIDDEN.search(attributes):
-            return 2
+            return 0.0, True
         found = classes(attributes)
-        if found & _NEVER:
-            return 2
-        if found & learned:
-            return 1
-        if not in_text and ({x for c in found for x in _SPLIT.split(c)} & _OUT_WORDS or "header" in found):
-            return 1
-    return int(name == "form" or name == "header" and not in_text)
-
-
-def tokens(page: str | None, learned: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, outside, labelled) of a page's pieces in order. kind is 'word' for text, otherwise a tag's name with / if
-    it closes; value is a word's text or a tag's attributes; outside: it stands in an element that isn't text; labelled: in an
-    article element. Unclosed elements end with their parents, an end tag without a beginning ends nothing. Time is linear."""
-    page = page or ""
-    stack: list[list] = []
-    soft: list[list] = []  # those of the stack that are outside unless an article begins in them
+        if found & ADVERTS:
+            return -1.0, True
+        if known := [learned[c] for c in found if c in learned]:
+            return min(known), False
+        if not in_text and found & AROUND:
+            return -1.0, False
+    return (0.0, False) if name == "form" or name == "header" and not in_text else (1.0, False)
+
+
+def tokens(page: str | None, learned: dict[str, float] | None = None) -> Iterator[tuple[str, str, float, bool]]:
+    """(kind, value, score, labelled) of a page's pieces in order. kind is 'word' for text, otherwise a tag's name with / if
+    it closes; value is a word's text or a tag's attributes; score: the least that an element around it gives a word, 1 for plain
+    text; labelled: it stands in an article element. Unclosed elements end with their parents, an end tag without a beginning ends
+    nothing. Time is linear."""
+    page, learned = page or "", learned or {}
+    stack: list[list] = []  # name, an element's own score, the least of it and those around it
+    soft: list[int] = []  # places of those that are plain text after all if an article begins in them
     open_names: Counter = Counter()
-    outside = articles = at = 0
+    articles = at = 0
 
     def pop(to: int) -> None:
-        nonlocal outside, articles
+        nonlocal articles
         while len(stack) > to:
-            name, out = last = stack.pop()
-            if soft and soft[-1] is last:
+            name = stack.pop()[0]
+            if soft and soft[-1] == len(stack):
                 soft.pop()
             open_names[name] -= 1
-            outside -= out > 0
             articles -= name in ("article", "main")
 
+    score = lambda: stack[-1][2] if stack else 1.0
+
     while m := _TOKEN.match(page, at):
         at = m.end()
         piece, close, name = m[0], m[1], m[2]
         if name is None:
             if not piece.startswith(("<!", "<?", "</")):
-                yield "word", piece, outside > 0, articles > 0
+                yield "word", piece, score(), articles > 0
             continue
         name = name.lower()
         if close:
@@ -96,7 +98,7 @@ def tokens(page: str | None, learned: frozenset[str] = frozenset()) -> Iterator[
                 while stack[k][0] != name:
                     k -= 1
                 pop(k)
-            yield "/" + name, "", outside > 0, articles > 0
+            yield "/" + name, "", score(), articles > 0
             continue
         if name == "body":
             pop(1 if stack and stack[0][0] == "html" else 0)
@@ -105,18 +107,19 @@ def tokens(page: str | None, learned: frozenset[str] = frozenset()) -> Iterator[
         elif name == "li" and stack and stack[-1][0] == "li":
             pop(len(stack) - 1)
         if name not in VOID and not m[3].rstrip().endswith("/"):
-            out = _outside(name, m[3], articles > 0, learned)
-            if name in ("article", "main") and not articles:
-                for x in soft:
-                    x[1], outside = 0, outside - 1
+            own, firm = _outside(name, m[3], articles > 0, learned)
+            if name in ("article", "main") and not articles and soft:
+                for k in soft:
+                    stack[k][1] = 1.0
+                for k in range(soft[0], len(stack)):
+                    stack[k][2] = min(stack[k][1], stack[k - 1][2] if k else 1.0)
                 soft.clear()
-            stack.append([name, out])
+            if own < 1 and not firm:
+                soft.append(len(stack))
+            stack.append([name, own, min(own, score())])
             open_names[name] += 1
-            if out == 1:
-                soft.append(stack[-1])
-            outside += out > 0
             articles += name in ("article", "main")
-        yield name, m[3], outside > 0, articles > 0
+        yield name, m[3], score(), articles > 0
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.IGNORECASE).search(page, at)
             at = end.start() if end else len(page)
@@ -124,26 +127,26 @@ def tokens(page: str | None, learned: frozenset[str] = frozenset()) -> Iterator[
 
 @dataclass
 class Weights:
-    """Scores: word for each word, tag for a tag by its name, other for names not seen. outside: classes that aren't text."""
+    """Scores: word for each word, tag for a tag by its name, other for names not seen. outside: of classes that aren't text, in words."""
 
     word: float = 1.0
     other: float = -1.0
     tag: dict[str, float] = field(default_factory=dict)
-    outside: frozenset[str] = frozenset()
+    outside: dict[str, float] = field(default_factory=dict)
 
 
 #: Article and main elements' own tags part text from the rest, so they cost this many words.
 EDGE = 8.0
 
 
-def region(pieces: list[tuple[str, str, bool, bool]], w: Weights) -> tuple[int, int]:
+def region(pieces: list[tuple[str, str, float, bool]], w: Weights) -> tuple[int, int]:
     """The first (start, stop) of pieces with the greatest sum of scores; (0, 0) if none is above zero."""
     best, found, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, out, _) in enumerate(pieces):
+    for i, (kind, value, score, _) in enumerate(pieces):
         if total <= 0:
             total, start = 0.0, i
         if kind == "word":
-            total += 0.0 if out else w.word * len(value.split())
+            total += score * w.word * len(value.split())
         elif kind.strip("/") in ("article", "main"):
             total -= EDGE * w.word
         else:
@@ -153,13 +156,13 @@ def region(pieces: list[tuple[str, str, bool, bool]], w: Weights) -> tuple[int,
     return found
 
 
-def blocks(pieces: list[tuple[str, str, bool, bool]], everything: bool = False) -> list[str]:
+def blocks(pieces: list[tuple[str, str, float, bool]], everything: bool = False) -> list[str]:
     """The text of each block: character references decoded, white space as one space, none at the ends; no empty ones."""
     out, held = [], []
-    for kind, value, outside, _ in pieces:
+    for kind, value, score, _ in pieces:
         name = kind.strip("/")
         if kind == "word":
-            if everything or not outside:
+            if everything or score > 0:
                 held.append(html.unescape(value))
         elif name in BLOCK:
             out.append(" ".join("".join(held).split()))
@@ -200,7 +203,7 @@ def learn(pages: DataFrame, *, most: int = 2000, seen: int = 20) -> Weights:
     """Weights from labelled pages: at most ``most`` of those with an article element, chosen by hash of their id.
 
     A kind's weight is the log-odds of standing in the article against standing elsewhere; words keep above zero and tags
-    below it. A class, id or role that stands outside articles on at least ``seen`` pages and inside on none isn't text.
+    below it. A class, id or role that stands outside articles on at least ``seen`` pages and inside on none scores below zero.
     Without labelled pages, a word scores 1 and a tag -1.
     """
 
@@ -222,13 +225,13 @@ def learn(pages: DataFrame, *, most: int = 2000, seen: int = 20) -> Weights:
     labelled = pages.select("page_id", "html").join(some.select("page_id").distinct(), "page_id", "left_semi")
     n = {(r.kind, r.labelled): r.n for r in labelled.select("html").mapInArrow(count, "kind string, labelled boolean, n long").groupBy("kind", "labelled").agg(F.sum("n").alias("n")).collect()}
     named = {k: n.pop(k) for k in [k for k in n if k[0].startswith(".")]}
-    never = frozenset(c[1:] for (c, labelled), v in named.items() if not labelled and v >= seen and (c, True) not in named)
     inside, outside = (sum(v for k, v in n.items() if k[1] == side) for side in (True, False))
     if not inside or not outside:
         return Weights()
     odds = lambda k: log((n.get((k, True), 0) + 0.5) / (inside + 1)) - log((n.get((k, False), 0) + 0.5) / (outside + 1))
     word = max(0.1, odds("word"))
     tag = {k: min(-0.01 * word, odds(k)) for k in {k for k, _ in n} - {"word", "other"}}
+    never = {c[1:]: -max(1.0, log(2 * v + 1) / word) for (c, labelled), v in named.items() if not labelled and v >= seen and (c, True) not in named}
     return Weights(word, min(-word, odds("other") if ("other", False) in n else -word), tag, never)
 
 
