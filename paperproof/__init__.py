@@ -1,7 +1,7 @@
 """Trustworthy receipt data on Spark: adapt, validate, decide, evaluate and profile, as DataFrame operators."""
 
 from paperproof.operators.annotation import adapt_annotations
-from paperproof.operators.evaluate import compare_field, evaluate_documents, field_rates, greedy_matches, pair_scores, report, unmatched
+from paperproof.operators.evaluate import compare_field, evaluate_documents, field_rates, item_matches, pair_scores, report, unmatched
 from paperproof.operators.model_json import adapt_model_json
 from paperproof.operators.ocr_lines import extract_baseline, lines_from_words
 from paperproof.operators.profile import profile_report, profile_rows
@@ -9,4 +9,4 @@ from paperproof.operators.validate import decision, issue_rows, issues, validate
 from paperproof.plans.schema import RECEIPT, RECEIPT_COLUMNS, as_json, faults
 from paperproof.sources.model_client import extract_with_model
 
-__all__ = ["RECEIPT", "RECEIPT_COLUMNS", "adapt_annotations", "adapt_model_json", "as_json", "compare_field", "decision", "evaluate_documents", "extract_baseline", "extract_with_model", "faults", "field_rates", "greedy_matches", "issue_rows", "issues", "lines_from_words", "pair_scores", "profile_report", "profile_rows", "report", "unmatched", "validate"]
+__all__ = ["RECEIPT", "RECEIPT_COLUMNS", "adapt_annotations", "adapt_model_json", "as_json", "compare_field", "decision", "evaluate_documents", "extract_baseline", "extract_with_model", "faults", "field_rates", "issue_rows", "issues", "item_matches", "lines_from_words", "pair_scores", "profile_report", "profile_rows", "report", "unmatched", "validate"]

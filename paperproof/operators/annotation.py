@@ -6,108 +6,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperproof.functions import variant as J
-from paperproof.functions.numbers import let, parse_grouped_amount, parse_quantity
-from paperproof.functions.text import document_id, is_missing, joined_raw, normalize_text
+from paperproof.functions.text import document_id
+from paperproof.operators.landing import ABSENT, COLUMNS, ITEM_KEYS, OBJECT, OBJECTS, OTHER, as_landed
 from paperproof.plans.schema import EXTRACTED, LINE_ITEM, NOT_ANNOTATED, NOT_PRESENT, RECEIPT_COLUMNS, SCHEMA_VERSION, dec_field, text_field
 
-# The keys of the annotation format by canonical field.
-ITEM_KEYS = (("description", "nm"), ("quantity", "cnt"), ("unit_price", "unitprice"), ("line_total", "price"))
-AMOUNT_KEYS = ("subtotal_price", "tax_price", "discount_price", "service_price", "othersvc_price")
+# A cell is a value as landing makes it.
 
 
-# A cell is a value as variant.cell reads it.
+def text_status(c: Column) -> Column:
+    return F.when(c["value"].isNotNull(), EXTRACTED).otherwise(NOT_PRESENT)
 
 
-def _text(c: Column) -> Column:
-    raw = joined_raw(c["texts"])
-    field = lambda said: F.when(F.size(said) == 0, text_field(NOT_PRESENT, raw=raw)).otherwise(text_field(EXTRACTED, F.array_join(said, " "), raw))
-    return F.when(c["absent"], text_field(NOT_PRESENT)).otherwise(let(F.filter(F.transform(c["texts"], normalize_text), lambda x: ~x.isin("", "-")), field))
-
-
-def _number(c: Column, parse, skip_percent: bool) -> Column:
-    """The one value that all readable pieces agree on; none, or several, is not_annotated."""
-
-    def field(x: Column) -> Column:
-        read, raw = x["read"], joined_raw(c["texts"])
-        one, first = F.size(F.array_distinct(F.transform(read, lambda p: p["value"]))) == 1, F.get(read, F.lit(0))
-        return F.when(F.size(x["said"]) == 0, dec_field(NOT_PRESENT, raw=raw)).when(one, dec_field(EXTRACTED, first["value"], first["value_text"], raw)).otherwise(dec_field(NOT_ANNOTATED, raw=raw))
+def number_status(c: Column) -> Column:
+    """A number is there if all readable texts agree on it; none, or several, is not_annotated."""
+    return F.when(F.coalesce(c["kind"] == ABSENT, F.lit(True)) | (c["said"] == 0), NOT_PRESENT).when(c["value"].isNotNull(), EXTRACTED).otherwise(NOT_ANNOTATED)
 
-    readable = lambda said: F.filter(F.transform(F.filter(said, lambda x: ~x.contains("%")) if skip_percent else said, parse), lambda p: p["error"].isNull())
-    told = let(F.filter(c["texts"], lambda x: ~is_missing(x)), lambda said: let(F.struct(said.alias("said"), readable(said).alias("read")), field))
-    return F.when(c["absent"], dec_field(NOT_PRESENT)).otherwise(told)
 
-
-def money(c: Column) -> Column:
-    return _number(c, parse_grouped_amount, skip_percent=True)
+def _text(c: Column) -> Column:
+    return text_field(text_status(c), c["value"], c["raw"])
 
 
-def quantity(c: Column) -> Column:
-    return _number(c, parse_quantity, skip_percent=False)
+def _number(c: Column) -> Column:
+    return dec_field(number_status(c), c["value"], c["value_text"], c["raw"])
 
 
 def line_item(cells: Column) -> Column:
-    fields = {"description": _text, "quantity": quantity, "unit_price": money, "line_total": money}
-    return F.struct(*[fields[name](cells[key]).alias(name) for name, key in ITEM_KEYS])
-
+    return F.struct(*[(_text if name == "description" else _number)(cells[key]).alias(name) for name, key in ITEM_KEYS])
 
-def _cells(v: Column, names) -> Column:
-    return F.struct(*[J.cell(J.get(v, n)).alias(n) for n in names])
 
+#: Canonical amounts: field, section, its key in the format, the cell's key.
+AMOUNTS = (("subtotal", "sub", "sub_total", "subtotal_price"), ("tax", "sub", "sub_total", "tax_price"), ("total", "tot", "total", "total_price"))
 
-def _shape(v: Column) -> Column:
-    """struct<absent, object, objects>: which shape a section has."""
-    return let(v, lambda x: let(J.kind(x), lambda k: F.struct(F.coalesce(k == "VOID", F.lit(True)).alias("absent"), F.coalesce(k.startswith("OBJECT<"), F.lit(False)).alias("object"), (F.coalesce(k.startswith("ARRAY<"), F.lit(False)) & J.is_objects(x)).alias("objects"))))
 
+def amount_status(section: str, key: str) -> Column:
+    """The status of an amount of a section, which may be a list."""
+    return F.when(F.col(f"{section}_is") == OBJECTS, NOT_ANNOTATED).otherwise(number_status(F.col(f"{section}.{key}")))
 
-def menu_items(menu: Column) -> Column:
-    """array<variant>: none, the one object, or the listed objects; null for other shapes."""
-    return F.when(J.absent(menu), F.array().cast("array<variant>")).when(J.is_object(menu), F.array(menu)).when(J.is_objects(menu), J.elements(menu))
 
+def own_id(explicit_id: str | None = None) -> Column:
+    return document_id(F.col(explicit_id) if explicit_id else None, F.col("split"), F.col("image_id"))
 
-def menu_shape(menu: Column) -> Column:
-    return F.when(J.absent(menu), "missing").when(J.is_object(menu), "object").when(J.is_objects(menu), "list").when(J.elements(menu).isNotNull(), "invalid_list").otherwise("invalid")
 
-
-def opened(df: DataFrame, text: str = "ground_truth") -> DataFrame:
-    """df with the parts that the adapter and the profile read, each value once: _root, _gt, _meta, _menu, _sub, _tot (variants),
-    _ok (which are objects), _items (the menu's objects), _listed (their cells), _subs, _tots (cells by key), _sub_is, _tot_is (shapes)."""
-    df = J.bound(df, _root=J.parse_json(F.col(text)))
-    df = df.withColumn("_gt", J.get(F.col("_root"), "gt_parse")).withColumn("_meta", J.get(F.col("_root"), "meta"))
-    df = J.bound(df, _menu=J.get(F.col("_gt"), "menu"), _sub=J.get(F.col("_gt"), "sub_total"), _tot=J.get(F.col("_gt"), "total"))
-    items, shapes = menu_items(F.col("_menu")), {f"{c}_is": _shape(F.col(c)) for c in ("_root", "_gt", "_meta", "_sub", "_tot")}
-    listed = F.transform("_items", lambda x: _cells(x, [k for _, k in ITEM_KEYS]))
-    return J.bound(J.bound(df, _items=items, **shapes), _listed=listed, _subs=_cells(F.col("_sub"), (*AMOUNT_KEYS, "etc")), _tots=_cells(F.col("_tot"), ("total_price",)))
-
-
-def split_name(meta: Column) -> Column:
-    """meta.split as text; a null there is None, as in the format's own ids; unknown if it is absent."""
-    v = J.get(meta, "split")
-    return F.when(F.is_variant_null(v), "None").otherwise(F.coalesce(J.text_at(meta, "$.split"), F.lit("unknown")))
+def adapter_error(explicit_id: str | None = None) -> Column:
+    """Which rule a landed annotation breaks first; null if it breaks none."""
+    path = lambda i, key: F.lit("text field not text") if key == "nm" else F.concat(F.lit("menu["), i.cast("string"), F.lit(f"].{key} not text"))
+    kinds = F.arrays_zip(*[F.col(f"items.{key}.kind").alias(key) for _, key in ITEM_KEYS])
+    items = F.flatten(F.transform(kinds, lambda x, i: F.array(*[F.when(x[key] == OTHER, path(i, key)) for _, key in ITEM_KEYS])))
+    some_item = F.get(F.filter(items, lambda x: x.isNotNull()), F.lit(0))
+    odd = F.lit(False)
+    for _, key in ITEM_KEYS:
+        odd = odd | F.coalesce(F.array_contains(F.col(f"items.{key}.kind"), OTHER), F.lit(False))
+    return F.coalesce(
+        F.when(F.col("root").isNull(), "invalid_json"), F.when(F.col("root") != OBJECT, "root not an object"), F.when(F.col("gt") != OBJECT, "gt_parse not an object"),
+        F.when(F.col("meta") == OTHER, "meta not an object"), F.when(own_id(explicit_id).isNull(), "no document id"), F.when(F.col("n_items").isNull(), "menu not objects"),
+        F.when(odd, some_item), F.when(F.col("sub_is") == OTHER, "sub_total not an object"), F.when(F.col("tot_is") == OTHER, "total not an object"),
+        *[F.when(F.col(f"{c}.{key}.kind") == OTHER, f"{where}.{key} not text") for _, c, where, key in AMOUNTS],
+    )
 
 
 def adapted(df: DataFrame, *, explicit_id: str | None = None) -> DataFrame:
-    """Of opened rows: the columns of a receipt and error. Just one of error and the receipt is null."""
-    meta, is_ = F.col("_meta"), lambda c: F.col(f"{c}_is")
-    own = document_id(F.col(explicit_id) if explicit_id else None, split_name(meta), J.text_at(meta, "$.image_id"))
-    not_text = lambda c: ~c["absent"] & c["texts"].isNull()
-    path = lambda i, key: F.lit("text field not text") if key == "nm" else F.concat(F.lit("menu["), i.cast("string"), F.lit(f"].{key} not text"))
-    items = F.flatten(F.transform("_listed", lambda x, i: F.array(*[F.when(not_text(x[key]), path(i, key)) for _, key in ITEM_KEYS])))
-    bad_section = lambda c: ~is_(c)["absent"] & ~is_(c)["object"] & ~is_(c)["objects"]
-    fields = (("subtotal", "_sub", "sub_total", "subtotal_price"), ("tax", "_sub", "sub_total", "tax_price"), ("total", "_tot", "total", "total_price"))
-    cell = lambda c, key: F.col(f"{c}s.{key}")
-    error = F.coalesce(
-        F.when(F.col("_root").isNull(), "invalid_json"), F.when(~is_("_root")["object"], "root not an object"), F.when(~is_("_gt")["object"], "gt_parse not an object"),
-        F.when(~is_("_meta")["absent"] & ~is_("_meta")["object"], "meta not an object"), F.when(own.isNull(), "no document id"), F.when(F.col("_items").isNull(), "menu not objects"),
-        F.get(F.filter(items, lambda x: x.isNotNull()), F.lit(0)), F.when(bad_section("_sub"), "sub_total not an object"), F.when(bad_section("_tot"), "total not an object"),
-        *[F.when(~is_(c)["objects"] & not_text(cell(c, key)), f"{where}.{key} not text") for _, c, where, key in fields],
-    )
-    df = J.bound(df, error=error)
+    """Of landed rows: the columns of a receipt and error. Just one of error and the receipt is null."""
+    df = J.bound(df, error=adapter_error(explicit_id))
     good = lambda x: F.when(F.col("error").isNull(), x)
-    amounts = [good(F.when(is_(c)["objects"], dec_field(NOT_ANNOTATED, raw=F.to_json(F.col(c)))).otherwise(money(cell(c, key)))).alias(name) for name, c, _, key in fields]
-    return df.select("*", good(F.lit(SCHEMA_VERSION)).alias("schema_version"), good(own).alias("document_id"), good(F.transform("_listed", line_item)).cast(f"array<{LINE_ITEM}>").alias("line_items"), *amounts, good(text_field(NOT_ANNOTATED)).alias("currency"))
+    amounts = [good(F.when(F.col(f"{c}_is") == OBJECTS, dec_field(NOT_ANNOTATED, raw=F.col(f"{c}_json"))).otherwise(_number(F.col(f"{c}.{key}")))).alias(name) for name, c, _, key in AMOUNTS]
+    return df.select("*", good(F.lit(SCHEMA_VERSION)).alias("schema_version"), good(own_id(explicit_id)).alias("document_id"), good(F.transform("items", line_item)).cast(f"array<{LINE_ITEM}>").alias("line_items"), *amounts, good(text_field(NOT_ANNOTATED)).alias("currency"))
 
 
 def adapt_annotations(df: DataFrame, *, text: str = "ground_truth", explicit_id: str | None = None) -> DataFrame:
-    """df with the columns of a receipt and error. Null or malformed text is invalid_json. Row-local."""
-    out = adapted(opened(df, text), explicit_id=explicit_id)
-    return out.select(*df.columns, *RECEIPT_COLUMNS, "error")
+    """df, of texts or landed, with the columns of a receipt and error. Null or malformed text is invalid_json. Row-local."""
+    own = [c for c in df.columns if c not in COLUMNS]
+    rows = as_landed(df.withColumn("_text", F.col(text)), "_text") if text in df.columns else df
+    return adapted(rows, explicit_id=explicit_id).select(*own, *RECEIPT_COLUMNS, "error")

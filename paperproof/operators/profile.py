@@ -7,6 +7,7 @@ shuffled is a row for each distinct entry and task.
 from __future__ import annotations
 
 import json
+from collections.abc import Collection
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -14,13 +15,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperproof.functions import variant as J
-from paperproof.functions.numbers import let, parse_grouped_amount, parse_quantity, rate
-from paperproof.functions.text import amount_format, normalize_text, quantity_format
-from paperproof.operators.annotation import AMOUNT_KEYS, ITEM_KEYS, adapted, menu_shape, opened, split_name
-from paperproof.plans.schema import DOCUMENT_FIELDS, ITEM_FIELDS
+from paperproof.functions.numbers import rate
+from paperproof.operators.annotation import AMOUNTS, adapter_error, amount_status, number_status, text_status
+from paperproof.operators.landing import AMOUNT_KEYS, ITEM_KEYS, OBJECT, as_landed
+from paperproof.plans.schema import NOT_ANNOTATED
 
-# Names of the fields whose presence is counted, by key of the format.
-PRESENCE = (("subtotal", "_sub", "subtotal_price"), ("tax", "_sub", "tax_price"), ("discount", "_sub", "discount_price"), ("service_charge", "_sub", "service_price"), ("other_service_charge", "_sub", "othersvc_price"), ("subtotal_other", "_sub", "etc"), ("total", "_tot", "total_price"))
+# Names of the fields whose presence is counted, by section and key of the format.
+PRESENCE = (("subtotal", "sub", "subtotal_price"), ("tax", "sub", "tax_price"), ("discount", "sub", "discount_price"), ("service_charge", "sub", "service_price"), ("other_service_charge", "sub", "othersvc_price"), ("subtotal_other", "sub", "etc"), ("total", "tot", "total_price"))
+# The profile's own codes of what comes before the adapter's errors.
+CODES = {"root not an object": "json_root_not_object", "gt_parse not an object": "missing_or_invalid_gt_parse"}
+SECTIONS = ("documents", "line_items", "menu_shape", "document_field_presence", "line_item_field_presence", "adapter_error_details", "document_field_statuses", "line_item_field_statuses", "amount_formats", "quantity_formats", "normalization_errors")
 
 
 def _entry(section: str, key, subkey=None, n=1) -> Column:
@@ -28,85 +32,86 @@ def _entry(section: str, key, subkey=None, n=1) -> Column:
     return F.struct(F.lit(section).alias("section"), as_col(key).alias("key"), as_col(subkey).alias("subkey"), (n if isinstance(n, Column) else F.lit(n)).cast("bigint").alias("n"))
 
 
-def _formats(c: Column, what: str, form, parse) -> list[Column]:
-    """The entries of one raw value (a cell): its format, or that it isn't text, and whether it can't be read."""
-    there = c["present"] & c["is_text"]
-    return [
-        F.when(there, _entry(f"{what}_formats", form(c["text"]))),
-        F.when(c["present"] & ~c["is_text"], _entry("normalization_errors", f"{what}_not_string")),
-        F.when(there & parse(c["text"])["error"].isNotNull(), _entry("normalization_errors", f"{what}_unparseable")),
-    ]
-
-
-# The profile's own codes of what comes before the adapter's errors.
-CODES = {"root not an object": "json_root_not_object", "gt_parse not an object": "missing_or_invalid_gt_parse"}
-
-
-def profile_rows(annotations: DataFrame, text: str = "ground_truth", order: str | None = None) -> DataFrame:
-    """section, key, subkey, n, rate. rate is set for presence: of valid documents, or of all line items. With order, first is its
-    least value among the documents that an entry was counted in."""
-    df = adapted(opened(annotations.select(text, *([F.col(order).alias("_order")] if order else [])), text))
-    valid, parsed = F.col("_root_is.object"), F.col("_gt_is.object")
-    cells = F.when(parsed, F.col("_listed"))
-    df = df.withColumn("_cells", F.coalesce(cells, F.array().cast(df.schema["_listed"].dataType))).withColumn("_split", F.when(F.col("_meta_is.object"), split_name(F.col("_meta"))).otherwise("unknown"))
-    code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), F.col("error")), F.col("error"))
-    cell = lambda c, key: F.col(f"{c}s.{key}")
-    entries = [
-        _entry("documents", "total"), F.when(valid, _entry("documents", "valid_json")), _entry("documents", F.when(F.col("error").isNull(), "adapter_successes").otherwise("adapter_errors")),
-        F.when(valid, _entry("documents", "by_split", F.col("_split"))),
-        F.when(parsed, _entry("line_items", "total", n=F.size("_cells"))), F.when(parsed, _entry("line_items", "by_split", F.col("_split"), F.size("_cells"))),
-        F.when(parsed, _entry("menu_shape", menu_shape(F.col("_menu")))),
-        F.when(F.size("_cells") > 0, _entry("document_field_presence", "line_items")),
-        *[F.when(parsed & F.col(f"{c}_is.object") & cell(c, key)["present"], _entry("document_field_presence", name)) for name, c, key in PRESENCE],
-        F.when(F.col("error").isNotNull(), _entry("adapter_error_details", code)),
-        *[F.when(F.col("error").isNull(), _entry("document_field_statuses", name, F.col(f"{name}.status"))) for name in DOCUMENT_FIELDS],
-    ]
-    for c, key in [*[("_sub", k) for k in AMOUNT_KEYS], ("_tot", "total_price")]:
-        entries += [F.when(parsed & F.col(f"{c}_is.object"), e) for e in _formats(cell(c, key), "amount", amount_format, parse_grouped_amount)]
-    per_item = F.flatten(F.transform("_cells", lambda x: F.array(
-        *[F.when(x[key]["present"], _entry("line_item_field_presence", name)) for name, key in ITEM_KEYS],
-        *_formats(x["cnt"], "quantity", quantity_format, parse_quantity), *_formats(x["unitprice"], "amount", amount_format, parse_grouped_amount), *_formats(x["price"], "amount", amount_format, parse_grouped_amount),
-    )))
-    statuses = F.when(F.col("error").isNull(), F.flatten(F.transform("line_items", lambda x: F.array(*[_entry("line_item_field_statuses", name, x[name]["status"]) for name in ITEM_FIELDS]))))
-    every = F.filter(F.concat(F.array(*entries), per_item, F.coalesce(statuses, F.array().cast("array<struct<section:string,key:string,subkey:string,n:bigint>>"))), lambda e: e.isNotNull())
+def _some(section: str, key: str, n: Column) -> Column:
+    """An entry of n, if there are any."""
+    return F.when(n > 0, _entry(section, key, n=n))
+
+
+def _count(x: Column, where) -> Column:
+    """In how many elements something holds."""
+    return F.size(F.filter(x, where))
+
+
+def _entries(sections: Collection[str]) -> list[Column]:
+    """What a landed document adds, as entries of those sections; nulls add nothing."""
+    valid, parsed, good = F.col("root") == OBJECT, (F.col("root") == OBJECT) & (F.col("gt") == OBJECT), F.col("error").isNull()
+    items = lambda path: F.when(parsed, F.col(f"items.{path}"))  # noqa: E731  an array, read alone from the landed file
+    n_items = F.coalesce("n_items", F.lit(0))
+    out: dict[str, list[Column]] = {
+        "documents": [_entry("documents", "total"), F.when(valid, _entry("documents", "valid_json")), _entry("documents", F.when(good, "adapter_successes").otherwise("adapter_errors")), F.when(valid, _entry("documents", "by_split", F.col("split")))],
+        "line_items": [F.when(parsed, _entry("line_items", "total", n=n_items)), F.when(parsed, _entry("line_items", "by_split", F.col("split"), n_items))],
+        "menu_shape": [F.when(parsed, _entry("menu_shape", F.col("menu")))],
+        "document_field_presence": [F.when(parsed & (n_items > 0), _entry("document_field_presence", "line_items")), *[F.when(parsed & F.col(f"{c}.{key}.present"), _entry("document_field_presence", name)) for name, c, key in PRESENCE]],
+        "line_item_field_presence": [_some("line_item_field_presence", name, _count(items(f"{key}.present"), lambda x: x)) for name, key in ITEM_KEYS],
+        "adapter_error_details": [F.when(~good, _entry("adapter_error_details", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), F.col("error")), F.col("error"))))],
+        "document_field_statuses": [F.when(good, _entry("document_field_statuses", name, status)) for name, status in [*[(name, amount_status(c, key)) for name, c, _, key in AMOUNTS], ("currency", F.lit(NOT_ANNOTATED))]],
+    }
+    named = lambda section, listed: F.transform(listed, lambda x: _entry(section, x))
+    several = lambda section, key, listed: F.transform(listed, lambda x: _entry(section, key, x))
+    statuses = []
+    for name, key in ITEM_KEYS:
+        parts = ("value",) if name == "description" else ("kind", "said", "value")
+        each = F.transform(F.arrays_zip(*[F.col(f"items.{key}.{p}").alias(p) for p in parts]), text_status if name == "description" else number_status)
+        statuses.append(F.when(good, several("line_item_field_statuses", name, each)))
+    listed: dict[str, list[Column]] = {"line_item_field_statuses": statuses}
+    amounts = [(c, k) for c, k in [*[("sub", k) for k in AMOUNT_KEYS], ("tot", "total_price")]]
+    for what, cells, keys in (("amount", amounts, ("unitprice", "price")), ("quantity", [], ("cnt",))):
+        of = lambda part, cells=cells, keys=keys: F.concat(F.array(*[F.when(parsed, F.col(f"{c}.{k}.{part}")) for c, k in cells]), *[F.coalesce(items(f"{k}.{part}"), F.array()) for k in keys])
+        listed[f"{what}_formats"] = [named(f"{what}_formats", F.filter(of("format"), lambda x: x.isNotNull()))]
+        out["normalization_errors"] = out.get("normalization_errors", []) + [
+            _some("normalization_errors", f"{what}_not_string", F.aggregate(F.zip_with(of("present"), of("format"), lambda p, f: (F.coalesce(p, F.lit(False)) & f.isNull()).cast("int")), F.lit(0), lambda a, x: a + x)),
+            _some("normalization_errors", f"{what}_unparseable", _count(of("unreadable"), lambda x: x)),
+        ]
+    own = F.array(*[e for s in sections for e in out.get(s, [])]) if any(s in out for s in sections) else None
+    many = [F.coalesce(e, F.array().cast("array<struct<section:string,key:string,subkey:string,n:bigint>>")) for s in sections for e in listed.get(s, [])]
+    return [x for x in (own, *many) if x is not None]
+
+
+def profile_rows(annotations: DataFrame, text: str = "ground_truth", order: str | None = None, sections: Collection[str] = SECTIONS) -> DataFrame:
+    """section, key, subkey, n, rate of annotations, of texts or landed. rate is set for presence: of valid documents, or of all line items.
+    With order, first is its least value among the documents that an entry was counted in. Of landed files, only the columns that
+    the sections ask for are read."""
+    unknown = set(sections) - set(SECTIONS)
+    if unknown:
+        raise ValueError(f"no such sections: {sorted(unknown)}")
+    of = {"document_field_presence": "documents", "line_item_field_presence": "line_items"}
+    wanted = [s for s in SECTIONS if s in {*sections, *(of[s] for s in sections if s in of)}]
+    df = as_landed(annotations, text)
+    if order:
+        df = df.withColumn("_order", F.col(order))
+    df = J.bound(df, error=adapter_error()) if {"documents", "adapter_error_details", "document_field_statuses", "line_item_field_statuses"} & {*sections} else df.withColumn("error", F.lit(None).cast("string"))
+    entries = F.filter(F.concat(*_entries(wanted)), lambda e: e.isNotNull())
     first = [F.min("_order").alias("first")] if order else []
-    counted = df.select(F.explode(every).alias("e"), *(["_order"] if order else [])).select("e.*", *(["_order"] if order else [])).groupBy("section", "key", "subkey").agg(F.sum("n").alias("n"), *first)
+    counted = df.select(F.explode(entries).alias("e"), *(["_order"] if order else [])).select("e.*", *(["_order"] if order else [])).groupBy("section", "key", "subkey").agg(F.sum("n").alias("n"), *first)
     # a few hundred rows: the denominators come from among them
-    of = lambda s, k: F.max(F.when((F.col("section") == s) & (F.col("key") == k) & F.col("subkey").isNull(), F.col("n"))).over(W.partitionBy())
-    counted = counted.withColumn("_docs", of("documents", "valid_json")).withColumn("_items", of("line_items", "total"))
+    total = lambda s, k: F.max(F.when((F.col("section") == s) & (F.col("key") == k) & F.col("subkey").isNull(), F.col("n"))).over(W.partitionBy())
+    counted = counted.withColumn("_docs", total("documents", "valid_json")).withColumn("_items", total("line_items", "total")).where(F.col("section").isin(*sections))
     share = F.when(F.col("section") == "document_field_presence", rate(F.col("n"), F.col("_docs"))).when(F.col("section") == "line_item_field_presence", rate(F.col("n"), F.col("_items")))
     return counted.select("section", "key", "subkey", "n", share.alias("rate"), *(["first"] if order else []))
 
 
 def items_per_document(annotations: DataFrame, text: str = "ground_truth") -> DataFrame:
     """One row: min, max, mean (3 digits), median, p95 (nearest rank) of line items over documents with a gt_parse object; nulls if there are none."""
-    df = opened(annotations.select(text), text).where("_gt_is.object").select(F.size(F.coalesce("_items", F.array().cast("array<variant>"))).alias("n"))
+    df = as_landed(annotations, text).where((F.col("root") == OBJECT) & (F.col("gt") == OBJECT)).select(F.coalesce("n_items", F.lit(0)).alias("n"))
     return df.agg(F.min("n").alias("min"), F.max("n").alias("max"), F.bround(F.avg("n"), 3).alias("mean"), F.median("n").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n)").cast("bigint").alias("p95"))
 
 
 def error_examples(annotations: DataFrame, order: str, text: str = "ground_truth", most: int = 50) -> DataFrame:
     """The first ``most`` documents, by ``order``, that the adapter rejects past gt_parse: document_id, error, context: JSON of the
     values that may be why, as they are; a key without any is left out."""
-    df = adapted(opened(annotations.select(order, text), text)).where(F.col("error").isNotNull() & F.col("_gt_is.object"))
-    df = df.select(order, "error", "_meta", "_meta_is", "_items", "_sub", "_tot", "_sub_is", "_tot_is").orderBy(order).limit(most)
-    some = lambda x: F.when(F.size(x) > 0, x)
-
-    def odd_value(x: Column, i: Column, key: str) -> Column:
-        return let(J.get(x, key), lambda v: F.when(~J.absent(v) & ~J.is_text(v), F.struct(i.alias("index"), F.lit(key).alias("field"), v.alias("value"))))
-
-    odd_item = lambda x, i: F.array(*[odd_value(x, i, key) for _, key in ITEM_KEYS])
-    odd = F.filter(F.flatten(F.transform(F.coalesce("_items", F.array().cast("array<variant>")), odd_item)), lambda e: e.isNotNull())
-
-    def unusual_value(c: str, k: str) -> Column:
-        return let(J.get(F.col(c), k), lambda v: F.when(v.isNotNull() & (~J.is_text(v) | (normalize_text(J.text_at(v, "$")) == "-")), F.struct(F.lit(k).alias("k"), v.alias("v"))))
-
-    def shown(c: str, keys: tuple[str, ...]) -> Column:
-        unusual = F.to_json(F.map_from_entries(F.filter(F.array(*[unusual_value(c, k) for k in keys]), lambda e: e.isNotNull())))
-        return F.when(F.col(f"{c}_is.object"), F.when(unusual != "{}", F.try_parse_json(unusual))).when(~F.col(f"{c}_is.absent"), F.col(c))
-
-    context = F.to_json(F.struct(some(odd).alias("non_string_item_fields"), shown("_sub", AMOUNT_KEYS).alias("sub_total"), shown("_tot", ("total_price",)).alias("total")))
-    own = F.concat(F.lit("cord-"), F.when(F.col("_meta_is.object"), split_name(F.col("_meta"))).otherwise("unknown"), F.lit("-"), F.coalesce(J.text_at(F.col("_meta"), "$.image_id"), F.lit("unknown")))
-    return df.select(order, own.alias("document_id"), "error", context.alias("context"))
+    df = as_landed(annotations, text).withColumn("error", adapter_error()).where(F.col("error").isNotNull() & (F.col("root") == OBJECT) & (F.col("gt") == OBJECT))
+    own = F.concat(F.lit("cord-"), F.col("split"), F.lit("-"), F.coalesce("image_id", F.lit("unknown")))
+    return df.select(order, own.alias("document_id"), "error", F.col("odd").alias("context")).orderBy(order).limit(most)
 
 
 def profile_report(annotations: DataFrame, order: str | None = None, text: str = "ground_truth") -> dict:
@@ -114,6 +119,7 @@ def profile_report(annotations: DataFrame, order: str | None = None, text: str =
     which they are first met by ``order``, by name without it."""
     out: dict = {}
     first: dict = {}
+    annotations = as_landed(annotations.select(text, *([order] if order else [])) if text in annotations.columns else annotations, text)
     for r in profile_rows(annotations, text, order).collect():
         first[r.section, r.key] = r["first"] if order else r.key
         at = out.setdefault(r.section, {})

@@ -31,6 +31,39 @@ def _path(i: Column, name: str) -> Column:
     return F.concat(F.lit("line_items["), i.cast("string"), F.lit(f"].{name}"))
 
 
+def is_doubtful(f: Column, threshold: float) -> Column:
+    """Marked uncertain, or there with less confidence than the threshold."""
+    return F.coalesce((f["status"] == UNCERTAIN) | (is_extracted(f) & (f["confidence"] < threshold)), F.lit(False))
+
+
+def line_total_is_off(x: Column, tolerance: str) -> Column:
+    q, u, t = x["quantity"], x["unit_price"], x["line_total"]
+    return F.coalesce(is_extracted(q) & is_extracted(u) & is_extracted(t) & beyond(q["value"] * u["value"], t["value"], tolerance), F.lit(False))
+
+
+def _sums() -> tuple[Column, Column, Column]:
+    """The sum of the line totals, null unless all are known; that of subtotal and tax; whether both are there."""
+    items, subtotal, tax = (F.col(n) for n in ("line_items", "subtotal", "tax"))
+    known = (F.size(items) > 0) & F.forall(items, lambda x: is_extracted(x["line_total"]))
+    summed = F.when(known, F.aggregate(items, F.lit(0).cast("decimal(28,6)"), lambda acc, x: (acc + F.coalesce(x["line_total"]["value"], F.lit(0).cast("decimal(18,6)"))).cast("decimal(28,6)")))
+    return summed, subtotal["value"] + tax["value"], is_extracted(subtotal) & is_extracted(tax)
+
+
+def _totals_off(tolerance: str) -> list[Column]:
+    """Whether items miss the subtotal, subtotal and tax the total, and items the total where those two don't say."""
+    summed, expected, both = _sums()
+    subtotal, total = F.col("subtotal"), F.col("total")
+    return [F.coalesce(c, F.lit(False)) for c in (
+        summed.isNotNull() & is_extracted(subtotal) & beyond(summed, subtotal["value"], tolerance),
+        both & is_extracted(total) & beyond(expected, total["value"], tolerance),
+        ~both & summed.isNotNull() & is_extracted(total) & beyond(summed, total["value"], tolerance),
+    )]
+
+
+def _foreign(allowed: Collection[str]) -> Column:
+    return F.coalesce(is_extracted(F.col("currency")) & ~F.col("currency.value").isin(*sorted(allowed)), F.lit(False))
+
+
 def _critical(path: Column, f: Column) -> Column:
     unreadable = issue("UNREADABLE_CRITICAL_FIELD", ERROR, F.array(path), path, " can't be read, so the receipt can't be accepted unseen")
     missing = issue("MISSING_CRITICAL_FIELD", ERROR, F.array(path), path, " is needed to accept the receipt unseen; its status is ", F.coalesce(f["status"], F.lit("unknown")))
@@ -39,31 +72,45 @@ def _critical(path: Column, f: Column) -> Column:
 
 def _doubtful(path: Column, f: Column, threshold: float) -> Column:
     low = issue("LOW_CONFIDENCE", WARNING, F.array(path), path, " has confidence ", F.format_number(f["confidence"], 2), f", less than {threshold:.2f}")
-    return F.when(f["status"] == UNCERTAIN, issue("LOW_CONFIDENCE", WARNING, F.array(path), path, " is marked uncertain")).when(is_extracted(f) & (f["confidence"] < threshold), low)
+    return F.when(is_doubtful(f, threshold), F.when(f["status"] == UNCERTAIN, issue("LOW_CONFIDENCE", WARNING, F.array(path), path, " is marked uncertain")).otherwise(low))
 
 
 def _line_total(x: Column, i: Column, tolerance: str) -> Column:
     q, u, t = x["quantity"], x["unit_price"], x["line_total"]
-    product = q["value"] * u["value"]
     paths = F.array(*[_path(i, n) for n in ITEM_FIELDS[1:]])
-    wrong = is_extracted(q) & is_extracted(u) & is_extracted(t) & beyond(product, t["value"], tolerance)
-    return F.when(wrong, issue("LINE_TOTAL_MISMATCH", ERROR, paths, q["value_text"], " times ", u["value_text"], " is ", _plain(product), ", not ", t["value_text"]))
+    return F.when(line_total_is_off(x, tolerance), issue("LINE_TOTAL_MISMATCH", ERROR, paths, q["value_text"], " times ", u["value_text"], " is ", _plain(q["value"] * u["value"]), ", not ", t["value_text"]))
 
 
 def _totals(tolerance: str) -> list[Column]:
-    items, subtotal, tax, total = (F.col(n) for n in ("line_items", "subtotal", "tax", "total"))
-    known = (F.size(items) > 0) & F.forall(items, lambda x: is_extracted(x["line_total"]))
-    summed = F.when(known, F.aggregate(items, F.lit(0).cast("decimal(28,6)"), lambda acc, x: (acc + F.coalesce(x["line_total"]["value"], F.lit(0).cast("decimal(18,6)"))).cast("decimal(28,6)")))
-    paths = F.transform(items, lambda x, i: _path(i, "line_total"))
-    both = is_extracted(subtotal) & is_extracted(tax)
-    expected = subtotal["value"] + tax["value"]
+    subtotal, total = F.col("subtotal"), F.col("total")
+    summed, expected, _ = _sums()
+    paths = F.transform("line_items", lambda x, i: _path(i, "line_total"))
     items_off = issue("DOCUMENT_TOTAL_MISMATCH", ERROR, F.concat(F.array(F.lit("subtotal")), paths), "the line totals add up to ", _plain(summed), ", not to the subtotal ", subtotal["value_text"])
     sum_off = issue("DOCUMENT_TOTAL_MISMATCH", ERROR, F.array(*map(F.lit, ("subtotal", "tax", "total"))), "subtotal and tax add up to ", _plain(expected), ", not to the total ", total["value_text"])
     total_off = issue("DOCUMENT_TOTAL_MISMATCH", ERROR, F.concat(F.array(F.lit("total")), paths), "the line totals add up to ", _plain(summed), ", not to the total ", total["value_text"], ", and subtotal and tax don't explain it")
-    return [
-        F.when(summed.isNotNull() & is_extracted(subtotal) & beyond(summed, subtotal["value"], tolerance), items_off),
-        F.when(both & is_extracted(total) & beyond(expected, total["value"], tolerance), sum_off).when(~both & summed.isNotNull() & is_extracted(total) & beyond(summed, total["value"], tolerance), total_off),
-    ]
+    a, b, c = _totals_off(tolerance)
+    return [F.when(a, items_off), F.when(b, sum_off).when(c, total_off)]
+
+
+#: What a bit of issue_mask says.
+CRITICAL, DOUBTFUL, LINE_TOTAL, DOCUMENT_TOTAL, CURRENCY = 1, 2, 4, 8, 16
+
+
+def issue_mask(*, money_tolerance: str = "0.01", allowed_currencies: Collection[str] | None = None, low_confidence_threshold: float = 0.5) -> Column:
+    """Which kinds of issues the columns of a receipt have, as bits, without rendering any: 0 is a receipt that ``issues`` finds none in."""
+    items = F.col("line_items")
+    some = lambda test: F.coalesce(F.exists(items, test), F.lit(False))
+    either = lambda *tests: F.greatest(*tests) if len(tests) > 1 else tests[0]
+    kinds = {
+        CRITICAL: either(*[~is_extracted(F.col(n)) for n in ("total", "currency")], some(lambda x: either(*[~is_extracted(x[n]) for n in ("description", "line_total")]))),
+        DOUBTFUL: either(*[is_doubtful(F.col(n), low_confidence_threshold) for n in DOCUMENT_FIELDS], some(lambda x: either(*[is_doubtful(x[n], low_confidence_threshold) for n in ITEM_FIELDS]))),
+        LINE_TOTAL: some(lambda x: line_total_is_off(x, money_tolerance)), DOCUMENT_TOTAL: either(*_totals_off(money_tolerance)),
+        CURRENCY: F.lit(False) if allowed_currencies is None else _foreign(allowed_currencies),
+    }
+    out = F.lit(0)
+    for bit, found in kinds.items():
+        out = out + F.when(found, bit).otherwise(0)
+    return out
 
 
 def issues(*, money_tolerance: str = "0.01", allowed_currencies: Collection[str] | None = None, low_confidence_threshold: float = 0.5) -> Column:
@@ -82,7 +129,7 @@ def issues(*, money_tolerance: str = "0.01", allowed_currencies: Collection[str]
     if allowed_currencies is not None:
         known = sorted(allowed_currencies)
         code = F.col("currency.value")
-        rest.append(F.when(is_extracted(F.col("currency")) & ~code.isin(*known), issue("UNSUPPORTED_CURRENCY", ERROR, F.array(F.lit("currency")), "currency ", code, f" isn't one of {', '.join(known) or 'none'}")))
+        rest.append(F.when(_foreign(known), issue("UNSUPPORTED_CURRENCY", ERROR, F.array(F.lit("currency")), "currency ", code, f" isn't one of {', '.join(known) or 'none'}")))
     return F.filter(F.concat(critical, item_critical, low, item_low, lines, F.array(*rest)), lambda x: x.isNotNull())
 
 

@@ -12,6 +12,7 @@ from paperproof.functions import text as X
 from paperproof.operators import annotation as A
 from paperproof.operators import canonical as C
 from paperproof.operators import evaluate as E
+from paperproof.operators import landing as LA
 from paperproof.operators import model_json as M
 from paperproof.operators import ocr_lines as L
 from paperproof.operators import profile as P
@@ -21,6 +22,7 @@ from paperproof.plans import schema as S
 from paperproof.plans import texts as T
 from paperproof.sources import images as I
 from paperproof.sources import model_client as MC
+from paperproof.sources.shared import made_once
 
 ALLOWED = ("EUR",)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,7 +176,9 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.annotations(R.order_documents(spark, sf_dir))
+    """Annotations of all orders, landed: parsed once for the queries on them, and again when the tables' files change."""
+    sources = [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "part")]
+    return made_once(spark, "annotations", sources, lambda path: LA.land(T.annotations(R.order_documents(spark, sf_dir)), path))
 
 
 def _flat(field: str) -> list:
@@ -202,12 +206,12 @@ def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def profile_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile_rows(annotated(spark, sf_dir)).where(F.col("section").isin("document_field_presence", "line_item_field_presence")).select("section", "key", "n", "rate")
+    return P.profile_rows(annotated(spark, sf_dir), sections=("document_field_presence", "line_item_field_presence")).select("section", "key", "n", "rate")
 
 
 @query
 def profile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile_rows(annotated(spark, sf_dir)).where(F.col("section").isin("document_field_statuses", "line_item_field_statuses")).select("key", "subkey", "n")
+    return P.profile_rows(annotated(spark, sf_dir), sections=("document_field_statuses", "line_item_field_statuses")).select("key", "subkey", "n")
 
 
 @query

@@ -1,6 +1,7 @@
 """Operators on small cases: numbers, text, validation, evaluation, lines, model answers, profile, stream."""
 
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -99,6 +100,56 @@ def test_evaluation(spark):
         E.report(ev.limit(0)).collect()
 
 
+def greedy(predicted, truth):
+    """The matching by its definition: all pairs that agree, best first, then by position, each taken if both are free."""
+    pairs = []
+    for p in range(len(predicted[0])):
+        for g in range(len(truth[0])):
+            n = sum(w for w, a, b in zip(E.WEIGHTS.values(), predicted, truth, strict=True) if b[g] is not None and a[p] == b[g])
+            pairs += [(-n, p, g)] if n else []
+    out = []
+    for n, p, g in sorted(pairs):
+        if all(p != x and g != y for _, x, y in out):
+            out.append((-n, p, g))
+    return out
+
+
+def test_matching_is_the_greedy_one():
+    pick = random.Random(7)
+    for _ in range(600):
+        some = lambda n, extra: [[pick.choice(["", "=a", "=b", "=c", *extra]) for _ in range(n)] for _ in range(4)]
+        p, g = some(pick.randint(1, 7), []), some(pick.randint(1, 7), [None])
+        assert E.assigned(p, g) == greedy(p, g)
+    assert E.assigned([[]] * 4, [["="]] * 4) == E.assigned([["="]] * 4, [[]] * 4) == []
+
+
+def test_long_receipts_are_matched_in_seconds(spark):
+    import time
+
+    long = [item(f"thing {i % 700}", str(1 + i % 9), "2.00", str(2 * (1 + i % 9))) for i in range(2000)]
+    other = [item(f"Thing  {(i * 7) % 700}", str(1 + i % 8), "2.00", str(2 * (1 + i % 9))) for i in range(2000)]
+    pairs = receipt(spark, {"line_items": long}).select("document_id", F.struct("line_items", *S.DOCUMENT_FIELDS).alias("p")).join(receipt(spark, {"line_items": other}).select("document_id", F.struct("line_items", *S.DOCUMENT_FIELDS).alias("g")), "document_id")
+    began = time.time()
+    row = E.evaluate_pairs(pairs).select("matches", "matched").first()
+    assert row.matched == 2000 and time.time() - began < 30
+    scores = [m.score for m in row.matches]
+    assert scores == sorted(scores, reverse=True) and len({m.p for m in row.matches}) == len({m.g for m in row.matches}) == 2000
+
+
+def test_evaluation_prunes_what_is_not_read(spark):
+    ev = E.evaluate_documents(receipt(spark, {}), receipt(spark, {}))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_assigned" not in plan(E.field_rates(ev)) and "MISMATCH" not in plan(E.report(ev)) and "0.01" not in plan(E.field_rates(ev)) and "0.01" not in plan(ev.select("matches"))
+    assert "_assigned" in plan(ev.select("matches"))
+
+
+def test_mask_says_which_issues_there_are(spark):
+    df = receipt(spark, *[{"document_id": str(i)} | r for i, (r, _) in enumerate(VALIDATION)])
+    bit = {"MISSING_CRITICAL_FIELD": V.CRITICAL, "UNREADABLE_CRITICAL_FIELD": V.CRITICAL, "LOW_CONFIDENCE": V.DOUBTFUL, "LINE_TOTAL_MISMATCH": V.LINE_TOTAL, "DOCUMENT_TOTAL_MISMATCH": V.DOCUMENT_TOTAL, "UNSUPPORTED_CURRENCY": V.CURRENCY}
+    got = {r.document_id: r.mask for r in df.select("document_id", V.issue_mask(allowed_currencies=["EUR"]).alias("mask")).collect()}
+    assert got == {str(i): sum({bit[c] for c in codes}) for i, (_, codes) in enumerate(VALIDATION)}
+
+
 def test_lines_from_words(spark):
     tops = [(0, 0), (8, 1), (16, 2)]
     words = spark.createDataFrame([("d", i, t, i, f"w{i}", 90.0) for t, i in tops] + [("d", 9, 0, 9, " ", 99.0), ("d", 8, 0, 8, "no", -1.0)], "document_id string, word_idx int, top long, left long, text string, conf double")
