@@ -1,10 +1,14 @@
 """Words of a scanned page become lines, and lines become a receipt by keywords and patterns.
 
-Words and lines of a document meet in one shuffle on document_id; what follows works on arrays within the row.
+Words of a document meet in one shuffle on document_id, sorted, and are folded to lines in Arrow batches. Lines meet in another; what
+follows works on arrays within the row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,35 +25,65 @@ WITH_QUANTITY = r"^(.+?)\s+([0-9]+(?:[.,][0-9]+)?)\s*[x×X]\s*([0-9][0-9.,]*)\s+
 SIMPLE = r"^(.+?)\s+(-?[0-9][0-9.,]*)\s*\z"
 
 
+LINE = "document_id string, line_idx int, text string, confidence double"
+
+
+def _folded(tolerance: int):
+    """Lines of words that come sorted by document, top and left. One line is held at a time, over batches too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, anchor, at = None, 0, -1
+        held: list[tuple[int, str, float]] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                held.sort(key=lambda w: w[0])  # stable: ties as they came
+                out.append((doc, at, " ".join(w[1] for w in held), sum(w[2] for w in held) / len(held)))
+                held.clear()
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            out.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["document_id", "line_idx", "text", "confidence"])
+
+        for b in batches:
+            for d, top, left, text, conf in zip(*(b[c].to_pylist() for c in ("document_id", "top", "left", "text", "conf")), strict=True):
+                if d != doc or at < 0 or top - anchor > tolerance:
+                    close()
+                    at = at + 1 if d == doc else 0
+                    doc, anchor = d, top
+                held.append((left, text, conf))
+            yield made()
+        close()
+        yield made()
+
+    return run
+
+
 def lines_from_words(words: DataFrame, *, line_tolerance_px: int = 10) -> DataFrame:
     """words(document_id, word_idx, top, left, text, conf) to document_id, line_idx, text, confidence.
 
     In order of top and left, a word joins the line whose first word is within the tolerance of it, otherwise begins one. Blank words
-    and those of negative or null confidence don't count. Words stand by left, ties as they came; confidence is their mean.
-    """
-    word = F.struct("top", "left", "word_idx", stripped(F.col("text")).alias("text"), F.col("conf").cast("double").alias("conf"))
-    docs = words.where((stripped(F.col("text")) != "") & (F.col("conf") >= 0)).groupBy("document_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
-    # the line a word joins is always the last one begun, so the fold carries just that one's anchor and the list of anchors
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        top = x["top"].cast("bigint")
-        anchor = F.when(F.abs(top - acc["last"]) <= line_tolerance_px, acc["last"]).otherwise(top)
-        return F.struct(anchor.alias("last"), F.concat(acc["all"], F.array(anchor)).alias("all"))
+    and those of negative or null confidence don't count; a word without a top stands above all, one without a left before all. Words
+    stand by left, ties as they came; confidence is their mean.
 
-    docs = docs.withColumn("anchors", F.aggregate("w", start, step, lambda acc: acc["all"]))
-    placed = F.transform("w", lambda x, i: F.struct(F.get("anchors", i).alias("anchor"), x["left"].alias("left"), i.alias("i"), x["text"].alias("text"), x["conf"].alias("conf")))
-    docs = docs.select("document_id", placed.alias("w"), F.array_distinct("anchors").alias("anchors"))
-    rows = docs.select("document_id", "w", F.posexplode("anchors").alias("line_idx", "anchor"))
-    own = F.array_sort(F.filter("w", lambda x: x["anchor"] == F.col("anchor")))
-    mean = F.aggregate("own", F.lit(0.0), lambda acc, x: acc + x["conf"]) / F.size("own")
-    return rows.withColumn("own", own).select("document_id", "line_idx", F.array_join(F.transform("own", lambda x: x["text"]), " ").alias("text"), mean.alias("confidence"))
+    Which line a word joins depends on where the lines before it began, so this is a fold: Spark sorts each document's words (and spills), and
+    tasks go over them once, in time linear in the words of a page.
+    """
+    least = F.lit(-(1 << 62))
+    place = lambda c: F.coalesce(F.col(c).cast("long"), least).alias(c)
+    words = words.select(F.col("document_id").cast("string").alias("document_id"), place("top"), place("left"), "word_idx", stripped(F.col("text")).alias("text"), F.col("conf").cast("double").alias("conf"))
+    order = words.where((F.col("text") != "") & (F.col("conf") >= 0)).repartition("document_id").sortWithinPartitions("document_id", "top", "left", "word_idx", "text", "conf")
+    return order.drop("word_idx").mapInArrow(_folded(line_tolerance_px), LINE)
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
     """The n groups of a pattern that fits the whole text, by one match; null if it doesn't fit."""
-    cut = F.split(F.regexp_replace(text, pattern, "\u0001".join(f"${k}" for k in range(1, n + 1))), "\u0001")
-    return let(cut, lambda g: F.when(F.size(g) == n, g))
+    mark = "\u0001"
+    cut = F.split(F.regexp_replace(text, pattern, mark.join(f"${k}" for k in range(1, n + 1))), mark)
+    each = F.when(text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, k) for k in range(1, n + 1)]))  # of the rare text with the mark in it
+    return let(F.when(text.contains(mark), each).otherwise(cut), lambda g: F.when(F.size(g) == n, g))
 
 
 def _items(x: Column) -> Column:

@@ -160,6 +160,52 @@ def test_lines_from_words(spark):
     assert SI.read_words(images, ocr).first().text == "xy"
 
 
+def folded(words, tolerance):
+    """document_id, line_idx, text, confidence by the definition."""
+    docs, out = {}, []
+    for d, i, top, left, text, conf in words:
+        if text is not None and text.split() and conf is not None and conf >= 0:
+            docs.setdefault(d, []).append((-(1 << 62) if top is None else top, -(1 << 62) if left is None else left, i, text.strip(), conf))
+    for d, ws in docs.items():
+        lines = []
+        for w in sorted(ws):
+            if lines and w[0] - lines[-1][0][0] <= tolerance:
+                lines[-1].append(w)
+            else:
+                lines.append([w])
+        for k, x in enumerate(lines):
+            x = sorted(x, key=lambda w: w[1])
+            out.append((d, k, " ".join(w[3] for w in x), pytest.approx(sum(w[4] for w in x) / len(x))))
+    return sorted(out, key=lambda r: (str(r[0]), r[1]))
+
+
+WORDS = "document_id string, word_idx int, top long, left long, text string, conf double"
+
+
+@pytest.mark.parametrize("tolerance", [0, 3, 10])
+def test_lines_are_a_fold(spark, tolerance):
+    pick = random.Random(tolerance)
+    words = [(pick.choice(["a", "b", "c", None]), i, pick.choice([None, *range(0, 90, 4)]), pick.choice([None, 1, 2, 3]), pick.choice(["x", " y z ", "", "\u3000", None, "w"]), pick.choice([90.0, 0.0, -1.0, None, 55.5])) for i in range(400)]
+    got = [tuple(r) for r in L.lines_from_words(spark.createDataFrame(words, WORDS), line_tolerance_px=tolerance).collect()]
+    assert sorted(got, key=lambda r: (str(r[0]), r[1])) == folded(words, tolerance)
+
+
+def test_a_page_of_many_words(spark):
+    import time
+
+    words = spark.range(50_000).selectExpr("'page' AS document_id", "CAST(id AS INT) AS word_idx", "id DIV 8 * 7 AS top", "id % 8 * 50 AS left", "CONCAT('w', id) AS text", "90.0D AS conf")
+    began = time.time()
+    got = L.lines_from_words(words).collect()
+    assert len(got) == 3125 and time.time() - began < 30
+    assert max(r.line_idx for r in got) == 3124 and sum(len(r.text.split()) for r in got) == 50_000
+
+
+def test_a_line_with_a_control_character_is_an_item(spark):
+    lines = spark.createDataFrame([("a", 0, "Tea\u0001 green 2 x 3,50 7,00", 1.0), ("a", 1, "Cake\u0001 4,00", 1.0)], "document_id string, line_idx int, text string, confidence double")
+    got = L.extract_baseline(lines).first().line_items
+    assert [(x.description.value, x.line_total.value) for x in got] == [("Tea\u0001 green", 7), ("Cake\u0001", 4)]
+
+
 def test_baseline_keeps_documents_without_lines(spark):
     lines = spark.createDataFrame([("a", 0, "Gesamt 10,00", 1.0), ("a", 1, "Gesamt 99,99", 1.0), ("a", 2, "EUR", 1.0), ("a", 3, "bar $", 1.0)], "document_id string, line_idx int, text string, confidence double")
     got = {r.document_id: r for r in L.extract_baseline(lines, spark.createDataFrame([("a",), ("b",)], "document_id string")).collect()}
