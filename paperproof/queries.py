@@ -22,7 +22,7 @@ from paperproof.plans import schema as S
 from paperproof.plans import texts as T
 from paperproof.sources import images as I
 from paperproof.sources import model_client as MC
-from paperproof.sources.shared import made_once
+from paperproof.sources.shared import made_once, new_path
 
 ALLOWED = ("EUR",)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,9 +262,9 @@ def ocr_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts by prompt, call and adapter, of a stand-in model that fails in every known way."""
+    """Receipts by prompt, call and adapter, of a stand-in model that fails in every known way; its answers are kept in a store and read back."""
     lines = T.text_lines(R.order_documents(spark, sf_dir))
-    m = MC.extract_with_model(lines, url="https://model.invalid/", api_key="none", http_post=T.stand_in_model)
+    m = MC.extract_with_model(lines, url="https://model.invalid/", api_key="none", http_post=T.stand_in_model, store=new_path(spark, "answers"))
     return m.select("document_id", "error", F.size("line_items").cast("bigint").alias("n_items"), *_flat("total"), F.col("currency.value").alias("currency"))
 
 
