@@ -21,14 +21,15 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("paths", nargs="*", help="Parquet files or folders with the annotation column")
     p.add_argument("--manifest", help="a JSON manifest, on the driver, whose entries name the files and their sizes")
     p.add_argument("--dataset", help="the data set's name in the report")
-    p.add_argument("--order", help="a column by which examples and ties are in order")
+    p.add_argument("--order", help="a column by which examples and ties are in order; without it they stand as in the files, in the order given")
     p.add_argument("--output", required=True, help="the JSON report to write, on the driver")
     p.add_argument("--column", default="ground_truth")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("paperproof-profile").getOrCreate()
     manifest = json.loads(Path(args.manifest).read_text(encoding="utf-8")) if args.manifest else [{"url": x} for x in args.paths]
     columns = [args.column, *([args.order] if args.order else [])]
-    report = profile_report(read_annotations(spark, manifest_paths(manifest), *columns), order=args.order, text=args.column)
+    rows = read_annotations(spark, manifest_paths(manifest), *columns, order=None if args.order else "source_order")
+    report = profile_report(rows, order=args.order or "source_order", text=args.column)
     report["source"] = source_block(manifest, columns, args.dataset)
     write_report(report, args.output)
     counts = report.get("documents", {})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def manifest_entries(manifest: list[dict] | dict, files: str = "parquet_files") -> list[dict]:
@@ -29,8 +30,38 @@ def source_block(manifest: list[dict] | dict, columns: Sequence[str], dataset: s
     return {"dataset": dataset or (manifest.get("dataset") if isinstance(manifest, dict) else None), "files": len(entries), "advertised_bytes": sum(int(e.get("size") or 0) for e in entries), "columns": list(columns)}
 
 
-def read_annotations(spark: SparkSession, paths: Sequence[str], *columns: str) -> DataFrame:
-    """The annotation column (ground_truth, if none is named) of Parquet files that may hold images beside it; the scan reads nothing else."""
+def _entry_of(spark: SparkSession, paths: Sequence[str], files: Sequence[str]) -> list[int]:
+    """Of each file that a scan reads, the place among the paths of the first that names it: itself, its folder or a pattern."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    plain = lambda at: at.toUri().getPath()
+    named: dict[str, int] = {}
+    for i, p in enumerate(paths):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        for found in at.getFileSystem(hadoop).globStatus(at) or ():
+            named.setdefault(plain(found.getPath()), i)
+    out = []
+    for f in files:
+        whole = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        while whole is not None and plain(whole) not in named:
+            whole = whole.getParent()
+        out.append(named[plain(whole)] if whole is not None else len(paths))
+    return out
+
+
+def read_annotations(spark: SparkSession, paths: Sequence[str], *columns: str, order: str | None = None) -> DataFrame:
+    """The annotation column (ground_truth, if none is named) of Parquet files that may hold images beside it; the scan reads nothing else.
+
+    With order, a column of that name says where a row stands: struct<entry, file, row>, the place of its path among the paths, its file
+    and its row in it. It is the same in every run, however the files are split, and sorts rows in the order of the paths."""
     if not paths:
         raise ValueError("no annotation files")
-    return spark.read.parquet(*paths).select(*columns or ("ground_truth",))
+    found = spark.read.parquet(*paths)
+    wanted = columns or ("ground_truth",)
+    if not order:
+        return found.select(*wanted)
+    files = found.inputFiles()  # the driver holds this list for the scan anyway
+    one = lambda f: F.regexp_replace(f, "^file:/+", "file:/")  # noqa: E731  local paths are written both ways
+    entries = spark.createDataFrame(list(zip(files, _entry_of(spark, paths, files), strict=True)), "_file string, _entry int").withColumn("_file", one("_file"))
+    rows = found.select(*wanted, one(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    place = F.struct(F.col("_entry").alias("entry"), F.col("_file").alias("file"), F.col("_row").alias("row"))
+    return rows.join(F.broadcast(entries), "_file", "left").select(*wanted, place.alias(order))

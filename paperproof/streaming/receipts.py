@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperproof.operators.annotation import adapt_annotations
+from paperproof.operators.profile import profile_state
 from paperproof.operators.validate import validate
 
 
@@ -24,3 +25,8 @@ def reason_counts(decisions: DataFrame) -> DataFrame:
     """reason, documents; 'accepted' counts those without a reason. Complete or update mode: the state is a row per reason."""
     reason = F.explode(F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit("accepted"))))
     return decisions.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("documents"))
+
+
+def running_profile(annotations: DataFrame) -> DataFrame:
+    """The profile's state of all that has arrived, a row for each counter; update mode gives the counters that have changed."""
+    return profile_state(annotations)

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -13,6 +14,7 @@ from paperproof.functions import text as X
 from paperproof.operators import annotation as A
 from paperproof.operators import canonical as C
 from paperproof.operators import evaluate as E
+from paperproof.operators import landing as LA
 from paperproof.operators import ocr_lines as L
 from paperproof.operators import profile as P
 from paperproof.operators import validate as V
@@ -236,6 +238,71 @@ def test_annotation_errors_and_profile(spark, tmp_path):
     assert (tmp_path / "a" / "r.json").read_text().endswith("}\n")
 
 
+def annotation(i, price="5", split="train"):
+    item = {"nm": f"n{i}", "price": price}
+    return json.dumps({"gt_parse": {"menu": [item] * (i % 4) if i % 5 else item, "sub_total": {"tax_price": f"{i},00"}}, "meta": {"split": split, "image_id": i}})
+
+
+def test_profiles_of_parts_add_up(spark, tmp_path):
+    rows = [(i, ["{", annotation(i), annotation(i, 5), annotation(i, "x"), "[1]", annotation(i, split="test")][i % 6]) for i in range(120)]
+    every = spark.createDataFrame(rows, "ord int, ground_truth string")
+    a, b = every.where("ord % 7 < 3"), every.where("ord % 7 >= 3")
+    whole = P.profile_state(every, order="ord")
+    parts = P.merged_states(P.profile_state(a, order="ord"), P.profile_state(b, order="ord"))
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert P.state_report(parts) == {k: v for k, v in P.profile_report(every, "ord").items() if k != "adapter_error_examples"}
+    LA.land(a, str(tmp_path / "landed"))
+    LA.land(b, str(tmp_path / "landed"))
+    landed = LA.read_landed(spark, str(tmp_path / "landed"))
+    assert P.profile_report(landed, "ord") == P.profile_report(every, "ord")
+    key = lambda r: (r.ord, str(r.error), str(r.line_items), str(r.total))
+    assert sorted(map(key, A.adapt_annotations(landed).collect())) == sorted(map(key, A.adapt_annotations(every).collect()))
+    n = [len(json.loads(t)["gt_parse"]["menu"]) if isinstance(json.loads(t)["gt_parse"]["menu"], list) else 1 for _, t in rows if t.startswith('{"gt')]
+    got, n = P.items_per_document(every).first(), sorted(n)
+    assert (got.min, got.max, got.median, got.p95) == (n[0], n[-1], (n[(len(n) - 1) // 2] + n[len(n) // 2]) / 2, n[-(-len(n) * 95 // 100) - 1]) and got["mean"] == pytest.approx(sum(n) / len(n), abs=1e-3)
+    assert tuple(P.items_per_document(every.limit(0)).first()) == (None,) * 5
+
+
+def test_presence_reads_presence_alone(spark, tmp_path):
+    LA.land(spark.createDataFrame([(1, annotation(1))], "ord int, ground_truth string"), str(tmp_path / "landed"))
+    landed = LA.read_landed(spark, str(tmp_path / "landed"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    read = plan(P.profile_rows(landed, sections=("document_field_presence", "line_item_field_presence"))).split("ReadSchema: ")[1].split("\n")[0]
+    assert "present" in read and not any(x in read for x in ("raw", "value", "kind", "format", "odd", "image_id"))
+    read = plan(P.items_per_document(landed)).split("ReadSchema: ")[1].split("\n")[0]
+    assert "n_items:int" in read and "items:array" not in read
+
+
+def test_stream_profile(spark, tmp_path):
+    from paperproof.streaming import receipts as ST
+
+    every = spark.createDataFrame([(annotation(i) if i % 3 else "{",) for i in range(40)], "ground_truth string")
+    every.repartition(4).write.parquet(str(tmp_path / "in"))
+    q = ST.running_profile(ST.annotation_stream(spark, str(tmp_path / "in"), files_per_trigger=1)).writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(str, spark.table("states").collect())) == sorted(map(str, P.profile_state(every).collect()))
+
+
+def test_files_are_in_the_order_of_the_manifest(spark, tmp_path):
+    """First-seen errors and examples stand as one reader going through the files would meet them."""
+    texts = {"b": ["{", annotation(1, 5), annotation(2)], "a": ["[1]", annotation(3, 5), annotation(7, 7), "{"], "c d": ['{"gt_parse":1}', annotation(6, [1])] * 2}
+    for name, rows in texts.items():
+        spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "ground_truth string, n int").coalesce(1).write.option("parquet.block.size", "1024").parquet(str(tmp_path / name))
+    paths = [str(tmp_path / n) for n in ("b", "c d", "a")]
+    rows = SA.read_annotations(spark, paths, "ground_truth", order="at")
+    assert [r.ground_truth for r in rows.orderBy("at").collect()] == [t for n in ("b", "c d", "a") for t in texts[n]]
+    report = P.profile_report(rows, order="at")
+    met = Counter()
+    for n in ("b", "c d", "a"):
+        for r in A.adapt_annotations(spark.createDataFrame([(i, t) for i, t in enumerate(texts[n])], "i int, ground_truth string")).orderBy("i").collect():
+            met[P.CODES.get(r.error, r.error)] += r.error is not None
+    assert list(report["adapter_error_details"].items()) == [(k, v) for k, v in met.most_common() if k]
+    assert [e["document_id"] for e in report["adapter_error_examples"]] == [f"cord-train-{i}" for i in (1, 6, 6, 3, 7)]
+    again = SA.read_annotations(spark, [str(tmp_path / "?"), paths[1]], "ground_truth", order="at")
+    assert {r.at.entry for r in again.collect()} == {0, 1}
+
+
 def answer(url, headers, body):
     import json
 
