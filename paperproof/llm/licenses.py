@@ -77,27 +77,37 @@ def line_runs(lines: list[list[bytes]], sets: list[tuple[frozenset, int, int]])
     length) and each first line that has such a run. A template's distinguishing words are all asked for.
 
     A run may hold any words in its first and last line, and fewer than length words between them: a notice of that length that is
-    wrapped over lines is in one whole."""
+    wrapped over lines is in one whole. Each template's window passes over the lines once."""
     marks = frozenset(x.encode() for x in DISTINCT)
-    whole = frozenset().union(*lines)
+    every = marks.union(*(x for x, _, _ in sets)) if sets else marks
+    upto, told = [0], []  # words before each line; the lines that hold a word of a template, with those words
+    for i, line in enumerate(lines):
+        upto.append(upto[-1] + len(line))
+        if line and (some := every.intersection(line)):
+            told.append((i, some))
+    whole = frozenset().union(*(x for _, x in told))
     for all_words, need, length in sets:
         if len(all_words & whole) < need:
             continue
         own = all_words & marks
-        for i, line in enumerate(lines):
-            got = all_words.intersection(line)
-            if not got or (len(got) >= need and own <= got):
-                continue
-            between = 0
-            for j in range(i + 1, len(lines)):
-                later = lines[j]
-                got |= all_words.intersection(later)
-                if len(got) >= need and own <= got:
-                    yield got | marks & frozenset().union(*lines[i : j + 1])
-                    break
-                between += len(later)
-                if between >= length:
-                    break
+        enough = lambda got: len(got) >= need and own <= got  # noqa: B023, E731
+        mine = [(k, i, x) for k, (i, some) in enumerate(told) if (x := all_words & some)]
+        n: Counter = Counter()  # of the window's lines that hold each word; both its ends only move on
+        end = 0
+        for at, (k, i, first) in enumerate(mine):
+            if end <= at:
+                end = at + 1
+                n.update(first)
+            while not enough(n.keys()) and end < len(mine) and upto[mine[end][1]] - upto[i + 1] < length:
+                n.update(mine[end][2])
+                end += 1
+            if end > at + 1 and enough(n.keys()) and not enough(first):
+                last = mine[end - 1][0]
+                yield frozenset(n) | marks & frozenset().union(*(x for _, x in told[k : last + 1]))
+            for x in first:
+                n[x] -= 1
+                if not n[x]:
+                    del n[x]
 
 
 def blocks(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.9, wrapped: bool = False) -> DataFrame:
