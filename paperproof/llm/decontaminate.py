@@ -183,17 +183,67 @@ def _key():
     return F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
 
 
-def seed_join(docs: DataFrame, benchmark: DataFrame, *, seed_words: int, threshold: float) -> DataFrame:
-    """key (id and text hash of a document), doc_id, item_id, coverage, n_tiles, item_words: what ``contaminated`` returns, for a
-    benchmark of any size. Neither side passes through the driver but for the bitmap."""
-    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item", F.monotonically_increasing_id()), "items")
+_SEEDS = "item long, k int, n_words int, h long, at int"
+
 
-    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def item_seeds(items: DataFrame, seed_words: int) -> DataFrame:
+    """item, k, n_words, h, at: the hash of each run of k words of each item(item, text), and where it starts. k is seed_words, fewer for a shorter item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, "text"):
-            rows = [(i, k, h) for i, t in zip(b["item"].to_pylist(), b["text"].to_pylist(), strict=True) if (w := plain_words(t)) for k in [min(seed_words, len(w))] for h in np.unique(_gram_hashes(_word_hashes(w), k)).view(np.int64).tolist()]
-            yield _found(rows, ["item", "k", "h"], [pa.int64(), pa.int32(), pa.int64()])
+            for i, t in zip(b["item"].to_pylist(), b["text"].to_pylist(), strict=True):
+                if w := plain_words(t):
+                    k = min(seed_words, len(w))
+                    h = _gram_hashes(_word_hashes(w), k)
+                    yield pa.record_batch([pa.array([i] * len(h), pa.int64()), pa.array([k] * len(h), pa.int32()), pa.array([len(w)] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)), pa.int32())], names=["item", "k", "n_words", "h", "at"])
+
+    return items.select("item", "text").mapInArrow(run, _SEEDS)
+
+
+def asked(k: int, n_words: int, h: np.ndarray, at: np.ndarray, often: np.ndarray, threshold: float) -> np.ndarray:
+    """The seeds of an item of which a hit holds one at least. Its most frequent seeds are left out, as long as all the words that they stand on
+    are fewer than a hit must cover: a text with none but those is no hit."""
+    words, out = np.zeros(n_words, bool), []
+    where: dict[int, list[int]] = {}
+    for x, p in zip(h.tolist(), at.tolist(), strict=True):
+        where.setdefault(x, []).append(p)
+    n = dict(zip(h.tolist(), often.tolist(), strict=True))
+    for x in sorted(where, key=lambda x: (-n[x], x)):
+        if not out:
+            more = words.copy()
+            for p in where[x]:
+                more[p : p + k] = True
+            if more.sum() < threshold * n_words:
+                words = more
+                continue
+        out.append(x)
+    return np.array(out, np.int64)
+
+
+def candidate_pairs(met: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
+    """row, item, k of texts and items that may be a hit: prefix filter by seeds. met(row, k, h) are the texts' seeds that items may have, seeds those
+    of item_seeds. Seeds that very many texts share are asked for only by items that consist of such."""
+    often = met.groupBy("k", "h").agg(F.count("*").alias("often"))
 
-    seeds = stored(items.select("item", "text").mapInArrow(item_seeds, "item long, k int, h long"), "item-seeds")
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(len(b)):
+                item, k, n_words, some = (b[c][r].as_py() for c in ("item", "k", "n_words", "some"))
+                h, at, n = (np.array([x[c] for x in some], np.int64) for c in ("h", "at", "often"))
+                h = asked(k, n_words, h, at, n, threshold)
+                yield pa.record_batch([pa.array([item] * len(h), pa.int64()), pa.array([k] * len(h), pa.int32()), pa.array(h)], names=["item", "k", "h"])
+
+    held = seeds.join(often, ["k", "h"]).groupBy("item", "k", "n_words").agg(F.collect_list(F.struct("h", "at", "often")).alias("some"))  # of one item
+    rare = held.mapInArrow(choose, "item long, k int, h long")
+    return met.select("row", "k", "h").join(rare, ["k", "h"]).select("row", "item", "k").distinct()
+
+
+def seed_join(docs: DataFrame, benchmark: DataFrame, *, seed_words: int, threshold: float) -> DataFrame:
+    """key (id and text hash of a document), doc_id, item_id, coverage, n_tiles, item_words: what ``contaminated`` returns, for a
+    benchmark of any size. Neither side passes through the driver but for the bitmap. Pairs are those that share a seed which a hit needs; only
+    their texts' other seeds are looked at."""
+    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = stored(item_seeds(items, seed_words), "item-seeds")
     lengths = sorted(r.k for r in seeds.select("k").distinct().collect())  # 1 to seed_words
     bit = F.shiftrightunsigned("h", 64 - MAP_BITS)
     filled = seeds.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - MAP_BITS}) & 63 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
@@ -216,8 +266,9 @@ def seed_join(docs: DataFrame, benchmark: DataFrame, *, seed_words: int, thresho
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), _key().alias("key"), "text").where("text is not null")
     met = stored(rows.mapInArrow(doc_seeds, "row long, id long, hash long, k int, h long, at long"), "doc-seeds")
-    pairs = met.join(seeds, ["k", "h"]).groupBy("row", "id", "hash", "item", "k").agg(F.collect_list(F.struct("at", "h")).alias("seeds"))
-    pairs = pairs.join(items, "item").select("id", "hash", "item_id", "k", "seeds", "text")
+    pairs = stored(candidate_pairs(met, seeds, threshold), "pairs")
+    texts = met.join(pairs.select("row", "k").distinct(), ["row", "k"], "left_semi").groupBy("row", "id", "hash", "k").agg(F.collect_list(F.struct("at", "h")).alias("seeds"))  # of one text
+    pairs = pairs.join(texts, ["row", "k"]).join(items, "item").select("id", "hash", "item_id", "k", "seeds", "text")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,7 +277,8 @@ def seed_join(docs: DataFrame, benchmark: DataFrame, *, seed_words: int, thresho
                 r = b.slice(i, 1).to_pylist()[0]
                 item = plain_words(r["text"])
                 at, h = np.array([x["at"] for x in r["seeds"]]), np.array([x["h"] for x in r["seeds"]], np.int64).view(np.uint64)
-                if got := covered(item, r["k"], at, h, threshold):
+                own = np.isin(h, _gram_hashes(_word_hashes(item), r["k"]))
+                if got := covered(item, r["k"], at[own], h[own], threshold):
                     out.append((r["id"], r["hash"], r["item_id"], *got, len(item)))
             yield _found(out, ["id", "hash", "item_id", "coverage", "n_tiles", "item_words"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()])
 

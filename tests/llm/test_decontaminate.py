@@ -95,3 +95,33 @@ def test_table_finds_every_verbatim_passage_and_nothing_else(spark):
     five = lambda s: {tuple(s.split()[k : k + 5]) for k in range(len(s.split()) - 4)}
     grams, by = {i: five(x) for i, x in items}, dict(texts)
     assert all(len(grams[i] & five(by[doc])) >= 0.3 * len(grams[i]) for doc, i in got)
+
+
+def test_shared_boilerplate_makes_no_candidates(spark):
+    """300 items and 300 texts share 12 words, which no item is half of; what is asked about grows with the hits alone."""
+    shared = " ".join(f"boiler{i}" for i in range(12))
+    own = lambda name, i, n: " ".join(f"{name}{i}x{k}" for k in range(n))
+    bench = [(i, own("item", i, 15) + " " + shared + " " + own("tail", i, 15)) for i in range(300)]
+    rows = [(i, own("doc", i, 20) + " " + shared) for i in range(300)] + [(1000 + i, own("new", i, 9) + " " + bench[i][1]) for i in range(4)]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    seeds = D.item_seeds(b.withColumnRenamed("item_id", "item"), 5)
+    met = D.item_seeds(docs(spark, rows).select(D.F.col("doc_id").alias("item"), "text"), 5).withColumnRenamed("item", "row").join(seeds.select("k", "h").distinct(), ["k", "h"], "left_semi")
+    assert sorted(map(tuple, D.candidate_pairs(met, seeds, 0.5).select("row", "item").collect())) == [(1000 + i, i) for i in range(4)]
+    got = D.contaminated(docs(spark, rows), b, block_chars=1).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in got) == [(1000 + i, i, 1.0) for i in range(4)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_a_hit_holds_a_seed_that_is_asked_for(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    item = [rng.choice("abcdefg").encode() for _ in range(rng.randint(3, 30))]
+    k, threshold = min(3, len(item)), rng.choice([0.3, 0.5, 0.9])
+    h = D._gram_hashes(D._word_hashes(item), k)
+    often = np.array([{x: rng.randint(1, 9) for x in set(h.tolist())}[x] for x in h.tolist()])
+    wanted = set(D.asked(k, len(item), h.view(np.int64), np.arange(len(h)), often, threshold).tolist())
+    for _ in range(60):
+        text = [rng.choice(item) if rng.random() < 0.2 else b"-" for _ in range(3)] + item[rng.randint(0, len(item)) :] + item[: rng.randint(0, len(item))]
+        if sum(n for *_, n in D.tiles(item, text, k)) >= threshold * len(item):
+            assert wanted & set(D._gram_hashes(D._word_hashes(text), k).view(np.int64).tolist())
