@@ -13,54 +13,70 @@ from paperproof.plans.schema import DOCUMENT_FIELDS, EXTRACTED, ITEM_FIELDS, LIN
 ALLOWED = (EXTRACTED, NOT_PRESENT, UNCERTAIN, UNREADABLE)  # fixed values: what a model may say of a field
 
 
-def _said(v: Column) -> tuple[Column, Column, Column]:
-    """status, raw (null unless a text that isn't blank), whether the status says there is no value."""
-    status, raw = J.text_at(v, "$.status"), F.when(J.is_text(J.get(v, "value")), J.text_at(v, "$.value"))
-    return status, F.when(normalize_text(raw) != "", raw), status.isin(NOT_PRESENT, UNREADABLE)
+def _objects(names) -> str:
+    return f"struct<{','.join(f'{n}:variant' for n in names)}>"
 
 
-def _number(v: Column, parse) -> Column:
-    status, said, none = _said(v)
+def _said(v: Column) -> Column:
+    """struct<object, status, raw> of one field: whether it is an object, its status if that is a known one, and its text if that isn't blank."""
+    text = lambda x: F.when(J.is_text(x), J.text_at(x, "$"))
+    known = lambda x: F.when(x.isin(*ALLOWED), x)
+    full = lambda x: F.when(normalize_text(x) != "", x)
+    return let(F.try_variant_get(v, "$", _objects(("status", "value"))), lambda f: F.struct(f.isNotNull().alias("object"), let(text(f["status"]), known).alias("status"), let(text(f["value"]), full).alias("raw")))
 
-    def field(x: Column) -> Column:
-        status, raw, p = x["status"], x["raw"], x["p"]
-        return F.when(x["none"], dec_field(status)).when(raw.isNull(), dec_field(UNCERTAIN)).when(p["error"].isNotNull(), dec_field(UNCERTAIN, raw=raw)).otherwise(dec_field(status, p["value"], p["value_text"], raw))
 
-    return let(said, lambda raw: let(F.struct(status.alias("status"), none.alias("none"), raw.alias("raw"), parse(raw).alias("p")), field))
+def _none(x: Column) -> Column:
+    return x["status"].isin(NOT_PRESENT, UNREADABLE)
 
 
-def _text(v: Column) -> Column:
-    status, raw, none = _said(v)
-    return F.when(none, text_field(status)).when(raw.isNull(), text_field(UNCERTAIN)).otherwise(text_field(status, normalize_text(raw), raw))
+def _number(x: Column, parse) -> Column:
+    status, raw = x["status"], x["raw"]
+    return let(parse(raw), lambda p: F.when(_none(x), dec_field(status)).when(raw.isNull(), dec_field(UNCERTAIN)).when(p["error"].isNotNull(), dec_field(UNCERTAIN, raw=raw)).otherwise(dec_field(status, p["value"], p["value_text"], raw)))
 
 
-def _currency(v: Column) -> Column:
-    status, raw, none = _said(v)
+def _amount(x: Column) -> Column:
+    return _number(x, parse_amount)
+
+
+def _text(x: Column) -> Column:
+    return F.when(_none(x), text_field(x["status"])).when(x["raw"].isNull(), text_field(UNCERTAIN)).otherwise(text_field(x["status"], normalize_text(x["raw"]), x["raw"]))
+
+
+def _currency(x: Column) -> Column:
+    raw = x["raw"]
     code = F.upper(F.regexp_replace(raw, f"^{WS}|{WS}\\z", ""))
-    plain = _text(v)
-    return F.when(none | raw.isNull() | (status != EXTRACTED), plain).when(is_currency(code), text_field(EXTRACTED, code, raw)).otherwise(text_field(UNCERTAIN, raw=raw))
+    read = lambda c: F.when(is_currency(c), text_field(EXTRACTED, c, raw)).otherwise(text_field(UNCERTAIN, raw=raw))
+    return F.when(_none(x) | raw.isNull() | (x["status"] != EXTRACTED), _text(x)).otherwise(let(code, read))
 
 
-READERS = {"description": _text, "quantity": lambda v: _number(v, parse_quantity), "unit_price": lambda v: _number(v, parse_amount), "line_total": lambda v: _number(v, parse_amount), "subtotal": lambda v: _number(v, parse_amount), "tax": lambda v: _number(v, parse_amount), "total": lambda v: _number(v, parse_amount), "currency": _currency}
+def _item(x: Column) -> Column:
+    """A line item of its fields' findings, in the order of ITEM_FIELDS."""
+    amounts = F.transform(F.slice(x, 3, 2), _amount)  # one expression for both
+    return let(amounts, lambda a: F.struct(_text(x[0]).alias("description"), _number(x[1], parse_quantity).alias("quantity"), a[0].alias("unit_price"), a[1].alias("line_total")))
 
 
-def _field_error(v: Column, path: Column) -> Column:
-    return F.when(~J.is_object(v), F.concat(path, F.lit(" not an object"))).when(~F.coalesce(J.is_text(J.get(v, "status")) & J.text_at(v, "$.status").isin(*ALLOWED), F.lit(False)), F.concat(path, F.lit(".status unknown")))
+def _field_error(x: Column, path: Column) -> Column:
+    return F.when(~F.coalesce(x["object"], F.lit(False)), F.concat(path, F.lit(" not an object"))).when(x["status"].isNull(), F.concat(path, F.lit(".status unknown")))
 
 
 def adapt_model_json(df: DataFrame, *, raw: str = "raw") -> DataFrame:
-    """df with the columns of a receipt but its id, and error. raw is JSON text; null or malformed text is an error. Row-local."""
-    root = J.parse_json(F.col(raw))
+    """df with the columns of a receipt but its id, and error. raw is JSON text; null or malformed text is an error. Row-local. Each value is taken
+    from the answer once, and what is said of it is read by one expression for each kind of field."""
     own = df.columns
-    df = J.bound(df, _root=root)
-    df = J.bound(df, _items=J.elements(J.get(F.col("_root"), "line_items")))
+    inside = lambda v, names: F.try_variant_get(v, "$", _objects(names))
+    df = J.bound(df, _root=J.parse_json(F.col(raw)))
+    df = J.bound(df, _in=inside(F.col("_root"), ("line_items", *DOCUMENT_FIELDS)))
+    df = J.bound(df, _items=J.elements(F.col("_in.line_items")), _doc=F.transform(F.array(*[F.col(f"_in.{n}") for n in DOCUMENT_FIELDS]), _said))
+    of_item = lambda x: let(inside(x, ITEM_FIELDS), lambda o: F.when(o.isNotNull(), F.transform(F.array(*[o[n] for n in ITEM_FIELDS]), _said)))
+    df = J.bound(df, _listed=F.transform("_items", of_item))
     at = lambda i, n="": F.concat(F.lit("line_items["), i.cast("string"), F.lit(f"]{n}"))
-    items = F.flatten(F.transform("_items", lambda x, i: F.array(F.when(~J.is_object(x), F.concat(at(i), F.lit(" not an object"))), *[_field_error(J.get(x, n), at(i, f".{n}")) for n in ITEM_FIELDS])))
+    of_fields = lambda x, i: F.array(F.when(x.isNull(), F.concat(at(i), F.lit(" not an object"))), *[_field_error(F.get(x, F.lit(k)), at(i, f".{n}")) for k, n in enumerate(ITEM_FIELDS)])
+    items = F.flatten(F.transform("_listed", of_fields))
     error = F.coalesce(
-        F.when(F.col("_root").isNull(), "invalid_json"), F.when(~J.is_object(F.col("_root")), "root not an object"), F.when(F.col("_items").isNull(), "line_items not a list"),
-        F.get(F.filter(items, lambda e: e.isNotNull()), F.lit(0)), *[_field_error(J.get(F.col("_root"), n), F.lit(n)) for n in DOCUMENT_FIELDS],
+        F.when(F.col("_root").isNull(), "invalid_json"), F.when(F.col("_in").isNull(), "root not an object"), F.when(F.col("_items").isNull(), "line_items not a list"),
+        F.get(F.filter(items, lambda e: e.isNotNull()), F.lit(0)), *[_field_error(F.get("_doc", F.lit(k)), F.lit(n)) for k, n in enumerate(DOCUMENT_FIELDS)],
     )
-    df = J.bound(df, error=error)
+    df = J.bound(df, error=error, _amounts=F.transform(F.slice("_doc", 1, 3), _amount))
     good = lambda x: F.when(F.col("error").isNull(), x)
-    item = lambda x: F.struct(*[READERS[n](J.get(x, n)).alias(n) for n in ITEM_FIELDS])
-    return df.select(*own, "error", good(F.lit(SCHEMA_VERSION)).alias("schema_version"), good(F.transform("_items", item)).cast(f"array<{LINE_ITEM}>").alias("line_items"), *[good(READERS[n](J.get(F.col("_root"), n))).alias(n) for n in DOCUMENT_FIELDS])
+    amounts = [good(F.get("_amounts", F.lit(k))).alias(n) for k, n in enumerate(DOCUMENT_FIELDS[:3])]
+    return df.select(*own, "error", good(F.lit(SCHEMA_VERSION)).alias("schema_version"), good(F.transform("_listed", _item)).cast(f"array<{LINE_ITEM}>").alias("line_items"), *amounts, good(_currency(F.get("_doc", F.lit(3)))).alias("currency"))
