@@ -38,11 +38,12 @@ pd AS (SELECT k, gd.subtotal + CASE k % 17 WHEN 4 THEN 0.01 WHEN 5 THEN 0.02 ELS
     CASE customer % 5 WHEN 0 THEN 'USD' WHEN 1 THEN NULL ELSE CASE WHEN k % 19 = 8 THEN 'eur' ELSE 'EUR' END END AS currency FROM gd),
 ps AS (SELECT k, count(*) AS n, CASE WHEN bool_and(has_t) THEN sum(lt) END AS summed FROM pi GROUP BY k),
 pt AS (SELECT pd.*, coalesce(n, 0) AS n, summed FROM pd LEFT JOIN ps USING (k)),
-v1 AS (SELECT k, CASE WHEN total_status = 'unreadable' THEN 'UNREADABLE_CRITICAL_FIELD' ELSE 'MISSING_CRITICAL_FIELD' END AS code, 'total' AS field_path FROM pd WHERE total_status <> 'extracted'
-    UNION ALL SELECT k, 'MISSING_CRITICAL_FIELD', 'currency' FROM pd WHERE currency IS NULL
-    UNION ALL SELECT k, 'MISSING_CRITICAL_FIELD', 'line_items[' || i || '].description' FROM pi WHERE NOT has_d
-    UNION ALL SELECT k, 'MISSING_CRITICAL_FIELD', 'line_items[' || i || '].line_total' FROM pi WHERE NOT has_t),
-v2 AS (SELECT k, 'total' AS field_path FROM pd WHERE total_status = 'uncertain' OR (total_status = 'extracted' AND low) UNION ALL SELECT k, 'line_items[' || i || '].description' FROM pi WHERE doubt),
+v1 AS (SELECT k, CASE WHEN total_status = 'unreadable' THEN 'UNREADABLE_CRITICAL_FIELD' ELSE 'MISSING_CRITICAL_FIELD' END AS code, 'total' AS field_path, total_status AS status FROM pd WHERE total_status <> 'extracted'
+    UNION ALL SELECT k, 'MISSING_CRITICAL_FIELD', 'currency', 'not_present' FROM pd WHERE currency IS NULL
+    UNION ALL SELECT k, 'MISSING_CRITICAL_FIELD', 'line_items[' || i || '].description', 'uncertain' FROM pi WHERE NOT has_d
+    UNION ALL SELECT k, 'MISSING_CRITICAL_FIELD', 'line_items[' || i || '].line_total', 'not_present' FROM pi WHERE NOT has_t),
+v2 AS (SELECT k, 'total' AS field_path, CASE total_status WHEN 'uncertain' THEN 'total is marked uncertain' ELSE 'total has confidence 0.30, less than 0.50' END AS message FROM pd WHERE total_status = 'uncertain' OR (total_status = 'extracted' AND low)
+    UNION ALL SELECT k, 'line_items[' || i || '].description', 'line_items[' || i || '].description is marked uncertain' FROM pi WHERE doubt),
 v3 AS (SELECT k, i FROM pi WHERE has_q AND has_t AND abs(CAST(q AS DECIMAL(38,2)) * u - lt) > 0.01),
 v4 AS (SELECT k, 'subtotal' AS first_path, 1 + n AS n_paths, 1 AS rule FROM pt WHERE n > 0 AND abs(summed - subtotal) > 0.01
     UNION ALL SELECT k, 'subtotal', 3, 2 FROM pt WHERE tax IS NOT NULL AND total_status = 'extracted' AND abs(subtotal + tax - total) > 0.01
@@ -51,14 +52,14 @@ v5 AS (SELECT k FROM pd WHERE currency <> 'EUR'),
 va AS (SELECT k, CASE code WHEN 'UNREADABLE_CRITICAL_FIELD' THEN 'unreadable_content' ELSE 'missing_critical_field' END AS reason FROM v1 UNION ALL SELECT k, 'low_confidence' FROM v2
     UNION ALL SELECT k, 'validation_error' FROM v3 UNION ALL SELECT k, 'validation_error' FROM v4 UNION ALL SELECT k, 'validation_error' FROM v5),
 dec AS (SELECT pd.k, count(reason) > 0 AS requires_review, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons, count(reason) AS n_issues FROM pd LEFT JOIN va USING (k) GROUP BY pd.k)"""
-ORACLE["critical_fields"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, code, field_path FROM v1"
-ORACLE["low_confidence"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, field_path FROM v2"
+ORACLE["critical_fields"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, code, field_path, field_path || CASE code WHEN 'UNREADABLE_CRITICAL_FIELD' THEN ' can''t be read, so the receipt can''t be accepted unseen' ELSE ' is needed to accept the receipt unseen; its status is ' || status END AS message FROM v1"
+ORACLE["low_confidence"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, field_path, message FROM v2"
 _PLAIN = lambda x: rf"regexp_replace(CAST({x} AS VARCHAR), '\.?0+$', '')"
 ORACLE["line_total_check"] = f"""WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'line_items[' || i || '].quantity,line_items[' || i || '].unit_price,line_items[' || i || '].line_total' AS field_paths,
   q || ' times ' || u || ' is ' || {_PLAIN("CAST(q AS DECIMAL(18,2)) * CAST(u AS DECIMAL(18,2))")} || ', not ' || CAST(lt AS DECIMAL(18,2)) AS message FROM v3 JOIN pi USING (k, i)"""
 ORACLE["doc_total_check"] = f"""WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, first_path, CAST(n_paths AS BIGINT) AS n_paths, CASE WHEN rule = 2 THEN 'subtotal and tax add up to ' || {_PLAIN("CAST(subtotal + tax AS DECIMAL(18,2))")} || ', not to the total ' || CAST(total AS DECIMAL(18,2))
   ELSE 'the line totals add up to ' || {_PLAIN("CAST(summed AS DECIMAL(18,2))")} || ', not to the ' || CASE rule WHEN 1 THEN 'subtotal ' || CAST(subtotal AS DECIMAL(18,2)) ELSE 'total ' || CAST(total AS DECIMAL(18,2)) || ', and subtotal and tax don''t explain it' END END AS message FROM v4 JOIN pt USING (k)"""
-ORACLE["currency_check"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id FROM v5"
+ORACLE["currency_check"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency ' || currency || ' isn''t one of EUR' AS message FROM v5 JOIN pd USING (k)"
 ORACLE["decisions"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, requires_review, reasons, n_issues FROM dec"
 ORACLE["review_reasons"] = f"WITH {BASE} SELECT reason, count(DISTINCT k) AS documents FROM va GROUP BY reason"
 

@@ -90,12 +90,12 @@ def found_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def critical_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_issues(spark, sf_dir).where(F.col("code").isin("MISSING_CRITICAL_FIELD", "UNREADABLE_CRITICAL_FIELD")).select("document_id", "code", F.get("field_paths", F.lit(0)).alias("field_path"))
+    return found_issues(spark, sf_dir).where(F.col("code").isin("MISSING_CRITICAL_FIELD", "UNREADABLE_CRITICAL_FIELD")).select("document_id", "code", F.get("field_paths", F.lit(0)).alias("field_path"), "message")
 
 
 @query
 def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_issues(spark, sf_dir).where("code = 'LOW_CONFIDENCE'").select("document_id", F.get("field_paths", F.lit(0)).alias("field_path"))
+    return found_issues(spark, sf_dir).where("code = 'LOW_CONFIDENCE'").select("document_id", F.get("field_paths", F.lit(0)).alias("field_path"), "message")
 
 
 @query
@@ -110,7 +110,7 @@ def doc_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def currency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_issues(spark, sf_dir).where("code = 'UNSUPPORTED_CURRENCY'").select("document_id")
+    return found_issues(spark, sf_dir).where("code = 'UNSUPPORTED_CURRENCY'").select("document_id", "message")
 
 
 @query

@@ -43,3 +43,9 @@ def test_queries_without_a_library(tmp_path, library):
 
     names, oracles = said(tmp_path, before=f"import sys; sys.modules['{library}'] = None; ")
     assert set(QUERIES) <= set(names) and set(ORACLE) <= set(oracles)
+
+
+def test_one_place_to_import_from():
+    import paperproof
+
+    assert sorted(paperproof.__all__) == sorted({*paperproof.__all__}) and all(hasattr(paperproof, n) for n in paperproof.__all__)

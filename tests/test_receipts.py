@@ -15,6 +15,7 @@ from paperproof.operators import annotation as A
 from paperproof.operators import canonical as C
 from paperproof.operators import evaluate as E
 from paperproof.operators import landing as LA
+from paperproof.operators import model_json as MJ
 from paperproof.operators import ocr_lines as L
 from paperproof.operators import profile as P
 from paperproof.operators import validate as V
@@ -244,7 +245,7 @@ def annotation(i, price="5", split="train"):
 
 
 def test_profiles_of_parts_add_up(spark, tmp_path):
-    rows = [(i, ["{", annotation(i), annotation(i, 5), annotation(i, "x"), "[1]", annotation(i, split="test")][i % 6]) for i in range(120)]
+    rows = [(i, ["{", annotation(i), annotation(i, 5), annotation(i, "x"), "[1]", annotation(i, split="test")][i % 6]) for i in range(40)]
     every = spark.createDataFrame(rows, "ord int, ground_truth string")
     a, b = every.where("ord % 7 < 3"), every.where("ord % 7 >= 3")
     whole = P.profile_state(every, order="ord")
@@ -352,6 +353,26 @@ ANSWERS = [
 ]
 
 
+def test_answers_of_odd_shapes(spark):
+    f = lambda status="extracted", value=None: {"status": status, "value": value}
+    whole = {"line_items": [], "subtotal": f("not_present"), "tax": f("unreadable", "5"), "total": f("extracted", "7,00"), "currency": f("extracted", "eur")}
+    item = {"description": f("extracted", " a  b "), "quantity": f("extracted", "2 x"), "unit_price": f("uncertain", "3,5"), "line_total": f("extracted", "no")}
+    cases = [
+        (whole, None), ([], "root not an object"), (None, "root not an object"), ("{", "invalid_json"), (whole | {"line_items": {}}, "line_items not a list"), (whole | {"line_items": [item, 5]}, "line_items[1] not an object"),
+        (whole | {"line_items": [item | {"quantity": None}]}, "line_items[0].quantity not an object"), (whole | {"line_items": [item | {"unit_price": {"value": "1"}}]}, "line_items[0].unit_price.status unknown"),
+        ({k: v for k, v in whole.items() if k != "tax"}, "tax not an object"), (whole | {"total": f(5)}, "total.status unknown"), (whole | {"total": f("maybe")}, "total.status unknown"), (whole | {"line_items": [item]}, None),
+        (whole | {"total": f("extracted", 7), "currency": f("uncertain", "x y")}, None),
+    ]
+    rows = [(i, x if isinstance(x, str) else json.dumps(x)) for i, (x, _) in enumerate(cases)] + [(99, None)]
+    got = {r.i: r for r in MJ.adapt_model_json(spark.createDataFrame(rows, "i int, raw string")).collect()}
+    assert [got[i].error for i in range(len(cases))] == [e for _, e in cases] and got[99].error == "invalid_json"
+    assert all((r.total is None) == (r.error is not None) == (r.line_items is None) for r in got.values())
+    x = got[11].line_items[0]
+    assert (x.description.value, x.description.raw_text, x.quantity.value, x.unit_price.status, x.unit_price.value) == ("a b", " a  b ", 2, "uncertain", Decimal("3.5"))
+    assert (x.line_total.status, x.line_total.raw_text, got[0].tax.status, got[0].tax.value, got[0].subtotal.status, got[0].currency.value) == ("uncertain", "no", "unreadable", None, "not_present", "EUR")
+    assert (got[12].total.status, got[12].total.value, got[12].currency.status, got[12].currency.value) == ("uncertain", None, "uncertain", "x y")
+
+
 def test_faulty_answers(spark):
     df = spark.createDataFrame([(str(i), code, json.dumps(body)) for i, (code, body, _) in enumerate(ANSWERS)], "document_id string, status_code int, body string")
     assert [r.call_error for r in MC.unwrapped(df).orderBy("document_id").collect()] == [e for *_, e in ANSWERS]
