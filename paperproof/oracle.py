@@ -150,8 +150,11 @@ ORACLE["receipt_json"] = f"""WITH {BASE}, ji AS (SELECT k, string_agg('{{"descri
 SELECT CAST(k AS VARCHAR) AS document_id, '{{"schema_version":"0.1.0","document_id":"' || k || '","line_items":[' || coalesce(listed, '') || '],"subtotal":' || {_BARE(_CENTS("subtotal"), "'extracted'")} || ',"tax":' || {_BARE(_CENTS("tax"), _HAS("tax IS NOT NULL"))}
   || ',"total":' || {_BARE(_CENTS("total"), "total_status", "CASE WHEN low THEN '0.3' ELSE 'null' END")} || ',"currency":' || {_BARE("currency", _HAS("currency IS NOT NULL"))} || '}}' AS json FROM pd LEFT JOIN ji USING (k)"""
 ORACLE["model_calls"] = f"""WITH {BASE}, t AS (SELECT k, CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) AS total FROM gd), d AS (SELECT *, CAST(total * 100 AS BIGINT) % 11 AS d FROM t),
-e AS (SELECT *, CASE d WHEN 0 THEN 'http 429: quota used up' WHEN 1 THEN 'http 502: "bad gateway"' WHEN 2 THEN 'no candidates' WHEN 3 THEN 'empty answer' WHEN 4 THEN 'answer not JSON' WHEN 5 THEN 'answer not an object' WHEN 6 THEN 'total.status unknown' END AS error FROM d)
-SELECT CAST(k AS VARCHAR) AS document_id, error, CASE WHEN error IS NULL THEN CAST(0 AS BIGINT) END AS n_items, CASE WHEN error IS NULL THEN 'extracted' END AS total_status, CASE WHEN error IS NULL THEN CAST(total AS DOUBLE) END AS total, CASE WHEN error IS NULL THEN 'EUR' END AS currency FROM e"""
+e AS (SELECT *, CASE d WHEN 0 THEN 'http 429: quota used up' WHEN 1 THEN 'http 502: "bad gateway"' WHEN 2 THEN 'no candidates' WHEN 3 THEN 'empty answer' WHEN 4 THEN 'answer not JSON' WHEN 5 THEN 'answer not an object' WHEN 6 THEN 'total.status unknown' END AS error FROM d),
+i AS (SELECT k, count(*) AS n, string_agg(descr, '|' ORDER BY i) AS names, round(sum(CAST(CAST(q AS INTEGER) AS DOUBLE)), 2) AS q, round(sum(CAST(u AS DOUBLE)), 2) AS u, round(sum(CAST(lt AS DOUBLE)), 2) AS t FROM gi WHERE i % 2 = 0 GROUP BY k),
+g AS (SELECT e.k, error, error IS NULL AS ok, total, i.* EXCLUDE k FROM e JOIN i USING (k))
+SELECT CAST(k AS VARCHAR) AS document_id, error, CASE WHEN ok THEN n END AS n_items, CASE WHEN ok THEN names END AS names, CASE WHEN ok THEN q END AS summed_quantity, CASE WHEN ok THEN u END AS summed_unit_price, CASE WHEN ok THEN t END AS summed_line_total,
+  CASE WHEN ok THEN n END AS doubtful, CASE WHEN ok THEN 'extracted' END AS total_status, CASE WHEN ok THEN CAST(total AS DOUBLE) END AS total, CASE WHEN ok THEN 'EUR' END AS currency FROM g"""
 ORACLE["receipt_faults"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency: not a code' AS fault FROM pd WHERE k % 5 = 0 AND currency IS NOT NULL OR currency <> upper(currency)"
 
 CANONICAL = BASE + """,

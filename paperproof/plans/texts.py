@@ -73,13 +73,15 @@ def model_answers(docs: DataFrame) -> DataFrame:
 
 
 def stand_in_model(url: str, headers: dict[str, str], body: dict) -> HttpResponse:
-    """A model's answer without a model: it finds the first total among the lines of the prompt. By the digits d of that total, mod 11:
-    0 a quota error, 1 a page instead of JSON, 2 no candidates, 3 a blank text, 4 no JSON, 5 a list, 6 an unknown status, else a receipt in two parts."""
-    said = re.search(r"^Gesamt ([0-9]+,[0-9]+)$", body["contents"][0]["parts"][0]["text"], re.M)[1]
+    """A model's answer without a model: it finds the first total among the lines of the prompt, and the items that have a quantity, whose unit
+    prices it isn't sure of. By the digits d of that total, mod 11: 0 a quota error, 1 a page instead of JSON, 2 no candidates, 3 a blank text, 4 no JSON, 5 a list, 6 an unknown status, else a receipt in two parts."""
+    prompt = body["contents"][0]["parts"][0]["text"]
+    said = re.search(r"^Gesamt ([0-9]+,[0-9]+)$", prompt, re.M)[1]
     kind = int(said.replace(",", "")) % 11
     if kind < 2:
         return HttpResponse(429, {"error": {"message": "quota used up"}}) if kind == 0 else HttpResponse(502, "bad gateway")
     field = lambda status, value=None: {"status": status, "value": value}
-    receipt = {"line_items": [], "subtotal": field("not_present"), "tax": field("unreadable"), "total": field("guessed" if kind == 6 else "extracted", said), "currency": field("extracted", "eur")}
+    items = [{"description": field("extracted", d), "quantity": field("extracted", q), "unit_price": field("uncertain", u), "line_total": field("extracted", t)} for d, q, u, t in re.findall(r"^(.+) ([0-9]+) x ([0-9,]+) ([0-9,]+)$", prompt, re.M)]
+    receipt = {"line_items": items, "subtotal": field("not_present"), "tax": field("unreadable"), "total": field("guessed" if kind == 6 else "extracted", said), "currency": field("extracted", "eur")}
     text = {3: " ", 4: "I can't", 5: "[1]"}.get(kind, json.dumps(receipt))
     return HttpResponse(200, {"candidates": [] if kind == 2 else [{"content": {"parts": [{"text": text[:9]}, {"text": text[9:]}]}}]})

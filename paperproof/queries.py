@@ -265,7 +265,11 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts by prompt, call and adapter, of a stand-in model that fails in every known way; its answers are kept in a store and read back."""
     lines = T.text_lines(R.order_documents(spark, sf_dir))
     m = MC.extract_with_model(lines, url="https://model.invalid/", api_key="none", http_post=T.stand_in_model, store=new_path(spark, "answers"))
-    return m.select("document_id", "error", F.size("line_items").cast("bigint").alias("n_items"), *_flat("total"), F.col("currency.value").alias("currency"))
+    summed = lambda name: F.round(F.aggregate("line_items", F.lit(0.0), lambda acc, x: acc + x[name]["value"].cast("double")), 2)
+    names = F.array_join(F.transform("line_items", lambda x: x["description"]["value"]), "|")
+    doubtful = F.size(F.filter("line_items", lambda x: x["unit_price"]["status"] == S.UNCERTAIN)).cast("bigint")
+    sums = [summed(n).alias(f"summed_{n}") for n in ("quantity", "unit_price", "line_total")]
+    return m.select("document_id", "error", F.size("line_items").cast("bigint").alias("n_items"), names.alias("names"), *sums, doubtful.alias("doubtful"), *_flat("total"), F.col("currency.value").alias("currency"))
 
 
 @query
