@@ -93,7 +93,9 @@ def _totals(tolerance: str) -> list[Column]:
 
 
 #: What a bit of issue_mask says.
-CRITICAL, DOUBTFUL, LINE_TOTAL, DOCUMENT_TOTAL, CURRENCY = 1, 2, 4, 8, 16
+MISSING, DOUBTFUL, LINE_TOTAL, DOCUMENT_TOTAL, CURRENCY, UNREADABLE_FIELD = 1, 2, 4, 8, 16, 32
+# The bits of each review reason, in the reasons' order.
+_REASON_BITS = (("low_confidence", DOUBTFUL), ("missing_critical_field", MISSING), ("unreadable_content", UNREADABLE_FIELD), ("validation_error", LINE_TOTAL | DOCUMENT_TOTAL | CURRENCY))
 
 
 def issue_mask(*, money_tolerance: str = "0.01", allowed_currencies: Collection[str] | None = None, low_confidence_threshold: float = 0.5) -> Column:
@@ -101,8 +103,11 @@ def issue_mask(*, money_tolerance: str = "0.01", allowed_currencies: Collection[
     items = F.col("line_items")
     some = lambda test: F.coalesce(F.exists(items, test), F.lit(False))
     either = lambda *tests: F.greatest(*tests) if len(tests) > 1 else tests[0]
+    unreadable = lambda f: F.coalesce(f["status"] == UNREADABLE, F.lit(False))
+    missing = lambda f: ~is_extracted(f) & ~unreadable(f)
+    critical = lambda test: either(*[test(F.col(n)) for n in ("total", "currency")], some(lambda x: either(*[test(x[n]) for n in ("description", "line_total")])))
     kinds = {
-        CRITICAL: either(*[~is_extracted(F.col(n)) for n in ("total", "currency")], some(lambda x: either(*[~is_extracted(x[n]) for n in ("description", "line_total")]))),
+        MISSING: critical(missing), UNREADABLE_FIELD: critical(unreadable),
         DOUBTFUL: either(*[is_doubtful(F.col(n), low_confidence_threshold) for n in DOCUMENT_FIELDS], some(lambda x: either(*[is_doubtful(x[n], low_confidence_threshold) for n in ITEM_FIELDS]))),
         LINE_TOTAL: some(lambda x: line_total_is_off(x, money_tolerance)), DOCUMENT_TOTAL: either(*_totals_off(money_tolerance)),
         CURRENCY: F.lit(False) if allowed_currencies is None else _foreign(allowed_currencies),
@@ -140,10 +145,22 @@ def decision(found: Column) -> Column:
     return let(reasons, lambda x: F.struct((F.size(x) > 0).alias("requires_review"), x.alias("reasons"), F.lit(POLICY_VERSION).alias("policy_version")))
 
 
+def _whole(receipts: DataFrame) -> DataFrame:
+    """A row without line_items counts as one with none."""
+    return receipts.withColumn("line_items", F.coalesce("line_items", F.array().cast(receipts.schema["line_items"].dataType)))
+
+
+def decide(receipts: DataFrame, **settings) -> DataFrame:
+    """receipts with the decision that validate gives them, without their issues."""
+    df = J.bound(_whole(receipts), _mask=issue_mask(**settings))
+    reasons = F.filter(F.array(*[F.when(F.col("_mask").bitwiseAND(bits) > 0, F.lit(reason)) for reason, bits in _REASON_BITS]), lambda x: x.isNotNull())
+    made = F.struct((F.col("_mask") > 0).alias("requires_review"), reasons.alias("reasons"), F.lit(POLICY_VERSION).alias("policy_version"))
+    return df.withColumn("decision", made).drop("_mask")
+
+
 def validate(receipts: DataFrame, **settings) -> DataFrame:
     """receipts with validation_issues and decision. A row without line_items counts as one with none."""
-    whole = receipts.withColumn("line_items", F.coalesce("line_items", F.array().cast(receipts.schema["line_items"].dataType)))
-    return J.bound(whole, validation_issues=issues(**settings)).withColumn("decision", decision(F.col("validation_issues")))
+    return J.bound(_whole(receipts), validation_issues=issues(**settings)).withColumn("decision", decision(F.col("validation_issues")))
 
 
 def issue_rows(validated: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = V.validate(predicted(spark, sf_dir), allowed_currencies=ALLOWED)
+    v = V.decide(predicted(spark, sf_dir), allowed_currencies=ALLOWED)
     return v.select(F.explode("decision.reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("documents"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperproof.operators.annotation import adapt_annotations
 from paperproof.operators.profile import profile_state
-from paperproof.operators.validate import validate
+from paperproof.operators.validate import decide
 
 
 def annotation_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -18,7 +18,7 @@ def annotation_stream(spark: SparkSession, path: str, files_per_trigger: int = 1
 def decided(annotations: DataFrame, **settings) -> DataFrame:
     """document_id, requires_review, reasons of each annotation that can be read. Append mode; no state."""
     good = adapt_annotations(annotations).where("error IS NULL")
-    return validate(good, **settings).select("document_id", "decision.requires_review", "decision.reasons")
+    return decide(good, **settings).select("document_id", "decision.requires_review", "decision.reasons")
 
 
 def reason_counts(decisions: DataFrame) -> DataFrame:

@@ -148,9 +148,12 @@ def test_evaluation_prunes_what_is_not_read(spark):
 
 def test_mask_says_which_issues_there_are(spark):
     df = receipt(spark, *[{"document_id": str(i)} | r for i, (r, _) in enumerate(VALIDATION)])
-    bit = {"MISSING_CRITICAL_FIELD": V.CRITICAL, "UNREADABLE_CRITICAL_FIELD": V.CRITICAL, "LOW_CONFIDENCE": V.DOUBTFUL, "LINE_TOTAL_MISMATCH": V.LINE_TOTAL, "DOCUMENT_TOTAL_MISMATCH": V.DOCUMENT_TOTAL, "UNSUPPORTED_CURRENCY": V.CURRENCY}
+    bit = {"MISSING_CRITICAL_FIELD": V.MISSING, "UNREADABLE_CRITICAL_FIELD": V.UNREADABLE_FIELD, "LOW_CONFIDENCE": V.DOUBTFUL, "LINE_TOTAL_MISMATCH": V.LINE_TOTAL, "DOCUMENT_TOTAL_MISMATCH": V.DOCUMENT_TOTAL, "UNSUPPORTED_CURRENCY": V.CURRENCY}
     got = {r.document_id: r.mask for r in df.select("document_id", V.issue_mask(allowed_currencies=["EUR"]).alias("mask")).collect()}
     assert got == {str(i): sum({bit[c] for c in codes}) for i, (_, codes) in enumerate(VALIDATION)}
+    df = df.unionByName(df.limit(1).withColumn("line_items", F.lit(None).cast(df.schema["line_items"].dataType)).withColumn("document_id", F.lit("none")))
+    plain = lambda d: sorted((r.document_id, r.decision) for r in d.collect())
+    assert plain(V.decide(df, allowed_currencies=["EUR"])) == plain(V.validate(df, allowed_currencies=["EUR"]))
 
 
 def test_lines_from_words(spark):
