@@ -16,6 +16,13 @@ from paperproof.operators.profile import profile_report, write_report
 from paperproof.sources.annotations import manifest_paths, read_annotations, source_block
 
 
+def manifest_report(spark: SparkSession, manifest: list[dict] | dict, *, column: str = "ground_truth", order: str | None = None, dataset: str | None = None) -> dict:
+    """The profile of the files that a manifest names, and what they are; by ``order``, or as rows stand in the files, in the manifest's order."""
+    columns = [column, *([order] if order else [])]
+    rows = read_annotations(spark, manifest_paths(manifest), *columns, order=None if order else "source_order")
+    return profile_report(rows, order=order or "source_order", text=column) | {"source": source_block(manifest, columns, dataset)}
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description="Profile receipt annotations.")
     p.add_argument("paths", nargs="*", help="Parquet files or folders with the annotation column")
@@ -27,10 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("paperproof-profile").getOrCreate()
     manifest = json.loads(Path(args.manifest).read_text(encoding="utf-8")) if args.manifest else [{"url": x} for x in args.paths]
-    columns = [args.column, *([args.order] if args.order else [])]
-    rows = read_annotations(spark, manifest_paths(manifest), *columns, order=None if args.order else "source_order")
-    report = profile_report(rows, order=args.order or "source_order", text=args.column)
-    report["source"] = source_block(manifest, columns, args.dataset)
+    report = manifest_report(spark, manifest, column=args.column, order=args.order, dataset=args.dataset)
     write_report(report, args.output)
     counts = report.get("documents", {})
     print(f"{counts.get('total', 0)} documents profiled, {counts.get('adapter_successes', 0)} adapted, {report.get('line_items', {}).get('total', 0)} line items; report in {args.output}")

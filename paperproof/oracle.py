@@ -141,7 +141,8 @@ _PICK = lambda what, name: f"any_value({what}) FILTER (WHERE path = '{name}')"
 ORACLE["model_json_adapt"] = f"""WITH {MODEL} SELECT CAST(me.k AS VARCHAR) AS document_id, any_value(error) AS error, CASE WHEN any_value(error) IS NULL THEN any_value(len(items)) END AS n_items, {_PICK("state", "tax")} AS tax_status, {_PICK("number", "tax")} AS tax,
   {_PICK("state", "total")} AS total_status, {_PICK("number", "total")} AS total, {_PICK("raw", "total")} AS total_raw, {_PICK("state", "currency")} AS currency_status, {_PICK("code", "currency")} AS currency, {_PICK("raw", "currency")} AS currency_raw FROM me LEFT JOIN mr USING (k) GROUP BY me.k"""
 ORACLE["ocr_columns"] = ORACLE["ocr_lines"]
-ORACLE["unmatched_documents"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 7 = 0 THEN 'predicted' ELSE 'truth' END AS side FROM gd WHERE (k % 7 = 0) <> (k % 11 = 0)"
+ORACLE["unmatched_documents"] = f"""WITH {BASE}, p AS (SELECT CAST(k AS VARCHAR) AS document_id FROM pd WHERE k % 11 <> 0), g AS (SELECT CAST(k AS VARCHAR) AS document_id FROM gd WHERE k % 7 <> 0)
+SELECT document_id, CASE WHEN g.document_id IS NULL THEN 'predicted' ELSE 'truth' END AS side FROM p FULL JOIN g USING (document_id) WHERE p.document_id IS NULL OR g.document_id IS NULL"""
 _BARE = lambda value, status, confidence="'null'": f"""'{{"value":' || coalesce('"' || {value} || '"', 'null') || ',"raw_text":null,"status":"' || {status} || '","confidence":' || {confidence} || ',"evidence":[]}}'"""
 _CENTS = lambda x: f"CAST({x} AS DECIMAL(18,2))"
 _HAS = lambda x: f"CASE WHEN {x} THEN 'extracted' ELSE 'not_present' END"
@@ -155,11 +156,39 @@ i AS (SELECT k, count(*) AS n, string_agg(descr, '|' ORDER BY i) AS names, round
 g AS (SELECT e.k, error, error IS NULL AS ok, total, i.* EXCLUDE k FROM e JOIN i USING (k))
 SELECT CAST(k AS VARCHAR) AS document_id, error, CASE WHEN ok THEN n END AS n_items, CASE WHEN ok THEN names END AS names, CASE WHEN ok THEN q END AS summed_quantity, CASE WHEN ok THEN u END AS summed_unit_price, CASE WHEN ok THEN t END AS summed_line_total,
   CASE WHEN ok THEN n END AS doubtful, CASE WHEN ok THEN 'extracted' END AS total_status, CASE WHEN ok THEN CAST(total AS DOUBLE) END AS total, CASE WHEN ok THEN 'EUR' END AS currency FROM g"""
-ORACLE["receipt_faults"] = f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS document_id, 'currency: not a code' AS fault FROM pd WHERE k % 5 = 0 AND currency IS NOT NULL OR currency <> upper(currency)"
+# Fields are changed as the query changes them; then each constraint is a rule over all fields.
+ORACLE["receipt_faults"] = f"""WITH {BASE}, pf AS (SELECT k, 'subtotal' AS path, CASE WHEN k % 11 = 4 THEN 'not_present' ELSE 'extracted' END AS status, CAST(subtotal AS VARCHAR) AS value, NULL AS confidence FROM pd
+  UNION ALL SELECT k, 'tax', CASE WHEN tax IS NULL THEN 'not_present' ELSE 'extracted' END, CASE WHEN k % 9 <> 2 THEN CAST(tax AS VARCHAR) END, NULL FROM pd
+  UNION ALL SELECT k, 'total', CASE WHEN k % 13 = 5 THEN 'guessed' ELSE total_status END, CAST(total AS VARCHAR), CASE WHEN k % 7 = 3 THEN 1.5 WHEN low THEN 0.3 END FROM pd
+  UNION ALL SELECT k, 'currency', CASE WHEN currency IS NULL THEN 'not_present' ELSE 'extracted' END, CASE WHEN k % 5 = 0 THEN lower(currency) ELSE currency END, NULL FROM pd
+  UNION ALL SELECT k, 'line_items[' || i || '].description', CASE WHEN doubt THEN 'uncertain' ELSE 'extracted' END, descr, NULL FROM pi
+  UNION ALL SELECT k, 'line_items[' || i || '].quantity', CASE WHEN has_q AND NOT (k % 3 = 1 AND i = 0) THEN 'extracted' ELSE 'not_present' END, CASE WHEN has_q THEN CAST(q AS VARCHAR) END, NULL FROM pi
+  UNION ALL SELECT k, 'line_items[' || i || '].unit_price', 'extracted', CAST(u AS VARCHAR), NULL FROM pi
+  UNION ALL SELECT k, 'line_items[' || i || '].line_total', CASE WHEN has_t THEN 'extracted' ELSE 'not_present' END, CASE WHEN has_t THEN CAST(lt AS VARCHAR) END, NULL FROM pi)
+SELECT k, path || ': ' || unnest(list_filter([CASE WHEN status NOT IN ('extracted', 'not_present', 'uncertain', 'unreadable', 'not_annotated') THEN 'unknown status' END, CASE WHEN status = 'extracted' AND value IS NULL THEN 'extracted without a value' END,
+    CASE WHEN status IN ('not_present', 'unreadable', 'not_annotated') AND value IS NOT NULL THEN 'a value where the status says there is none' END, CASE WHEN confidence NOT BETWEEN 0 AND 1 THEN 'confidence outside 0 to 1' END,
+    CASE WHEN path = 'currency' AND status = 'extracted' AND NOT regexp_matches(value, '^[A-Z]{{3}}$') THEN 'not a code' END], lambda x: x IS NOT NULL)) AS fault FROM pf
+UNION ALL SELECT k, 'document_id: empty' FROM pd WHERE k % 17 = 6 UNION ALL SELECT k, 'schema_version: unknown' FROM pd WHERE k % 19 = 1"""
 
-CANONICAL = BASE + """,
-cr AS (SELECT k, k % 23 NOT IN (0, 1, 2, 3, 4, 6, 7) AND coalesce(currency = upper(currency), true) AS ok, n, CASE WHEN total_status IN ('extracted', 'uncertain') THEN CAST(total AS DOUBLE) END AS total FROM pt)"""
-ORACLE["schema_valid"] = f"WITH {CANONICAL} SELECT CAST(k AS VARCHAR) AS id, ok AS schema_valid, CASE WHEN ok THEN CAST(k AS VARCHAR) END AS document_id, CASE WHEN ok THEN n END AS n_items, CASE WHEN ok THEN total END AS total FROM cr"
+# The canonical texts are receipt_json's, broken as the query breaks them; from there on they are parsed, key by key.
+CANONICAL = r"""ca AS (SELECT document_id AS id, CASE CAST(document_id AS BIGINT) % 23 WHEN 0 THEN substr(json, 2) WHEN 1 THEN replace(json, '"currency":', '"curency":') WHEN 2 THEN '{"more":1,' || substr(json, 2) WHEN 3 THEN replace(json, '"0.1.0"', '"9"')
+    WHEN 4 THEN replace(json, '"status":"extracted"', '"status":"guessed"') WHEN 5 THEN replace(json, '"schema_version":"0.1.0",', '') WHEN 6 THEN '[]' WHEN 7 THEN regexp_replace(json, '"document_id":"[0-9]+"', '"document_id":5')
+    WHEN 8 THEN replace(json, '"confidence":null', '"confidence":1.5') WHEN 9 THEN replace(json, '"raw_text":null', '"raw_text":3') WHEN 10 THEN replace(json, '"status":"not_present",', '') WHEN 11 THEN replace(json, '"evidence":[]', '"evidence":[{"text":"a","page":0}]')
+    WHEN 12 THEN replace(json, '"evidence":[]', '"evidence":[{"text":"a","page":1}]') WHEN 13 THEN replace(json, '"quantity":', '"qty":') WHEN 14 THEN regexp_replace(json, '"value":"([0-9.]+)"', '"value":\1', 'g') WHEN 15 THEN replace(json, '"value":null', '"value":"1"') ELSE json END AS raw FROM made),
+cj AS (SELECT id, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM ca),
+cd AS (SELECT id, j, coalesce(json_type(j) = 'OBJECT', false) AS is_object, coalesce(json_keys(j), []) AS keys, CASE json_type(j, '$.line_items') WHEN 'ARRAY' THEN CAST(j -> '$.line_items' AS JSON[]) ELSE [] END AS items FROM cj),
+ci AS (SELECT id, unnest(items) AS x FROM cd),
+cf AS (SELECT id, name, j -> name AS v FROM cd, (VALUES ('subtotal'), ('tax'), ('total'), ('currency')) AS n(name) WHERE is_object UNION ALL SELECT id, name, x -> name FROM ci, (VALUES ('description'), ('quantity'), ('unit_price'), ('line_total')) AS n(name)),
+cv AS (SELECT *, v ->> 'status' AS status, coalesce(json_type(v -> 'value'), 'NULL') AS kind, v ->> 'value' AS value, v -> 'confidence' AS conf, CASE coalesce(json_type(v -> 'evidence'), 'NULL') WHEN 'ARRAY' THEN CAST(v -> 'evidence' AS JSON[]) END AS said FROM cf),
+cg AS (SELECT id, bool_and(coalesce(json_type(v) = 'OBJECT' AND len(list_filter(json_keys(v), lambda y: y NOT IN ('value', 'raw_text', 'status', 'confidence', 'evidence'))) = 0 AND status IN ('extracted', 'not_present', 'uncertain', 'unreadable', 'not_annotated')
+    AND CASE WHEN kind = 'NULL' THEN status <> 'extracted' WHEN status IN ('not_present', 'unreadable', 'not_annotated') THEN false WHEN name IN ('description', 'currency') THEN kind = 'VARCHAR' ELSE TRY_CAST(value AS DECIMAL(18, 6)) IS NOT NULL END
+    AND (name <> 'currency' OR status <> 'extracted' OR regexp_matches(value, '^[A-Z]{3}$')) AND coalesce(json_type(v -> 'raw_text'), 'NULL') IN ('NULL', 'VARCHAR') AND (coalesce(json_type(conf), 'NULL') = 'NULL' OR TRY_CAST(CAST(conf AS VARCHAR) AS DOUBLE) BETWEEN 0 AND 1)
+    AND (coalesce(json_type(v -> 'evidence'), 'NULL') = 'NULL' OR (said IS NOT NULL AND len(list_filter(said, lambda e: NOT coalesce(json_type(e -> 'text') = 'VARCHAR' AND e ->> 'text' <> '' AND coalesce(CAST(e ->> 'page' AS INT), 1) >= 1, false))) = 0)), false)) AS ok FROM cv GROUP BY id),
+cw AS (SELECT id, bool_and(coalesce(list_sort(json_keys(x)) = ['description', 'line_total', 'quantity', 'unit_price'], false)) AS ok FROM ci GROUP BY id),
+cr AS (SELECT cd.id, coalesce(is_object AND len(list_filter(keys, lambda y: y NOT IN ('schema_version', 'document_id', 'line_items', 'subtotal', 'tax', 'total', 'currency'))) = 0 AND list_has_all(keys, ['document_id', 'subtotal', 'tax', 'total', 'currency']) AND json_type(j, '$.document_id') = 'VARCHAR' AND j ->> '$.document_id' <> ''
+    AND (json_type(j, '$.schema_version') IS NULL OR j ->> '$.schema_version' = '0.1.0') AND coalesce(json_type(j, '$.line_items'), 'ARRAY') = 'ARRAY' AND cg.ok AND coalesce(cw.ok, true), false) AS ok, j, len(items) AS n FROM cd LEFT JOIN cg USING (id) LEFT JOIN cw USING (id))"""
+CANONICAL = f"made AS ({ORACLE['receipt_json']}), {CANONICAL}"
+ORACLE["schema_valid"] = f"WITH {CANONICAL} SELECT id, ok AS schema_valid, CASE WHEN ok THEN j ->> '$.document_id' END AS document_id, CASE WHEN ok THEN n END AS n_items, CASE WHEN ok THEN CAST(j ->> '$.total.value' AS DOUBLE) END AS total FROM cr"
 ORACLE["schema_valid_rate"] = f"WITH {CANONICAL} SELECT count(*) AS documents, count(*) FILTER (WHERE ok) AS valid, round(avg(CAST(ok AS INT)), 9) AS rate FROM cr"
 
 # The annotation texts are made as the fixture makes them; from there on, JSON is parsed and nothing of how it was made is used.
@@ -188,7 +217,7 @@ st AS (SELECT cs.*, list_filter(pieces, lambda x: trim(x) NOT IN ('', '-')) AS s
 status AS (SELECT k, i, name, CASE WHEN v IS NULL OR len(said) = 0 THEN 'not_present' WHEN name = 'description' OR len(vals) = 1 THEN 'extracted' ELSE 'not_annotated' END AS status, vals[1] AS value, array_to_string(pieces, ' | ') AS raw_text, array_to_string(list_transform(said, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), ' ') AS words FROM st WHERE name IN ('subtotal', 'tax', 'total') OR i >= 0
   UNION ALL SELECT k, -1, name, CASE json_type(sec) WHEN 'ARRAY' THEN 'not_annotated' ELSE 'not_present' END, NULL, CASE json_type(sec) WHEN 'ARRAY' THEN CAST(sec AS VARCHAR) END, NULL FROM (SELECT k, unnest(['subtotal', 'tax', 'total']) AS name, unnest([sub, sub, tot]) AS sec FROM jl JOIN er USING (k) WHERE error IS NULL) WHERE json_type(sec) IS DISTINCT FROM 'OBJECT'
   UNION ALL SELECT k, -1, 'currency', 'not_annotated', NULL, NULL, NULL FROM er WHERE error IS NULL),
-forms AS (SELECT CASE WHEN name = 'quantity' THEN 'quantity' ELSE 'amount' END AS what, present, is_text, txt, lower(regexp_replace(txt, '\s', '', 'g')) AS tight FROM cs WHERE name NOT IN ('description', 'subtotal_other')),
+forms AS (SELECT k, CASE WHEN name = 'quantity' THEN 'quantity' ELSE 'amount' END AS what, present, is_text, txt, lower(regexp_replace(txt, '\s', '', 'g')) AS tight FROM cs WHERE name NOT IN ('description', 'subtotal_other')),
 en AS (SELECT 'documents' AS section, unnest(['total', CASE WHEN valid THEN 'valid_json' END, CASE WHEN error IS NULL THEN 'adapter_successes' ELSE 'adapter_errors' END]) AS key, NULL AS subkey, 1 AS n FROM jl JOIN er USING (k)
   UNION ALL SELECT 'documents', 'by_split', split, 1 FROM jl WHERE valid UNION ALL SELECT 'line_items', 'total', NULL, len(items) FROM jl WHERE parsed UNION ALL SELECT 'line_items', 'by_split', split, len(items) FROM jl WHERE parsed
   UNION ALL SELECT 'menu_shape', CASE json_type(menu) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' ELSE 'missing' END, NULL, 1 FROM jl WHERE parsed
@@ -214,3 +243,13 @@ ORACLE["error_examples_top50"] = f"""WITH {PROFILE}, odd AS (SELECT k, '"non_str
 un AS (SELECT k, '"' || CASE name WHEN 'total' THEN 'total' ELSE 'sub_total' END || '":{{' || string_agg('"' || key || '":' || CAST(v AS VARCHAR), ',' ORDER BY key) || '}}' AS part, name = 'total' AS last FROM cs WHERE i < 0 AND v IS NOT NULL AND key <> 'etc' AND (NOT is_text OR trim(txt) = '-') GROUP BY k, name = 'total', CASE name WHEN 'total' THEN 'total' ELSE 'sub_total' END)
 SELECT er.k, 'cord-' || split || '-' || coalesce(image, 'unknown') AS document_id, error, '{{' || concat_ws(',', odd.part, s.part, t.part) || '}}' AS context
   FROM er JOIN jl USING (k) LEFT JOIN odd USING (k) LEFT JOIN un s ON s.k = er.k AND NOT s.last LEFT JOIN un t ON t.k = er.k AND t.last WHERE error IS NOT NULL AND parsed ORDER BY er.k LIMIT 50"""
+_SEEN = "CASE k % 3 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END"  # deliveries in the manifest's order
+ORACLE["profile_report"] = f"""WITH rows AS ({ORACLE['profile_counts']}), spread AS ({ORACLE['profile_distribution']}), examples AS ({ORACLE['error_examples_top50'].replace('ORDER BY er.k LIMIT 50', f"ORDER BY {_SEEN.replace('k %', 'er.k %')}, er.k LIMIT 50")}),
+met AS (WITH {PROFILE} SELECT 'adapter_error_details' AS section, error AS key, k FROM er WHERE error IS NOT NULL UNION ALL SELECT 'normalization_errors', what || '_not_string', k FROM forms WHERE present AND NOT is_text UNION ALL SELECT 'normalization_errors', what || '_unparseable', k FROM forms WHERE present AND is_text AND NOT regexp_matches(txt, '[0-9]')),
+ranked AS (SELECT section, key, row_number() OVER (PARTITION BY section ORDER BY count(*) DESC, min(({_SEEN}) * 1000000000000 + k)) - 1 AS place FROM met GROUP BY section, key),
+ex AS (SELECT *, row_number() OVER (ORDER BY {_SEEN}, k) - 1 AS i FROM examples)
+SELECT '/' || section || '/' || key || coalesce('/' || subkey, CASE WHEN rate IS NULL THEN '' ELSE '/count' END) AS path, CAST(n AS VARCHAR) AS value, place FROM rows LEFT JOIN ranked USING (section, key)
+UNION ALL SELECT '/' || section || '/' || key || '/rate', CAST(rate AS VARCHAR), NULL FROM rows WHERE rate IS NOT NULL
+UNION ALL SELECT '/line_items/per_document/' || unnest(['min', 'max', 'p95', 'mean', 'median']), unnest([CAST(min_items AS VARCHAR), CAST(max_items AS VARCHAR), CAST(p95_items AS VARCHAR), CAST(mean_items AS VARCHAR), CAST(median_items AS VARCHAR)]), NULL FROM spread
+UNION ALL SELECT '/adapter_error_examples/' || i || '/' || unnest(['document_id', 'error', 'context']), unnest(['"' || document_id || '"', '"' || error || '"', context]), NULL FROM ex
+UNION ALL SELECT '/source/' || unnest(['dataset', 'files', 'advertised_bytes', 'columns']), unnest(['"orders"', '3', '3003', '["ground_truth"]']), NULL"""

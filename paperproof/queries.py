@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperproof.cli import manifest_report
 from paperproof.functions import numbers as N
 from paperproof.functions import text as X
 from paperproof.operators import annotation as A
@@ -22,9 +24,11 @@ from paperproof.plans import schema as S
 from paperproof.plans import texts as T
 from paperproof.sources import images as I
 from paperproof.sources import model_client as MC
-from paperproof.sources.shared import made_once, new_path
+from paperproof.sources.shared import made_once, new_path, path_made_once
 
 ALLOWED = ("EUR",)
+#: The tables that order documents are made of.
+SOURCES = ("orders", "lineitem", "part")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -177,7 +181,7 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations of all orders, landed: parsed once for the queries on them, and again when the tables' files change."""
-    sources = [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "part")]
+    sources = [f"{sf_dir}/{t}.parquet" for t in SOURCES]
     return made_once(spark, "annotations", sources, lambda path: LA.land(T.annotations(R.order_documents(spark, sf_dir)), path))
 
 
@@ -225,6 +229,32 @@ def error_examples_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.error_examples(annotated(spark, sf_dir), "k").select("k", "document_id", "error", "context")
 
 
+def delivered(spark: SparkSession, sf_dir: str) -> dict:
+    """The manifest of annotation files in three deliveries, by k mod 3, of which the second comes first; rows stand by k."""
+    write = lambda path: T.annotations(R.order_documents(spark, sf_dir)).orderBy("k").select("ground_truth", (F.col("k") % 3).alias("delivery")).write.partitionBy("delivery").parquet(path)
+    at = path_made_once(spark, "deliveries", [f"{sf_dir}/{t}.parquet" for t in SOURCES], write)
+    return {"dataset": "orders", "parquet_files": [{"url": f"{at}/delivery={d}", "size": 1000 + d} for d in (1, 0, 2)]}
+
+
+def _leaves(x, path: str = "") -> Iterator[tuple[str, str, int | None]]:
+    """path, JSON text and place among its like of each value of a report; contexts of examples are values."""
+    if isinstance(x, dict) and not path.endswith("/context"):
+        ranked = path in ("/normalization_errors", "/adapter_error_details")
+        for place, (key, value) in enumerate(x.items()):
+            yield from ((p, v, place if ranked else None) for p, v, _ in _leaves(value, f"{path}/{key}")) if ranked else _leaves(value, f"{path}/{key}")
+    elif isinstance(x, list) and path == "/adapter_error_examples":
+        for i, value in enumerate(x):
+            yield from _leaves(value, f"{path}/{i}")
+    else:
+        yield path, json.dumps(x, ensure_ascii=False, separators=(",", ":")), None
+
+
+@query
+def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the command, of files that a manifest names: each value with its path, and errors with their place by number, then by who is met first."""
+    return spark.createDataFrame(list(_leaves(manifest_report(spark, delivered(spark, sf_dir)))), "path string, value string, place long")
+
+
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.extract_baseline(T.text_lines(R.order_documents(spark, sf_dir)))
 
@@ -280,18 +310,28 @@ def model_json_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def receipt_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The constraints of the format hold for whatever the operators make; predictions with a lower-case currency break one."""
-    broken = predicted(spark, sf_dir).withColumn("currency", F.col("currency").withField("value", F.when(F.col("document_id").cast("bigint") % 5 == 0, F.lower("currency.value")).otherwise(F.col("currency.value"))))
-    return broken.select("document_id", F.explode(S.faults()).alias("fault"))
+    """The constraints of the format hold for whatever the operators make; predictions whose fields were changed afterwards break each of them
+    but those of evidence: by k mod 5 = 0 a small currency, mod 7 = 3 a confidence of 1.5, mod 11 = 4 a subtotal that isn't present, mod 13 = 5
+    an unknown status of the total, mod 9 = 2 a tax without a value, mod 17 = 6 an empty id, mod 19 = 1 another version, mod 3 = 1 no first quantity."""
+    k = F.col("document_id").cast("bigint")
+    changed = lambda n, part, where, to: F.col(n).withField(part, F.when(where, to).otherwise(F.col(f"{n}.{part}")))
+    broken = predicted(spark, sf_dir).withColumns({
+        "currency": changed("currency", "value", k % 5 == 0, F.lower("currency.value")), "total": changed("total", "confidence", k % 7 == 3, F.lit(1.5)), "subtotal": changed("subtotal", "status", k % 11 == 4, F.lit(S.NOT_PRESENT)),
+        "tax": changed("tax", "value", k % 9 == 2, F.lit(None)), "line_items": F.transform("line_items", lambda x, i: x.withField("quantity", x["quantity"].withField("status", F.when((k % 3 == 1) & (i == 0), F.lit(S.NOT_PRESENT)).otherwise(x["quantity"]["status"])))),
+    }).withColumn("total", changed("total", "status", k % 13 == 5, F.lit("guessed")))
+    kept = broken.withColumn("k", k).withColumns({"document_id": F.when(F.col("k") % 17 == 6, "").otherwise(F.col("document_id")), "schema_version": F.when(F.col("k") % 19 == 1, "0.2.0").otherwise(F.col("schema_version"))})
+    return kept.select("k", F.explode(S.faults()).alias("fault"))
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, raw: predictions as canonical JSON, broken in known ways."""
+    """document_id, raw: predictions as canonical JSON, broken in known ways, some of which are allowed."""
     made = predicted(spark, sf_dir).select(F.col("document_id").alias("id"), S.as_json().alias("raw"))
     k = F.col("id").cast("bigint") % 23
     broken = F.when(k == 0, F.substring("raw", 2, 1 << 30)).when(k == 1, F.regexp_replace("raw", '"currency":', '"curency":')).when(k == 2, F.regexp_replace("raw", '^\\{', '{"more":1,')).when(k == 3, F.regexp_replace("raw", '"0.1.0"', '"9"'))
-    broken = broken.when(k == 4, F.regexp_replace("raw", '"status":"extracted"', '"status":"guessed"')).when(k == 5, F.regexp_replace("raw", '"schema_version":"0.1.0",', "")).when(k == 6, "[]").when(k == 7, F.regexp_replace("raw", '"document_id":"[0-9]+"', '"document_id":5')).otherwise(F.col("raw"))
-    return made.select("id", broken.alias("raw"))
+    broken = broken.when(k == 4, F.regexp_replace("raw", '"status":"extracted"', '"status":"guessed"')).when(k == 5, F.regexp_replace("raw", '"schema_version":"0.1.0",', "")).when(k == 6, "[]").when(k == 7, F.regexp_replace("raw", '"document_id":"[0-9]+"', '"document_id":5'))
+    for at, was, now in ((8, '"confidence":null', '"confidence":1.5'), (9, '"raw_text":null', '"raw_text":3'), (10, '"status":"not_present",', ""), (11, '"evidence":[]', '"evidence":[{"text":"a","page":0}]'), (12, '"evidence":[]', '"evidence":[{"text":"a","page":1}]'), (13, '"quantity":', '"qty":'), (15, '"value":null', '"value":"1"')):
+        broken = broken.when(k == at, F.replace("raw", F.lit(was), F.lit(now)))
+    return made.select("id", broken.when(k == 14, F.regexp_replace("raw", '"value":"([0-9.]+)"', '"value":$1')).otherwise(F.col("raw")).alias("raw"))
 
 
 @query

@@ -49,12 +49,17 @@ def file_states(spark: SparkSession, paths: Sequence[str]) -> tuple:
 _MADE: dict[tuple, str] = {}
 
 
-def made_once(spark: SparkSession, name: str, sources: Sequence[str], make: Callable[[str], None]) -> DataFrame:
-    """The Parquet table that ``make`` writes to a path, made again only if the source files have changed since, or the application is another."""
+def path_made_once(spark: SparkSession, name: str, sources: Sequence[str], make: Callable[[str], None]) -> str:
+    """The path that ``make`` wrote to, made again only if the source files have changed since, or the application is another."""
     key = spark.sparkContext.applicationId, spark.sparkContext.startTime, name, file_states(spark, sources)
     files, at = _path(spark, _MADE[key]) if key in _MADE else (None, None)
     if files is None or not files.exists(at):
         path = new_path(spark, name)
         make(path)
         _MADE[key] = path
-    return spark.read.parquet(_MADE[key])
+    return _MADE[key]
+
+
+def made_once(spark: SparkSession, name: str, sources: Sequence[str], make: Callable[[str], None]) -> DataFrame:
+    """The Parquet table at a path made once."""
+    return spark.read.parquet(path_made_once(spark, name, sources, make))
