@@ -141,6 +141,9 @@ _PICK = lambda what, name: f"any_value({what}) FILTER (WHERE path = '{name}')"
 ORACLE["model_json_adapt"] = f"""WITH {MODEL} SELECT CAST(me.k AS VARCHAR) AS document_id, any_value(error) AS error, CASE WHEN any_value(error) IS NULL THEN any_value(len(items)) END AS n_items, {_PICK("state", "tax")} AS tax_status, {_PICK("number", "tax")} AS tax,
   {_PICK("state", "total")} AS total_status, {_PICK("number", "total")} AS total, {_PICK("raw", "total")} AS total_raw, {_PICK("state", "currency")} AS currency_status, {_PICK("code", "currency")} AS currency, {_PICK("raw", "currency")} AS currency_raw FROM me LEFT JOIN mr USING (k) GROUP BY me.k"""
 ORACLE["ocr_columns"] = ORACLE["ocr_lines"]
+ORACLE["image_lines"] = f"""WITH lines AS ({ORACLE["ocr_lines"]}), pages AS (SELECT k, k // 200 AS file, row_number() OVER (PARTITION BY k // 200 ORDER BY k) - 1 AS page FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey))
+SELECT file, page, row_number() OVER (PARTITION BY file ORDER BY page, line_idx) - 1 AS line_idx, text, confidence, NULL AS error FROM lines JOIN pages ON document_id = CAST(k AS VARCHAR) WHERE k % 13 <> 0
+UNION ALL SELECT file, page, NULL, NULL, NULL, 'ValueError: no image' FROM pages WHERE k % 13 = 0 UNION ALL SELECT file, count(*), NULL, NULL, NULL, 'OSError: cut off' FROM pages WHERE file % 7 = 3 GROUP BY file"""
 ORACLE["unmatched_documents"] = f"""WITH {BASE}, p AS (SELECT CAST(k AS VARCHAR) AS document_id FROM pd WHERE k % 11 <> 0), g AS (SELECT CAST(k AS VARCHAR) AS document_id FROM gd WHERE k % 7 <> 0)
 SELECT document_id, CASE WHEN g.document_id IS NULL THEN 'predicted' ELSE 'truth' END AS side FROM p FULL JOIN g USING (document_id) WHERE p.document_id IS NULL OR g.document_id IS NULL"""
 _BARE = lambda value, status, confidence="'null'": f"""'{{"value":' || coalesce('"' || {value} || '"', 'null') || ',"raw_text":null,"status":"' || {status} || '","confidence":' || {confidence} || ',"evidence":[]}}'"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,32 @@ def page_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("k").cast("string").alias("document_id"), F.posexplode(F.flatten(F.transform("lines", line))).alias("word_idx", "w")).select("document_id", "word_idx", "w.*")
 
 
+def page_files(docs: DataFrame) -> DataFrame:
+    """file, value: the pages of about 50 documents, k div 200 for each file, one after the other by k with a form feed between; a page is a word
+    of page_words in each line. Pages with k mod 13 = 0 are no images, and files with number mod 7 = 3 break off behind their pages."""
+    word = F.concat_ws(",", "top", "left", "conf", "text")
+    pages = page_words(docs).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", word.alias("word")))).alias("w"))
+    k = F.col("document_id").cast("bigint")
+    page = F.struct(k.alias("k"), F.when(k % 13 == 0, "!").otherwise(F.array_join("w.word", "\n")).alias("text"))
+    files = pages.groupBy(F.floor(k / 200).alias("file")).agg(F.array_sort(F.collect_list(page)).alias("p"))
+    return files.select("file", F.concat(F.array_join("p.text", "\f"), F.when(F.col("file") % 7 == 3, "\f?\fnever").otherwise("")).alias("value"))
+
+
+def stand_in_cut(content: bytes) -> Iterator[bytes]:
+    """The pages of one of page_files."""
+    for page in content.rstrip(b"\n").split(b"\f"):
+        if page == b"?":
+            raise OSError("cut off")
+        yield page
+
+
+def stand_in_ocr(page: bytes) -> dict[str, list]:
+    """The words of a page of page_files, as an OCR returns them."""
+    if page == b"!":
+        raise ValueError("no image")
+    return dict(zip(("top", "left", "conf", "text"), map(list, zip(*[x.split(",", 3) for x in page.decode().split("\n")], strict=True)), strict=True))
+
+
 def model_answers(docs: DataFrame) -> DataFrame:
     """document_id, raw. By k mod 19: 0 an unknown status, 1 not JSON, 2 a lower-case currency, 3 a symbol as currency, 4 a total that is no
     number, 5 an unreadable total, 6 line_items not a list."""

@@ -290,6 +290,16 @@ def ocr_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", F.col("line_idx").cast("bigint").alias("line_idx"), "text", "confidence")
 
 
+@query
+def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and errors of files of many pages each, by the image source with a stand-in OCR; what was read of a page is written once."""
+    write = lambda path: T.page_files(R.order_documents(spark, sf_dir)).repartition("file").write.partitionBy("file").text(path)
+    at = path_made_once(spark, "page-files", [f"{sf_dir}/{t}.parquet" for t in SOURCES], write)
+    found = I.read_image_lines(spark, f"{at}/file=*", ocr=T.stand_in_ocr, cut=T.stand_in_cut)
+    file = F.regexp_extract("document_id", r"/file=(\d+)/[^/]*$", 1).cast("bigint")
+    return found.select(file.alias("file"), *[F.col(c).cast("bigint").alias(c) for c in ("page", "line_idx")], "text", "confidence", "error")
+
+
 @query
 def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts by prompt, call and adapter, of a stand-in model that fails in every known way; its answers are kept in a store and read back."""
