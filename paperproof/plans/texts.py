@@ -108,7 +108,10 @@ def stand_in_model(url: str, headers: dict[str, str], body: dict) -> HttpRespons
     if kind < 2:
         return HttpResponse(429, {"error": {"message": "quota used up"}}) if kind == 0 else HttpResponse(502, "bad gateway")
     field = lambda status, value=None: {"status": status, "value": value}
-    items = [{"description": field("extracted", d), "quantity": field("extracted", q), "unit_price": field("uncertain", u), "line_total": field("extracted", t)} for d, q, u, t in re.findall(r"^(.+) ([0-9]+) x ([0-9,]+) ([0-9,]+)$", prompt, re.M)]
-    receipt = {"line_items": items, "subtotal": field("not_present"), "tax": field("unreadable"), "total": field("guessed" if kind == 6 else "extracted", said), "currency": field("extracted", "eur")}
+    schema = body["generationConfig"]["responseSchema"]
+    asked = lambda of, found: {n: found[n] for n in of["required"]}  # noqa: E731  what the schema of the request asks for, and no more
+    item = lambda d, q, u, t: asked(schema["properties"]["line_items"]["items"], {"description": field("extracted", d), "quantity": field("extracted", q), "unit_price": field("uncertain", u), "line_total": field("extracted", t), "note": 1})
+    items = [item(*x) for x in re.findall(r"^(.+) ([0-9]+) x ([0-9,]+) ([0-9,]+)$", prompt, re.M)]
+    receipt = asked(schema, {"line_items": items, "subtotal": field("not_present"), "tax": field("unreadable"), "total": field("guessed" if kind == 6 else "extracted", said), "currency": field("extracted", "eur"), "note": 1})
     text = {3: " ", 4: "I can't", 5: "[1]"}.get(kind, json.dumps(receipt))
     return HttpResponse(200, {"candidates": [] if kind == 2 else [{"content": {"parts": [{"text": text[:9]}, {"text": text[9:]}]}}]})

@@ -350,6 +350,24 @@ def test_report_command(spark, tmp_path, capsys):
     assert "2 documents" in capsys.readouterr().out
 
 
+def test_report_of_a_manifest_parses_once_and_follows_its_order(spark, tmp_path):
+    from paperproof.cli import manifest_report
+    from paperproof.operators.landing import read_landed
+
+    good, bare, odd = '{"gt_parse":{"menu":[{"nm":"a","price":"5"}]},"meta":{"image_id":1}}', '{"gt_parse":{"menu":[]}}', '{"gt_parse":{"menu":[{"nm":3}]},"meta":{"image_id":2}}'
+    for name, texts in (("z", [good, odd]), ("a", [bare, odd, bare])):
+        spark.createDataFrame([(t, b"image") for t in texts], "ground_truth string, image binary").coalesce(1).write.parquet(str(tmp_path / name))
+    for names, first in (("za", "text field not text"), ("az", "no document id")):
+        store = str(tmp_path / f"store-{names}")
+        report = manifest_report(spark, [{"url": str(tmp_path / n), "size": 5} for n in names], dataset="d", store=store)
+        assert next(iter(report["adapter_error_details"])) == first and report["adapter_error_details"] == {"text field not text": 2, "no document id": 2}
+        assert report["adapter_error_examples"][0]["error"] == first and len(report["adapter_error_examples"]) == 4
+        assert report["source"] == {"dataset": "d", "files": 2, "advertised_bytes": 10, "columns": ["ground_truth"]} and report["documents"]["total"] == 5
+        assert "ground_truth" not in read_landed(spark, store).columns and read_landed(spark, store).count() == 5
+        with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+            manifest_report(spark, [{"url": str(tmp_path / "z")}], store=store)
+
+
 ANSWERS = [
     (200, {"candidates": []}, "no candidates"), (200, {}, "no candidates"), (200, {"candidates": [{"content": {"parts": [{"text": "  "}]}}]}, "empty answer"), (200, {"candidates": [{"content": {"parts": [{"text": "{no"}]}}]}, "answer not JSON"),
     (200, {"candidates": [{"content": {"parts": [{"text": "[1]"}]}}]}, "answer not an object"), (500, "down", 'http 500: "down"'), (0, "no answer: lost", 'http 0: "no answer: lost"'), (400, {"error": {"message": "bad key"}}, "http 400: bad key"),
