@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, the one with the least doc_id; every link is counted from whole shingle sets."""
+    """One document of each group of copies and near copies, the one with the least doc_id. SimHash fingerprints meet in shards of
+    vantage-point trees; every link is counted from whole shingle sets."""
     return without_near_copies(docs, k=5, similarity=SIMILARITY)
 
 

@@ -115,3 +115,57 @@ def test_pipeline_links_pairs_whose_fingerprints_are_far_apart(spark):
     want = brute_kept(rows)
     assert want == [4, 3650, 5108]
     assert sorted(r.doc_id for r in C.near_dedup(spark, d, "").collect()) == want
+
+
+def leaves(tree):
+    return sum(isinstance(node, int) for node in tree)
+
+
+def test_near_copies_are_found_through_vantage_point_trees(spark, monkeypatch):
+    """The trees cut the fingerprints into shards, and what no shard holds isn't found: there is no other path."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 1000 or doc_id in (2540, 5108, 5918, 3650, 7230)")
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    want, different = brute_kept(rows), len({r[1] for r in rows})
+    assert len(want) < different
+    trees, build = [], N.build
+    monkeypatch.setattr(N, "build", lambda *a: trees.append(build(*a)) or trees[-1])
+    assert sorted(r.doc_id for r in N.without_near_copies(d, shard=64).collect()) == want
+    assert len(trees) == N.BANDS and min(map(leaves, trees)) > 4
+    monkeypatch.setattr(N, "route", lambda *a: iter(()))
+    assert N.without_near_copies(d, shard=64).count() == different
+
+
+@pytest.mark.parametrize("common, more, trees, far", [(400, 100, N.LARGE_BANDS, N.FAR), (64, 16, N.LARGE_BANDS, N.FAR), (4, 1, N.BANDS, N.FAR_SMALL), (12, 3, N.BANDS, N.FAR_SMALL)])
+def test_pairs_at_the_threshold_meet_in_a_tree(common, more, trees, far):
+    """Sets at 0.8 are within a tree's overlap in some band, and the checking words are no reason against them."""
+    pick = np.random.default_rng(7)
+    for _ in range(1000):
+        h = pick.integers(0, 2**63, common + more, dtype=np.uint64)
+        pair = np.stack([N.set_words(np.sort(h[:common])), N.set_words(np.sort(h))])
+        assert any(int(np.bitwise_xor(*N.band(pair, b))).bit_count() <= N.NEAR for b in range(trees))
+        assert np.bitwise_count(np.bitwise_xor(*pair[:, -N.CHECK :])).sum() <= far
+
+
+def brute_families(rows, similarity=0.8):
+    label = list(range(len(rows)))
+    for i, a in enumerate(rows.tolist()):
+        for j, b in enumerate(rows.tolist()[:i]):
+            low, high = sorted((a[1], b[1]))
+            apart = sum((x ^ y).bit_count() for x, y in zip(map(int, a[3]), map(int, b[3]), strict=True))
+            if (a[2] ^ b[2]).bit_count() <= N.NEAR and low >= similarity * high and apart <= (0 if high < 5 else N.FAR_SMALL if low < N.SMALL else N.FAR):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {x: min(t for t, y in zip(rows["text"].tolist(), label, strict=True) if x == y) for x in label}
+    return sorted((t, least[x]) for t, x in zip(rows["text"].tolist(), label, strict=True) if t != least[x])
+
+
+def test_a_shard_compares_all_pairs_within_the_overlap():
+    pick = np.random.default_rng(3)
+    for most in (1, 7, 100, 1 << 20) * 3:
+        rows = np.zeros(int(pick.integers(0, 150)), N.ROW)
+        rows["text"], rows["n"] = pick.permutation(1000)[: len(rows)] - 500, pick.choice([3, 4, 5, 60, 70, 80], len(rows))
+        rows["band"] = pick.choice([0, 1, 2, 3, 5, 9, 1 << 15, (1 << 15) + 1], len(rows))
+        base = pick.integers(0, 2**63, (4, N.CHECK), dtype=np.uint64)[pick.integers(0, 4, len(rows))]
+        noise = np.packbits(pick.random((len(rows), 64 * N.CHECK)) < 0.16, axis=1).view("<u8")
+        rows["check"] = base ^ noise.reshape(len(rows), N.CHECK)
+        u, v = N.shard_families(rows, 0.8, most=most)
+        assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == brute_families(rows)
