@@ -189,9 +189,9 @@ def shard_families(rows: np.ndarray, similarity: float, most: int = 1 << 20) ->
 def families(texts: DataFrame, *, similarity: float, shard: int = SHARD) -> DataFrame:
     """(text_hash, family) for each of texts(text_hash, n, prints) with a neighbour: family is the least text_hash of what neighbours join.
 
-    The trees are fitted on at most SAMPLE texts; every text then goes through them."""
+    The trees are fitted on one text in so many that about SAMPLE are taken, chosen by hash; every text then goes through them."""
     total = texts.count()
-    found = texts.orderBy(F.xxhash64("text_hash", F.lit(1))).limit(min(SAMPLE, total // 4 + 1024)).select("prints").toPandas()["prints"]
+    found = texts.where(F.pmod(F.xxhash64("text_hash", F.lit(1)), F.lit(total // SAMPLE + 1)) == 0).select("prints").toPandas()["prints"]
     sample = np.stack(found.to_list()).view(np.uint64) if len(found) else np.zeros((0, WORDS), np.uint64)
     shards = max(min(SHARDS, total // shard), total // LARGE_SHARD) + 1
     trees = [build(band(sample, b), shards, NEAR) for b in range(BANDS)]
@@ -214,12 +214,17 @@ def families(texts: DataFrame, *, similarity: float, shard: int = SHARD) -> Data
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         u, v = shard_families(np.frombuffer(b"".join(part["rows"]), ROW), similarity)
-        return pd.DataFrame({"u": u, "v": v})
+        return pd.DataFrame({"text": u, "centre": v})
 
     dealt = texts.select("text_hash", "n", "prints").mapInArrow(deal, "tree int, shard int, rows binary")
-    stars = stored(dealt.groupBy("tree", "shard").applyInPandas(search, "u long, v long"), "stars")
-    out = stored(connected(stars).select(F.col("node").alias("text_hash"), F.col("root").alias("family")), "families")
-    dropped(stars)
+    stars = stored(dealt.groupBy("tree", "shard").applyInPandas(search, "text long, centre long"), "stars")
+    # a centre is the least of its star, and is joined to itself; components are formed of centres alone, however many texts have one
+    stars, each = stars.unionByName(stars.select(F.col("centre").alias("text"), "centre")).distinct(), stars
+    first = stored(stars.groupBy("text").agg(F.min("centre").alias("first")), "first")
+    roots = stored(connected(stars.join(first, "text").select(F.col("centre").alias("u"), F.col("first").alias("v"))), "roots")
+    dropped(each)
+    out = stored(first.join(roots, first["first"] == roots["node"], "left").select(F.col("text").alias("text_hash"), F.coalesce("root", "first").alias("family")), "families")
+    dropped(first, roots)
     return out
 
 
