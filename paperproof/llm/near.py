@@ -4,11 +4,11 @@ Fingerprints of unlike texts differ in half of their bits, those of texts at a s
 and 5 shingles, the most for any sizes). At that radius no triangle bound over all bits of a fingerprint can cut off a branch. So a
 fingerprint has ``WORDS`` words of 64 bits, cut into bands of ``WIDTH`` bits, and each band has a vantage-point tree of its own with an
 overlap of ``NEAR`` bits: any two texts whose band differs in at most that many meet in a shard of that tree. A pair at 0.8 does in
-some band but for 1 in 800,000 pairs of larger sets, and 2 in a million of sets of 4 and 5 shingles. Texts of ``SMALL`` shingles or more
+some band but for 6 in 10 million pairs of larger sets, and 2 in a million of sets of 4 and 5 shingles. Texts of ``SMALL`` shingles or more
 go through ``LARGE_BANDS`` of the trees, others through all.
 
 Within a shard, two texts within ``NEAR`` bits of the band are neighbours if their sizes allow the threshold and ``CHECK`` further
-words differ in no more bits than texts at 0.8 do (by 5.5 standard deviations). A shard's task returns stars, and families are what
+words differ in no more bits than texts at 0.8 do (5.5 standard deviations above their mean or more). A shard's task returns stars, and families are what
 stars join. Pairs are never listed. First each of a family's texts is compared with the least of them, which joins most copies. Where
 a family's texts still belong to several components, all pairs of different components are then compared, in tasks of a pair of
 blocks of the family's texts each, so a family of many texts is many tasks. A pair becomes a link if its similarity, counted from the
